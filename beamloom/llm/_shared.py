@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 _OWN_DIR: str | None = None
 
 
@@ -34,6 +35,7 @@ class Scratch:
     """Tables in the shared folder. They cut lineage (a lost executor costs a re-read) and go with ``close()``."""
 
     def __init__(self, spark: SparkSession):
+        ship(spark)
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/beamloom-{uuid.uuid4().hex}", 0
 
     def table(self, df: DataFrame, name: str = "t") -> DataFrame:

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
 from ._shared import documents
 from .learn import remainder, sample, sparse_features
 
@@ -156,6 +157,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: id, lang_pred, score, rejected."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by BUCKETS and MOST_LABELS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 MOST_LABELS = 200
 
 
@@ -40,6 +42,7 @@ def sample(rows: DataFrame, per_class: int) -> tuple[DataFrame, dict]:
 
 def sparse_features(docs: DataFrame, chosen: DataFrame, feature: Callable[[str], tuple[np.ndarray, np.ndarray]], id_col: str, text_col: str) -> list[tuple[int, object, np.ndarray, np.ndarray]]:
     """(id, label, indices, values) of the sample's documents in the order of their ids; chosen is bounded by ``sample``."""
+    ship(docs.sparkSession)
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
