@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, mixing, packing, token_files
+from . import exact_dedup, language, mixing, packing, quality, token_files, toxicity
 
-MODULES = (language, packing, mixing, token_files, exact_dedup)
+MODULES = (language, toxicity, quality, packing, mixing, token_files, exact_dedup)
 QUERIES = {name: pair for m in MODULES for name, pair in m.QUERIES.items()}
