@@ -33,7 +33,7 @@ from ._shared import Scratch, documents, labels
 from .learn import remainder, sample
 
 PER_CLASS, TERMS, BLOCK, NEIGHBOURS, SHARPNESS = 2000, 1024, 64, 15, 4
-RATIO, LEAST, G_TEST = 6.0, 3, 20.0  # how much likelier a term is in toxic texts, in how many it is, and its G statistic
+RATIO, LEAST, G_TEST = 6.0, 3, 15.0  # how much likelier a term is in toxic texts, in how many it is, and its G statistic
 _WORD = re.compile(r"[^\W\d_]+")
 
 
