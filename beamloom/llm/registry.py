@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, mixing, packing, quality, token_files, toxicity
+from . import exact_dedup, language, media, mixing, packing, quality, substrings, token_files, toxicity
 
-MODULES = (language, toxicity, quality, packing, mixing, token_files, exact_dedup)
+MODULES = (media, language, toxicity, quality, substrings, packing, mixing, token_files, exact_dedup)
 QUERIES = {name: pair for m in MODULES for name, pair in m.QUERIES.items()}
