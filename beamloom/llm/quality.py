@@ -128,13 +128,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("_bl_text")).mapInArrow(run, f"`{id_col}` {kind}, score double")
 
 
-def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labels(spark, sf_dir).filter(remainder("doc_id", 5) != 0).select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+def fit_labels(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
+    """Learn from the table of labels, but for the fifth of the ids that is held out."""
+    truth = labels(spark, sf_dir).filter(remainder("doc_id", 5) != 0).select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+    return fit(docs, truth)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    got = score(docs, fit(docs, _truth(spark, sf_dir)))
+    got = score(docs, fit_labels(spark, docs, sf_dir))
     return got.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= KEEP).cast("int").alias("predicted"))
 
 
