@@ -176,7 +176,7 @@ def fit(docs: DataFrame, truth: DataFrame, id_col: str = "doc_id", text_col: str
     texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "id").select("id", "label", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(i, 32) for whole in batches for i in range(0, whole.num_rows, 32)):  # a document has many terms
             found = [terms(t.as_py()) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.int32()), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], ["id", "label", "term", "n"])
 
