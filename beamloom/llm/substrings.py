@@ -16,7 +16,8 @@ side of plain sort-merge joins, which adaptive execution can split.
 
 Cases: null text counts as empty; texts of fewer than WORDS words have no passage. A passage that repeats in one
 document only is left alone. Rows that repeat an id are documents of their own; among them the row numbers decide.
-Equal texts share all their windows, so all but the first are wholly repeated. Other columns are ignored.
+Equal texts share all their windows, so all but the first are wholly repeated, and
+only the first is searched. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -55,11 +56,11 @@ def chunked(text: str | None, words_: int = WORDS) -> tuple[list[str], bytes, np
     return words, data, cuts, _chunk_digests(data, cuts)
 
 
-def candidates(words: list[str], cuts: np.ndarray, shared: np.ndarray, words_: int = WORDS) -> np.ndarray:
+def candidates(data: bytes, cuts: np.ndarray, shared: np.ndarray, words_: int = WORDS) -> np.ndarray:
     """First words of the windows all of whose inner chunks are shared."""
-    sizes = np.array([len(w.encode("utf-8", "replace")) for w in words])
-    ends = np.cumsum(sizes + 1) - 1
-    starts, stops = (ends - sizes)[: len(words) - words_ + 1], ends[words_ - 1 :]
+    gaps = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
+    starts, ends = np.r_[0, gaps + 1], np.r_[gaps, len(data)]
+    starts, stops = starts[: len(ends) - words_ + 1], ends[words_ - 1 :]
     low = np.searchsorted(cuts, starts + REACH + WINDOW - 1)
     high = np.searchsorted(cuts, stops - REACH - 1, side="right")
     alien = np.r_[0, np.cumsum(~shared)]
@@ -79,10 +80,17 @@ def window_hashes(words: list[str], at: np.ndarray, words_: int = WORDS) -> np.n
 
 
 def _digests(words: int):
+    """Of each document: a digest of its words, their number, and the distinct digests of its chunks."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [np.unique(chunked(t.as_py(), words)[3]).view(np.int64) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["key", "digests"])
+            classes, sizes, found = [], [], []
+            for t in b.column(1):
+                w, data, _, digests = chunked(t.as_py(), words)
+                classes.append(xxhash.xxh3_128_digest(data))
+                sizes.append(len(w))
+                found.append(np.unique(digests).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(classes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["key", "class", "n", "digests"])
 
     return run
 
@@ -110,8 +118,8 @@ def _may_share(bits, words: int):
         for b in batches:
             keep = []
             for t in b.column(1):
-                w, _, cuts, digests = chunked(t.as_py(), words)
-                keep.append(len(w) >= words and len(candidates(w, cuts, _hits(bits.value, digests), words)) > 0)
+                w, data, cuts, digests = chunked(t.as_py(), words)
+                keep.append(len(w) >= words and len(candidates(data, cuts, _hits(bits.value, digests), words)) > 0)
             if any(keep):
                 yield b.filter(pa.array(keep))
 
@@ -121,11 +129,12 @@ def _may_share(bits, words: int):
 def _windows(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for key, text, listed in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
-                w, _, cuts, digests = chunked(text.as_py(), words)
-                at = candidates(w, cuts, np.isin(digests.view(np.int64), np.array(listed.as_py() or [], np.int64)), words)
+            for key, text, listed, copied in zip(b.column(0).to_pylist(), b.column(1), b.column(2), b.column(3).to_pylist(), strict=True):
+                w, data, cuts, digests = chunked(text.as_py(), words)
+                shared = np.asarray(listed.values) if listed.is_valid else np.zeros(0, np.int64)
+                at = candidates(data, cuts, np.isin(digests.view(np.int64), shared), words)
                 if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), key, np.int64)), pa.array(at, pa.int32()), pa.array(window_hashes(w, at, words).view(np.int64))], ["key", "at", "h"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), key, np.int64)), pa.array(np.full(len(at), copied)), pa.array(at, pa.int32()), pa.array(window_hashes(w, at, words).view(np.int64))], ["key", "copied", "at", "h"])
 
     return run
 
@@ -135,8 +144,7 @@ def _spans(words: int):
         for b in batches:
             rows = []
             for key, listed in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                at = np.array([x["at"] for x in listed.as_py()], np.int64)
-                owner = np.array([x["owner"] for x in listed.as_py()], np.int64)
+                at, owner = (np.asarray(listed.values.field(i)).astype(np.int64) for i in (0, 1))
                 order = np.argsort(at)
                 at, owner = at[order], owner[order]
                 for part in np.split(np.arange(len(at)), np.flatnonzero((np.diff(at) > 1) | ((owner[1:] == key) != (owner[:-1] == key))) + 1):
@@ -149,15 +157,25 @@ def _spans(words: int):
 
 def _find(rows: DataFrame, scratch: Scratch, words: int) -> DataFrame:
     """(key, start_word, end_word, owner, kept) from rows (key, text)."""
-    listed = scratch.table(rows.select("key", "text").mapInArrow(_digests(words), "key bigint, digests array<bigint>"), "digests")
-    places = listed.select("key", F.explode("digests").alias("digest"))
+    described = scratch.table(rows.select("key", "text").mapInArrow(_digests(words), "key bigint, class binary, n bigint, digests array<bigint>"), "digests").filter(F.col("n") >= words)
+    classes = scratch.table(described.groupBy("class").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("copies")), "classes")
+    alike = scratch.table(described.select("key", "class", "n").join(classes, "class").filter("copies > 1").select("key", "first", "n"), "alike")
+    later = alike.filter("key <> first")
+    places = described.select("key", F.explode("digests").alias("digest"))
     shared = scratch.table(places.groupBy("digest").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a <> b").select("digest"), "shared")
     lists = places.join(shared, "digest").groupBy("key").agg(F.collect_list("digest").alias("listed"))
     bits = rows.sparkSession.sparkContext.broadcast(_filter(shared))
-    texts = rows.select("key", "text").mapInArrow(_may_share(bits, words), "key bigint, text string")
-    windows = scratch.table(texts.join(lists, "key", "left").mapInArrow(_windows(words), "key bigint, at int, h bigint"), "windows")
+    copied = alike.filter("key = first").select("key", F.lit(True).alias("copied"))
+    texts = rows.select("key", "text").mapInArrow(_may_share(bits, words), "key bigint, text string").join(later.select("key"), "key", "left_anti")
+    windows = texts.join(lists, "key", "left").join(copied, "key", "left").select("key", "text", "listed", F.coalesce("copied", F.lit(False)).alias("copied"))
+    windows = scratch.table(windows.mapInArrow(_windows(words), "key bigint, copied boolean, at int, h bigint"), "windows")
     owners = scratch.table(windows.groupBy("h").agg(F.min("key").alias("owner"), F.max("key").alias("b")).filter("owner <> b").select("h", "owner"), "owners")
-    return windows.join(owners, "h").groupBy("key").agg(F.collect_list(F.struct("at", "owner")).alias("found")).mapInArrow(_spans(words), "key bigint, start_word bigint, end_word bigint, owner bigint, kept boolean")
+    met = windows.join(owners, "h", "left").filter("owner is not null or copied")
+    found = met.groupBy("key").agg(F.collect_list(F.struct("at", F.coalesce("owner", "key").alias("owner"))).alias("found"))
+    spans = scratch.table(found.mapInArrow(_spans(words), "key bigint, start_word bigint, end_word bigint, owner bigint, kept boolean"), "spans")
+    earliest = scratch.table(spans.groupBy(F.col("key").alias("first")).agg(F.min("owner").alias("owner")), "earliest")
+    whole = later.join(earliest, "first").select("key", F.lit(0).cast("bigint").alias("start_word"), F.col("n").alias("end_word"), "owner", F.lit(False).alias("kept"))
+    return spans.unionByName(whole)
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
