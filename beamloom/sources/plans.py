@@ -41,7 +41,7 @@ def is_csv_plan(spark: SparkSession, path: str) -> bool:
 
 def csv_slots(spark: SparkSession, path: str, plan_id: str | None = None) -> DataFrame:
     """All slots with finite position and energy, kept or not, in the file's order."""
-    raw = spark.read.option("header", True).option("comment", None).csv(path)
+    raw = spark.read.option("header", True).csv(path)
     names = [plan_column(c) for c in raw.columns]
     if not REQUIRED <= set(names):
         raise PlanError(f"not a plan file: {path}")
