@@ -83,8 +83,9 @@ def episode_gap(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """(acq_id, gap_s): the pause that separates spots, from the steps between the times of consecutive rows."""
     timed = rows.filter("t is not null")
     steps = timed.withColumn("dt", F.col("t") - F.lag("t").over(_rows())).filter("dt > 0").select("acq_id", "dt")
-    ratio = F.col("dt") / F.greatest(F.lag("dt").over(Window.partitionBy("acq_id").orderBy("dt")), F.lit(1e-12))
-    sorted_ = steps.withColumns({"r": ratio, "was": F.lag("dt").over(Window.partitionBy("acq_id").orderBy("dt")), "k": F.row_number().over(Window.partitionBy("acq_id").orderBy("dt"))})
+    by_size = Window.partitionBy("acq_id").orderBy("dt")
+    sorted_ = steps.withColumns({"was": F.lag("dt").over(by_size), "k": F.row_number().over(by_size)})
+    sorted_ = sorted_.withColumn("r", F.when(F.col("was").isNotNull(), F.col("dt") / F.greatest("was", F.lit(1e-12))))
     stats = sorted_.groupBy("acq_id").agg(_percentile("dt", 0.5).alias("p50"), _percentile("dt", 0.1).alias("p10"), _percentile("dt", 0.9).alias("p90"), F.max(F.struct("r", (-F.col("k")).alias("k"), ((F.col("dt") + F.col("was")) / 2).alias("knee"))).alias("top"))
     ends = timed.groupBy("acq_id").agg((F.max_by("t", "row_idx") - F.min_by("t", "row_idx")).alias("span"))
     sizes = plan.groupBy("acq_id").agg(F.count(F.lit(1)).alias("n_plan"))
