@@ -36,55 +36,79 @@ VOCABULARY = 50_257
 SHARD_TOKENS = 1 << 20
 PAIRS, LEAST, ROUNDS = 8192, 12, 10
 _HASH_BITS = 20
+_HASH_MASK, _MIX = (1 << _HASH_BITS) - 1, np.int64(0x9E3779B97F4A7C15 - (1 << 64))
 _HEAD = struct.Struct("<4sIIII")
 
 
-def _frequent(left: np.ndarray, right: np.ndarray, ok: np.ndarray, most: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the most frequent pairs, sorted, and the code at each place (-1: not to be replaced)."""
-    codes = left.astype(np.int64) << 24 | right
-    codes[~ok] = -1
-    spread = (codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _HASH_BITS)
-    places = np.flatnonzero(ok & (np.bincount(spread.astype(np.int64), minlength=1 << _HASH_BITS)[spread] >= least))  # a pair is no more frequent than its bucket
-    found, counts = np.unique(codes[places], return_counts=True)
-    keep = counts >= least
-    found, counts = found[keep], counts[keep]
+def _frequent(codes: np.ndarray, turn: int, most: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of the most frequent pairs, for each place the pair's number among them (-1: none), and the places to count again.
+
+    Pairs are counted in a hash table without sorting: of the pairs that share a bucket, one is counted and the others
+    wait for a later round, which mixes the codes in another way. Frequent pairs beyond ``most`` wait too.
+    """
+    mix = np.int64(_MIX + 2 * turn)
+    bucket = (codes * mix >> (63 - _HASH_BITS)) & _HASH_MASK
+    owner = np.full(1 << _HASH_BITS, -1, np.int64)
+    owner[bucket] = codes
+    own = owner[bucket] == codes
+    counts = np.bincount(bucket[own], minlength=1 << _HASH_BITS)
+    found = np.flatnonzero(counts >= least)
+    waits = ~own
     if len(found) > most:
-        best = np.argsort(-counts, kind="stable")[:most]
-        found = np.sort(found[best])
-    at = np.full(len(codes), -1, np.int64)
-    at[places] = codes[places]
-    return found, at
+        order = np.lexsort((owner[found], -counts[found]))
+        late = np.zeros(1 << _HASH_BITS, bool)
+        late[found[order[most:]]] = True
+        waits |= late[bucket]
+        found = found[order[:most]]
+    number = np.full(1 << _HASH_BITS, -1, np.int32)
+    number[found] = np.arange(len(found), dtype=np.int32)
+    at = number[bucket]
+    at[~own] = -1
+    return owner[found], at, waits
 
 
 def compress(ids: np.ndarray, starts: np.ndarray, vocabulary: int = VOCABULARY, most: int = PAIRS, least: int = LEAST, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Re-Pair of ids whose documents begin at starts: symbols, first symbols, rules (n, 2), expansion lengths."""
-    symbols, first = ids.astype(np.int32), starts.astype(np.int64)
-    rules, lengths = [np.zeros((0, 2), np.int32)], [np.ones(vocabulary, np.int64)]
+    """Re-Pair of ids whose documents begin at starts: symbols, first symbols, rules (n, 2), expansion lengths.
+
+    After the first round only places are counted that are next to a new symbol or had to wait: no other pair's count
+    has grown.
+    """
+    symbols, first = ids.astype(np.int64), starts.astype(np.int64)
+    rules, lengths = np.zeros((0, 2), np.int64), np.ones(vocabulary, np.int64)
     base = vocabulary
-    for _ in range(rounds):
-        if len(symbols) < 2:
+    look = np.ones(len(symbols), bool)  # places whose pair is to be counted
+    for turn in range(rounds):
+        look[first[1:] - 1] = False
+        look[-1:] = False
+        places = np.flatnonzero(look)
+        if not len(places):
             break
-        ok = np.ones(len(symbols) - 1, bool)
-        ok[first[1:] - 1] = False
-        found, at = _frequent(symbols[:-1], symbols[1:], ok, most, least)
-        if not len(found):
+        found, number, waits = _frequent(symbols[places] << 24 | symbols[places + 1], turn, most, least)
+        some = number >= 0
+        hit, which = places[some], number[some]
+        look = np.zeros(len(symbols), bool)
+        look[places[waits]] = True
+        if len(hit):
+            apart = np.diff(hit) > 1
+            if not apart.all():  # adjacent hits overlap: every second one of a run is taken
+                begin = np.flatnonzero(np.r_[True, apart])
+                place = np.arange(len(hit)) - np.repeat(begin, np.diff(np.r_[begin, len(hit)]))
+                hit, which = hit[place % 2 == 0], which[place % 2 == 0]
+            used = np.bincount(which, minlength=len(found)) > 0
+            new = base - 1 + np.cumsum(used)
+            pairs = np.stack([found[used] >> 24, found[used] & 0xFFFFFF], 1)
+            rules = np.concatenate([rules, pairs])
+            lengths = np.concatenate([lengths, lengths[pairs[:, 0]] + lengths[pairs[:, 1]]])
+            symbols[hit] = new[which]
+            look[hit] = True
+            look[np.maximum(hit - 1, 0)] = True
+            keep = np.ones(len(symbols), bool)
+            keep[hit + 1] = False
+            first = first - np.searchsorted(hit, first)
+            symbols, look, base = symbols[keep], look[keep], base + int(used.sum())
+        elif not waits.any():
             break
-        which = np.searchsorted(found, at)
-        hit = np.flatnonzero((which < len(found)) & (found[np.minimum(which, len(found) - 1)] == at))
-        run = np.cumsum(np.r_[True, np.diff(hit) > 1]) - 1  # adjacent hits overlap: every second one of a run is taken
-        begin = np.flatnonzero(np.r_[True, np.diff(run) > 0])
-        hit = hit[(np.arange(len(hit)) - begin[run]) % 2 == 0]
-        used, new = np.unique(which[hit], return_inverse=True)
-        pairs = np.stack([found[used] >> 24, found[used] & 0xFFFFFF], 1).astype(np.int32)
-        so_far = np.concatenate(lengths)
-        rules.append(pairs)
-        lengths.append(so_far[pairs[:, 0]] + so_far[pairs[:, 1]])
-        symbols[hit] = base + new
-        keep = np.ones(len(symbols), bool)
-        keep[hit + 1] = False
-        first = (np.cumsum(keep) - keep)[first]
-        symbols, base = symbols[keep], base + len(used)
-    return symbols, first, np.concatenate(rules), np.concatenate(lengths)[vocabulary:]
+    return symbols, first, rules, lengths[vocabulary:]
 
 
 def write_shard(doc_ids: list[int | None], counts: list[int], ids: np.ndarray, vocabulary: int = VOCABULARY, **more) -> bytes:
