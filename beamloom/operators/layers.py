@@ -55,11 +55,21 @@ def slot_layers(table: DataFrame) -> DataFrame:
     return full.select("acq_id", F.explode(F.sequence(F.col("first_slot"), F.col("first_slot") + F.col("n_spots") - 1)).alias("slot"), F.col("layer").alias("slot_layer"))
 
 
+def layer_edges(table: DataFrame) -> DataFrame:
+    """(acq_id, edges, slots, last): the first slots of the layers that have any, number of slots, last layer."""
+    first = F.when(F.col("n_spots") > 0, F.struct("first_slot", "layer"))
+    return table.groupBy("acq_id").agg(F.sort_array(F.collect_list(first)).alias("_edges"), F.sum("n_spots").alias("_slots"), F.max("layer").alias("_last"))
+
+
 def delivery_layers(spots: DataFrame, table: DataFrame, spot: str = "spot_id") -> DataFrame:
-    """Adds layer by the place of the spot in delivery; spots beyond the plan are of the last layer."""
-    last = table.groupBy("acq_id").agg(F.max("layer").alias("_last"))
-    found = spots.join(slot_layers(table).withColumnRenamed("slot", spot), ["acq_id", spot], "left")
-    return found.join(last, "acq_id", "left").withColumn("layer", F.coalesce("slot_layer", F.when(F.col(spot) < 0, 0).otherwise(F.col("_last")), F.lit(0)).cast("int")).drop("slot_layer", "_last")
+    """Adds layer by the place of the spot in delivery; spots beyond the plan are of the last layer.
+
+    The layers' first slots come as one short list for each acquisition, so rows that are already together by acq_id
+    (after a window) are not shuffled again.
+    """
+    at = F.filter("_edges", lambda e: e["first_slot"] <= F.col(spot))
+    layer = F.when(F.col(spot) < 0, 0).when(F.col(spot) >= F.col("_slots"), F.col("_last")).otherwise(F.try_element_at(at, F.lit(-1))["layer"])
+    return spots.join(layer_edges(table), "acq_id", "left").withColumn("layer", F.coalesce(layer, F.lit(0)).cast("int")).drop("_edges", "_slots", "_last")
 
 
 def spread_layers(spots: DataFrame, table: DataFrame, order: str = "row_start") -> DataFrame:
