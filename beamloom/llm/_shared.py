@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,21 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_OWN_DIR}"
 
 
+#: What workers keep between tasks, by operator: functions that forget it.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keeps(name: str, forget: Callable[[], None]) -> None:
+    _KEPT[name] = forget
+
+
+def task_of(name: str) -> None:
+    """Called where a task begins: a worker that is used again forgets what other operators kept."""
+    for other, forget in _KEPT.items():
+        if other != name:
+            forget()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     if jvm is None or spark.sparkContext._jsc is None:

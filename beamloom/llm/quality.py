@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from ._shared import documents, labels
+from ._shared import documents, labels, task_of
 from .learn import remainder, sample, sparse_features
 
 PER_CLASS, DIM, LATENT, NEIGHBOURS, SHARPNESS = 1500, 1024, 32, 25, 8
@@ -146,6 +146,7 @@ def keep_good(docs: DataFrame, model: Model, least: float = KEEP, text_col: str
     shared, place, schema = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_of("quality")
         for b in batches:
             good = shared.value.scores([t.as_py() or "" for t in b.column(place).cast(pa.string())]) >= least
             if good.any():
