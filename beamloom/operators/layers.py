@@ -25,16 +25,15 @@ def layer_energies(plan: DataFrame) -> DataFrame:
 
 
 def with_layers(plan: DataFrame) -> DataFrame:
-    """Adds layer (first match by energy) and local_idx (place among the layer's spots)."""
-    layers = layer_energies(plan)
-    # layers are the runs of one acquisition: equal rounded energies (or neighbours of them) meet, not all pairs
-    cell = lambda e: F.round(e / (2 * K.ENERGY_TOLERANCE_MEV)).cast("bigint")
-    spots = plan.withColumn("_cell", F.explode(F.array(cell(F.col("energy")) - 1, cell(F.col("energy")), cell(F.col("energy")) + 1)))
-    listed = layers.groupBy("acq_id", cell(F.col("energy")).alias("_cell"), "energy").agg(F.min("layer").alias("layer"))
-    met = spots.join(listed.withColumnRenamed("energy", "_e"), ["acq_id", "_cell"]).filter(F.abs(F.col("energy") - F.col("_e")) <= K.ENERGY_TOLERANCE_MEV)
-    first = met.groupBy("acq_id", "spot_idx").agg(F.min("layer").alias("layer"))
+    """Adds layer (first match by energy) and local_idx (place among the layer's spots).
+
+    The layers come as one short list for each acquisition, and all windows are within one, so the plan is shuffled once.
+    """
+    lists = layer_energies(plan).groupBy("acq_id").agg(F.sort_array(F.collect_list(F.struct("layer", F.col("energy").alias("e")))).alias("_layers"))
+    near = F.filter("_layers", lambda x: F.abs(x["e"] - F.col("energy")) <= K.ENERGY_TOLERANCE_MEV)
+    placed = plan.join(lists, "acq_id").withColumn("layer", F.get(near, F.lit(0))["layer"]).drop("_layers").filter("layer is not null")
     local = Window.partitionBy("acq_id", "layer").orderBy("spot_idx")
-    return plan.join(first, ["acq_id", "spot_idx"]).withColumn("local_idx", (F.row_number().over(local) - 1).cast("int"))
+    return placed.withColumn("local_idx", (F.row_number().over(local) - 1).cast("int"))
 
 
 def layer_table(plan: DataFrame) -> DataFrame:
