@@ -348,3 +348,22 @@ def test_display(spark):
     shown = display.display_plan(p, p.filter("spot_idx = 1")).orderBy("spot_idx").collect()
     assert [r["missing"] for r in shown] == [False, True, False, False] and shown[0]["scene_z"] == 120
     assert captions.spot_details(p, "plan").filter("label = 'x (mm)'").count() == 4
+
+
+def test_kernels_at_scale():
+    """A million rows of 4000 spots, and 8000 single-row episodes merged to 6200, in seconds."""
+    import time
+
+    n, each = 4000, 251
+    spots_ = np.column_stack([np.arange(n) % 50 * 5.0, np.arange(n) // 50 * 5.0])
+    on = np.arange(n * each) % each != each - 1
+    s = kernels.Signal(np.arange(n * each) * 0.001, np.repeat(spots_[:, 0], each), np.repeat(spots_[:, 1], each), on.astype(float))
+    start = time.time()
+    got, ok = kernels.fit_count(s, kernels.refine(s, kernels.segment(~on, 2), spots_), np.zeros((n, 2)), np.ones(n), n, spots_)
+    assert ok and len(got) == n and time.time() - start < 30
+    m, on = 8000, np.arange(16_000) % 2 == 0
+    x, y = np.repeat(np.arange(m) % 50 * 5.0, 2), np.repeat(np.arange(m) // 50 * 5.0, 2)
+    s, spans = kernels.Signal(np.arange(2 * m) * 0.001, x, y, on.astype(float)), kernels.runs(on)
+    start = time.time()
+    got, ok = kernels.fit_count(s, spans, np.column_stack([y[spans[:, 0]], x[spans[:, 0]]]), np.ones(m), 6200, np.column_stack([np.arange(6200) % 50 * 5.0, np.arange(6200) // 50 * 5.0]))
+    assert ok and len(got) == 6200 and time.time() - start < 60
