@@ -13,10 +13,16 @@ wherever they are computed.
 
 Bands of ``ROWS`` places make buckets. In a bucket, each member is compared with one hub, the member whose buckets hold
 the most documents, instead of with all others: the centre of a family collides most. Compared means: the exact overlap
-of the two texts' multisets. Verified links give components. Buckets that then still hold different components are
-settled exactly: members outside the hub's component are compared with all members of other components whose total
-weight allows the similarity, and whose similarity with the hub doesn't rule it out (1 - similarity is a metric).
-So every pair of a common bucket is linked, joined by others, or known to be below the threshold.
+of the two texts' multisets. Verified links give components.
+
+What is left is settled exactly. For members x and y of one hub c, overlap(x, y) is at most the lower of their overlaps
+with c, plus what they share beyond c. So a pair of different components can only be similar if (A) the lower overlap
+alone reaches what their total weights ask for, which is looked up by the few pairs (weight, overlap) of a hub's members,
+or (B) they share a shingle that c hasn't. A member with overlap o must share at least 0.8 w - o such shingles, so by the
+pigeonhole principle it is enough to look at its first w - o - (0.8 w - o) + 1 of them in a fixed order. Members that
+share one of these are compared, first with one of them for each shingle, and, where that has not made them one
+component, with each other. Before that, whatever was compared with a member of a component is compared with its centre
+too, and a pair is looked at only below the largest hub of both, if that is the same one: the bounds are tight there. So every pair of a common bucket is linked, joined by others, or known to be dissimilar.
 
 With 48 bands of 8 places, a pair of similarity 0.8 shares a bucket with a probability of 0.9998, of 0.85 of 1 - 2e-7.
 
@@ -41,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import Scratch, documents, keyed, tied
+from ._shared import Scratch, documents, keeps, keyed, task_of, tied
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 48, 8
@@ -49,7 +55,7 @@ FILTER_BITS, FILTER_HASHES = 1 << 24, 3
 _WORD = re.compile(r"\w+")
 _P = np.uint64(0x9E3779B97F4A7C15)
 _TIME = float(1 << 32)
-_KEPT = 500_000
+_KEPT = 250_000
 
 
 class _Hashes(dict):
@@ -61,6 +67,7 @@ class _Hashes(dict):
 
 
 _HASHES = _Hashes()
+keeps("words", _HASHES.clear)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -144,6 +151,7 @@ def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
 
 def _describe(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_of("words")
         for b in batches:
             for start in range(0, b.num_rows, 128):
                 part = b.slice(start, 128)
@@ -163,16 +171,35 @@ def _describe(shingle: int):
     return run
 
 
-def _compare(shingle: int):
+def beyond(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[int, int, np.ndarray]:
+    """Overlap of the bags, total weight of b, and the first of the shingles (with repetitions) that b has beyond a."""
+    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    rest = b[1].astype(np.int64).copy()
+    low = np.minimum(a[1][i], b[1][j])
+    rest[j] -= low
+    o, w = int(low.sum()), int(b[1].sum())
+    row = np.repeat(np.arange(len(rest)), rest)
+    step = np.arange(len(row)) - np.repeat(np.cumsum(rest) - rest, rest)
+    tokens = np.sort(_mix(b[0][row] + step.astype(np.uint64) * _P))
+    need = max(0, int(np.ceil(similarity * w - 1e-9)) - o)
+    return o, w, tokens[: len(tokens) - need + 1] if need else tokens
+
+
+def _compare(shingle: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_of("words")
         last, bag_a = None, None
         for b in batches:
-            keys, sims = b.column(0).to_pylist(), []
+            keys, sims, overlaps, weights, tokens = b.column(0).to_pylist(), [], [], [], []
             for key, text_a, text_b in zip(keys, b.column(2), b.column(3), strict=True):
                 if key != last:
                     last, bag_a = key, bag(words_of(text_a.as_py()), shingle)
-                sims.append(overlap(bag_a, bag(words_of(text_b.as_py()), shingle)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sims, pa.float64())], ["a", "b", "sim"])
+                o, w, t = beyond(bag_a, bag(words_of(text_b.as_py()), shingle), similarity)
+                sims.append(o / (w + int(bag_a[1].sum()) - o))
+                overlaps.append(o)
+                weights.append(w)
+                tokens.append(t.view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sims, pa.float64()), pa.array(overlaps, pa.int32()), pa.array(weights, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))], ["a", "b", "sim", "o", "w", "tokens"])
 
     return run
 
@@ -201,14 +228,14 @@ def _only(bits):
     return run
 
 
-def _verify(texts: DataFrame, pairs: DataFrame, scratch: Scratch, shingle: int) -> DataFrame:
-    """(a, b, sim) of pairs (a, b)."""
-    needed = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key")))
+def _verify(texts: DataFrame, pairs: DataFrame, scratch: Scratch, shingle: int, similarity: float) -> DataFrame:
+    """(a, b, sim, o, w, tokens) of pairs (a, b): similarity, overlap, weight of b, shingles of b beyond a."""
+    needed = pairs.select(F.col("a").alias("key")).distinct().unionByName(pairs.select(F.col("b").alias("key")).distinct())
     bits = texts.sparkSession.sparkContext.broadcast(_filter(needed))
     few = scratch.table(texts.mapInArrow(_only(bits), "key bigint, text string"), "texts")
     with_b = pairs.join(few.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.join(few.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-    return scratch.table(both.mapInArrow(_compare(shingle), "a bigint, b bigint, sim double"), "sims")
+    return scratch.table(both.mapInArrow(_compare(shingle, similarity), "a bigint, b bigint, sim double, o int, w int, tokens array<bigint>"), "sims")
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -216,21 +243,27 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     edges = scratch.table(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     label = scratch.table(edges.groupBy(F.col("a").alias("v")).agg(F.least("v", F.min("b")).alias("root")), "label")
     while True:
-        near = scratch.table(edges.join(label.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("root").alias("near")), "near")
+        near = edges.join(label.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("root").alias("near"))
         both = scratch.table(label.join(near, "v"), "both")  # (v, root, near)
-        hook = scratch.table(both.groupBy(F.col("root").alias("v")).agg(F.min("near").alias("hook")), "hook")
+        hook = both.groupBy(F.col("root").alias("v")).agg(F.min("near").alias("hook"))
         lower = both.join(hook, "v", "left").select("v", F.least("root", "near", F.coalesce("hook", "root")).alias("root"), F.col("root").alias("was"))
         lower = scratch.table(lower, "lower")
-        up = scratch.table(lower.groupBy(F.col("v").alias("root")).agg(F.min("root").alias("up")), "up")
+        up = lower.select(F.col("v").alias("root"), F.col("root").alias("up"))
         after = scratch.table(lower.join(up, "root").select("v", F.least("root", "up").alias("root"), "was"), "after")
         label = after.select("v", "root")
         if not after.filter("root <> was").limit(1).collect():
             return label
 
 
-def _fits(x: str, y: str, similarity: float):
-    """The lower total weight is at least the similarity's share of the higher one."""
-    return F.least(x, y) >= F.lit(similarity) * F.greatest(x, y) - 1e-9
+def joined(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """Labels (v, root) with more links: only the roots that these join are worked on."""
+    root = lambda end: labels.select(F.col("v").alias(end), F.col("root").alias(f"{end}_root"))
+    ends = links.join(root("a"), "a", "left").join(root("b"), "b", "left")
+    ends = scratch.table(ends.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).filter("a <> b").distinct(), "root_links")
+    above = components(ends, scratch)
+    known = labels.join(above.select(F.col("v").alias("root"), F.col("root").alias("up")), "root", "left").select("v", F.coalesce("up", "root").alias("root"))
+    new = above.join(labels.select("v"), "v", "left_anti").select("v", "root")
+    return scratch.table(known.unionByName(new), "labels")
 
 
 def _classes(rows: DataFrame, scratch: Scratch, similarity: float, shingle: int) -> DataFrame:
@@ -241,38 +274,85 @@ def _classes(rows: DataFrame, scratch: Scratch, similarity: float, shingle: int)
     members = firsts.select("key", "w", F.explode("bands").alias("bucket"))
     sizes = scratch.table(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
     met = scratch.table(members.join(sizes, "bucket"), "met")  # (bucket, key, w, n)
-    degree = scratch.table(met.groupBy("key").agg(F.sum("n").alias("degree")), "degree")
+    degree = met.groupBy("key").agg(F.sum("n").alias("degree"))
     hubs = met.join(degree, "key").groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("key")).alias("minus"), "w")).alias("hub"))
-    hubs = scratch.table(hubs.select("bucket", (-F.col("hub.minus")).alias("hub"), F.col("hub.w").alias("hub_w")), "hubs")
-    met = scratch.table(met.join(hubs, "bucket").select("bucket", "key", "w", "hub", "hub_w"), "met_hubs")
-    pairs = scratch.table(met.filter((F.col("key") != F.col("hub")) & _fits("w", "hub_w", similarity)).select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
+    hubs = scratch.table(hubs.select("bucket", (-F.col("hub.minus")).alias("hub")), "hubs")
+    pairs = scratch.table(met.join(hubs, "bucket").filter(F.col("key") != F.col("hub")).select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
     texts = rows.select("key", "text")
-    sims = _verify(texts, pairs, scratch, shingle)
-    links = sims.filter(F.col("sim") >= similarity).select("a", "b")
-    labels = components(links, scratch)
-    if (more := _unsettled(met, sims, labels, scratch, similarity)) is not None:
-        more_links = _verify(texts, more, scratch, shingle).filter(F.col("sim") >= similarity).select("a", "b")
-        labels = components(links.unionByName(more_links), scratch)
+    sims = _verify(texts, pairs, scratch, shingle, similarity)
+    labels = components(sims.filter(F.col("sim") >= similarity).select("a", "b"), scratch)
+    if (more := _to_centres(met, sims, labels, scratch, similarity)) is not None:
+        again = _verify(texts, more, scratch, shingle, similarity)
+        labels = joined(labels, again.filter(F.col("sim") >= similarity).select("a", "b"), scratch)
+        sims = sims.unionByName(again)
+    for centres in (True, False):
+        more = _unsettled(sims, labels, scratch, similarity, centres)
+        if more is not None:
+            links = _verify(texts, more, scratch, shingle, similarity).filter(F.col("sim") >= similarity).select("a", "b")
+            labels = joined(labels, links, scratch)
     roots = described.select("key", "class").join(classes, "class").join(labels.withColumnRenamed("v", "rep"), "rep", "left")
     return scratch.table(roots.select("key", F.coalesce("root", "rep").alias("root")), "roots")
 
 
-def _unsettled(met: DataFrame, sims: DataFrame, labels: DataFrame, scratch: Scratch, similarity: float) -> DataFrame | None:
-    """Pairs (a, b) of one bucket and two components that may still be similar, and haven't been compared."""
-    known = met.join(labels.withColumnRenamed("v", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    known = scratch.table(known, "known")
-    mixed = scratch.table(known.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("bucket"), "mixed")
-    open_ = known.join(mixed, "bucket").join(sims.select(F.col("a").alias("hub"), F.col("b").alias("key"), "sim"), ["hub", "key"], "left")
-    open_ = scratch.table(open_.withColumn("sim", F.when(F.col("key") == F.col("hub"), 1.0).otherwise(F.col("sim"))), "open")
-    hub_root = scratch.table(open_.filter("key = hub").select("bucket", F.col("root").alias("hub_root")), "hub_roots")
-    x = open_.join(hub_root, "bucket").filter("root <> hub_root and key <> hub").select("bucket", "key", "w", "root", "hub_root", "sim")
-    y = open_.filter("key <> hub").select("bucket", F.col("key").alias("key2"), F.col("w").alias("w2"), F.col("root").alias("root2"), F.col("sim").alias("sim2"))
-    apart = F.coalesce(F.abs(F.col("sim") - F.col("sim2")) <= 1 - similarity + 1e-9, F.lit(True))  # the hub's distances differ by no more than the pair's
-    once = (F.col("root2") == F.col("hub_root")) | (F.col("key") < F.col("key2"))
-    pairs = x.join(y, "bucket").filter((F.col("root") != F.col("root2")) & once & _fits("w", "w2", similarity) & apart)
-    pairs = pairs.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct()
+def _to_centres(met: DataFrame, sims: DataFrame, labels: DataFrame, scratch: Scratch, similarity: float) -> DataFrame | None:
+    """Pairs (a, b): a component's centre, its member that shares buckets most, and what was compared with its members;
+    and, for members that their hub isn't linked to, the largest hub that this hub itself was compared with."""
+    degree = met.groupBy("key").agg(F.sum("n").alias("degree"))
+    centres = labels.join(degree.withColumnRenamed("key", "v"), "v").groupBy("root").agg(F.max(F.struct("degree", (-F.col("v")).alias("minus"))).alias("top"))
+    centres = scratch.table(centres.select("root", (-F.col("top.minus")).alias("centre")), "centres")
+    tested = sims.select(F.col("a").alias("v"), F.col("b").alias("key"))
+    wanted = tested.join(labels, "v").join(centres, "root").filter("key <> centre").select(F.col("centre").alias("a"), F.col("key").alias("b")).distinct()
+    sizes = scratch.table(tested.groupBy("v").agg(F.count(F.lit(1)).alias("n")), "hub_sizes")
+    above = scratch.table(tested.join(sizes, "v").groupBy("key").agg(F.max(F.struct("n", "v")).alias("top")).select(F.col("key").alias("v"), F.col("top.v").alias("up"), F.col("top.n").alias("up_n")), "above")
+    larger = scratch.table(sizes.join(above, "v").filter("up_n > n").select("v", "up"), "larger")
+    apart = sims.filter(F.col("sim") < similarity).select(F.col("a").alias("v"), F.col("b").alias("key")).join(larger, "v").filter("key <> up")
+    wanted = wanted.unionByName(apart.select(F.col("up").alias("a"), F.col("key").alias("b"))).distinct()
+    pairs = scratch.table(wanted.join(sims.select("a", "b"), ["a", "b"], "left_anti"), "centre_pairs")
+    return pairs if pairs.limit(1).collect() else None
+
+
+def _unsettled(sims: DataFrame, labels: DataFrame, scratch: Scratch, similarity: float, centres: bool) -> DataFrame | None:
+    """Pairs (a, b) of members of one hub, of two components, that may still be similar and haven't been compared.
+
+    With ``centres``, pairs by shared shingles are only those with one member for each shingle.
+    """
+    share = similarity / (1 + similarity)  # overlap that a similarity asks for, of the sum of both weights
+    members = sims.select(F.col("a").alias("hub"), F.col("b").alias("key"), "w", "o", "tokens").join(labels.withColumnRenamed("v", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    members = scratch.table(members, "members")
+    sizes = scratch.table(members.groupBy("hub").agg(F.count(F.lit(1)).alias("n")), "hub_sizes")
+    top = members.select("hub", "key").join(sizes, "hub").groupBy("key").agg(F.max(F.struct("n", "hub"))["hub"].alias("top"))
+    members = scratch.table(members.join(top, "key"), "members_top")  # top: the key's hub with the most members
+    mixed = scratch.table(members.groupBy("hub").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("hub"), "mixed")
+    left, right = [], []
+    for side, out in (("1", left), ("2", right)):
+        out += [F.col(c).alias(f"{c}{side}") for c in ("key", "w", "o", "root", "top")]
+    found = []
+    if centres:  # A: by weights and overlaps; equal ones count once
+        kinds = scratch.table(members.join(mixed, "hub").groupBy("hub", "w", "o").agg(F.min("root").alias("low"), F.max("root").alias("high")), "kinds")
+        x, y = (kinds.select("hub", *[F.col(c).alias(f"{c}{k}") for c in ("w", "o", "low", "high")]) for k in (1, 2))
+        reach = F.least("o1", "o2") >= share * (F.col("w1") + F.col("w2")) - 1e-9
+        linked = lambda k: F.col(f"o{k}") >= share * F.col(f"w{k}")  # noqa: E731  a weak bound that keeps weak kinds out early
+        met = x.filter(linked(1)).join(y.filter(linked(2)), "hub").filter(reach & (F.least("low1", "low2") != F.greatest("high1", "high2"))).select("hub", "w1", "o1", "w2", "o2")
+        met = scratch.table(met, "kinds_met")
+        m1 = members.select("hub", *left).join(met, ["hub", "w1", "o1"])
+        found.append(m1.join(members.select("hub", *right), ["hub", "w2", "o2"]))
+    tokens = members.join(mixed, "hub").select("hub", "key", "w", "o", "root", "top", F.explode("tokens").alias("token"))
+    common = tokens.groupBy("hub", "token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("top").alias("t"), F.max("top").alias("u"), F.max(F.struct("o", "key", "w", "root", "top")).alias("first"))
+    common = scratch.table(common.filter("x <> y and (t <> u or t = hub)").select("hub", "token", "first"), "common")  # B
+    shared = tokens.join(common, ["hub", "token"])
+    if centres:
+        found.append(shared.select("hub", *left, *[F.col(f"first.{c}").alias(f"{c}2") for c in ("key", "w", "o", "root", "top")]))
+    else:
+        shared = scratch.table(shared.select("hub", "token", "key", "w", "o", "root", "top"), "shared")
+        found.append(shared.select("hub", "token", *left).join(shared.select("hub", "token", *right), ["hub", "token"]).filter("key1 < key2"))
+    pairs = None
+    for f in found:
+        may = F.least("o1", "o2") + F.least(F.col("w1") - F.col("o1"), F.col("w2") - F.col("o2")) >= share * (F.col("w1") + F.col("w2")) - 1e-9
+        here = (F.col("top1") != F.col("top2")) | (F.col("top1") == F.col("hub"))  # pairs of one top hub are looked at there
+        p = f.filter((F.col("root1") != F.col("root2")) & here & may).select(F.least("key1", "key2").alias("a"), F.greatest("key1", "key2").alias("b"))
+        pairs = p if pairs is None else pairs.unionByName(p)
     done = sims.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = scratch.table(pairs.join(done, ["a", "b"], "left_anti"), "more_pairs")
+    pairs = scratch.table(pairs.distinct().join(done, ["a", "b"], "left_anti"), "more_pairs")
     return pairs if pairs.limit(1).collect() else None
 
 
