@@ -232,21 +232,23 @@ def write_token_shards(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id"
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for start, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for part, k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             shard = Shard(data.as_py())
             ids, n = memoryview(shard.ids()).cast("B"), shard.index["n"].astype(np.int64)
             at = np.cumsum(n) - n
             crc = [zlib.crc32(ids[4 * a : 4 * (a + c)]) for a, c in zip(at.tolist(), n.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(shard.index["id"], pa.int64(), mask=shard.index["null"] == 1), pa.array(at + start), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            place = [pa.array(np.full(len(n), v, np.int32)) for v in (part, k)]
+            yield pa.RecordBatch.from_arrays([*place, pa.array(shard.index["id"], pa.int64(), mask=shard.index["null"] == 1), pa.array(at), pa.array(n), pa.array(crc, pa.int64())], ["part", "k", "doc_id", "at", "n_tokens", "ids_crc32"])
 
 
 def read_token_shards(shards: DataFrame) -> DataFrame:
-    """One row for each document, decoded from the shards: doc_id, start, n_tokens, ids_crc32."""
+    """One row for each document, decoded from the shards where they lie: doc_id, start, n_tokens, ids_crc32."""
     totals = shards.groupBy("part").agg(F.sum("n_tokens").alias("all"))  # as many rows as partitions that wrote
     before = F.coalesce(F.sum("all").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     inside = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("part").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = shards.select("part", "k", inside.alias("inside")).join(totals.select("part", before.alias("before")), "part").select("part", "k", (F.col("inside") + F.col("before")).alias("start"))
-    return shards.join(starts, ["part", "k"]).select("start", "data").mapInArrow(_read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    starts = shards.select("part", "k", inside.alias("inside")).join(totals.select("part", before.alias("before")), "part").select("part", "k", (F.col("inside") + F.col("before")).alias("first"))
+    decoded = shards.select("part", "k", "data").mapInArrow(_read, "part int, k int, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint")
+    return decoded.join(starts, ["part", "k"]).select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
