@@ -18,22 +18,27 @@ of the two texts' multisets. Verified links give components.
 What is left is settled exactly. For members x and y of one hub c, overlap(x, y) is at most the lower of their overlaps
 with c, plus what they share beyond c. So a pair of different components can only be similar if (A) the lower overlap
 alone reaches what their total weights ask for, which is looked up by the few pairs (weight, overlap) of a hub's members,
-or (B) they share a shingle that c hasn't. A member with overlap o must share at least 0.8 w - o such shingles, so by the
-pigeonhole principle it is enough to look at its first w - o - (0.8 w - o) + 1 of them in a fixed order. Members that
-share one of these are compared, first with one of them for each shingle, and, where that has not made them one
+or (B) they share shingles that c hasn't. A hub's shingles beyond c that members of different components hold are
+counted first. A member of weight w and overlap o with fewer than 0.8 w - o of them is done. The others put theirs in the
+order of their counts, the rarest first; the first shingle that a similar pair shares leaves both enough that follow.
+So a passage or line that many texts share stands last, where too little follows it, and makes no pairs. Members that
+share a shingle early enough are compared, first with one of them for each shingle, and, where that has not made them one
 component, with each other. Before that, whatever was compared with a member of a component is compared with its centre
-too, and a pair is looked at only below the largest hub of both, if that is the same one: the bounds are tight there. So every pair of a common bucket is linked, joined by others, or known to be dissimilar.
+too, and a pair is looked at only below the largest hub of both, if that is the same one: the bounds are tight there. So
+every pair of a common bucket is linked, joined by others, or known to be dissimilar.
 
-With 48 bands of 8 places, a pair of similarity 0.8 shares a bucket with a probability of 0.9998, of 0.85 of 1 - 2e-7.
+With 28 bands of 6 places, a pair of similarity 0.8 shares a bucket with a probability of 0.9998, of 0.85 of 1 - 2e-6.
 
 Shuffles: equal word sequences are one class from the start, and only its first document goes on, so copies cost
 nothing. Bucket sizes and hubs are combined before the shuffle; joins of members with their hubs and of pairs with their
-texts are plain sort-merge joins, which adaptive execution can split. Texts outside all pairs are ruled out by a Bloom
-filter of fixed size before they are shuffled. Components: minimum labels with hooking and pointer jumping, in tables
+texts are plain sort-merge joins, which adaptive execution can split. Texts outside all pairs are ruled out once, by a
+Bloom filter sized by the number of texts in pairs (up to ``FILTER_BITS``; beyond that it rules out less, which changes
+no result), and the others are written once for all rounds of comparisons. Components: minimum labels with hooking and pointer jumping, in tables
 written to the shared folder.
 
 Cases: texts without words (null, empty, marks only) are near-duplicates of equal texts only. Rows that repeat an id are
-rows of their own; the class id is the smallest id of the class. Other columns are ignored.
+rows of their own; the class id is the smallest id of the class. Classes of equal size or hubs of equal degree are told
+apart by the smaller key. Very long texts are read whole. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,14 +49,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import Scratch, documents, keeps, keyed, task_of, tied
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 48, 8
-FILTER_BITS, FILTER_HASHES = 1 << 24, 3
+BANDS, ROWS = 28, 6
+FILTER_BITS, FILTER_HASHES = 1 << 27, 3
 _WORD = re.compile(r"\w+")
 _P = np.uint64(0x9E3779B97F4A7C15)
 _TIME = float(1 << 32)
@@ -171,21 +176,18 @@ def _describe(shingle: int):
     return run
 
 
-def beyond(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[int, int, np.ndarray]:
-    """Overlap of the bags, total weight of b, and the first of the shingles (with repetitions) that b has beyond a."""
+def beyond(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[int, int, np.ndarray]:
+    """Overlap of the bags, total weight of b, and the shingles (one for each repetition) that b has beyond a."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     rest = b[1].astype(np.int64).copy()
     low = np.minimum(a[1][i], b[1][j])
     rest[j] -= low
-    o, w = int(low.sum()), int(b[1].sum())
     row = np.repeat(np.arange(len(rest)), rest)
     step = np.arange(len(row)) - np.repeat(np.cumsum(rest) - rest, rest)
-    tokens = np.sort(_mix(b[0][row] + step.astype(np.uint64) * _P))
-    need = max(0, int(np.ceil(similarity * w - 1e-9)) - o)
-    return o, w, tokens[: len(tokens) - need + 1] if need else tokens
+    return int(low.sum()), int(b[1].sum()), _mix(b[0][row] + step.astype(np.uint64) * _P)
 
 
-def _compare(shingle: int, similarity: float):
+def _compare(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task_of("words")
         last, bag_a = None, None
@@ -194,7 +196,7 @@ def _compare(shingle: int, similarity: float):
             for key, text_a, text_b in zip(keys, b.column(2), b.column(3), strict=True):
                 if key != last:
                     last, bag_a = key, bag(words_of(text_a.as_py()), shingle)
-                o, w, t = beyond(bag_a, bag(words_of(text_b.as_py()), shingle), similarity)
+                o, w, t = beyond(bag_a, bag(words_of(text_b.as_py()), shingle))
                 sims.append(o / (w + int(bag_a[1].sum()) - o))
                 overlaps.append(o)
                 weights.append(w)
@@ -205,22 +207,24 @@ def _compare(shingle: int, similarity: float):
 
 
 def _filter(keys: DataFrame) -> np.ndarray:
-    """Bloom filter of keys; at most FILTER_BITS / 64 rows come to the driver."""
-    places = F.array(*[F.expr(f"pmod(shiftrightunsigned(xxhash64(key), {20 * i}), {FILTER_BITS}L)") for i in range(FILTER_HASHES)])
+    """Bloom filter of keys, 16 bits for each and FILTER_BITS at most; a 64th of its bits come to the driver as rows."""
+    size = min(FILTER_BITS, 1 << max(10, (16 * keys.count()).bit_length()))
+    places = F.array(*[F.expr(f"pmod(shiftrightunsigned(xxhash64(key), {18 * i}), {size}L)") for i in range(FILTER_HASHES)])
     words = keys.select(F.explode(places).alias("p")).groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
     got = words.toPandas()
-    bits = np.zeros(FILTER_BITS // 64, np.uint64)
+    bits = np.zeros(size // 64, np.uint64)
     bits[got["w"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
     return bits
 
 
 def _only(bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = np.uint64(64 * len(bits.value))
         for b in batches:
             h = np.array([xxhash.xxh64_intdigest(k.to_bytes(8, "little", signed=True), 42) for k in b.column(0).to_pylist()], np.uint64)
             found = np.ones(len(h), bool)
             for i in range(FILTER_HASHES):
-                p = (h >> np.uint64(20 * i)) % np.uint64(FILTER_BITS)
+                p = (h >> np.uint64(18 * i)) % size
                 found &= (bits.value[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
             if found.any():
                 yield b.filter(pa.array(found))
@@ -228,14 +232,18 @@ def _only(bits):
     return run
 
 
-def _verify(texts: DataFrame, pairs: DataFrame, scratch: Scratch, shingle: int, similarity: float) -> DataFrame:
+def _texts(rows: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, text) of the rows in pairs (a, b), and of the few others that the filter lets through."""
+    needed = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "needed")
+    bits = rows.sparkSession.sparkContext.broadcast(_filter(needed))
+    return scratch.table(rows.select("key", "text").mapInArrow(_only(bits), "key bigint, text string"), "texts")
+
+
+def _verify(texts: DataFrame, pairs: DataFrame, scratch: Scratch, shingle: int) -> DataFrame:
     """(a, b, sim, o, w, tokens) of pairs (a, b): similarity, overlap, weight of b, shingles of b beyond a."""
-    needed = pairs.select(F.col("a").alias("key")).distinct().unionByName(pairs.select(F.col("b").alias("key")).distinct())
-    bits = texts.sparkSession.sparkContext.broadcast(_filter(needed))
-    few = scratch.table(texts.mapInArrow(_only(bits), "key bigint, text string"), "texts")
-    with_b = pairs.join(few.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
-    both = with_b.join(few.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-    return scratch.table(both.mapInArrow(_compare(shingle, similarity), "a bigint, b bigint, sim double, o int, w int, tokens array<bigint>"), "sims")
+    with_b = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
+    both = with_b.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+    return scratch.table(both.mapInArrow(_compare(shingle), "a bigint, b bigint, sim double, o int, w int, tokens array<bigint>"), "sims")
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -278,17 +286,17 @@ def _classes(rows: DataFrame, scratch: Scratch, similarity: float, shingle: int)
     hubs = met.join(degree, "key").groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("key")).alias("minus"), "w")).alias("hub"))
     hubs = scratch.table(hubs.select("bucket", (-F.col("hub.minus")).alias("hub")), "hubs")
     pairs = scratch.table(met.join(hubs, "bucket").filter(F.col("key") != F.col("hub")).select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
-    texts = rows.select("key", "text")
-    sims = _verify(texts, pairs, scratch, shingle, similarity)
+    texts = _texts(rows, pairs, scratch)  # later pairs are of the same rows
+    sims = _verify(texts, pairs, scratch, shingle)
     labels = components(sims.filter(F.col("sim") >= similarity).select("a", "b"), scratch)
     if (more := _to_centres(met, sims, labels, scratch, similarity)) is not None:
-        again = _verify(texts, more, scratch, shingle, similarity)
+        again = _verify(texts, more, scratch, shingle)
         labels = joined(labels, again.filter(F.col("sim") >= similarity).select("a", "b"), scratch)
         sims = sims.unionByName(again)
     for centres in (True, False):
         more = _unsettled(sims, labels, scratch, similarity, centres)
         if more is not None:
-            links = _verify(texts, more, scratch, shingle, similarity).filter(F.col("sim") >= similarity).select("a", "b")
+            links = _verify(texts, more, scratch, shingle).filter(F.col("sim") >= similarity).select("a", "b")
             labels = joined(labels, links, scratch)
     roots = described.select("key", "class").join(classes, "class").join(labels.withColumnRenamed("v", "rep"), "rep", "left")
     return scratch.table(roots.select("key", F.coalesce("root", "rep").alias("root")), "roots")
@@ -336,15 +344,26 @@ def _unsettled(sims: DataFrame, labels: DataFrame, scratch: Scratch, similarity:
         met = scratch.table(met, "kinds_met")
         m1 = members.select("hub", *left).join(met, ["hub", "w1", "o1"])
         found.append(m1.join(members.select("hub", *right), ["hub", "w2", "o2"]))
-    tokens = members.join(mixed, "hub").select("hub", "key", "w", "o", "root", "top", F.explode("tokens").alias("token"))
-    common = tokens.groupBy("hub", "token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("top").alias("t"), F.max("top").alias("u"), F.max(F.struct("o", "key", "w", "root", "top")).alias("first"))
-    common = scratch.table(common.filter("x <> y and (t <> u or t = hub)").select("hub", "token", "first"), "common")  # B
-    shared = tokens.join(common, ["hub", "token"])
+    # B: by shingles beyond the hub that members of different components hold
+    mine = members.join(mixed, "hub")
+    tokens = mine.select("hub", "key", "root", "top", F.explode("tokens").alias("token"))
+    held = tokens.groupBy("hub", "token").agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{c}_{f.__name__}") for c in ("root", "top") for f in (F.min, F.max)])
+    held = scratch.table(held.filter("root_min <> root_max and (top_min <> top_max or top_min = hub)").select("hub", "token", "n"), "held")
+    mine = mine.select("hub", "key", "w", "o", "root", "top")
+    each = Window.partitionBy("hub", "key")
+    left_over = F.count(F.lit(1)).over(each) - F.row_number().over(each.orderBy("n", "token")) + 1
+    shared = tokens.select("hub", "key", "token").join(held, ["hub", "token"]).withColumn("rest", left_over)  # rest: this one and what follows
+    shared = shared.join(mine, ["hub", "key"]).filter(F.col("o") + F.col("rest") >= similarity * F.col("w") - 1e-9)
+    shared = scratch.table(shared.select("hub", "token", "key", "w", "o", "root", "top", "rest"), "shared")
+    enough = F.least("o1", "o2") + F.least("rest1", "rest2") >= share * (F.col("w1") + F.col("w2")) - 1e-9
+    one = shared
     if centres:
-        found.append(shared.select("hub", *left, *[F.col(f"first.{c}").alias(f"{c}2") for c in ("key", "w", "o", "root", "top")]))
-    else:
-        shared = scratch.table(shared.select("hub", "token", "key", "w", "o", "root", "top"), "shared")
-        found.append(shared.select("hub", "token", *left).join(shared.select("hub", "token", *right), ["hub", "token"]).filter("key1 < key2"))
+        one = shared.groupBy("hub", "token").agg(F.max(F.struct("o", "key", "w", "root", "top", "rest")).alias("x")).select("hub", "token", "x.*")
+    else:  # the lighter one of a pair needs more of its own weight, so that fewer of its shingles come early enough
+        one = shared.filter(F.col("o") + F.col("rest") >= 2 * share * F.col("w") - 1e-9)
+    x, y = (d.select("hub", "token", F.col("rest").alias(f"rest{k}"), *cols) for d, k, cols in ((shared, 1, left), (one, 2, right)))
+    met = x.join(y, ["hub", "token"]).filter(enough)
+    found.append(met if centres else met.filter((F.col("w1") > F.col("w2")) | (F.col("w1") == F.col("w2")) & (F.col("key1") < F.col("key2"))))
     pairs = None
     for f in found:
         may = F.least("o1", "o2") + F.least(F.col("w1") - F.col("o1"), F.col("w2") - F.col("o2")) >= share * (F.col("w1") + F.col("w2")) - 1e-9
