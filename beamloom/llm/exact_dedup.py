@@ -12,8 +12,9 @@ Nothing gathers a group: distinct() and the group counts combine before the shuf
 their names or groups are plain sort-merge joins that adaptive execution can split at a hot key.
 
 Cases: null text counts as empty, and all empty texts form one group. Of a group, the row with the largest id stays;
-null ids come last. Rows that repeat an id are rows of their own, and of equal ids exactly one stays. An empty table
-gives an empty result. Other columns of the input are ignored.
+null ids come last. Rows that repeat an id are rows of their own, and of equal ids exactly one stays. Very long texts are
+so many blocks, none is left out. Names depend on how rows are partitioned; which names are equal doesn't. An empty table
+gives an empty result. Other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,18 +35,18 @@ def _digest(block: Column) -> Column:
 
 
 def _blocks(docs: DataFrame, text_col: str, size: int) -> DataFrame:
-    return docs.withColumn("_bl_b", F.encode(whole_text(text_col), "UTF-8")).withColumn("_bl_n", F.greatest(F.ceil(F.octet_length("_bl_b") / size), F.lit(1)).cast("int"))
+    return docs.select("key", F.encode(whole_text(text_col), "UTF-8").alias("bytes")).withColumn("n", F.greatest(F.ceil(F.octet_length("bytes") / size), F.lit(1)).cast("int"))
 
 
 def _cut(size: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.col("_bl_n") - 1), lambda i: F.substring(F.col("_bl_b"), i * size + 1, F.lit(size)))
+    return F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.substring(F.col("bytes"), i * size + 1, F.lit(size)))
 
 
 def name_texts(docs: DataFrame, scratch: Scratch, key: str, text_col: str = "text", block_bytes: int = BLOCK_BYTES, digest: Callable[[Column], Column] = _digest) -> DataFrame:
     """(key, level, name) of every row of ``docs``: equal (level, name) exactly for equal texts."""
     base = _blocks(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text_col}`").alias(text_col)), text_col, block_bytes)
-    occ = scratch.table(base.select("key", F.col("_bl_n").alias("n"), F.transform(_cut(block_bytes), digest).alias("d")), "digests")
-    texts = base.select("key", F.col("_bl_n").alias("n"), F.posexplode(_cut(block_bytes)).alias("pos", "block"))
+    occ = scratch.table(base.select("key", "n", F.transform(_cut(block_bytes), digest).alias("d")), "digests")
+    texts = base.select("key", "n", F.posexplode(_cut(block_bytes)).alias("pos", "block"))
     distinct = texts.select("block").distinct().withColumn("d", digest(F.col("block")))
     names = scratch.table(distinct.sortWithinPartitions("d", "block").select("d", F.monotonically_increasing_id().alias("name")), "blocks")
     shared = names.groupBy("d").count().filter("count > 1").select("d")
@@ -72,9 +73,9 @@ def name_texts(docs: DataFrame, scratch: Scratch, key: str, text_col: str = "tex
     return done
 
 
-def _decide(rows: DataFrame, scratch: Scratch, id_col: str, text_col: str, **more) -> DataFrame:
-    named = scratch.table(name_texts(rows, scratch, "_bl_key", text_col, **more), "named")
-    light = rows.select(F.col("_bl_key").alias("key"), F.col(f"`{id_col}`").alias("id"), F.sha2(F.encode(whole_text(text_col), "UTF-8"), 256).alias("sha"))
+def _decide(rows: DataFrame, key: str, scratch: Scratch, id_col: str, text_col: str, **more) -> DataFrame:
+    named = scratch.table(name_texts(rows, scratch, key, text_col, **more), "named")
+    light = rows.select(F.col(key).alias("key"), F.col(f"`{id_col}`").alias("id"), F.sha2(F.encode(whole_text(text_col), "UTF-8"), 256).alias("sha"))
     light = scratch.table(light.join(named, "key"), "rows")
     groups = scratch.table(light.groupBy("level", "name").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct(F.col("id").isNotNull().alias("is"), "id", "key")).alias("top")), "groups")
     return light.join(groups, ["level", "name"])
@@ -83,7 +84,7 @@ def _decide(rows: DataFrame, scratch: Scratch, id_col: str, text_col: str, **mor
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
     """One row for each row of ``docs``: id, keep_id, group_size, kept, text_sha256, text_level, text_name."""
     scratch = Scratch(docs.sparkSession)
-    rows = _decide(keyed(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), "id", scratch), scratch, "id", "text", **more)
+    rows = _decide(*keyed(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), "id", scratch), scratch, "id", "text", **more)
     out = rows.select(F.col("id").alias(id_col), F.col("top.id").alias("keep_id"), F.col("size").cast("bigint").alias("group_size"), (F.col("key") == F.col("top.key")).alias("kept"), F.col("sha").alias("text_sha256"), F.col("level").alias("text_level"), F.col("name").alias("text_name"))
     return tied(out, scratch)
 
@@ -91,9 +92,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
     """``docs`` without the rows that ``exact_dedup`` drops; all columns stay as they are."""
     scratch = Scratch(docs.sparkSession)
-    rows = keyed(docs, id_col, scratch)
-    kept = _decide(rows, scratch, id_col, text_col, **more).filter("key = top.key").select(F.col("key").alias("_bl_key"))
-    return tied(rows.join(kept, "_bl_key", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns]), scratch)
+    rows, key = keyed(docs, id_col, scratch)
+    kept = _decide(rows, key, scratch, id_col, text_col, **more).filter("key = top.key").select(F.col("key").alias(key))
+    return tied(rows.join(kept, key, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns]), scratch)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

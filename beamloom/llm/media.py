@@ -11,11 +11,13 @@ Only documents that may hold a shared chunk are shuffled to meet their owners' d
 shared digests are put into a Bloom filter of ``FILTER_BITS`` bits, whatever their number: it never misses one, and its
 false alarms only shuffle some documents more. Samples are zstandard frames inside the store.
 
-A document's stored form, of which media_bytes and media_sha256 are computed: the letters CDC1, u32 number of chunks,
-for each chunk u32 length and its digest, then the chunks' samples in order.
+A document's stored form, of which media_bytes and media_sha256 are computed, is what is read of the store for it: the
+letters CDC1, u32 number of chunks, for each chunk of its list u32 length, u32 length of the stored frame and the digest,
+then the frames as they are stored, in order. A chunk's frame is the same whoever owns it.
 
-Cases: null text counts as empty and gives one unit of padding. Rows that repeat an id are media of their own. An empty
-table gives an empty result. Other columns are ignored.
+Cases: null text counts as empty and gives one unit of padding. Very long texts are chunked whole. Rows that repeat an id
+are media of their own. Of equal chunks, the one of the smallest key and place is stored. An empty table gives an empty
+result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -57,8 +59,9 @@ def chunks(data: bytes) -> list[bytes]:
     return out
 
 
-def stored_form(parts: list[bytes], digests: list[bytes]) -> bytes:
-    return b"".join([b"CDC1", struct.pack("<I", len(parts)), *[struct.pack("<I", len(p)) + d for p, d in zip(parts, digests, strict=True)], *parts])
+def stored_form(frames: list[bytes], sizes: list[int], digests: list[bytes]) -> bytes:
+    head = [struct.pack("<II", n, len(f)) + d for n, f, d in zip(sizes, frames, digests, strict=True)]
+    return b"".join([b"CDC1", struct.pack("<I", len(frames)), *head, *frames])
 
 
 def feature(data: bytes) -> str:
@@ -124,12 +127,13 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for doc, n, listed, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
             listed = listed.as_py()
-            frames = {c["digest"]: c["data"] for c in listed if c["data"] is not None} | {c["digest"]: c["data"] for c in found.as_py() or []}
-            parts = [unpack.decompress(frames[c["digest"]], max_output_size=MOST) for c in listed]
+            by_digest = {c["digest"]: c["data"] for c in listed if c["data"] is not None} | {c["digest"]: c["data"] for c in found.as_py() or []}
+            frames = [by_digest[c["digest"]] for c in listed]
+            parts = [unpack.decompress(f, max_output_size=MOST) for f in frames]
             digests = [hashlib.sha256(p).digest() for p in parts]
             if digests != [c["digest"] for c in listed] or [len(p) for p in parts] != [c["size"] for c in listed]:
                 raise ValueError(f"a stored chunk of document {doc} is damaged")
-            data, form = b"".join(parts), stored_form(parts, digests)
+            data, form = b"".join(parts), stored_form(frames, [len(p) for p in parts], digests)
             rows.append((doc, n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(form), hashlib.sha256(form).hexdigest(), feature(data), len(parts)))
         if rows:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32())
@@ -139,7 +143,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_media(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The store: key, doc_id, n_bytes, chunks (digest, size, data: null where another document owns it), shared (places that others refer to)."""
     spark = docs.sparkSession
-    texts = keyed(docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")), "doc_id", scratch).select(F.col("_bl_key").alias("key"), "doc_id", "text")
+    texts = keyed(docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")), "doc_id", scratch)[0].select("key", "doc_id", "text")
     manifest = scratch.table(texts.select("key", "text").mapInArrow(_manifest, "key bigint, seq int, digest binary"), "manifest")
     owners = scratch.table(manifest.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "seq")).alias("owner")).filter("n > 1").select("digest", "owner"), "owners")
     bits = spark.sparkContext.broadcast(_filter(owners))

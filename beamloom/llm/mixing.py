@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import documents, plain_name, whole_text
+from ._shared import documents, free_name, plain_name, whole_text
 
 CHUNK = 64.0  # the largest mean that one number is inverted for
 #: Target shares of the production mix; OTHER holds for every source that is not named.
@@ -70,13 +70,18 @@ def poisson_mix(
         raise ValueError("weights and ratio must not be negative")
     spark, means = docs.sparkSession, rates(docs, weights, other, ratio, source_col, text_col)
     parts = {g: max(1, math.ceil(m / CHUNK)) for g, m in means.items()}
-    table = spark.createDataFrame([(g is None, g, parts[g], poisson_cdf(m / parts[g])) for g, m in means.items()], "_bl_rest boolean, _bl_g string, _bl_parts int, _bl_cdf array<double>")
+    table = spark.createDataFrame([(g is None, g, parts[g], poisson_cdf(m / parts[g])) for g, m in means.items()], "rest boolean, source string, parts int, cdf array<double>")
     docs = plain_name(docs, "copy", "shuffle_key")
-    named = F.coalesce(F.col(f"`{source_col}`").isin(list(weights)), F.lit(False))
-    rows = docs.withColumns({"_bl_r": ~named, "_bl_s": F.when(named, F.col(f"`{source_col}`"))}).join(F.broadcast(table), (F.col("_bl_r") == F.col("_bl_rest")) & F.col("_bl_s").eqNullSafe(F.col("_bl_g")))
-    below = lambda j: F.size(F.filter("_bl_cdf", lambda c: c <= _unit(seed, "n", _id(id_col), j.cast("string"))))
-    rows = rows.withColumn("_bl_k", F.aggregate(F.sequence(F.lit(1), F.col("_bl_parts")), F.lit(0), lambda a, j: a + below(j)))
-    rows = rows.filter("_bl_k > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_bl_k"))))
+    rate, n = free_name(docs, "rate"), free_name(docs, "n")
+    table = table.select("rest", "source", F.struct("parts", "cdf").alias(rate))
+    source = docs[f"`{source_col}`"]
+    named = F.coalesce(source.isin(list(weights)), F.lit(False))
+    same = (~named == table["rest"]) & F.when(named, source).eqNullSafe(table["source"])
+    columns = [docs[f"`{c}`"] for c in docs.columns]
+    rows = docs.join(F.broadcast(table), same).select(*columns, rate)
+    below = lambda j: F.size(F.filter(F.col(rate)["cdf"], lambda c: c <= _unit(seed, "n", _id(id_col), j.cast("string"))))
+    rows = rows.withColumn(n, F.aggregate(F.sequence(F.lit(1), F.col(rate)["parts"]), F.lit(0), lambda a, j: a + below(j)))
+    rows = rows.filter(F.col(n) > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(n))))
     key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.lit("o"), _id(id_col), F.col("copy").cast("string"))), 1, 15), 16, 10).cast("bigint")
     return rows.withColumn("shuffle_key", key).select(*[F.col(f"`{c}`") for c in docs.columns], "copy", "shuffle_key").orderBy("shuffle_key", "copy")
 

@@ -378,7 +378,7 @@ def _unsettled(sims: DataFrame, labels: DataFrame, scratch: Scratch, similarity:
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """One row for each row of ``docs``: id, class_id (smallest id of its class), class_size, kept (the class's first row)."""
     scratch = Scratch(docs.sparkSession)
-    rows = keyed(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")), "id", scratch).withColumnRenamed("_bl_key", "key")
+    rows = keyed(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")), "id", scratch)[0]
     roots = _classes(rows, scratch, similarity, shingle).join(rows.select("key", "id"), "key")
     roots = scratch.table(roots, "ids")
     sizes = scratch.table(roots.groupBy("root").agg(F.count(F.lit(1)).alias("class_size"), F.min("id").alias("class_id")), "class_sizes")
@@ -389,10 +389,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with the first row of each near-duplicate class; all columns stay as they are."""
     scratch = Scratch(docs.sparkSession)
-    rows = keyed(docs, id_col, scratch)
-    plain = rows.select(F.col("_bl_key").alias("key"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    kept = _classes(plain, scratch, similarity, shingle).filter("key = root").select(F.col("key").alias("_bl_key"))
-    return tied(rows.join(kept, "_bl_key", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns]), scratch)
+    rows, key = keyed(docs, id_col, scratch)
+    plain = rows.select(F.col(key).alias("key"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    kept = _classes(plain, scratch, similarity, shingle).filter("key = root").select(F.col("key").alias(key))
+    return tied(rows.join(kept, key, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns]), scratch)
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,10 +4,12 @@ Texts are taken as words between white space. The joined words' bytes are cut wh
 within ``REACH`` bytes on both sides, so an insertion shifts no cut but those near it. Chunk digests are counted over
 all documents; a chunk of two documents is shared. If two documents have ``WORDS`` words in a row in common, they are
 cut equally there but for the margins, so every whole chunk inside is shared. The windows of ``WORDS`` words for which
-that holds are candidates (windows without a whole chunk inside too, so none is missed). Their hashes are counted in the
-same way, and the windows that two documents have give the passages: runs of such windows, word by word.
+that holds are candidates (windows without a whole chunk inside too, so none is missed). Their digests (96 bits, rolled
+over the words' 128-bit digests: among 10^12 windows two different ones agree with a probability of 10^-5) are counted in
+the same way, and the windows that two documents have give the passages: runs of such windows, word by word.
 
-The document with the smallest key (its id) that has a window keeps it; in the others it is to be removed.
+The document with the smallest key (its id) that has a window keeps it; in the others it is to be removed, which
+``remove_passages`` does.
 
 Shuffles: chunk digests are counted with map-side combination and joined back to the documents' lists; only documents
 that a Bloom filter of the shared digests (``FILTER_BITS`` bits, whatever their number) doesn't rule out are shuffled
@@ -17,7 +19,8 @@ side of plain sort-merge joins, which adaptive execution can split.
 Cases: null text counts as empty; texts of fewer than WORDS words have no passage. A passage that repeats in one
 document only is left alone. Rows that repeat an id are documents of their own; among them the row numbers decide.
 Equal texts share all their windows, so all but the first are wholly repeated, and
-only the first is searched. Other columns are ignored.
+only the first is searched. Very long texts are searched whole. An empty table gives no rows. Other columns are ignored
+by ``repeated_passages`` and kept by ``remove_passages``.
 """
 
 from __future__ import annotations
@@ -69,14 +72,17 @@ def candidates(data: bytes, cuts: np.ndarray, shared: np.ndarray, words_: int =
     return np.flatnonzero(alien[np.minimum(inside, last)] == alien[np.minimum(low, last)])
 
 
-def window_hashes(words: list[str], at: np.ndarray, words_: int = WORDS) -> np.ndarray:
-    """64-bit polynomial hashes of the windows that begin at the given words."""
-    h = np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace")) for w in words], np.uint64)
+def window_hashes(words: list[str], at: np.ndarray, words_: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Polynomial hashes of the windows that begin at the given words, of 64 and of 32 bits, by independent word hashes."""
+    h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w.encode("utf-8", "replace")) for w in words]), "<u8").reshape(-1, 2)
     power, inverse = np.full(len(h) + 1, _P, np.uint64), np.full(len(h) + 1, _P_INV, np.uint64)
     power[0] = inverse[0] = 1
     power, inverse = np.cumprod(power, dtype=np.uint64), np.cumprod(inverse, dtype=np.uint64)
-    sums = np.r_[np.zeros(1, np.uint64), np.cumsum(h * inverse[:-1], dtype=np.uint64)]
-    return (sums[at + words_] - sums[at]) * power[at]
+    out = []
+    for k in (0, 1):
+        sums = np.r_[np.zeros(1, np.uint64), np.cumsum(h[:, k] * inverse[:-1], dtype=np.uint64)]
+        out.append((sums[at + words_] - sums[at]) * power[at])
+    return out[0].view(np.int64), (out[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _digests(words: int):
@@ -134,7 +140,7 @@ def _windows(words: int):
                 shared = np.asarray(listed.values) if listed.is_valid else np.zeros(0, np.int64)
                 at = candidates(data, cuts, np.isin(digests.view(np.int64), shared), words)
                 if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), key, np.int64)), pa.array(np.full(len(at), copied)), pa.array(at, pa.int32()), pa.array(window_hashes(w, at, words).view(np.int64))], ["key", "copied", "at", "h"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), key, np.int64)), pa.array(np.full(len(at), copied)), pa.array(at, pa.int32()), *map(pa.array, window_hashes(w, at, words))], ["key", "copied", "at", "h", "g"])
 
     return run
 
@@ -168,9 +174,9 @@ def _find(rows: DataFrame, scratch: Scratch, words: int) -> DataFrame:
     copied = alike.filter("key = first").select("key", F.lit(True).alias("copied"))
     texts = rows.select("key", "text").mapInArrow(_may_share(bits, words), "key bigint, text string").join(later.select("key"), "key", "left_anti")
     windows = texts.join(lists, "key", "left").join(copied, "key", "left").select("key", "text", "listed", F.coalesce("copied", F.lit(False)).alias("copied"))
-    windows = scratch.table(windows.mapInArrow(_windows(words), "key bigint, copied boolean, at int, h bigint"), "windows")
-    owners = scratch.table(windows.groupBy("h").agg(F.min("key").alias("owner"), F.max("key").alias("b")).filter("owner <> b").select("h", "owner"), "owners")
-    met = windows.join(owners, "h", "left").filter("owner is not null or copied")
+    windows = scratch.table(windows.mapInArrow(_windows(words), "key bigint, copied boolean, at int, h bigint, g int"), "windows")
+    owners = scratch.table(windows.groupBy("h", "g").agg(F.min("key").alias("owner"), F.max("key").alias("b")).filter("owner <> b").select("h", "g", "owner"), "owners")
+    met = windows.join(owners, ["h", "g"], "left").filter("owner is not null or copied")
     found = met.groupBy("key").agg(F.collect_list(F.struct("at", F.coalesce("owner", "key").alias("owner"))).alias("found"))
     spans = scratch.table(found.mapInArrow(_spans(words), "key bigint, start_word bigint, end_word bigint, owner bigint, kept boolean"), "spans")
     earliest = scratch.table(spans.groupBy(F.col("key").alias("first")).agg(F.min("owner").alias("owner")), "earliest")
@@ -181,7 +187,7 @@ def _find(rows: DataFrame, scratch: Scratch, words: int) -> DataFrame:
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """One row for each repeated passage in each document: id, start_word, end_word, n_words, first_doc_id (who keeps it), kept."""
     scratch = Scratch(docs.sparkSession)
-    rows = keyed(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")), "id", scratch).withColumnRenamed("_bl_key", "key")
+    rows = keyed(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")), "id", scratch)[0]
     spans = _find(rows, scratch, words)
     if dict(rows.dtypes)["id"] == "bigint":
         same = not rows.filter("not (id <=> key)").limit(1).collect()
@@ -195,16 +201,35 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return tied(spans.select(F.col("id").alias(id_col), "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), F.col("first").alias("first_doc_id"), "kept"), scratch)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = []
-        for text, spans in zip(b.column(1), b.column(2), strict=True):
-            t = text.as_py()
-            for s in sorted(spans.as_py() or [], key=lambda s: -s["start_word"]):
-                at = [m.span() for m in _SPACE.finditer(t)]
-                t = t[: at[s["start_word"]][0]] + t[at[min(s["end_word"], len(at)) - 1][1] :]
-            out.append(t)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["key", "text"])
+def _cut(place: int):
+    """Takes the spans of the last column out of the texts in the column at ``place``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(place).to_pylist()
+            for i, spans in enumerate(b.column(b.num_columns - 1).to_pylist()):
+                if spans:
+                    t, at, out, last = texts[i], [m.span() for m in _SPACE.finditer(texts[i])], [], 0
+                    for s in sorted(spans, key=lambda s: s["start_word"]):
+                        out.append(t[last : at[s["start_word"]][0]])
+                        last = at[s["end_word"] - 1][1]
+                    texts[i] = "".join([*out, t[last:]])
+            columns = [pa.array(texts, pa.string()) if k == place else c for k, c in enumerate(b.columns[:-1])]
+            yield pa.RecordBatch.from_arrays(columns, b.schema.names[:-1])
+
+    return run
+
+
+def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """``docs`` without the repeated passages that another document keeps; white space around them stays."""
+    scratch = Scratch(docs.sparkSession)
+    docs = docs.withColumn(text_col, F.col(f"`{text_col}`").cast("string"))
+    rows, key = keyed(docs, id_col, scratch)
+    spans = _find(rows.select(F.col(key).alias("key"), F.col(f"`{text_col}`").alias("text")), scratch, words).filter(~F.col("kept"))
+    cuts = spans.groupBy(F.col("key").alias(key)).agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
+    names = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]
+    met = rows.select(F.col(key).alias("row key"), *names).join(cuts.withColumnRenamed(key, "row key"), "row key", "left").drop("row key")
+    return tied(met.mapInArrow(_cut(docs.columns.index(text_col)), docs.schema), scratch)
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
