@@ -2,37 +2,39 @@
 
 The lower-cased text's UTF-8 bytes give n-grams of 2, 3 and 4 bytes (white space included, so word ends count), hashed
 to ``BUCKETS`` rows of an embedding. A document is the mean of its rows; a linear softmax scores the languages. Both
-are trained by stochastic gradient descent in numpy on a bounded sample. As the model is linear, the embedding and the
-softmax are multiplied once into one table of buckets by languages, which is what the executors get (at most
-``BUCKETS * MOST_LABELS`` numbers, whatever the corpus).
+are trained by stochastic gradient descent in numpy on a bounded sample (``PER_CLASS`` texts of each language, fewer
+where there are many languages, of at most ``MOST_CHARS`` characters each). As the model is linear, embedding and softmax
+are multiplied once into one table of buckets by languages where there are at most ``DIM`` languages; with more, both go
+to the executors. So the model has at most ``DIM * (BUCKETS + languages)`` numbers, whatever the corpus.
 
-Calibration: a fifth of the sample, not used in training, fixes the temperature of the softmax, and the score below
-which a prediction is marked ``rejected`` (as ``REJECT`` of correct predictions there are).
+Calibration: every fifth text of the shuffled sample is not used in training. These fix the temperature of the softmax,
+and the score below which a prediction is marked ``rejected`` (as ``REJECT`` of correct predictions there are).
 
-Cases: null texts and texts without a letter are ``und`` with score 0 and rejected. Whole texts are read. If no row is
-labelled, every document is ``und``. Documents of one text get one prediction.
+Cases: null texts and texts without a letter (Unicode category L) are ``und`` with score 0 and rejected. Whole texts are
+read. If no row is labelled, every document is ``und``. Equal scores go to the label that sorts first. Documents of one
+text get one prediction, and rows that repeat an id a row each. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
 from ._shared import documents
-from .learn import remainder, sample, sparse_features
+from .learn import MOST_CHARS, remainder, sample, sparse_features
 
 BUCKETS, DIM, GRAMS = 1 << 16, 12, (2, 3, 4)
 PER_CLASS = 500  # labelled documents of each language that are learned from
 EPOCHS, RATE, SEED, REJECT = 4, 0.6, 5, 0.01
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _PAD = max(GRAMS) - 1
 _PIECE = 1 << 20  # bytes worked on at a time
 
@@ -65,7 +67,8 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Model:
     labels: list[str]
-    table: np.ndarray  # BUCKETS by labels
+    table: np.ndarray  # BUCKETS by labels, or by DIM
+    top: np.ndarray | None  # DIM by labels, where the table is not multiplied with it
     bias: np.ndarray
     temperature: float
     reject: float
@@ -76,8 +79,9 @@ class Model:
         return e / e.sum(axis=1, keepdims=True)
 
     def logits(self, texts: list[str]) -> np.ndarray:
-        """Mean table row of each text's n-grams."""
-        out = np.zeros((len(texts), len(self.labels)))
+        """Scores of each text: its n-grams' mean table row."""
+        wide = self.table.shape[1]
+        out = np.zeros((len(texts), wide))
         i = 0
         while i < len(texts):
             parts, size, j = [], 0, i
@@ -92,15 +96,15 @@ class Model:
                 data = np.concatenate(parts)
                 lengths = np.array([len(p) for p in parts])
                 ends = np.cumsum(lengths)
-                total = np.zeros((len(data) - _PAD, len(self.labels)), np.float32)
+                total = np.zeros((len(data) - _PAD, wide), np.float32)
                 for n in GRAMS:
                     total += self.table[_buckets(data, n, len(data) - _PAD)]
                 pads = (ends[:-1, None] - np.arange(1, _PAD + 1)).ravel()
                 total[pads] = 0  # n-grams that begin behind a text belong to none
-                sums = np.add.reduceat(total, ends - lengths, axis=0, dtype=np.float64) if len(total) else np.zeros((len(parts), len(self.labels)))
+                sums = np.add.reduceat(total, ends - lengths, axis=0, dtype=np.float64) if len(total) else np.zeros((len(parts), wide))
                 out[i:j] = sums / (np.maximum(lengths - _PAD, 1) * len(GRAMS))[:, None]
             i = j
-        return out
+        return out if self.top is None else out @ self.top
 
 
 def train(rows: list[tuple]) -> Model | None:
@@ -110,8 +114,8 @@ def train(rows: list[tuple]) -> Model | None:
         return None
     rng = np.random.default_rng(SEED)
     order = rng.permutation(len(rows))
-    held = order[: len(rows) // 5] if len(rows) >= 20 * len(labels) else order
-    used = order[len(rows) // 5 :] if len(rows) >= 20 * len(labels) else order
+    kept_out = np.arange(len(rows)) % 5 == 4
+    held, used = order[kept_out], order[~kept_out]
     emb, top, bias = (rng.standard_normal((BUCKETS, DIM)) * 0.05).astype(np.float32), np.zeros((DIM, len(labels)), np.float32), np.zeros(len(labels), np.float32)
     place = {x: k for k, x in enumerate(labels)}
     steps, done = EPOCHS * len(used), 0
@@ -131,9 +135,12 @@ def train(rows: list[tuple]) -> Model | None:
             top -= rate * np.outer(h, p)
             bias -= rate * 0.1 * p
             emb[where] -= rate * 20 * share[:, None] * back  # shares are small: embeddings take longer steps
-    table = (emb @ top).astype(np.float32)
-    model = Model(labels, table, bias.astype(np.float64), 1.0, 0.0)
-    logits = np.array([rows[r][3] @ table[rows[r][2]] for r in held])
+    few = len(labels) <= DIM
+    model = Model(labels, (emb @ top).astype(np.float32) if few else emb, None if few else top, bias.astype(np.float64), 1.0, 0.0)
+    if not len(held):
+        return model
+    logits = np.array([rows[r][3] @ model.table[rows[r][2]] for r in held])
+    logits = logits if few else logits @ top
     truth = np.array([place[rows[r][1]] for r in held])
     best = None
     for t in np.geomspace(0.05, 5, 41):
@@ -149,16 +156,16 @@ def train(rows: list[tuple]) -> Model | None:
     return model
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_class: int = PER_CLASS) -> Model | None:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_class: int = PER_CLASS, most_chars: int = MOST_CHARS) -> Model | None:
     """Learn from the rows of ``docs`` with a label."""
     chosen, _ = sample(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label")), per_class)
-    return train(sparse_features(docs.filter(F.col(f"`{text_col}`").isNotNull()), chosen, features, id_col, text_col))
+    return train(sparse_features(docs.filter(F.col(f"`{text_col}`").isNotNull()), chosen, features, id_col, text_col, most_chars))
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: id, lang_pred, score, rejected."""
     ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by BUCKETS and MOST_LABELS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by BUCKETS, DIM and the number of languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -174,7 +181,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], [id_col, "lang_pred", "score", "rejected"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("_bl_text")).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, rejected boolean")
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, rejected boolean")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Bounded labelled samples and their features, for the classifiers.
 
 A sample takes about ``per_class`` rows of each label, chosen by a hash of the id, so it is the same in every run and
-does not grow with the table. Its features are computed on the executors; only bounded sparse vectors come back.
+does not grow with the table. Labelled texts of more than ``MOST_CHARS`` characters are not learned from, so that the
+sample is bounded in size too. Its features are computed on the executors; only sparse vectors come back.
 """
 
 from __future__ import annotations
@@ -15,7 +16,11 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 
-MOST_LABELS = 200
+MOST_CHARS = 1 << 16
+#: A column with more labels than that (there are about 8000 languages) is refused, not cut.
+MOST_LABELS = 10_000
+#: With many labels each gets fewer examples, so that a sample never has many more than that.
+MOST_ROWS = 8_000
 
 
 def remainder(id_col: Column | str, n: int) -> Column:
@@ -27,20 +32,23 @@ def remainder(id_col: Column | str, n: int) -> Column:
 def sample(rows: DataFrame, per_class: int) -> tuple[DataFrame, dict]:
     """About per_class rows of each label of (id, label), and the share of each label's rows that it takes.
 
-    Ids that repeat count once, with their largest label; null ids and labels are left out. Beyond the ``MOST_LABELS``
-    most frequent labels, the others are not learned.
+    Ids that repeat count once, with their largest label; null ids and labels are left out. Every label is learned; more
+    than ``MOST_LABELS`` labels raise ValueError.
     """
     rows = rows.dropna().groupBy("id").agg(F.max("label").alias("label"))
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MOST_LABELS).collect()}
-    share = {label: min(1.0, per_class / n) for label, n in counts.items()}
-    if not share:
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().limit(MOST_LABELS + 1).collect()}
+    if len(counts) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
+    if not counts:
         return rows.limit(0), {}
+    each = max(1, min(per_class, MOST_ROWS // len(counts)))
+    share = {label: min(1.0, each / n) for label, n in counts.items()}
     limits = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])
     unit = F.pmod(F.xxhash64("id", F.lit(77)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return rows.filter(F.coalesce(unit < F.element_at(limits, F.col("label")), F.lit(False))), share
 
 
-def sparse_features(docs: DataFrame, chosen: DataFrame, feature: Callable[[str], tuple[np.ndarray, np.ndarray]], id_col: str, text_col: str) -> list[tuple[int, object, np.ndarray, np.ndarray]]:
+def sparse_features(docs: DataFrame, chosen: DataFrame, feature: Callable[[str], tuple[np.ndarray, np.ndarray]], id_col: str, text_col: str, most_chars: int = MOST_CHARS) -> list[tuple[int, object, np.ndarray, np.ndarray]]:
     """(id, label, indices, values) of the sample's documents in the order of their ids; chosen is bounded by ``sample``."""
     ship(docs.sparkSession)
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
@@ -51,6 +59,6 @@ def sparse_features(docs: DataFrame, chosen: DataFrame, feature: Callable[[str],
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([i.astype("<i4").tobytes() for i, _ in found], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in found], pa.binary())], ["id", "label", "i", "v"])
 
     kind = dict(docs.dtypes)[id_col]
-    got = texts.join(F.broadcast(chosen), "id").select("id", "text", "label").mapInArrow(run, f"id {kind}, label {dict(chosen.dtypes)['label']}, i binary, v binary").collect()
+    got = texts.filter(F.length("text") <= most_chars).join(F.broadcast(chosen), "id").select("id", "text", "label").mapInArrow(run, f"id {kind}, label {dict(chosen.dtypes)['label']}, i binary, v binary").collect()
     rows = [(r["id"], r["label"], np.frombuffer(r["i"], "<i4"), np.frombuffer(r["v"], "<f4")) for r in got]
     return sorted(rows, key=lambda r: (r[0], len(r[2]), r[2].tobytes()))
