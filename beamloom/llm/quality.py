@@ -1,18 +1,21 @@
 """Quality by nearest-neighbour voting over latent-semantic vectors.
 
-A text's terms are runs of character kinds (letters in lower or upper case, digits, blanks, line ends, each mark by
-itself) as n-grams of 1 to 4 runs, hashed to ``DIM`` places, and the words that repeat the word before them. Their
-shares' square roots times idf are projected on the ``LATENT`` main axes of a bounded labelled sample (a singular value
-decomposition in numpy). The sample's projected vectors, of length one, go to the executors by broadcast (at most
-``PER_CLASS`` a label, so bounded). Each document's cosines to all of them come from blocked matrix products, and the
-``NEIGHBOURS`` nearest vote with their cosine to the power ``SHARPNESS`` times the inverse of their label's sample share.
-
-Cases: null text counts as empty and is scored like one. Whole texts are read. Equal cosines are taken in the order of
-the examples' ids. Without a labelled row every score is 0; with one label only, that label.
+A text's terms are its words between white space (lower case, without marks at their ends), the last three characters of
+each as they stand, case and marks included, and one term for a word that repeats the word before it. Terms are hashed to
+``DIM`` places. The square roots of their shares of the text times idf are projected on the ``LATENT`` main axes of the
+term-by-document matrix of a bounded labelled sample (a singular value decomposition in numpy, by subspace iteration). The sample's projected
+vectors, of length one, go to the executors by broadcast (at most ``PER_CLASS`` a label, so bounded). Each document's
+cosines to all of them come from blocked matrix products, and the ``NEIGHBOURS`` nearest vote with their cosine to the
+power ``SHARPNESS`` times the inverse of their label's sample share.
+
+Cases: null text counts as empty and is scored like one, by a place of its own. Whole texts are read. Equal cosines (to 10
+decimals) are taken in the order of the examples' ids. Rows that repeat an id get a row each. Without a labelled row every
+score is 0; with one label only, that label. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,49 +25,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from ._shared import documents, labels, task_of
-from .learn import remainder, sample, sparse_features
+from ._shared import documents, keeps, labels, task_of
+from .learn import MOST_CHARS, remainder, sample, sparse_features
 
-PER_CLASS, DIM, LATENT, NEIGHBOURS, SHARPNESS = 1500, 1024, 32, 25, 8
+PER_CLASS, DIM, LATENT, NEIGHBOURS, SHARPNESS = 1500, 4096, 32, 25, 8
 KEEP = 0.3  # scores from here on are good enough
 _BLOCK = 256  # documents whose cosines are computed at once
-_GRAMS = 4
-_BLANK, _LINE, _LOWER, _UPPER, _DIGIT, _MARK = 1, 2, 3, 4, 5, 8
+_KEPT = 200_000  # words whose places a worker keeps
+_MARKS = ".,;:!?"
 
 
-def _kinds() -> np.ndarray:
-    kind = np.full(256, _LOWER, np.uint32)  # bytes of letters beyond ASCII
-    for c in range(128):
-        ch = chr(c)
-        kind[c] = _LINE if ch in "\n\r" else _BLANK if ch.isspace() or not ch.isprintable() else _LOWER if ch.islower() else _UPPER if ch.isupper() else _DIGIT if ch.isdigit() else _MARK + c
-    return kind
+class _Places(dict):
+    """Places of a word and of its last three characters, as one number."""
 
+    def __missing__(self, word: str) -> int:
+        if len(self) >= _KEPT:
+            self.clear()
+        plain, end = word.lower().strip(_MARKS), word[-3:]
+        found = self[word] = (2 + zlib.crc32(f"w{plain}".encode("utf-8", "replace")) % (DIM - 2)) * DIM + 2 + zlib.crc32(f"e{end}".encode("utf-8", "replace")) % (DIM - 2)
+        return found
 
-_KIND = _kinds()
-_RUNS = np.isin(np.arange(256), [_BLANK, _LINE, _LOWER, _UPPER, _DIGIT])  # kinds of which a run counts once
+
+_PLACES = _Places()
+keeps("quality", _PLACES.clear)
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Places of a whole text's terms and their shares; place 0 holds repeated words."""
-    kind = _KIND[np.frombuffer(text.encode("utf-8", "replace"), np.uint8)]
-    counts = np.zeros(DIM)
-    if len(kind):
-        new = np.r_[True, (kind[1:] != kind[:-1]) | ~_RUNS[kind[1:]]]
-        seq = kind[new]
-        h = np.zeros(len(seq), np.uint32)
-        for n in range(1, _GRAMS + 1):
-            if len(seq) < n:
-                break
-            h = (h[: len(seq) - n + 1] * np.uint32(0x01000193) ^ seq[n - 1 :]) + np.uint32(n)
-            counts += np.bincount((h * np.uint32(0x9E3779B1) >> np.uint32(8)) % np.uint32(DIM - 2) + 2, minlength=DIM)
-        words = text.split()
-        counts /= counts.sum()
-        if len(words) > 1:
-            counts[0] = sum(map(str.__eq__, words[1:], words)) / len(words)
-    else:
-        counts[1] = 1.0
+    """Places of a whole text's terms and their shares; place 0 holds repeated words, place 1 texts without any."""
+    words = text.split()
+    if not words:
+        return np.ones(1, np.int64), np.ones(1)
+    both = np.fromiter(map(_PLACES.__getitem__, words), np.int64, len(words))
+    counts = np.bincount(both // DIM, minlength=DIM) + np.bincount(both % DIM, minlength=DIM)
+    counts[0] = sum(map(str.__eq__, words[1:], words))
     where = np.flatnonzero(counts)
-    return where, counts[where]
+    return where, counts[where] / len(words)
 
 
 @dataclass
@@ -76,7 +71,7 @@ class Model:
     vote: np.ndarray
 
     def project(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        full = np.zeros((len(rows), DIM), np.float32)
+        full = np.zeros((len(rows), DIM))
         for i, (where, share) in enumerate(rows):
             full[i, where] = np.sqrt(share) * self.idf[where]
         v = full @ self.axes
@@ -88,31 +83,42 @@ class Model:
             return out
         k = min(NEIGHBOURS, len(self.vectors))
         for s in range(0, len(texts), _BLOCK):
-            cosine = self.project([features(t) for t in texts[s : s + _BLOCK]]) @ self.vectors.T
-            key = cosine.astype(np.float64) - np.arange(cosine.shape[1]) * 1e-10  # equal ones in the examples' order
-            top = np.argpartition(-key, k - 1, axis=1)[:, :k]
-            w = np.maximum(np.take_along_axis(cosine, top, 1), 1e-6).astype(np.float64) ** SHARPNESS * self.vote[top]
-            out[s : s + _BLOCK] = (w * self.good[top]).sum(axis=1) / w.sum(axis=1)
+            cosine = np.round(self.project([features(t) for t in texts[s : s + _BLOCK]]) @ self.vectors.T, 10)
+            least = np.partition(cosine, -k, axis=1)[:, -k, None]
+            over, equal = cosine > least, cosine == least
+            taken = over | equal & (np.cumsum(equal, axis=1) <= k - over.sum(axis=1, keepdims=True))  # the first of equal ones
+            row, top = np.nonzero(taken)
+            w = (np.maximum(cosine[row, top], 1e-6) ** SHARPNESS * self.vote[top]).reshape(-1, k)
+            out[s : s + _BLOCK] = (w * self.good[top].reshape(-1, k)).sum(axis=1) / w.sum(axis=1)
         return np.clip(out, 0, 1)
 
 
+def main_axes(matrix: np.ndarray, n: int = LATENT, rounds: int = 16) -> np.ndarray:
+    """The first n right singular vectors, by subspace iteration from a fixed start."""
+    q = np.random.default_rng(1).standard_normal((matrix.shape[1], n + 16))
+    for _ in range(rounds):
+        q, _ = np.linalg.qr(matrix.T @ (matrix @ q))
+    _, _, turn = np.linalg.svd(matrix @ q, full_matrices=False)
+    return np.ascontiguousarray((q @ turn.T)[:, :n])
+
+
 def train(rows: list[tuple], share: dict[int, float]) -> Model:
     """Learn from (id, label, places, shares)."""
-    full = np.zeros((len(rows), DIM), np.float64)
+    if not rows:
+        return Model(np.ones(DIM), np.zeros((DIM, LATENT)), np.zeros((0, LATENT)), np.zeros(0), np.zeros(0))
+    full = np.zeros((len(rows), DIM))
     for i, (_, _, where, part) in enumerate(rows):
         full[i, where] = np.sqrt(part)
-    idf = np.log(1 + len(rows) / np.maximum((full > 0).sum(axis=0), 1)) if rows else np.ones(DIM)
-    _, axes = np.linalg.eigh((full * idf).T @ (full * idf))  # right singular vectors, ascending
-    model = Model(idf.astype(np.float32), axes[:, ::-1][:, :LATENT].astype(np.float32), np.zeros((0, LATENT), np.float32), np.array([float(r[1] == 1) for r in rows]), np.array([1 / share[r[1]] for r in rows]))
-    if rows:
-        model.vectors = model.project([(r[2], r[3]) for r in rows])
+    idf = np.log(1 + len(rows) / np.maximum((full > 0).sum(axis=0), 1))
+    model = Model(idf, main_axes(full * idf), np.zeros((0, LATENT)), np.array([float(r[1] == 1) for r in rows]), np.array([1 / share[r[1]] for r in rows]))
+    model.vectors = model.project([(r[2], r[3]) for r in rows])
     return model
 
 
-def fit(docs: DataFrame, truth: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> Model:
+def fit(docs: DataFrame, truth: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS, most_chars: int = MOST_CHARS) -> Model:
     """Learn from ``truth`` (id, label 0 or 1) and the texts of its documents."""
     chosen, share = sample(truth, per_class)
-    return train(sparse_features(docs, chosen, features, id_col, text_col), share)
+    return train(sparse_features(docs, chosen, features, id_col, text_col, most_chars), share)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -121,11 +127,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_of("quality")
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.scores([t.as_py() or "" for t in b.column(1)]), pa.float64())], [id_col, "score"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("_bl_text")).mapInArrow(run, f"`{id_col}` {kind}, score double")
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, f"`{id_col}` {kind}, score double")
 
 
 def fit_labels(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
