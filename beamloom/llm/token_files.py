@@ -1,17 +1,20 @@
 """Token-id files compressed by a Re-Pair grammar.
 
 Documents are sorted by id over range partitions and encoded; runs of documents of about ``SHARD_TOKENS`` ids make a
-shard. In a shard, frequent adjacent pairs of symbols are replaced by new symbols, round by round: each round counts all
-pairs, takes up to ``PAIRS`` of the most frequent ones that occur ``LEAST`` times or more, and replaces their
-occurrences from left to right. Pairs never cross the end of a document. A shard keeps its rules, the length of what
-each rule stands for, and each document's first symbol, so one document, or a part of it, is decoded alone.
+shard. In a shard, adjacent pairs of symbols are replaced by new symbols, the most frequent pairs first, until no pair
+occurs twice without overlap. Pairs far apart are replaced in one turn: a turn replaces each pair wherever it is more
+frequent than the pairs that it overlaps with there. Pairs never cross the end of a document. A shard keeps its rules,
+the length of what each rule stands for, and each document's first symbol, so one document, or a part of it, is decoded
+alone.
 
-Shards are rows of a Parquet table (columns below) in the shared folder, written and read by Spark, so they may lie in
-any store: part, k (place of the shard in its partition), n_docs, n_tokens, data (the file image).
+Shards are rows of a Parquet table (columns below), written and read by Spark, so they may lie in any store; the query
+writes them to the shared folder, ``write_token_shards`` to any path. Columns: part, k (place of the shard in its
+partition), n_docs, n_tokens, data (the file image).
 
-File image, little-endian: the letters RPG1; u32 vocabulary size, rules, documents, symbols; rules as u32 left, u32
-right, u32 expansion length; documents as i64 id, u8 1 where the id is null, u32 first symbol, u32 ids; symbols as a
-plane of u16 (low bits) and one of u8 (high bits).
+File image, little-endian: the letters RPG1; u32 vocabulary size, rules, documents, symbols; u32 bytes of an expansion
+length (1, 2 or 4); the rules' left symbols, right symbols and expansion lengths; documents as i64 id, u8 1 where the id
+is null, u32 first symbol, u32 ids; symbols. A list of symbols is a plane of u16 (low bits) and one of the high bits,
+which is u8, or u16 where vocabulary and rules are more than 2^24. The rules of a turn are sorted by left and right.
 
 Cases: null text is an empty document, only its end id. Null ids come first, equal ids in the order of their text's hash.
 A very long document makes a shard of its own size. An empty table gives no shards. Other columns are ignored.
@@ -29,111 +32,146 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
 from ._shared import Scratch, documents, tied
 from .tokens import END, default_vocabulary, encoder
 
 VOCABULARY = 50_257
-SHARD_TOKENS = 1 << 20
-PAIRS, LEAST, ROUNDS = 8192, 12, 10
-_HASH_BITS = 20
-_HASH_MASK, _MIX = (1 << _HASH_BITS) - 1, np.int64(0x9E3779B97F4A7C15 - (1 << 64))
-_HEAD = struct.Struct("<4sIIII")
+SHARD_TOKENS = 1 << 18
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+SHARDS = "part int, k int, n_docs bigint, n_tokens bigint, data binary"
+_HEAD = struct.Struct("<4sIIIII")
 
 
-def _frequent(codes: np.ndarray, turn: int, most: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of the most frequent pairs, for each place the pair's number among them (-1: none), and the places to count again.
+def _same(codes: np.ndarray, turn: int) -> tuple[np.ndarray, int]:
+    """A number for each code, equal for equal codes only, and a bound of the numbers.
 
-    Pairs are counted in a hash table without sorting: of the pairs that share a bucket, one is counted and the others
-    wait for a later round, which mixes the codes in another way. Frequent pairs beyond ``most`` wait too.
+    Codes are put into a table without collision lists: of the codes that share a place one owns it, and the others go
+    to the next, smaller table, until each owns one.
     """
-    mix = np.int64(_MIX + 2 * turn)
-    bucket = (codes * mix >> (63 - _HASH_BITS)) & _HASH_MASK
-    owner = np.full(1 << _HASH_BITS, -1, np.int64)
-    owner[bucket] = codes
-    own = owner[bucket] == codes
-    counts = np.bincount(bucket[own], minlength=1 << _HASH_BITS)
-    found = np.flatnonzero(counts >= least)
-    waits = ~own
-    if len(found) > most:
-        order = np.lexsort((owner[found], -counts[found]))
-        late = np.zeros(1 << _HASH_BITS, bool)
-        late[found[order[most:]]] = True
-        waits |= late[bucket]
-        found = found[order[:most]]
-    number = np.full(1 << _HASH_BITS, -1, np.int32)
-    number[found] = np.arange(len(found), dtype=np.int32)
-    at = number[bucket]
-    at[~own] = -1
-    return owner[found], at, waits
-
-
-def compress(ids: np.ndarray, starts: np.ndarray, vocabulary: int = VOCABULARY, most: int = PAIRS, least: int = LEAST, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    number, left, offset = np.empty(len(codes), np.int64), np.arange(len(codes)), 0
+    while len(left):
+        c = codes[left]
+        bits = max(6, int(2 * len(c)).bit_length())
+        place = ((c.astype(np.uint64) * (_MIX + np.uint64(2 * turn))) >> np.uint64(64 - bits)).astype(np.int64)
+        owner = np.empty(1 << bits, np.int64)
+        owner[place] = c
+        own = owner[place] == c
+        number[left[own]] = offset + place[own]
+        offset, left, turn = offset + (1 << bits), left[~own], turn + 1
+    return number, offset
+
+
+def compress(ids: np.ndarray, starts: np.ndarray, vocabulary: int = VOCABULARY) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair of ids whose documents begin at starts: symbols, first symbols, rules (n, 2), expansion lengths.
 
-    After the first round only places are counted that are next to a new symbol or had to wait: no other pair's count
-    has grown.
+    Symbols are a linked list. A turn counts the pairs at the places to look at, gives each pair its count as priority
+    (a mark of the pair decides between equal counts), and replaces a pair wherever it goes before the pairs on both
+    sides, if that is twice or more. The most frequent pair of all always is, so turns go on until no pair is left that
+    occurs twice without overlap. A pair's count only falls, except for pairs of new symbols. So after the first turn the
+    places to look at are those next to a new symbol and those of pairs that still occur twice.
     """
-    symbols, first = ids.astype(np.int64), starts.astype(np.int64)
-    rules, lengths = np.zeros((0, 2), np.int64), np.ones(vocabulary, np.int64)
-    base = vocabulary
-    look = np.ones(len(symbols), bool)  # places whose pair is to be counted
-    for turn in range(rounds):
-        look[first[1:] - 1] = False
-        look[-1:] = False
-        places = np.flatnonzero(look)
-        if not len(places):
-            break
-        found, number, waits = _frequent(symbols[places] << 24 | symbols[places + 1], turn, most, least)
-        some = number >= 0
-        hit, which = places[some], number[some]
-        look = np.zeros(len(symbols), bool)
-        look[places[waits]] = True
-        if len(hit):
-            apart = np.diff(hit) > 1
-            if not apart.all():  # adjacent hits overlap: every second one of a run is taken
-                begin = np.flatnonzero(np.r_[True, apart])
-                place = np.arange(len(hit)) - np.repeat(begin, np.diff(np.r_[begin, len(hit)]))
-                hit, which = hit[place % 2 == 0], which[place % 2 == 0]
-            used = np.bincount(which, minlength=len(found)) > 0
-            new = base - 1 + np.cumsum(used)
-            pairs = np.stack([found[used] >> 24, found[used] & 0xFFFFFF], 1)
-            rules = np.concatenate([rules, pairs])
-            lengths = np.concatenate([lengths, lengths[pairs[:, 0]] + lengths[pairs[:, 1]]])
-            symbols[hit] = new[which]
-            look[hit] = True
-            look[np.maximum(hit - 1, 0)] = True
-            keep = np.ones(len(symbols), bool)
-            keep[hit + 1] = False
-            first = first - np.searchsorted(hit, first)
-            symbols, look, base = symbols[keep], look[keep], base + int(used.sum())
-        elif not waits.any():
-            break
-    return symbols, first, rules, lengths[vocabulary:]
-
-
-def write_shard(doc_ids: list[int | None], counts: list[int], ids: np.ndarray, vocabulary: int = VOCABULARY, **more) -> bytes:
+    n = len(ids)
+    kind = np.int32 if n < 1 << 30 else np.int64
+    s, rules, base = ids.astype(kind), [], vocabulary
+    after, before = np.arange(1, n + 1, dtype=kind), np.arange(-1, n - 1, dtype=kind)
+    after[starts[1:] - 1] = -1
+    after[-1:] = -1
+    before[starts] = -1
+    rank, mark = np.zeros(n + 1, np.int64), np.zeros(n + 1, bool)  # the last one stands for "none", which -1 finds
+    look, turn = np.flatnonzero(after >= 0), 0
+    while len(look):
+        left, right = s[look], s[after[look]]
+        codes = left.astype(np.int64) << 31 | right
+        counted = np.ones(len(look), bool)
+        alike = np.flatnonzero(left == right)
+        if len(alike):  # of a run of one symbol every second place counts
+            begin = np.r_[True, after[look[alike[:-1]]] != look[alike[1:]]]
+            at = np.arange(len(alike))
+            counted[alike] = (at - np.maximum.accumulate(np.where(begin, at, 0))) % 2 == 0
+        pair, most = _same(codes, turn)
+        count = np.bincount(pair[counted], minlength=most)[pair]
+        often = count >= 2
+        look, codes, pair, counted, count = look[often], codes[often], pair[often], counted[often], count[often]
+        place, mine = look[counted], pair[counted]
+        value = count[counted] << 36 | ((codes[counted].astype(np.uint64) * (_MIX + np.uint64(2 * turn))) >> np.uint64(28)).astype(np.int64)
+        rank[place] = value
+        wins = (value > rank[before[place]]) & (value > rank[after[place]])
+        rank[place] = 0
+        hit, mine = place[wins], mine[wins]
+        taken = np.bincount(mine, minlength=most)
+        made = taken[mine] >= 2
+        hit, mine = hit[made], mine[made]
+        if not len(hit):  # two first pairs of one mark, which the next turn tells apart
+            turn += 1
+            continue
+        new = np.flatnonzero(taken >= 2)
+        name, of = np.empty(most, np.int64), np.empty(most, np.int64)
+        of[mine] = codes[counted][wins][made]
+        order = np.argsort(of[new])
+        name[new[order]] = base + np.arange(len(new))
+        gone, mine, pairs = after[hit], name[mine], of[new[order]]
+        rules.append(np.column_stack([pairs >> 31, pairs & 0x7FFFFFFF]))
+        base += len(new)
+        s[hit], s[gone] = mine, -1
+        far = after[gone]
+        after[hit] = far
+        before[far[far >= 0]] = hit[far >= 0]
+        mark[look] = True
+        mark[hit] = True
+        mark[before[hit]] = True
+        mark[n] = False
+        look = np.flatnonzero(mark[:n])
+        mark[look] = False
+        look = look[(s[look] >= 0) & (after[look] >= 0)]
+        turn += 1
+    stays = s >= 0
+    table = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
+    lengths, at = np.ones(base, np.int64), vocabulary
+    for pairs in rules:  # rules of one turn refer to earlier ones only
+        lengths[at : at + len(pairs)] = lengths[pairs[:, 0]] + lengths[pairs[:, 1]]
+        at += len(pairs)
+    return s[stays], (np.cumsum(stays) - stays)[starts], table, lengths[vocabulary:]
+
+
+def _high(symbols: int) -> str:
+    return "u1" if symbols <= 1 << 24 else "<u2"
+
+
+def write_shard(doc_ids: list[int | None], counts: list[int], ids: np.ndarray, vocabulary: int = VOCABULARY) -> bytes:
     starts = np.cumsum([0, *counts[:-1]]).astype(np.int64)
-    symbols, first, rules, lengths = compress(ids, starts, vocabulary, **more)
+    symbols, first, rules, lengths = compress(ids, starts, vocabulary)
     index = np.zeros(len(doc_ids), [("id", "<i8"), ("null", "u1"), ("first", "<u4"), ("n", "<u4")])
     index["id"], index["null"] = [d or 0 for d in doc_ids], [d is None for d in doc_ids]
     index["first"], index["n"] = first, counts
-    table = np.column_stack([rules, lengths]).astype("<u4") if len(rules) else np.zeros((0, 3), "<u4")
-    return b"".join([_HEAD.pack(b"RPG1", vocabulary, len(rules), len(doc_ids), len(symbols)), table.tobytes(), index.tobytes(), (symbols & 0xFFFF).astype("<u2").tobytes(), (symbols >> 16).astype("u1").tobytes()])
+    width = 1 if (most := lengths.max(initial=0)) < 1 << 8 else 2 if most < 1 << 16 else 4
+    high = _high(vocabulary + len(rules))
+    planes = lambda x: [(x & 0xFFFF).astype("<u2").tobytes(), (x >> 16).astype(high).tobytes()]
+    head = _HEAD.pack(b"RPG1", vocabulary, len(rules), len(doc_ids), len(symbols), width)
+    return b"".join([head, *planes(rules[:, 0]), *planes(rules[:, 1]), lengths.astype(f"<u{width}").tobytes(), index.tobytes(), *planes(symbols)])
 
 
 class Shard:
     """A shard's file image, read in place."""
 
     def __init__(self, data: bytes):
-        name, self.vocabulary, n_rules, n_docs, n = _HEAD.unpack_from(data)
+        name, self.vocabulary, n_rules, n_docs, n, width = _HEAD.unpack_from(data)
         if name != b"RPG1":
             raise ValueError("not a shard of token ids")
-        at = _HEAD.size
-        self.rules = np.frombuffer(data, "<u4", 3 * n_rules, at).reshape(-1, 3).astype(np.int64)
-        at += 12 * n_rules
+        at, high = _HEAD.size, np.dtype(_high(self.vocabulary + n_rules))
+
+        def planes(n: int) -> np.ndarray:
+            nonlocal at
+            found = np.frombuffer(data, "<u2", n, at).astype(np.int64) | np.frombuffer(data, high, n, at + 2 * n).astype(np.int64) << 16
+            at += (2 + high.itemsize) * n
+            return found
+
+        left, right = planes(n_rules), planes(n_rules)
+        self.rules = np.column_stack([left, right, np.frombuffer(data, f"<u{width}", n_rules, at).astype(np.int64)])
+        at += width * n_rules
         self.index = np.frombuffer(data, [("id", "<i8"), ("null", "u1"), ("first", "<u4"), ("n", "<u4")], n_docs, at)
         at += self.index.nbytes
-        self.symbols = np.frombuffer(data, "<u2", n, at).astype(np.int64) | np.frombuffer(data, "u1", n, at + 2 * n).astype(np.int64) << 16
+        self.symbols = planes(n)
         self._texts: tuple[np.ndarray, np.ndarray] | None = None
 
     def _expansions(self) -> tuple[np.ndarray, np.ndarray]:
@@ -219,15 +257,23 @@ def _write(path: str, shard_tokens: int, vocabulary: int):
     return run
 
 
-def write_token_shards(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """The table of shards, written and opened again. Its rows in the order of (part, k) hold ascending ids."""
+def write_token_shards(docs: DataFrame, out: Scratch | str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """The table of shards, written to a path (or as a scratch table) and opened again.
+
+    Its rows in the order of (part, k) hold ascending ids.
+    """
     from tokenizers import Tokenizer
 
     path = vocabulary or default_vocabulary()
     size = Tokenizer.from_file(path).get_vocab_size()
     texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.xxhash64(f"`{text_col}`").alias("h"))
     ordered = texts.repartitionByRange("id", "h").sortWithinPartitions("id", "h").select("id", "text")
-    return scratch.table(ordered.mapInArrow(_write(path, shard_tokens, size), "part int, k int, n_docs bigint, n_tokens bigint, data binary"), "shards")
+    ship(docs.sparkSession)
+    shards = ordered.mapInArrow(_write(path, shard_tokens, size), SHARDS)
+    if isinstance(out, Scratch):
+        return out.table(shards, "shards")
+    shards.write.option("compression", "zstd").parquet(out)
+    return docs.sparkSession.read.schema(SHARDS).parquet(out)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
