@@ -1,15 +1,21 @@
 """The corpus pipeline: documents to packed training sequences.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. All but the last return the columns
-of ``documents``. Between stages the rows are written as Parquet and read again, so a lost executor costs one stage's
-tasks at most.
+of ``documents``, whatever they are. Between stages the rows are written as Parquet and read again, so a lost executor
+costs one stage's tasks at most; the tables that a stage wrote for itself are deleted then.
+
+Cases, for every stage: null text counts as empty. Empty texts are scored like any other, are one group of exact copies,
+and become sequences of one end token. Null ids are kept; rows that repeat an id are rows of their own (equal ones are
+exact copies). Nulls in other columns don't matter. Columns named like one that a stage uses inside stay as they are. Very
+long texts are read whole; the last stage cuts them. Of equal texts the largest id stays, and of near ones the first row by
+id. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from beamloom.llm._shared import Scratch, documents, tied
+from beamloom.llm._shared import Scratch, documents, release, tied
 from beamloom.llm.exact_dedup import drop_exact_copies
 from beamloom.llm.mixing import mix_documents
 from beamloom.llm.near_dedup import drop_near_copies
@@ -52,5 +58,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over ``documents``."""
     scratch, docs = Scratch(spark), documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = scratch.table(stage(spark, docs, sf_dir), name)
+        made = stage(spark, docs, sf_dir)
+        docs = scratch.table(made, name)
+        release(made)  # the stage's own tables
     return tied(STAGES[-1][1](spark, docs, sf_dir), scratch)
