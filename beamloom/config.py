@@ -130,5 +130,12 @@ class Config:
             raise ValueError(f"unknown auto method: {self.auto_method}")
         if self.layer_gap_s <= 0 or self.refill_tolerance_mm <= 0 or (self.penalty_mm2 is not None and self.penalty_mm2 < 0):
             raise ValueError("gap and tolerance must be positive, the penalty not negative")
-        if not (0 <= self.pass_mm < self.warn_mm and 0 <= self.pass_pp < self.warn_pp):
-            raise ValueError("thresholds must satisfy 0 <= pass < warn")
+
+    @property
+    def position_qa(self) -> bool:
+        """Whether the thresholds allow position quality."""
+        return 0 <= self.pass_mm < self.warn_mm
+
+    @property
+    def dose_qa(self) -> bool:
+        return 0 <= self.pass_pp < self.warn_pp

@@ -1,7 +1,9 @@
 """Registration of detector positions to the plan: rigid and similarity fits, coarse search, fine search.
 
-Fits run on a bounded sample of at most ``FIT_SAMPLES`` rows (every n-th), taken to the driver once; transforms and
-residuals are column expressions over all rows. One fit is for one acquisition.
+One fit is for one acquisition: a grouped map takes an acquisition's positions and its plan and gives one row of a table
+of transforms (acq_id, the affine map ``AFFINE``, and what the map is made of), which is joined back by acq_id. Nothing
+goes to the driver. Within a fit, the steps run on at most ``FIT_SAMPLES`` positions (every n-th), residuals on all.
+Nearest spots are found by a grid over the plan.
 """
 
 from __future__ import annotations
@@ -10,14 +12,23 @@ import math
 from dataclasses import dataclass, replace
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import rows as R
-from .nearest import align_pairs, match_on_layer, match_on_plan
+from ..session import ship
+from .grid import Spots
+from .layers import last_layers, layer_of_row, with_layers
+from .nearest import match_on_layer
 from .quality import weighted_rms
 
+AFFINE = ("m11", "m12", "m21", "m22", "t1", "t2")
+_NUMBERS = ", ".join(f"{c} double" for c in AFFINE)
+_COARSE = f"acq_id {{kind}}, {_NUMBERS}, theta_deg double, tx double, ty double, swap boolean, flip_x boolean, flip_y boolean, rms double, rms_pairs double, n_pairs bigint, n_fit bigint, iterations int"
+_FINE = f"acq_id {{kind}}, {_NUMBERS}, theta_deg double, tx double, ty double, sx double, sy double, rms_before double, rms_after double, n_pairs bigint"
+
 
 @dataclass(frozen=True)
 class Rigid:
@@ -41,6 +52,13 @@ class Rigid:
         c, s = math.cos(math.radians(self.theta_deg)), math.sin(math.radians(self.theta_deg))
         return x * c - y * s + self.tx, x * s + y * c + self.ty
 
+    def matrix(self) -> np.ndarray:
+        """The same as a matrix of two rows, the shift in the last column."""
+        c, s = math.cos(math.radians(self.theta_deg)), math.sin(math.radians(self.theta_deg))
+        turn = np.array([[0.0, 1.0], [1.0, 0.0]]) if self.swap else np.eye(2)
+        m = np.array([[c, -s], [s, c]]) @ np.diag([-1.0 if self.flip_x else 1.0, -1.0 if self.flip_y else 1.0]) @ turn
+        return np.column_stack([m, [self.tx, self.ty]])
+
     def inverse(self, x: Column, y: Column) -> tuple[Column, Column]:
         c, s = math.cos(math.radians(self.theta_deg)), math.sin(math.radians(self.theta_deg))
         x, y = (x - self.tx) * c + (y - self.ty) * s, (y - self.ty) * c - (x - self.tx) * s
@@ -65,36 +83,58 @@ class Similarity:
         c, s = math.cos(math.radians(self.theta_deg)), math.sin(math.radians(self.theta_deg))
         return x * self.sx * c - y * self.sy * s + self.tx, x * self.sx * s + y * self.sy * c + self.ty
 
-    def points(self, p: np.ndarray) -> np.ndarray:
+    def matrix(self) -> np.ndarray:
         c, s = math.cos(math.radians(self.theta_deg)), math.sin(math.radians(self.theta_deg))
-        return (p * [self.sx, self.sy]) @ np.array([[c, s], [-s, c]]) + [self.tx, self.ty]
+        return np.array([[c * self.sx, -s * self.sy, self.tx], [s * self.sx, c * self.sy, self.ty]])
+
+    def points(self, p: np.ndarray) -> np.ndarray:
+        return moved(p, self.matrix())
+
+
+def moved(p: np.ndarray, m: np.ndarray) -> np.ndarray:
+    return p @ m[:, :2].T + m[:, 2]
+
+
+def after(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The matrix of one map after another."""
+    return np.column_stack([second[:, :2] @ first[:, :2], second[:, :2] @ first[:, 2] + second[:, 2]])
+
 
+def apply(rows: DataFrame, transform: Rigid | Similarity | DataFrame | None, a_is_x: bool = False) -> DataFrame:
+    """Rows with transformed positions; rows without both coordinates stay as they are.
 
-def apply(rows: DataFrame, transform: Rigid | Similarity | None, a_is_x: bool = False) -> DataFrame:
-    """Rows with transformed positions; rows without both coordinates stay as they are."""
+    A table of transforms moves each acquisition by its own; acquisitions without one stay as they are.
+    """
     if transform is None:
         return rows
-    x, y = transform.columns(F.col("mx"), F.col("my"))
-    have = F.col("mx").isNotNull() & F.col("my").isNotNull()
-    return R.with_detector_axes(rows.withColumns({"mx": F.when(have, x).otherwise(F.col("mx")), "my": F.when(have, y).otherwise(F.col("my"))}), a_is_x)
+    have, columns = F.col("mx").isNotNull() & F.col("my").isNotNull(), rows.columns
+    if isinstance(transform, DataFrame):
+        rows = rows.join(transform.select("acq_id", F.struct(*AFFINE).alias("_map")), "acq_id", "left")
+        have = have & F.col("_map").isNotNull()
+        x, y = (F.col("_map")[a] * F.col("mx") + F.col("_map")[b] * F.col("my") + F.col("_map")[c] for a, b, c in (("m11", "m12", "t1"), ("m21", "m22", "t2")))
+    else:
+        x, y = transform.columns(F.col("mx"), F.col("my"))
+    out = rows.withColumns({"mx": F.when(have, x).otherwise(F.col("mx")), "my": F.when(have, y).otherwise(F.col("my"))})
+    return R.with_detector_axes(out.select(*columns, *(c for c in ("a", "b") if c not in columns and c in out.columns)), a_is_x)
 
 
 def rigid_sums(pairs: DataFrame) -> DataFrame:
-    """Least-squares rigid fit of each acquisition's pairs (mx, my) to (px, py), from one pass of sums: theta, tx, ty, rms.
+    """Least-squares rigid fit of each acquisition's pairs (mx, my) to (px, py), from one aggregation: theta, tx, ty, rms.
 
-    The best rotation is the angle of (sum of dot products, sum of cross products) of the centred pairs. One pair gives a
-    shift only.
+    The best rotation is the angle of (dot products, cross products) of the centred pairs, which are covariances. One pair
+    gives a shift only.
     """
-    m = pairs.groupBy("acq_id").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in ("mx", "my", "px", "py")])
-    centred = pairs.join(m.select("acq_id", "n", *[F.col(c).alias(f"c{c}") for c in ("mx", "my", "px", "py")]), "acq_id")
-    x, y, u, v = (F.col(c) - F.col(f"c{c}") for c in ("mx", "my", "px", "py"))
-    s = centred.groupBy("acq_id").agg(F.sum(x * u + y * v).alias("dot"), F.sum(x * v - y * u).alias("cross"), F.sum(x * x + y * y + u * u + v * v).alias("sq")).join(m, "acq_id")
-    theta = F.when(F.col("n") > 1, F.atan2("cross", "dot")).otherwise(0.0)
-    s = s.withColumn("theta", theta)
+    cov, n = F.covar_pop, F.col("n")
+    s = pairs.groupBy("acq_id").agg(
+        F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in ("mx", "my", "px", "py")],
+        (cov("mx", "px") + cov("my", "py")).alias("dot"), (cov("mx", "py") - cov("my", "px")).alias("cross"),
+        (F.var_pop("mx") + F.var_pop("my") + F.var_pop("px") + F.var_pop("py")).alias("sq"),
+    )
+    s = s.withColumn("theta", F.when(n > 1, F.atan2("cross", "dot")).otherwise(0.0))
     tx = F.col("px") - (F.cos("theta") * F.col("mx") - F.sin("theta") * F.col("my"))
     ty = F.col("py") - (F.sin("theta") * F.col("mx") + F.cos("theta") * F.col("my"))
     rest = F.col("sq") - 2 * F.sqrt(F.col("dot") * F.col("dot") + F.col("cross") * F.col("cross"))
-    return s.select("acq_id", "n", F.degrees("theta").alias("theta_deg"), tx.alias("tx"), ty.alias("ty"), F.sqrt(F.greatest(rest, F.lit(0.0)) / F.col("n")).alias("rms"))
+    return s.select("acq_id", "n", F.degrees("theta").alias("theta_deg"), tx.alias("tx"), ty.alias("ty"), F.sqrt(F.greatest(rest, F.lit(0.0))).alias("rms"))
 
 
 def rigid_fit(m: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -109,14 +149,10 @@ def rigid_fit(m: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, flo
     return r, t, float(np.sqrt(((m @ r.T + t - p) ** 2).sum(axis=1).mean()))
 
 
-def nearest(m: np.ndarray, plan: np.ndarray, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """Index and distance of the nearest plan point of each position (the first of equal ones), in blocks."""
-    at, d = np.empty(len(m), np.int64), np.empty(len(m))
-    for i in range(0, len(m), block):
-        d2 = ((m[i : i + block, None, :] - plan[None, :, :]) ** 2).sum(axis=2)
-        at[i : i + block] = d2.argmin(axis=1)
-        d[i : i + block] = np.sqrt(d2.min(axis=1))
-    return at, d
+def nearest(m: np.ndarray, plan: np.ndarray | Spots) -> tuple[np.ndarray, np.ndarray]:
+    """Index and distance of the nearest plan point of each position (the first of equal ones)."""
+    at, d2 = (plan if isinstance(plan, Spots) else Spots(plan)).nearest(m)
+    return at, np.sqrt(d2)
 
 
 def stride(n: int, most: int) -> int:
@@ -137,15 +173,17 @@ def seed_degrees(n: int) -> tuple[int, ...]:
     return tuple(range(0, 360, step))
 
 
-def icp(m: np.ndarray, plan: np.ndarray, r: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float, int]:
+def icp(m: np.ndarray, plan: np.ndarray | Spots, r: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float, int]:
     """Nearest points and rigid fit in turn: rotation, shift, rms before the last fit, rms, iterations."""
+    index = plan if isinstance(plan, Spots) else Spots(plan)
+    plan = index.whole
     before, pairs, rms = math.inf, math.nan, math.inf
     k = 0
     for k in range(1, K.ICP_ITERATIONS + 1):
-        moved = m @ r.T + t
-        at, d = nearest(moved, plan)
-        pairs = float(np.sqrt((d * d).mean()))
-        r1, t1, rms = rigid_fit(moved, plan[at])
+        now = m @ r.T + t
+        at, d2 = index.nearest(now)
+        pairs = float(np.sqrt(d2.mean()))
+        r1, t1, rms = rigid_fit(now, plan[at])
         r, t = r1 @ r, r1 @ t + t1
         if abs(before - rms) < K.ICP_TOLERANCE_MM:
             break
@@ -160,7 +198,7 @@ def _start(m: np.ndarray, degrees: float) -> tuple[np.ndarray, np.ndarray]:
     return r, c - r @ c
 
 
-def multistart(m: np.ndarray, plan: np.ndarray, degrees: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, float, float, int]:
+def multistart(m: np.ndarray, plan: np.ndarray | Spots, degrees: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, float, float, int]:
     """The best of several rotations about the centre; stops early at a nearly perfect one."""
     if len(m) < 1 or not np.isfinite(m).all():
         raise ValueError("no finite positions")
@@ -188,7 +226,7 @@ def fit_coarse(xy: np.ndarray, plan: np.ndarray, most: int = K.FIT_SAMPLES) -> R
     live = xy[np.isfinite(xy).all(axis=1)]
     if not len(live) or not len(plan):
         raise ValueError("coarse alignment needs measured and planned positions")
-    sample = live[:: stride(len(live), most)]
+    sample, spots = live[:: stride(len(live), most)], Spots(plan)
     seeds = seed_degrees(len(sample))
 
     def turned(p: np.ndarray, key: tuple[bool, bool, bool]) -> np.ndarray:
@@ -196,10 +234,10 @@ def fit_coarse(xy: np.ndarray, plan: np.ndarray, most: int = K.FIT_SAMPLES) -> R
         return q * [-1.0 if key[1] else 1.0, -1.0 if key[2] else 1.0]
 
     def rest(key, fit) -> float:
-        return float(np.sqrt((nearest(turned(live, key) @ fit[0].T + fit[1], plan)[1] ** 2).mean()))
+        return float(np.sqrt(spots.nearest(turned(live, key) @ fit[0].T + fit[1])[1].mean()))
 
     def attempt(key, degrees):
-        fit = multistart(turned(sample, key), plan, degrees)
+        fit = multistart(turned(sample, key), spots, degrees)
         return fit, rest(key, fit)
 
     narrow = set(seeds) <= set(K.PRESCREEN_DEGREES)
@@ -216,14 +254,25 @@ def fit_coarse(xy: np.ndarray, plan: np.ndarray, most: int = K.FIT_SAMPLES) -> R
     return Rigid(math.degrees(math.atan2(r[1, 0], r[0, 0])), float(t[0]), float(t[1]), *key, rms=rms, rms_pairs=pairs, n_pairs=len(live), n_fit=len(sample), iterations=n)
 
 
-def coarse_align(rows: DataFrame, plan: DataFrame, most: int = K.FIT_SAMPLES) -> Rigid:
-    """Coarse fit of one acquisition's live rows; a strided sample of them comes to the driver (twice ``most`` at most)."""
-    live = rows.filter("mx is not null and my is not null")
-    sample = np.array([(r["mx"], r["my"]) for r in strided(live, 2 * most).orderBy("row_idx").collect()], float).reshape(-1, 2)
-    spots = np.array([(r["x"], r["y"]) for r in plan.orderBy("spot_idx").collect()], float).reshape(-1, 2)
-    fit = fit_coarse(sample, spots, most)
-    rms = match_on_plan(apply(live, fit), plan).agg(F.sqrt(F.avg(F.col("distance") * F.col("distance"))).alias("r"), F.count(F.lit(1)).alias("n")).first()
-    return replace(fit, rms=float(rms["r"]), n_pairs=int(rms["n"]))
+def coarse_align(rows: DataFrame, plan: DataFrame, most: int = K.FIT_SAMPLES) -> DataFrame:
+    """Table of coarse fits, one for each acquisition with measured and planned positions."""
+    ship(rows.sparkSession)
+
+    def fit(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if p.empty or q.empty:
+            return pd.DataFrame(columns=names)
+        g = fit_coarse(p.sort_values("row_idx")[["mx", "my"]].to_numpy(float), q.sort_values("spot_idx")[["x", "y"]].to_numpy(float), most)
+        return pd.DataFrame([[p["acq_id"].iloc[0], *_flat(g), g.theta_deg, g.tx, g.ty, g.swap, g.flip_x, g.flip_y, g.rms, g.rms_pairs, g.n_pairs, g.n_fit, g.iterations]], columns=names)
+
+    schema = _COARSE.format(kind=dict(rows.dtypes)["acq_id"])
+    names = [c.split()[0] for c in schema.split(", ")]
+    live = rows.filter("mx is not null and my is not null").select("acq_id", "row_idx", "mx", "my")
+    return live.groupBy("acq_id").cogroup(plan.select("acq_id", "spot_idx", "x", "y").groupBy("acq_id")).applyInPandas(fit, schema)
+
+
+def _flat(fit) -> list[float]:
+    m = fit if isinstance(fit, np.ndarray) else fit.matrix()
+    return [*m[:, :2].ravel().tolist(), *m[:, 2].tolist()]
 
 
 def gauss_newton(m: np.ndarray, p: np.ndarray, w: np.ndarray, shift: bool = True, rotate: bool = True, scale: bool = True) -> Similarity:
@@ -263,47 +312,80 @@ def gauss_newton(m: np.ndarray, p: np.ndarray, w: np.ndarray, shift: bool = True
     return replace(fit, rms_before=rms(Similarity()), rms_after=rms(fit), n_pairs=len(m))
 
 
-def _rms_of(matched: DataFrame) -> float:
-    got = matched.agg(weighted_rms(F.col("distance"), R.align_weight(F.col("weight"))).alias("r")).first()["r"]
-    return math.nan if got is None else float(got)
+def fit_fine(xy: np.ndarray, weight: np.ndarray, layer: np.ndarray, plan: np.ndarray, plan_layer: np.ndarray, shift: bool = True, rotate: bool = True, scale: bool = True, most: int = K.FIT_SAMPLES) -> tuple[np.ndarray, Similarity] | None:
+    """The map of positions to their layers' nearest spots, as a matrix, and the one similarity closest to it; None unless
+    the weighted distance falls.
 
+    Each round pairs all positions anew and fits every n-th pair. A round's map comes after those before it.
+    """
+    by_layer = [(np.flatnonzero(layer == k), Spots(plan[plan_layer == k])) for k in np.unique(layer) if (plan_layer == k).any()]
 
-def _sample(pairs: DataFrame, most: int, columns: tuple[str, ...]) -> np.ndarray:
-    return np.array([tuple(r[c] for c in columns) for r in strided(pairs, most).orderBy("row_idx").collect()], float).reshape(-1, len(columns))
+    def match(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        target, d = np.full(p.shape, np.nan), np.full(len(p), np.inf)
+        for rows, spots in by_layer:
+            rows = rows[np.isfinite(p[rows]).all(axis=1)]
+            at, d[rows] = nearest(p[rows], spots)
+            target[rows] = spots.whole[at]
+        return target, d
 
+    def rms(d: np.ndarray) -> float:
+        ok = np.isfinite(d) & (weight > 0)
+        return float(np.sqrt((weight[ok] * d[ok] ** 2).sum() / weight[ok].sum())) if ok.any() else math.nan
 
-def fine_align(rows: DataFrame, plan: DataFrame, shift: bool = True, rotate: bool = True, scale: bool = True, a_is_x: bool = False, most: int = K.FIT_SAMPLES) -> tuple[DataFrame, Similarity | None]:
-    """Rows moved by the best similarity to their layers' nearest spots, and that map; the rows as they were and None
-    unless the weighted distance falls.
+    def every(rows: np.ndarray) -> np.ndarray:
+        return rows[:: stride(len(rows), most)]
 
-    Each round pairs all rows anew and fits a sample. The moves are composed as columns, so the rows are never collected.
-    The net map is fitted between first and last positions.
-    """
     if not (shift or rotate or scale):
-        return rows, None
-    begin = rows.withColumns({"_x": F.col("mx"), "_y": F.col("my")})
-    work, matched = begin, match_on_layer(begin, plan)
-    before = last = _rms_of(matched)
+        return None
+    total, now_xy, n = Similarity().matrix(), xy, 0
+    target, d = match(now_xy)
+    before = last = now = rms(d)
     if not math.isfinite(before):
-        return rows, None
-    now, n = before, 0
+        return None
     for k in range(K.FINE_ICP_ITERATIONS):
-        pairs = align_pairs(matched)
-        data = _sample(pairs, most, ("mx", "my", "px", "py", "w"))
-        if not len(data):
-            break
-        n = pairs.count()
-        work = apply(work, gauss_newton(data[:, :2], data[:, 2:4], data[:, 4], shift, rotate, scale), a_is_x)
-        matched = match_on_layer(work, plan)
-        now = _rms_of(matched)
+        pairs = np.flatnonzero(np.isfinite(target).all(axis=1))
+        use, n = every(pairs), len(pairs)
+        step = gauss_newton(now_xy[use], target[use], weight[use], shift, rotate, scale).matrix()
+        total, now_xy = after(total, step), moved(now_xy, step)
+        target, d = match(now_xy)
+        now = rms(d)
         if not math.isfinite(now) or (k > 0 and last - now < K.FINE_ICP_TOLERANCE_MM):
             break
         last = now
     if not math.isfinite(now) or now >= before - 1e-6:
+        return None
+    ends = every(np.flatnonzero(np.isfinite(xy).all(axis=1)))
+    net = gauss_newton(xy[ends], now_xy[ends], weight[ends], shift, rotate, scale)
+    return total, replace(net, rms_before=before, rms_after=now, n_pairs=n)
+
+
+def fine_fits(rows: DataFrame, plan: DataFrame, shift: bool = True, rotate: bool = True, scale: bool = True, most: int = K.FIT_SAMPLES) -> DataFrame:
+    """Table of fine fits, one for each acquisition that it brings closer to its plan."""
+    ship(rows.sparkSession)
+
+    def fit(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if p.empty or q.empty:
+            return pd.DataFrame(columns=names)
+        p, q = p.sort_values("row_idx"), q.sort_values("spot_idx")
+        got = fit_fine(p[["mx", "my"]].to_numpy(float), p["w"].to_numpy(float), p["_layer"].to_numpy(), q[["x", "y"]].to_numpy(float), q["layer"].to_numpy(), shift, rotate, scale, most)
+        if got is None:
+            return pd.DataFrame(columns=names)
+        m, g = got
+        return pd.DataFrame([[p["acq_id"].iloc[0], *_flat(m), g.theta_deg, g.tx, g.ty, g.sx, g.sy, g.rms_before, g.rms_after, g.n_pairs]], columns=names)
+
+    schema = _FINE.format(kind=dict(rows.dtypes)["acq_id"])
+    names = [c.split()[0] for c in schema.split(", ")]
+    placed = rows.join(last_layers(plan), "acq_id", "left").withColumn("_layer", layer_of_row(F.col("layer"), F.col("_last")))
+    light = placed.select("acq_id", "row_idx", "mx", "my", R.align_weight(F.col("weight")).alias("w"), "_layer")
+    return light.groupBy("acq_id").cogroup(with_layers(plan).select("acq_id", "spot_idx", "layer", "x", "y").groupBy("acq_id")).applyInPandas(fit, schema)
+
+
+def fine_align(rows: DataFrame, plan: DataFrame, shift: bool = True, rotate: bool = True, scale: bool = True, a_is_x: bool = False, most: int = K.FIT_SAMPLES) -> tuple[DataFrame, DataFrame | None]:
+    """Rows moved by their acquisition's fine fit, and the table of fits. Where no fit helps, rows are as they were."""
+    if not (shift or rotate or scale):
         return rows, None
-    ends = _sample(work.filter("_x is not null and _y is not null").withColumn("w", R.align_weight(F.col("weight"))), most, ("_x", "_y", "mx", "my", "w"))
-    net = gauss_newton(ends[:, :2], ends[:, 2:4], ends[:, 4], shift, rotate, scale)
-    return work.drop("_x", "_y"), replace(net, rms_before=before, rms_after=now, n_pairs=n)
+    fits = fine_fits(rows, plan, shift, rotate, scale, most)
+    return apply(rows, fits, a_is_x), fits
 
 
 def residual(rows: DataFrame, plan: DataFrame) -> DataFrame:
@@ -311,36 +393,40 @@ def residual(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return match_on_layer(rows, plan).groupBy("acq_id").agg(weighted_rms(F.col("distance"), R.align_weight(F.col("weight"))).alias("rms"))
 
 
-def _side(rigid: Rigid) -> str:
-    parts = [name for name, on in (("A/B swapped", rigid.swap), ("X mirrored", rigid.flip_x), ("Y mirrored", rigid.flip_y)) if on]
-    return ", ".join(parts)
+def _side() -> Column:
+    parts = [F.when(F.col(c), name) for c, name in (("swap", "A/B swapped"), ("flip_x", "X mirrored"), ("flip_y", "Y mirrored"))]
+    joined = F.concat_ws(", ", *parts)
+    return F.when(joined == "", "").otherwise(F.concat(F.lit(" ("), joined, F.lit(")")))
 
 
-def coarse_caption(fit: Rigid | None) -> str:
-    if fit is None:
-        return ""
-    side = _side(fit)
-    return f"Coarse align: {fit.theta_deg:.2f} deg, ({fit.tx:.2f}, {fit.ty:.2f}) mm, RMS {fit.rms:.2f} mm, n = {fit.n_pairs}" + (f" ({side})" if side else "")
+def coarse_captions(fits: DataFrame) -> DataFrame:
+    """(acq_id, caption) of coarse fits."""
+    text = F.format_string("Coarse align: %.2f deg, (%.2f, %.2f) mm, RMS %.2f mm, n = %d", "theta_deg", "tx", "ty", "rms", "n_pairs")
+    return fits.select("acq_id", F.concat(text, _side()).alias("caption"))
 
 
-def fine_caption(fit: Similarity | None) -> str:
-    if fit is None:
-        return ""
-    return f"Fine align: {fit.theta_deg:.2f} deg, ({fit.tx:.2f}, {fit.ty:.2f}) mm, scale {fit.sx:.4f} x {fit.sy:.4f}, RMS {fit.rms_before:.2f} -> {fit.rms_after:.2f} mm, n = {fit.n_pairs}"
+def fine_captions(fits: DataFrame) -> DataFrame:
+    """(acq_id, caption) of fine fits."""
+    text = F.format_string("Fine align: %.2f deg, (%.2f, %.2f) mm, scale %.4f x %.4f, RMS %.2f -> %.2f mm, n = %d", "theta_deg", "tx", "ty", "sx", "sy", "rms_before", "rms_after", "n_pairs")
+    return fits.select("acq_id", text.alias("caption"))
 
 
-def total_caption(before: DataFrame, after: DataFrame, coarse: Rigid | None, fine: Similarity | None, most: int = K.FIT_SAMPLES) -> str:
-    """The whole move from measured to final positions, as one similarity."""
-    if coarse is None and fine is None:
-        return ""
+def total_captions(before: DataFrame, moved_rows: DataFrame, coarse: DataFrame | None, fine: DataFrame | None, most: int = K.FIT_SAMPLES) -> DataFrame | None:
+    """(acq_id, caption): the whole move of each acquisition from measured to final positions, as one similarity after the
+    coarse fit's orientation."""
     if coarse is None:
-        return fine_caption(fine)
-    joined = before.select("acq_id", "row_idx", F.col("mx").alias("x0"), F.col("my").alias("y0")).join(after.select("acq_id", "row_idx", "mx", "my"), ["acq_id", "row_idx"]).dropna()
-    data = _sample(joined, most, ("x0", "y0", "mx", "my"))
-    if not len(data):
-        return coarse_caption(coarse)
-    first = data[:, 1::-1] if coarse.swap else data[:, :2]
-    first = first * [-1.0 if coarse.flip_x else 1.0, -1.0 if coarse.flip_y else 1.0]
-    net = gauss_newton(first, data[:, 2:], np.ones(len(data)))
-    side = _side(coarse)
-    return f"Total align: {net.theta_deg:.2f} deg, ({net.tx:.2f}, {net.ty:.2f}) mm, scale {net.sx:.4f} x {net.sy:.4f}" + (f" ({side})" if side else "")
+        return None if fine is None else fine_captions(fine)
+    ship(before.sparkSession)
+    ends = before.select("acq_id", "row_idx", F.col("mx").alias("x0"), F.col("my").alias("y0")).join(moved_rows.select("acq_id", "row_idx", "mx", "my"), ["acq_id", "row_idx"]).dropna()
+    ends = ends.join(coarse.select("acq_id", "swap", "flip_x", "flip_y"), "acq_id")
+    x, y = F.when(F.col("swap"), F.col("y0")).otherwise(F.col("x0")), F.when(F.col("swap"), F.col("x0")).otherwise(F.col("y0"))
+    turned = strided(ends, most).select("acq_id", "row_idx", F.when(F.col("flip_x"), -x).otherwise(x).alias("x"), F.when(F.col("flip_y"), -y).otherwise(y).alias("y"), "mx", "my")
+
+    def fit(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("row_idx")
+        g = gauss_newton(p[["x", "y"]].to_numpy(float), p[["mx", "my"]].to_numpy(float), np.ones(len(p)))
+        return pd.DataFrame([[p["acq_id"].iloc[0], g.theta_deg, g.tx, g.ty, g.sx, g.sy]], columns=["acq_id", "theta", "x", "y", "sx", "sy"])
+
+    net = turned.groupBy("acq_id").applyInPandas(fit, f"acq_id {dict(before.dtypes)['acq_id']}, theta double, x double, y double, sx double, sy double")
+    text = F.format_string("Total align: %.2f deg, (%.2f, %.2f) mm, scale %.4f x %.4f", "theta", "x", "y", "sx", "sy")
+    return coarse.join(net, "acq_id").select("acq_id", F.concat(text, _side()).alias("caption"))

@@ -15,8 +15,9 @@ from .. import constants as K
 from ..functions import rows as R
 from ..session import ship
 from . import kernels
-from .layers import layer_table, spread_layers
-from .nearest import impute_axes, impute_on_layer, layer_distances, plan_lists
+from .grid import layer_distances
+from .layers import last_layers, layer_table, spread_layers, with_layers
+from .nearest import impute_axes, impute_on_layer
 from .signal import advance_penalty, delivery_metric, delivery_weights, min_episode_rows
 
 _SPANS = "acq_id {kind}, span_id bigint, row_start bigint, row_end bigint, count_ok boolean, n_raw bigint"
@@ -114,14 +115,18 @@ def cheapest_layers(rows: DataFrame, plan: DataFrame, penalty: float | None = No
     """Adds layer: the cheapest monotone path of all rows through the layers. ``penalty`` None: inferred from the plan."""
     ship(rows.sparkSession)
     table = advance_penalty(plan) if penalty is None else plan.select("acq_id").distinct().withColumn("penalty", F.lit(float(penalty)))
-    emit = layer_distances(rows.select("acq_id", "row_idx", "mx", "my"), plan).join(table, "acq_id", "left").select("acq_id", "row_idx", "emit", "penalty")
+    light = rows.select("acq_id", "row_idx", "mx", "my").join(table, "acq_id", "left")
+    spots = with_layers(plan).join(last_layers(plan), "acq_id").select("acq_id", "layer", "x", "y", "_last")
 
-    def path(p: pd.DataFrame) -> pd.DataFrame:
+    def path(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if p.empty or q.empty:
+            return pd.DataFrame(columns=["acq_id", "row_idx", "layer"])
         p = p.sort_values("row_idx")
-        layers = kernels.monotone_layers(np.stack(p["emit"].to_list()), float(p["penalty"].iloc[0]))
+        emit = layer_distances(p[["mx", "my"]].to_numpy(float), q[["x", "y"]].to_numpy(float), q["layer"].to_numpy(), int(q["_last"].iloc[0]) + 1)
+        layers = kernels.monotone_layers(emit, float(p["penalty"].iloc[0]))
         return pd.DataFrame({"acq_id": p["acq_id"], "row_idx": p["row_idx"], "layer": layers.astype("int32")})
 
-    got = emit.groupBy("acq_id").applyInPandas(path, f"acq_id {_kind(rows)}, row_idx bigint, layer int")
+    got = light.groupBy("acq_id").cogroup(spots.groupBy("acq_id")).applyInPandas(path, f"acq_id {_kind(rows)}, row_idx bigint, layer int")
     return rows.drop("layer").join(got, ["acq_id", "row_idx"])
 
 
@@ -134,7 +139,7 @@ def assign_by_path(rows: DataFrame, plan: DataFrame, penalty: float | None = Non
     if penalty is not None and penalty < 0:
         raise ValueError("the penalty must not be negative")
     fit = R.with_plan_axes(rows.filter("fit_a is not null and t is not null"), a_is_x).filter(R.position_ok(heal)).withColumn("weight", R.spot_weight(weight_mode))
-    whole = impute_axes(fit.withColumns({"_x": F.col("mx"), "_y": F.col("my")}), plan_lists(plan)) if heal else fit
+    whole = impute_axes(fit.withColumns({"_x": F.col("mx"), "_y": F.col("my")}), plan) if heal else fit
     layered = cheapest_layers(whole, plan, penalty)
     if heal:
         layered = impute_on_layer(layered.withColumns({"mx": F.col("_x"), "my": F.col("_y")}).drop("_x", "_y"), plan)
@@ -152,7 +157,7 @@ def prepare_auto(rows: DataFrame, plan: DataFrame, weight_mode: str = "channel_s
     typed = typed.withColumns({"weight": R.spot_weight(weight_mode, auto=True), "channel": F.when(F.col("channel") > 0, F.col("channel")).otherwise(1.0), "fit_a": F.coalesce("fit_a", F.lit(0.0))})
     if heal:
         alive = typed.filter("partial >= 0")
-        healed = impute_axes(alive, plan_lists(plan))
+        healed = impute_axes(alive, plan)
         typed = healed.unionByName(typed.filter("partial < 0")) if with_dead else healed
     return numbered(R.with_detector_axes(typed, a_is_x))
 

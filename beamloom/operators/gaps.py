@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import rows as R
-from .nearest import impute_axes, layer_distances, plan_lists
+from .nearest import impute_axes, layer_distances
 
 
 def _rows() -> WindowSpec:
@@ -66,7 +66,7 @@ def assign_by_gap(rows: DataFrame, plan: DataFrame | None, gap_s: float = K.LAYE
         spots = gap_spots(fit.fillna(0.0, ["mx", "my"]), gap_s, tolerance_mm)
         return R.with_detector_axes(spots.withColumn("layer", F.col("spot_id").cast("int")), a_is_x).drop("_new")
     if heal:
-        fit = impute_axes(fit.withColumns({"_x": F.col("mx"), "_y": F.col("my")}), plan_lists(plan))
+        fit = impute_axes(fit.withColumns({"_x": F.col("mx"), "_y": F.col("my")}), plan)
     out = gap_layers(gap_spots(fit, gap_s, tolerance_mm), plan, trust_mm).drop("_new")
     if heal:
         from .nearest import impute_on_layer

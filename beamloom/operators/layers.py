@@ -24,6 +24,11 @@ def layer_energies(plan: DataFrame) -> DataFrame:
     return runs.select("acq_id", (F.row_number().over(_order()) - 1).cast("int").alias("layer"), "energy")
 
 
+def last_layers(plan: DataFrame) -> DataFrame:
+    """(acq_id, _last): the number of each plan's last layer."""
+    return layer_energies(plan).groupBy("acq_id").agg(F.max("layer").alias("_last"))
+
+
 def with_layers(plan: DataFrame) -> DataFrame:
     """Adds layer (first match by energy) and local_idx (place among the layer's spots).
 

@@ -7,12 +7,12 @@ the plan format, not by the data. Equal distances go to the lowest spot_idx.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import rows as R
-from .layers import layer_of_row, layer_table, with_layers
+from .layers import last_layers, layer_of_row, layer_table, with_layers
 
 _SPOT = ("spot_idx", "local_idx", "x", "y", "energy", "mu")
 
@@ -56,8 +56,7 @@ def match_on_layer(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
     distance is infinite, and the expected values missing, for rows without a position and on layers without spots.
     """
-    last = layer_table(plan).groupBy("acq_id").agg(F.max("layer").alias("_last"))
-    placed = rows.join(last, "acq_id", "left").withColumn("_layer", layer_of_row(F.col("layer"), F.col("_last")))
+    placed = rows.join(last_layers(plan), "acq_id", "left").withColumn("_layer", layer_of_row(F.col("layer"), F.col("_last")))
     lists = layer_lists(plan).withColumnRenamed("layer", "_layer")
     return _with_match(placed.join(lists, ["acq_id", "_layer"], "left")).drop("_layer", "_last")
 
@@ -90,24 +89,44 @@ def distances_long(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return layer_distances(rows.select("acq_id", "row_idx", "mx", "my"), plan).select("acq_id", "row_idx", F.posexplode("emit").alias("layer", "d2"))
 
 
-def impute_axes(rows: DataFrame, lists: DataFrame, on: list[str] | None = None) -> DataFrame:
+def _nearest_along(rows: DataFrame, spots: DataFrame, axis: str, value: Column, keys: list[str]) -> DataFrame:
+    """(acq_id, row_idx, _s): the spot nearest to each row along one axis, by sorting rows and spots together.
+
+    Of spots with equal distances the lowest spot_idx counts. Going up, the last spot before a row is the nearest one
+    below it; going down, the nearest one above it.
+    """
+    once = spots.groupBy(*keys, F.col(axis).alias("_v")).agg(F.min(F.struct("spot_idx", "x", "y")).alias("_p"))
+    places = once.select(*keys, "_v", F.lit(None).cast("bigint").alias("row_idx"), F.struct(F.col("_v").alias("v"), "_p.*").alias("_p"))
+    wanted = rows.select(*keys, value.alias("_v"), "row_idx", F.lit(None).cast(dict(places.dtypes)["_p"]).alias("_p"))
+    both = places.unionByName(wanted)
+    up, down = (Window.partitionBy(*keys).orderBy(v, F.col("_p").isNull()) for v in (F.col("_v").asc(), F.col("_v").desc()))
+    seen = lambda w: F.last("_p", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = both.withColumn("_a", seen(up)).withColumn("_b", seen(down)).filter("row_idx is not null")
+    far = lambda c: F.struct(F.abs(F.col(c)["v"] - F.col("_v")).alias("d"), F.col(c)["spot_idx"].alias("spot_idx"), F.col(c)["x"].alias("x"), F.col(c)["y"].alias("y"))
+    best = F.least(F.when(F.col("_a").isNotNull(), far("_a")), F.when(F.col("_b").isNotNull(), far("_b")))
+    return found.select(*keys, "row_idx", best.alias("_s"))
+
+
+def impute_axes(rows: DataFrame, spots: DataFrame, on: list[str] | None = None) -> DataFrame:
     """Completes rows with one axis: both axes become those of the spot that is nearest along the known one.
 
-    Rows without any axis become the spot with the smallest x. ``lists`` has spots for each acquisition (or layer).
+    Rows without any axis become the spot with the smallest x. ``spots`` are a plan's, or a layer's (with its key in ``on``).
     """
-    on = on or ["acq_id"]
-    near = lambda axis, value: F.array_min(F.transform("spots", lambda s: F.struct(F.abs(s[axis] - value).alias("d"), s.alias("spot"))))["spot"]
-    leftmost = F.array_min(F.transform("spots", lambda s: F.struct(s["x"].alias("x"), s.alias("spot"))))["spot"]
-    joined = rows.join(lists, on, "left")
-    spot = F.when(F.col("mx").isNotNull() & F.col("my").isNotNull(), None).when(F.col("mx").isNotNull(), near("x", F.col("mx"))).when(F.col("my").isNotNull(), near("y", F.col("my"))).otherwise(leftmost)
-    joined = joined.withColumn("_s", spot)
-    return joined.withColumns({"mx": F.coalesce("_s.x", "mx"), "my": F.coalesce("_s.y", "my")}).drop("_s", "spots")
+    keys = on or ["acq_id"]
+    only_x, only_y = rows.filter("mx is not null and my is null"), rows.filter("mx is null and my is not null")
+    near = _nearest_along(only_x, spots, "x", F.col("mx"), keys).unionByName(_nearest_along(only_y, spots, "y", F.col("my"), keys))
+    near = near.select("acq_id", "row_idx", F.col("_s.x").alias("_x1"), F.col("_s.y").alias("_y1"))
+    left = spots.groupBy(*keys).agg(F.min(F.struct("x", "spot_idx", "y")).alias("_l"))
+    none = F.col("mx").isNull() & F.col("my").isNull()
+    joined = rows.join(near, ["acq_id", "row_idx"], "left").join(left, keys, "left")
+    x, y = F.when(none, F.col("_l.x")).otherwise(F.coalesce("_x1", "mx")), F.when(none, F.col("_l.y")).otherwise(F.coalesce("_y1", "my"))
+    return joined.withColumns({"_x1": x, "_y1": y}).withColumns({"mx": F.col("_x1"), "my": F.col("_y1")}).drop("_x1", "_y1", "_l")
 
 
 def impute_on_layer(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """The same within each row's own layer."""
     placed = rows.withColumn("_layer", F.col("layer").cast("int"))
-    return impute_axes(placed, layer_lists(plan).withColumnRenamed("layer", "_layer"), ["acq_id", "_layer"]).drop("_layer")
+    return impute_axes(placed, with_layers(plan).withColumnRenamed("layer", "_layer"), ["acq_id", "_layer"]).drop("_layer")
 
 
 def distance_to_energy(rows: DataFrame, plan: DataFrame, energy: float) -> DataFrame:

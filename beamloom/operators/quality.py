@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.rows import charge
-from .layers import layer_table, with_layers
+from .layers import last_layers, layer_of_row, with_layers
 from .nearest import match_on_layer
 
 
@@ -50,19 +50,19 @@ def dose_fractions(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Matched rows with plan_fraction, measured_fraction, deviation_pp and signed_pp of their nearest spot.
 
     Fractions are of the layer: planned weight by the layer's total, measured charge of the spot by the layer's total.
-    They are missing where a weight is missing or a total isn't positive. Spots and layers are summed in one pass each.
+    They are missing where a weight is missing or a total isn't positive. Rows are shuffled once, by layer; the sums are
+    windows over a layer of an acquisition.
     """
-    m = match_on_layer(rows, plan).withColumns({"_layer": F.greatest(F.coalesce(F.rint("layer"), F.lit(0.0)), F.lit(0.0)).cast("int"), "_q": charge(F.col("weight"), F.col("channel"))})
-    last = layer_table(plan).groupBy("acq_id").agg(F.max("layer").alias("_last"))
-    m = m.join(last, "acq_id", "left").withColumn("_layer", F.least("_layer", "_last")).drop("_last")
-    hit = F.col("nn_local_idx") >= 0
-    spot = m.filter(hit).groupBy("acq_id", "_layer", "nn_local_idx").agg(F.sum("_q").alias("_spot_q"))
-    layer = spot.groupBy("acq_id", "_layer").agg(F.sum("_spot_q").alias("_layer_q"))
+    m = match_on_layer(rows, plan).join(last_layers(plan), "acq_id", "left")
+    m = m.withColumns({"_layer": layer_of_row(F.col("layer"), F.col("_last")), "_hit": F.col("nn_local_idx") >= 0}).drop("_last")
+    q = F.when(F.col("_hit"), charge(F.col("weight"), F.col("channel")))
+    layer = Window.partitionBy("acq_id", "_layer")
     planned = with_layers(plan).groupBy("acq_id", F.col("layer").alias("_layer")).agg(F.sum("mu").alias("_layer_mu"))
-    out = m.join(spot, ["acq_id", "_layer", "nn_local_idx"], "left").join(layer, ["acq_id", "_layer"], "left").join(planned, ["acq_id", "_layer"], "left")
+    sums = {"_layer_q": F.sum(q).over(layer), "_spot_q": F.when(F.col("_hit"), F.sum(q).over(Window.partitionBy("acq_id", "_layer", "nn_local_idx")))}
+    out = m.withColumns(sums).join(planned, ["acq_id", "_layer"], "left")
     out = out.withColumn("plan_fraction", F.when(F.col("_layer_mu") > 0, F.col("expected_mu") / F.col("_layer_mu"))).withColumn("measured_fraction", F.when(F.col("_layer_q") > 0, F.col("_spot_q") / F.col("_layer_q")))
     signed = (F.col("measured_fraction") - F.col("plan_fraction")) * 100
-    return out.withColumns({"signed_pp": signed, "deviation_pp": F.abs(signed)}).drop("_layer", "_q", "_spot_q", "_layer_q", "_layer_mu")
+    return out.withColumns({"signed_pp": signed, "deviation_pp": F.abs(signed)}).drop("_layer", "_hit", "_spot_q", "_layer_q", "_layer_mu")
 
 
 def weighted_rms(distance: Column, weight: Column) -> Column:

@@ -1,7 +1,7 @@
 """The whole dataflow: rows and plan to measured spots, quality, coverage and the combined export.
 
-Phases are DataFrame transforms; nothing runs before a result is asked for, but for the alignment fits, which need
-numbers. A progress callback is told the name of each phase as its plan is made.
+Phases are DataFrame transforms, the alignment fits too (a table of transforms by acquisition), so nothing runs before a
+result is asked for. A progress callback is told the name of each phase as its plan is made.
 """
 
 from __future__ import annotations
@@ -30,7 +30,8 @@ def quiet(phase: str) -> None:
 
 @dataclass(frozen=True)
 class Result:
-    """Lazy results of a run. ``measured`` has the fine-aligned spots where that helped."""
+    """Lazy results of a run. ``measured`` has the fine-aligned spots where that helped; ``coarse`` and ``fine`` are the
+    tables of transforms, and None where that alignment wasn't asked for."""
 
     plan: DataFrame
     assigned: DataFrame
@@ -39,17 +40,27 @@ class Result:
     missing: DataFrame
     delivery: DataFrame
     mode: str
-    coarse: alignment.Rigid | None
-    fine: alignment.Similarity | None
+    coarse: DataFrame | None
+    fine: DataFrame | None
 
-    def position_counts(self, config: Config) -> DataFrame:
+    def position_counts(self, config: Config) -> DataFrame | None:
+        """None where the thresholds are no thresholds."""
+        if not config.position_qa:
+            return None
         return quality.position_counts(self.matched, config.pass_mm, config.warn_mm)
 
-    def dose_counts(self, config: Config) -> DataFrame:
+    def dose_counts(self, config: Config) -> DataFrame | None:
+        if not config.dose_qa:
+            return None
         return quality.dose_counts(quality.dose_fractions(self.measured, self.plan), config.pass_pp, config.warn_pp)
 
-    def caption(self) -> str:
-        return alignment.fine_caption(self.fine) or alignment.coarse_caption(self.coarse)
+    def captions(self) -> DataFrame | None:
+        """(acq_id, caption) of the last alignment that moved each acquisition."""
+        coarse = None if self.coarse is None else alignment.coarse_captions(self.coarse)
+        if self.fine is None:
+            return coarse
+        fine = alignment.fine_captions(self.fine)
+        return fine if coarse is None else fine.unionByName(coarse.join(fine, "acq_id", "left_anti"))
 
 
 def _parameters(config: Config, mode: str) -> dict:
@@ -70,10 +81,7 @@ def run(rows: DataFrame, plan: DataFrame | None, config: Config, has_gate: bool
     coarse = None
     if config.coarse and plan is not None:
         progress("coarse alignment")
-        try:
-            coarse = alignment.coarse_align(R.with_plan_axes(rows.filter("fit_a is not null"), config.a_is_x), plan)
-        except ValueError as e:
-            log.warning("coarse alignment is skipped: %s", e)
+        coarse = alignment.coarse_align(R.with_plan_axes(rows.filter("fit_a is not null"), config.a_is_x), plan)
         rows = alignment.apply(R.with_plan_axes(rows, config.a_is_x), coarse, config.a_is_x)
     progress("assignment")
     assigned = assign.assign(rows, plan, mode, **_parameters(config, mode))
@@ -102,12 +110,14 @@ def export(result: Result, config: Config) -> DataFrame:
     layer = F.rint("layer").cast("int")
     table = layer_table(result.plan).select("acq_id", F.col("layer").alias("layer_index"), F.col("energy").alias("nominal_energy_mev"))
     index = F.row_number().over(Window.partitionBy("acq_id").orderBy("row_idx")).cast("int")
-    yes = lambda v: F.lit("yes" if v else "no")
+    yes = lambda v: F.when(v, "yes").otherwise("no")
+    fits = None if result.fine is None else result.fine.select("acq_id", F.lit(True).alias("_aligned"))
+    m = m.withColumn("_aligned", F.lit(False)) if fits is None else m.join(fits, "acq_id", "left").fillna(False, ["_aligned"])
     out = m.withColumn("layer_index", layer).join(table, ["acq_id", "layer_index"], "left").select(
-        "acq_id", index.alias("spot_index"), yes(config.aggregate).alias("aggregated"), "layer_index", "nominal_energy_mev", F.col("a").alias("measured_fit_a_mm"), F.col("b").alias("measured_fit_b_mm"), F.col("weight").alias("spot_weight"),
+        "acq_id", index.alias("spot_index"), yes(F.lit(config.aggregate)).alias("aggregated"), "layer_index", "nominal_energy_mev", F.col("a").alias("measured_fit_a_mm"), F.col("b").alias("measured_fit_b_mm"), F.col("weight").alias("spot_weight"),
         F.col("partial").cast("int").alias("partial_code"), F.col("sigma_a").alias("sigma_a_mm"), F.col("sigma_b").alias("sigma_b_mm"), F.col("expected_x").alias("expected_plan_x_mm"), F.col("expected_y").alias("expected_plan_y_mm"),
         F.col("expected_energy").alias("expected_plan_energy_mev"), F.col("expected_mu").alias("expected_plan_mu"), R.finite(F.col("distance")).alias("plan_xy_distance_mm"), (F.col("plan_fraction") * 100).alias("plan_dose_fraction_pct"),
-        (F.col("measured_fraction") * 100).alias("meas_dose_fraction_pct"), F.col("deviation_pp").alias("dose_deviation_pp"), yes(result.fine is not None).alias("positions_aligned_to_plan"),
+        (F.col("measured_fraction") * 100).alias("meas_dose_fraction_pct"), F.col("deviation_pp").alias("dose_deviation_pp"), yes(F.col("_aligned")).alias("positions_aligned_to_plan"),
     )
     return out.select("acq_id", *K.EXPORT_COLUMNS)
 
@@ -121,5 +131,5 @@ def run_files(spark: SparkSession, acquisition_path: str, plan_path: str, config
     plan = plans.read_plan(spark, plan_path).withColumn("acq_id", F.lit(stem))
     result = run(acquisition.typed(text, stem), plan, config, acquisition.has_gate_counter(text.columns), progress)
     if not result.assigned.head(1):
-        raise ValueError("no row of the acquisition is assigned")
+        raise ValueError("the flier filter leaves no row" if config.flier_sigma else "no row of the acquisition is assigned")
     return result

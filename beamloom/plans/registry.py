@@ -65,7 +65,7 @@ def _tiers(d: str) -> str:
     return f"count(*) FILTER ({d} <= 1) AS n_pass, count(*) FILTER ({d} > 1 AND {d} <= 3) AS n_warn, count(*) FILTER ({d} > 3) AS n_fail, count(*) AS n"
 
 
-@query(sql(*_HIT[:4], "gated", "rows", "spots", "spothit", body=f"SELECT acq_id, CAST(layer AS INTEGER) AS layer, {_tiers('distance')} FROM spothit GROUP BY ALL") .replace("gated AS", "gated AS"))
+@query(sql(*_HIT[:4], "gated", "rows", "spots", "spothit", body=f"SELECT acq_id, CAST(layer AS INTEGER) AS layer, {_tiers('distance')} FROM spothit GROUP BY ALL"))
 def position_qa_by_layer(spark: SparkSession, sf: str) -> DataFrame:
     """Position tiers of measured spots by energy layer."""
     matched = nearest.match_on_layer(_spots(spark, sf), plan_view(spark, sf)).withColumn("layer", F.col("layer").cast("int"))
@@ -181,7 +181,7 @@ _IMPUTE = "SELECT acq_id, row_idx, x AS mx, y AS my FROM (SELECT a.acq_id, a.row
 @query(sql("plan", "acq", body=_IMPUTE))
 def impute_nearest_axis(spark, sf):
     one = R.with_plan_axes(acquisition_view(spark, sf)).filter("partial in (1, 2)")
-    return nearest.impute_axes(one, nearest.plan_lists(plan_view(spark, sf))).select("acq_id", "row_idx", "mx", "my")
+    return nearest.impute_axes(one, plan_view(spark, sf)).select("acq_id", "row_idx", "mx", "my")
 
 
 @query(sql(*_HIT, body="SELECT acq_id, row_idx FROM hit WHERE sqrt(((mx - ex) / coalesce(sigma_b, 0.35)) * ((mx - ex) / coalesce(sigma_b, 0.35)) + ((my - ey) / sigma_a) * ((my - ey) / sigma_a)) <= 1.5"))
@@ -403,13 +403,13 @@ def auto_parameters(spark, sf):
 
 @query()
 def coarse_align(spark, sf):
-    plan, rows = plan_view(spark, sf).filter("acq_id = 0"), _spots(spark, sf).filter("acq_id = 0")
+    plan, rows = plan_view(spark, sf), _spots(spark, sf)
     return alignment.apply(rows, alignment.coarse_align(rows, plan)).select("acq_id", "spot_id", "mx", "my")
 
 
 @query()
 def fine_align(spark, sf):
-    plan, rows = plan_view(spark, sf).filter("acq_id = 0"), _spots(spark, sf).filter("acq_id = 0")
+    plan, rows = plan_view(spark, sf), _spots(spark, sf)
     return alignment.fine_align(rows, plan)[0].select("acq_id", "spot_id", "mx", "my")
 
 

@@ -16,14 +16,21 @@ def export_cells(df: DataFrame) -> DataFrame:
 
 
 def write_export(df: DataFrame, path: str) -> None:
-    """A folder of CSV files with headers, written in parallel; missing values are empty."""
+    """A folder of CSV files with headers, written in parallel; missing values are empty. No row at all is an error."""
+    if not df.head(1):
+        raise ValueError("nothing to export")
     export_cells(df).write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
 
 
 def write_export_file(df: DataFrame, path: str, metadata: dict[str, str] | None = None) -> int:
-    """One CSV file with a preamble of "# key: value" lines, for one acquisition; rows stream through the driver."""
+    """One CSV file with a preamble of "# key: value" lines, for one acquisition; rows stream through the driver.
+
+    No row at all is an error, and no file is written then.
+    """
     n = 0
     rows = export_cells(df.orderBy("spot_index"))
+    if not rows.head(1):
+        raise ValueError("nothing to export")
     with open(path, "w", encoding="utf-8", newline="") as out:
         out.writelines(f"# {k}: {v}\n" for k, v in (metadata or {}).items())
         out.write(",".join(K.EXPORT_COLUMNS) + "\n")

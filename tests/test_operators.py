@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from beamloom import constants as K
 from beamloom.functions import captions, colors, depth, scene
-from beamloom.operators import alignment, assign, display, episodes, gaps, gates, kernels, layers, nearest, quality, signal, spots
+from beamloom.operators import alignment, assign, display, episodes, gaps, gates, grid, kernels, layers, nearest, quality, signal, spots
 
 PLAN = "acq_id int, spot_idx bigint, x double, y double, energy double, mu double, fwhm_x double, fwhm_y double"
 ROWS = "acq_id int, row_idx bigint, t double, a double, b double, channel double, fit_a double, fit_b double, sigma_a double, sigma_b double, gate int"
@@ -268,7 +268,7 @@ def test_fliers_and_imputation(spark):
     plan = plan_of(spark, [(0, 0, 100)])
     assert nearest.filter_fliers(row, plan, 3.0).count() == 1 and nearest.filter_fliers(row, plan, 2.9).count() == 0 and nearest.filter_fliers(row, plan, 0).count() == 1
     part = spark.createDataFrame([(0, 0, 4.0, None), (0, 1, None, 4.9), (0, 2, None, None), (0, 3, 1.0, 1.0)], "acq_id int, row_idx bigint, mx double, my double")
-    got = nearest.impute_axes(part, nearest.plan_lists(plan_of(spark, SMALL))).orderBy("row_idx").collect()
+    got = nearest.impute_axes(part, plan_of(spark, SMALL)).orderBy("row_idx").collect()
     assert [(r["mx"], r["my"]) for r in got] == [(5.0, 0.0), (0.0, 5.0), (0.0, 0.0), (1.0, 1.0)]
 
 
@@ -305,13 +305,52 @@ def test_fine(spark):
         u, v = x - truth.tx, y - truth.ty
         inverse.append(((u * c - v * s) / truth.sx, (u * s + v * c) / truth.sy))
     rows = spark.createDataFrame([(0, i, float(y), float(x), float(x), float(y), 0.0, 1.0) for i, (x, y) in enumerate(inverse)], "acq_id int, row_idx bigint, a double, b double, mx double, my double, layer double, weight double")
-    out, fit = alignment.fine_align(rows, plan_of(spark, plan))
-    assert abs(fit.theta_deg - truth.theta_deg) < 0.22 and abs(fit.sx - truth.sx) < 0.15 and abs(fit.tx - truth.tx) < 0.2 and fit.rms_after < 0.2
+    out, fits = alignment.fine_align(rows, plan_of(spark, plan))
+    fit = fits.first()
+    assert abs(fit["theta_deg"] - truth.theta_deg) < 0.22 and abs(fit["sx"] - truth.sx) < 0.15 and abs(fit["tx"] - truth.tx) < 0.2 and fit["rms_after"] < 0.2
     assert alignment.residual(out, plan_of(spark, plan)).first()["rms"] < 0.2
     assert alignment.fine_align(rows, plan_of(spark, plan), False, False, False)[1] is None
     one = alignment.gauss_newton(np.array([[1.0, 2.0]]), np.array([[3.0, 5.0]]), np.ones(1))
     assert (one.theta_deg, one.tx, one.ty, one.sx) == (0.0, 2.0, 3.0, 1.0)
-    assert "Fine align" in alignment.fine_caption(fit) and alignment.coarse_caption(None) == ""
+    assert alignment.fine_captions(fits).first()["caption"].startswith("Fine align: ")
+
+
+def _turned(points, degrees, shift):
+    """Positions whose rotation by ``degrees`` and shift gives the points."""
+    c, s = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
+    return (np.asarray(points) - shift) @ np.array([[c, -s], [s, c]])
+
+
+def test_alignment_is_by_acquisition(spark):
+    """Acquisitions turned by +1 and -1 degree, one without positions, one without a plan."""
+    points = np.random.default_rng(6).uniform(-30, 30, (40, 2)).tolist()
+    turns = {0: (1.0, (0.3, -0.2)), 1: (-1.0, (-0.1, 0.4))}
+    plan = spark.createDataFrame([(a, i, x, y, 100.0, 1.0, None, None) for a in (0, 1, 2) for i, (x, y) in enumerate(points)], PLAN)
+    data = [(a, i, float(y), float(x), 0.0, 1.0) for a, (d, t) in turns.items() for i, (x, y) in enumerate(_turned(points, d, t))]
+    data += [(2, 0, None, None, 0.0, 1.0), (3, 0, 1.0, 2.0, 0.0, 1.0)]
+    rows = spark.createDataFrame(data, "acq_id int, row_idx bigint, a double, b double, layer double, weight double").selectExpr("*", "b mx", "a my")
+    for out, fits in (alignment.fine_align(rows, plan), (alignment.apply(rows, whole := alignment.coarse_align(rows, plan)), whole)):
+        found = {r["acq_id"]: r for r in fits.collect()}
+        assert found.keys() == {0, 1}
+        for a, (d, t) in turns.items():
+            c, s = math.cos(math.radians(d)), math.sin(math.radians(d))  # an orientation and a rotation may make the same map
+            assert [found[a][k] for k in alignment.AFFINE] == pytest.approx([c, -s, s, c, *t], abs=2e-3)
+        assert out.columns == rows.columns and out.count() == len(data)
+        rms = {r["acq_id"]: r["rms"] for r in alignment.residual(out, plan).collect()}
+        assert rms[0] < 2e-3 and rms[1] < 2e-3 and rms[2] is None
+        assert [r["mx"] for r in out.filter("acq_id = 3").collect()] == [2.0]
+    captions_ = {r["acq_id"]: r["caption"] for r in alignment.total_captions(rows, alignment.apply(rows, whole), whole, None).collect()}
+    assert captions_.keys() == {0, 1} and all(c.startswith("Total align: ") for c in captions_.values())
+
+
+def test_grid_like_all_pairs():
+    rng = np.random.default_rng(11)
+    for _ in range(60):
+        p = rng.integers(0, 9, (int(rng.integers(1, 40)), 2)).astype(float) * rng.choice([0.1, 1, 50], 2)
+        q = np.concatenate([rng.normal(0, 100, (30, 2)), p[:5] + 0.01, p[:5], rng.uniform(-1, 10, (30, 2))])
+        d2 = ((q[:, None] - p[None]) ** 2).sum(axis=2)
+        at, found = grid.Spots(p).nearest(q)
+        assert (at == d2.argmin(axis=1)).all() and (found == d2.min(axis=1)).all()
 
 
 def test_depth(spark):

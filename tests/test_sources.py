@@ -105,5 +105,5 @@ def test_config():
     assert config.weight_mode("Fit-A") == "fit_amplitude_a" and config.saved_weight_mode("what") == "channel_sum"
     assert config.resolved_mode("gate_counter", False, True) == "time_gap" and config.resolved_mode("auto", False, False) == "time_gap" and config.resolved_mode("?", True, True) == "gate_counter"
     assert config.chosen_assignment("plan_sequential") == ("auto", "plan_sequential", True) and config.chosen_mode("time_gap") == "gate_counter"
-    with pytest.raises(ValueError):
-        config.Config(pass_mm=3, warn_mm=1)
+    bad = config.Config(pass_mm=3, warn_mm=1)
+    assert not bad.position_qa and bad.dose_qa
