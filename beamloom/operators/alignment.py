@@ -267,7 +267,7 @@ def coarse_align(rows: DataFrame, plan: DataFrame, most: int = K.FIT_SAMPLES) ->
     schema = _COARSE.format(kind=dict(rows.dtypes)["acq_id"])
     names = [c.split()[0] for c in schema.split(", ")]
     live = rows.filter("mx is not null and my is not null").select("acq_id", "row_idx", "mx", "my")
-    return live.groupBy("acq_id").cogroup(plan.select("acq_id", "spot_idx", "x", "y").groupBy("acq_id")).applyInPandas(fit, schema)
+    return live.groupBy("acq_id").cogroup(plan.select(F.col("acq_id").alias("of"), "spot_idx", "x", "y").groupBy("of")).applyInPandas(fit, schema)
 
 
 def _flat(fit) -> list[float]:
@@ -377,7 +377,7 @@ def fine_fits(rows: DataFrame, plan: DataFrame, shift: bool = True, rotate: bool
     names = [c.split()[0] for c in schema.split(", ")]
     placed = rows.join(last_layers(plan), "acq_id", "left").withColumn("_layer", layer_of_row(F.col("layer"), F.col("_last")))
     light = placed.select("acq_id", "row_idx", "mx", "my", R.align_weight(F.col("weight")).alias("w"), "_layer")
-    return light.groupBy("acq_id").cogroup(with_layers(plan).select("acq_id", "spot_idx", "layer", "x", "y").groupBy("acq_id")).applyInPandas(fit, schema)
+    return light.groupBy("acq_id").cogroup(with_layers(plan).select(F.col("acq_id").alias("of"), "spot_idx", "layer", "x", "y").groupBy("of")).applyInPandas(fit, schema)
 
 
 def fine_align(rows: DataFrame, plan: DataFrame, shift: bool = True, rotate: bool = True, scale: bool = True, a_is_x: bool = False, most: int = K.FIT_SAMPLES) -> tuple[DataFrame, DataFrame | None]:

@@ -81,13 +81,38 @@ def display_sample(points: DataFrame, glyphs: bool = False) -> DataFrame:
     return strided(points, K.GLYPH_CAP if glyphs else K.POINT_TARGET)
 
 
-def display_measured(matched: DataFrame, plan: DataFrame, pass_mm: float = K.PASS_MM, warn_mm: float = K.WARN_MM, hide: bool = False, glyphs: bool = False, water: bool = False) -> DataFrame:
-    """Measured points of the view: tier colours, heights, sizes, within the budget."""
-    from ..functions.colors import by_position
+def sliced(points: DataFrame, energies: tuple[float, float] | None = None, start: float | None = None, window: float = -1, energy: str = "nominal_energy", t: str = "t", t_min: float | None = None) -> DataFrame:
+    """Points within a range of energies and of times, where these are given."""
+    if energies is not None:
+        points = points.filter(energy_slice(F.col(energy), *energies))
+    return points if start is None else points.filter(time_slice(F.col(t), start, window, t_min))
 
-    shown = hide_passed(matched, "distance", pass_mm) if hide else matched
-    coloured = by_position(display_sample(shown, glyphs), pass_mm, warn_mm)
-    return with_scene_z(row_energies(sigma_sizes(coloured), layer_table(plan)), plan, "nominal_energy", water)
+
+def error_segments(matched: DataFrame, plan: DataFrame, pass_mm: float = K.PASS_MM, water: bool = False) -> DataFrame:
+    """Segments of the view from measured to expected positions beyond the pass threshold, with scene heights of both ends."""
+    far = row_energies(matched, layer_table(plan)).filter((F.col("distance") > pass_mm) & F.col("expected_x").isNotNull())
+    ends = with_scene_z(with_scene_z(far, plan, "nominal_energy", water).withColumnRenamed("scene_z", "z0"), plan, "expected_energy", water)
+    return ends.select("acq_id", "row_idx", F.col("mx").alias("x0"), F.col("my").alias("y0"), "z0", F.col("expected_x").alias("x1"), F.col("expected_y").alias("y1"), F.col("scene_z").alias("z1"))
+
+
+COLOURINGS = ("position", "dose", "weight")
+
+
+def display_measured(matched: DataFrame, plan: DataFrame, low: float | None = None, high: float | None = None, hide: bool = False, glyphs: bool = False, water: bool = False, colour: str = "position") -> DataFrame:
+    """Measured points of the view: colours, heights, sizes, within the budget.
+
+    Colours are by position tiers, by dose tiers (of rows with ``signed_pp`` and ``deviation_pp``), or by weight. With
+    ``hide``, points that pass in the metric of their colour are left out; weights hide none.
+    """
+    from ..functions import colors
+
+    if colour not in COLOURINGS:
+        raise ValueError(f"unknown colouring: {colour}")
+    metric, usual = ("deviation_pp", (K.PASS_PP, K.WARN_PP)) if colour == "dose" else ("distance", (K.PASS_MM, K.WARN_MM))
+    low, high = usual[0] if low is None else low, usual[1] if high is None else high
+    shown = display_sample(hide_passed(matched, metric, low) if hide and colour != "weight" else matched, glyphs)
+    painted = colors.by_weight(shown) if colour == "weight" else colors.by_dose(shown, low, high) if colour == "dose" else colors.by_position(shown, low, high)
+    return with_scene_z(row_energies(sigma_sizes(painted), layer_table(plan)), plan, "nominal_energy", water)
 
 
 def display_plan(plan: DataFrame, missing: DataFrame, water: bool = False) -> DataFrame:

@@ -81,7 +81,7 @@ def episode_spans(rows: DataFrame, plan: DataFrame, parameters: DataFrame | None
         out, ok = kernels.fit_count(s, raw, ab, total, n, xy)
         return pd.DataFrame({"acq_id": p["acq_id"].iloc[0], "span_id": np.arange(len(out)), "row_start": out[:, 0], "row_end": out[:, 1], "count_ok": ok, "n_raw": len(raw)})
 
-    return data.groupBy("acq_id").cogroup(plan.select("acq_id", "spot_idx", "x", "y").groupBy("acq_id")).applyInPandas(spans, _SPANS.format(kind=_kind(rows)))
+    return data.groupBy("acq_id").cogroup(plan.select(F.col("acq_id").alias("of"), "spot_idx", "x", "y").groupBy("of")).applyInPandas(spans, _SPANS.format(kind=_kind(rows)))
 
 
 def plan_sequence(rows: DataFrame, plan: DataFrame, window: int = K.SEQUENTIAL_WINDOW, margin: float = K.SEQUENTIAL_MARGIN_MM2) -> DataFrame:
@@ -96,7 +96,7 @@ def plan_sequence(rows: DataFrame, plan: DataFrame, window: int = K.SEQUENTIAL_W
         return pd.DataFrame({"acq_id": p["acq_id"], "row_idx": p["row_idx"], "spot_id": got})
 
     light = rows.select("acq_id", "row_idx", "mx", "my", "weight")
-    ids = light.groupBy("acq_id").cogroup(plan.select("acq_id", "spot_idx", "x", "y").groupBy("acq_id")).applyInPandas(slots, f"acq_id {_kind(rows)}, row_idx bigint, spot_id bigint")
+    ids = light.groupBy("acq_id").cogroup(plan.select(F.col("acq_id").alias("of"), "spot_idx", "x", "y").groupBy("of")).applyInPandas(slots, f"acq_id {_kind(rows)}, row_idx bigint, spot_id bigint")
     return rows.join(ids, ["acq_id", "row_idx"])
 
 
@@ -116,7 +116,7 @@ def cheapest_layers(rows: DataFrame, plan: DataFrame, penalty: float | None = No
     ship(rows.sparkSession)
     table = advance_penalty(plan) if penalty is None else plan.select("acq_id").distinct().withColumn("penalty", F.lit(float(penalty)))
     light = rows.select("acq_id", "row_idx", "mx", "my").join(table, "acq_id", "left")
-    spots = with_layers(plan).join(last_layers(plan), "acq_id").select("acq_id", "layer", "x", "y", "_last")
+    spots = with_layers(plan).join(last_layers(plan), "acq_id").select(F.col("acq_id").alias("of"), "layer", "x", "y", "_last")
 
     def path(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if p.empty or q.empty:
@@ -126,7 +126,7 @@ def cheapest_layers(rows: DataFrame, plan: DataFrame, penalty: float | None = No
         layers = kernels.monotone_layers(emit, float(p["penalty"].iloc[0]))
         return pd.DataFrame({"acq_id": p["acq_id"], "row_idx": p["row_idx"], "layer": layers.astype("int32")})
 
-    got = light.groupBy("acq_id").cogroup(spots.groupBy("acq_id")).applyInPandas(path, f"acq_id {_kind(rows)}, row_idx bigint, layer int")
+    got = light.groupBy("acq_id").cogroup(spots.groupBy("of")).applyInPandas(path, f"acq_id {_kind(rows)}, row_idx bigint, layer int")
     return rows.drop("layer").join(got, ["acq_id", "row_idx"])
 
 

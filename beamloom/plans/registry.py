@@ -8,57 +8,16 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..config import Config
 from ..functions import colors, depth, rows as R, scene
-from ..operators import alignment, display, episodes, gaps, gates, layers, nearest, quality, signal, spots
-from ..sources.tables import ACQ_SQL, PLAN_SQL, acquisition_view, events, plan_view
+from ..operators import alignment, display, gates, gaps, layers, nearest, quality, signal, spots
+from ..sources.tables import acquisition_view, events, plan_view
 from . import pipeline
-
-_WITH = {
-    "plan": PLAN_SQL,
-    "acq": ACQ_SQL,
-    "layers": "SELECT acq_id, CAST(row_number() OVER (PARTITION BY acq_id ORDER BY spot_idx) - 1 AS INTEGER) AS layer, energy FROM (SELECT *, lag(energy) OVER (PARTITION BY acq_id ORDER BY spot_idx) AS e0 FROM plan) WHERE e0 IS NULL OR e0 <> energy",
-    "pl": "SELECT p.*, l.layer, CAST(row_number() OVER (PARTITION BY p.acq_id, l.layer ORDER BY p.spot_idx) - 1 AS INTEGER) AS local_idx FROM plan p JOIN layers l ON p.acq_id = l.acq_id AND abs(p.energy - l.energy) <= 1e-4",
-    "gated": "SELECT * EXCLUDE (new), CAST(sum(new) OVER (PARTITION BY acq_id ORDER BY row_idx) - 1 AS BIGINT) AS spot_id FROM (SELECT *, CASE WHEN lag(gate) OVER (PARTITION BY acq_id ORDER BY row_idx) IS DISTINCT FROM gate AND gate % 2 = 1 THEN 1 ELSE 0 END AS new FROM acq) ",
-    "rows": "SELECT g.*, g.b AS mx, g.a AS my, p.layer, g.channel AS weight FROM gated g JOIN pl p ON g.acq_id = p.acq_id AND g.spot_id = p.spot_idx WHERE a IS NOT NULL AND b IS NOT NULL",
-    "hit": "SELECT * EXCLUDE (k, d2), sqrt(d2) AS distance FROM (SELECT r.*, p.x AS ex, p.y AS ey, p.energy AS ee, p.mu AS emu, p.spot_idx AS nn, p.local_idx AS nl, (p.x - r.mx) * (p.x - r.mx) + (p.y - r.my) * (p.y - r.my) AS d2, row_number() OVER (PARTITION BY r.acq_id, r.row_idx ORDER BY (p.x - r.mx) * (p.x - r.mx) + (p.y - r.my) * (p.y - r.my), p.spot_idx) AS k FROM rows r JOIN pl p ON r.acq_id = p.acq_id AND r.layer = p.layer) WHERE k = 1",
-    "spots": "SELECT acq_id, spot_id, sum(weight * a) / sum(weight) AS a, sum(weight * b) / sum(weight) AS b, CAST(any_value(layer) AS DOUBLE) AS layer, sum(weight) AS weight, sum(weight * sigma_a) / sum(weight) AS sigma_a, sum(CASE WHEN sigma_b IS NOT NULL THEN weight * sigma_b END) / sum(CASE WHEN sigma_b IS NOT NULL THEN weight END) AS sigma_b, sum(weight * channel) / sum(weight) AS channel, sum(weight * t) / sum(weight) AS t, min(row_idx) AS first_row, count(*) AS n_rows FROM rows GROUP BY acq_id, spot_id",
-    "spothit": "SELECT * EXCLUDE (k, d2), sqrt(d2) AS distance FROM (SELECT s.*, p.x AS ex, p.y AS ey, p.energy AS ee, p.mu AS emu, p.local_idx AS nl, (p.x - s.b) * (p.x - s.b) + (p.y - s.a) * (p.y - s.a) AS d2, row_number() OVER (PARTITION BY s.acq_id, s.spot_id ORDER BY (p.x - s.b) * (p.x - s.b) + (p.y - s.a) * (p.y - s.a), p.spot_idx) AS k FROM spots s JOIN pl p ON s.acq_id = p.acq_id AND s.layer = p.layer) WHERE k = 1",
-    "dose": "SELECT h.*, emu / lm AS pf, sq / lq AS mf FROM spothit h JOIN (SELECT acq_id, layer, nl, sum(weight) AS sq FROM spothit GROUP BY ALL) s USING (acq_id, layer, nl) JOIN (SELECT acq_id, layer, sum(weight) AS lq FROM spothit GROUP BY ALL) q USING (acq_id, layer) JOIN (SELECT acq_id, layer, sum(mu) AS lm FROM pl GROUP BY ALL) m USING (acq_id, layer)",
-    "metric": "SELECT *, sqrt(greatest(channel / greatest(rc, 1e-12), 1e-12) * greatest(fit_a / greatest(rf, 1e-12), 1e-12)) AS metric FROM (SELECT *, sum(channel) OVER w / 15 AS rc, sum(fit_a) OVER w / 15 AS rf FROM acq WINDOW w AS (PARTITION BY acq_id ORDER BY row_idx ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING))",
-    "ev": "SELECT CAST(user_id % 10 AS BIGINT) AS acq_id, CAST(row_number() OVER (PARTITION BY user_id % 10 ORDER BY event_id) - 1 AS BIGINT) AS row_idx, CAST(epoch_us(ts) AS DOUBLE) / 1000000 AS t, value FROM events",
-}
-
-
-def sql(*needs: str, body: str) -> str:
-    return f"WITH {', '.join(f'{n} AS ({_WITH[n]})' for n in needs)} {body}"
-
-
-_HIT = ("plan", "acq", "layers", "pl", "gated", "rows", "hit")
-_SPOT = ("plan", "acq", "layers", "pl", "gated", "rows", "spots")
-_DOSE = (*_SPOT, "spothit", "dose")
-QUERIES: dict = {}
-
-
-def query(sql_text: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = (f, sql_text)
-        return f
-
-    return add
-
-
-def _r(c, n: int = 6):
-    return F.round(F.col(c) if isinstance(c, str) else c, n) + F.lit(0.0)
-
-
-def _rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Complete rows with their gate's spot and its layer."""
-    table = layers.layer_table(plan_view(spark, sf))
-    spots_ = layers.delivery_layers(gates.gate_spots(acquisition_view(spark, sf)), table)
-    return R.with_plan_axes(spots_).filter(R.position_ok()).withColumn("weight", R.spot_weight("channel_sum"))
-
-
-def _spots(spark: SparkSession, sf: str) -> DataFrame:
-    return spots.weighted_spots(_rows(spark, sf)).withColumns({"mx": F.col("b"), "my": F.col("a"), "row_idx": F.col("first_row")})
+from .base import DOSE as _DOSE
+from .base import HIT as _HIT
+from .base import QUERIES, query, sql
+from .base import SPOT as _SPOT
+from .base import complete_rows as _rows
+from .base import measured_spots as _spots
+from .base import rounded as _r
 
 
 def _tiers(d: str) -> str:
@@ -375,45 +334,6 @@ def glyph_sizes(spark, sf):
     return display.glyph_sizes(plan_view(spark, sf)).select("acq_id", "spot_idx", _r("half_x").alias("half_x"), _r("half_y").alias("half_y"))
 
 
-@query()
-def time_gap_layers(spark, sf):
-    return gaps.assign_by_gap(acquisition_view(spark, sf), plan_view(spark, sf), heal=True).select("acq_id", "row_idx", "spot_id", "layer")
-
-
-@query()
-def viterbi_layers(spark, sf):
-    return episodes.assign_by_path(acquisition_view(spark, sf), plan_view(spark, sf)).select("acq_id", "row_idx", "spot_id", "layer")
-
-
-@query()
-def plan_sequential(spark, sf):
-    return episodes.assign_auto(acquisition_view(spark, sf), plan_view(spark, sf), "plan_sequential").select("acq_id", "row_idx", "spot_id", "layer")
-
-
-@query()
-def auto_episodes(spark, sf):
-    return episodes.assign_auto(acquisition_view(spark, sf), plan_view(spark, sf)).select("acq_id", "row_idx", "spot_id", "layer")
-
-
-@query()
-def auto_parameters(spark, sf):
-    plan = plan_view(spark, sf)
-    return episodes.auto_parameters(episodes.prepare_auto(acquisition_view(spark, sf), plan), plan)
-
-
-@query()
-def coarse_align(spark, sf):
-    plan, rows = plan_view(spark, sf), _spots(spark, sf)
-    return alignment.apply(rows, alignment.coarse_align(rows, plan)).select("acq_id", "spot_id", "mx", "my")
-
-
-@query()
-def fine_align(spark, sf):
-    plan, rows = plan_view(spark, sf), _spots(spark, sf)
-    return alignment.fine_align(rows, plan)[0].select("acq_id", "spot_id", "mx", "my")
-
+from . import assignments, details, files  # noqa: E402, F401  they add their queries
 
-@query()
-def full_run(spark, sf):
-    config = Config(flier_sigma=3.0)
-    return pipeline.export(pipeline.run(acquisition_view(spark, sf), plan_view(spark, sf), config), config)
+__all__ = ["QUERIES"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from pathlib import PurePosixPath
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Tags in file names.
@@ -57,7 +57,7 @@ def csv_plan_label(stem: str) -> str:
     return found[1] if found else stem
 
 
-def match_plans(acquisitions, plans):
+def match_plans(acquisitions: DataFrame, plans: DataFrame) -> DataFrame:
     """Acquisition files (path, stem) with the first plan file (path, label) of their label."""
     first = plans.groupBy("label").agg(F.min("path").alias("plan_path"))
     return acquisitions.withColumn("label", plan_label_column(F.col("stem"))).join(first, "label", "left")
@@ -65,3 +65,9 @@ def match_plans(acquisitions, plans):
 
 def default_export_name(path: str, aggregated: bool) -> str:
     return f"{acquisition_stem(path)}-spots{'-agg' if aggregated else ''}.csv"
+
+
+def file_times(spark: SparkSession, path: str) -> DataFrame:
+    """(path, modified): the modification time of each file below a path; no rows where there is none."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", F.col("modificationTime").alias("modified"))

@@ -5,6 +5,7 @@ A plan frame has plan_id, spot_idx (delivery order from 0), x, y, energy, mu, fw
 
 from __future__ import annotations
 
+import csv
 import re
 from pathlib import PurePosixPath
 
@@ -28,7 +29,7 @@ def plan_column(name: str) -> str:
 
 def plan_columns(header: str) -> frozenset[str] | None:
     """Column names of a plan header line, or None if it isn't one."""
-    names = frozenset(plan_column(c) for c in header.split(","))
+    names = frozenset(plan_column(c) for c in next(csv.reader([header]), []))
     return names if names >= REQUIRED else None
 
 
