@@ -54,13 +54,13 @@ def auto_parameters(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return out.withColumns({"jump_mm": F.lit(K.SPOT_JUMP_MM), "tiny_rows": F.lit(K.TINY_MERGE_ROWS)})
 
 
-def episode_spans(rows: DataFrame, plan: DataFrame, parameters: DataFrame | None = None) -> DataFrame:
+def episode_spans(rows: DataFrame, plan: DataFrame, parameters: DataFrame | None = None, tiny: int = K.TINY_MERGE_ROWS) -> DataFrame:
     """Spans of rows, one for each plan spot where that can be reached; with the raw number of episodes and the outcome.
 
     Rows need row_idx from 0 without gaps, t, a, b, mx, my, weight, channel and fit_a.
     """
     ship(rows.sparkSession)
-    par = (parameters if parameters is not None else calibrated_ratio(rows, plan).join(min_episode_rows(rows, plan), "acq_id")).select("acq_id", "dead_ratio", "min_rows")
+    par = (parameters if parameters is not None else calibrated_ratio(rows, plan, tiny).join(min_episode_rows(rows, plan), "acq_id")).select("acq_id", "dead_ratio", "min_rows")
     w = F.greatest("weight", F.lit(1e-18)) * (F.col("metric") >= K.ON_FRACTION).cast("double")
     data = delivery_metric(rows).withColumn("w", w).join(par, "acq_id").select("acq_id", "row_idx", "t", "a", "b", "mx", "my", "weight", "w", "metric", "dead_ratio", "min_rows")
 
@@ -71,7 +71,7 @@ def episode_spans(rows: DataFrame, plan: DataFrame, parameters: DataFrame | None
         c = {k: p[k].to_numpy(float) for k in ("t", "a", "b", "mx", "my", "weight", "w", "metric")}
         xy, n = _xy(q), len(q)
         s = kernels.Signal(c["t"], c["mx"], c["my"], c["w"])
-        raw = kernels.segment(c["metric"] <= p["dead_ratio"].iloc[0], int(p["min_rows"].iloc[0]))
+        raw = kernels.segment(c["metric"] <= p["dead_ratio"].iloc[0], int(p["min_rows"].iloc[0]), tiny)
         if len(raw) >= 2 and n >= 2:
             k = min(len(raw), n)
             raw = np.concatenate([kernels.refine(s, raw[:k], xy[:k]), raw[k:]])

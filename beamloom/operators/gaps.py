@@ -3,17 +3,22 @@
 A row that comes ``gap_s`` or more after the row before begins a new spot, unless its position is that of the row before
 within ``tolerance_mm`` (a refill). Spot ids are pure windows. At each new spot the layer advances if that is plausible:
 the position is far from the layer's spots, or not clearly farther from the next layer's. That choice depends on the
-layer so far, so the few new spots of an acquisition are folded in order, as one list.
+layer so far, so the few new spots of an acquisition are folded in order, by a grouped map that has its plan once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import rows as R
-from .nearest import impute_axes, layer_distances
+from ..session import ship
+from .grid import layer_distances
+from .layers import last_layers, with_layers
+from .nearest import impute_axes, impute_on_layer
 
 
 def _rows() -> WindowSpec:
@@ -29,26 +34,29 @@ def gap_spots(rows: DataFrame, gap_s: float = K.LAYER_GAP_S, tolerance_mm: float
     return marked.withColumn("spot_id", F.sum("_new").over(_rows()).cast("bigint"))
 
 
-def advance_plausible(stay: Column, step: Column, trust_mm: float = K.REFILL_TRUST_MM) -> Column:
+def advance_plausible(stay: float, step: float, trust_mm: float = K.REFILL_TRUST_MM) -> bool:
     """Whether the next layer is plausible, from the distances to this layer's and the next one's spots."""
-    worse = (step > stay + K.REFILL_EXTRA_MM) | (step > K.REFILL_RATIO * F.greatest(stay, F.lit(1.0)))
-    return (stay > trust_mm) | ~worse
+    return stay > trust_mm or not (step > stay + K.REFILL_EXTRA_MM or step > K.REFILL_RATIO * max(stay, 1.0))
 
 
 def gap_layers(spots: DataFrame, plan: DataFrame, trust_mm: float = K.REFILL_TRUST_MM) -> DataFrame:
     """Adds layer to rows of ``gap_spots``: 0 first, one more at each new spot for which that is plausible."""
-    first = layer_distances(spots.filter("_new = 1").select("acq_id", "row_idx", "spot_id", "mx", "my"), plan)
-    events = first.groupBy("acq_id").agg(F.sort_array(F.collect_list(F.struct("spot_id", "emit"))).alias("events"))
-
-    def step(state: Column, e: Column) -> Column:
-        k, d = state["layer"], e["emit"]
-        here, there = F.sqrt(F.get(d, k)), F.sqrt(F.get(d, k + 1))
-        up = (k < F.size(d) - 1) & advance_plausible(here, there, trust_mm)
-        after = F.when(up, k + 1).otherwise(k)
-        return F.struct(after.alias("layer"), F.array_append(state["path"], F.struct(e["spot_id"].alias("spot_id"), after.alias("layer"))).alias("path"))
-
-    start = F.struct(F.lit(0).alias("layer"), F.array().cast("array<struct<spot_id: bigint, layer: int>>").alias("path"))
-    path = events.select("acq_id", F.explode(F.aggregate("events", start, step)["path"]).alias("p")).select("acq_id", "p.spot_id", "p.layer")
+    ship(spots.sparkSession)
+    first = spots.filter("_new = 1").select("acq_id", "spot_id", "mx", "my")
+    planned = with_layers(plan).join(last_layers(plan), "acq_id").select(F.col("acq_id").alias("of"), "layer", "x", "y", "_last")
+
+    def fold(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if p.empty or q.empty:
+            return pd.DataFrame(columns=["acq_id", "spot_id", "layer"])
+        p, last = p.sort_values("spot_id"), int(q["_last"].iloc[0])
+        d = np.sqrt(layer_distances(p[["mx", "my"]].to_numpy(float), q[["x", "y"]].to_numpy(float), q["layer"].to_numpy(), last + 1))
+        path, layer = [], 0
+        for row in d:
+            layer += layer < last and advance_plausible(row[layer], row[layer + 1], trust_mm)
+            path.append(layer)
+        return pd.DataFrame({"acq_id": p["acq_id"], "spot_id": p["spot_id"], "layer": path})
+
+    path = first.groupBy("acq_id").cogroup(planned.groupBy("of")).applyInPandas(fold, f"acq_id {dict(spots.dtypes)['acq_id']}, spot_id bigint, layer int")
     return spots.join(path, ["acq_id", "spot_id"], "left").withColumn("layer", F.coalesce("layer", F.lit(0)))
 
 
@@ -69,7 +77,5 @@ def assign_by_gap(rows: DataFrame, plan: DataFrame | None, gap_s: float = K.LAYE
         fit = impute_axes(fit.withColumns({"_x": F.col("mx"), "_y": F.col("my")}), plan)
     out = gap_layers(gap_spots(fit, gap_s, tolerance_mm), plan, trust_mm).drop("_new")
     if heal:
-        from .nearest import impute_on_layer
-
         out = impute_on_layer(out.withColumns({"mx": F.col("_x"), "my": F.col("_y")}).drop("_x", "_y"), plan)
     return R.with_detector_axes(out, a_is_x)

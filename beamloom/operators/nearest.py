@@ -1,17 +1,22 @@
 """Nearest plan spots: on a layer, over the whole plan, along one axis.
 
-A layer's (or plan's) spots come to a row as one sorted list, joined by (acq_id, layer), so the nearest is found by a
-fold in the row and nothing is multiplied by the number of spots. A list is one plan's layer, so its size is bounded by
-the plan format, not by the data. Equal distances go to the lowest spot_idx.
+A layer's spots come to a row as one sorted list, joined by (acq_id, layer), so the nearest is found by a fold in the row
+and nothing is multiplied by the number of spots. A list is one plan's layer, so its size is bounded by the plan format,
+not by the data. Whole plans don't come to rows: the nearest spot of all is found in a grid by a grouped map that has the
+plan once, the nearest along an axis by sorting. Equal distances go to the lowest spot_idx.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import rows as R
+from ..session import ship
+from .grid import Spots
 from .layers import last_layers, layer_of_row, layer_table, with_layers
 
 _SPOT = ("spot_idx", "local_idx", "x", "y", "energy", "mu")
@@ -62,8 +67,22 @@ def match_on_layer(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def match_on_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """Adds the nearest spot whatever its layer."""
-    return _with_match(rows.join(plan_lists(plan), "acq_id", "left"))
+    """Adds the nearest spot whatever its layer, found in a grid of the acquisition's plan. Rows need their row_idx."""
+    ship(rows.sparkSession)
+
+    def find(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if p.empty or q.empty:
+            return pd.DataFrame(columns=["acq_id", "row_idx", "nn_spot_idx", "distance"])
+        q = q.sort_values("spot_idx")
+        at, d2 = Spots(q[["x", "y"]].to_numpy(float)).nearest(p[["mx", "my"]].to_numpy(float))
+        return pd.DataFrame({"acq_id": p["acq_id"], "row_idx": p["row_idx"], "nn_spot_idx": q["spot_idx"].to_numpy()[at], "distance": np.sqrt(d2)})
+
+    placed = rows.filter("mx is not null and my is not null").select("acq_id", "row_idx", "mx", "my")
+    planned = plan.select(F.col("acq_id").alias("of"), F.col("spot_idx").cast("bigint").alias("spot_idx"), "x", "y")
+    near = placed.groupBy("acq_id").cogroup(planned.groupBy("of")).applyInPandas(find, f"acq_id {dict(rows.dtypes)['acq_id']}, row_idx bigint, nn_spot_idx bigint, distance double")
+    spots = plan.select("acq_id", F.col("spot_idx").cast("bigint").alias("nn_spot_idx"), F.col("x").alias("expected_x"), F.col("y").alias("expected_y"), F.col("energy").alias("expected_energy"), F.col("mu").alias("expected_mu"))
+    out = rows.join(near, ["acq_id", "row_idx"], "left").join(spots, ["acq_id", "nn_spot_idx"], "left")
+    return out.withColumns({"distance": F.coalesce("distance", F.lit(float("inf"))), "nn_local_idx": F.coalesce(F.col("nn_spot_idx").cast("int"), F.lit(-1))})
 
 
 def plan_slot(rows: DataFrame, plan: DataFrame) -> DataFrame:
@@ -76,17 +95,12 @@ def plan_slot(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return out.withColumn("plan_idx", F.when(F.col("nn_local_idx") >= 0, F.col("first_slot") + F.col("nn_local_idx")).otherwise(-1)).drop("_cut", "first_slot")
 
 
-def layer_distances(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """Adds emit: for each layer in order the squared distance of the row to its nearest spot (infinite without spots)."""
-    per_layer = layer_table(plan).select("acq_id", "layer").join(layer_lists(plan), ["acq_id", "layer"], "left")
-    lists = per_layer.groupBy("acq_id").agg(F.sort_array(F.collect_list(F.struct("layer", F.coalesce("spots", F.array()).alias("spots")))).alias("_layers"))
-    emit = F.transform("_layers", lambda item: F.coalesce(F.array_min(F.transform(item["spots"], lambda s: (s["x"] - F.col("mx")) * (s["x"] - F.col("mx")) + (s["y"] - F.col("my")) * (s["y"] - F.col("my")))), F.lit(float("inf"))))
-    return rows.join(lists, "acq_id", "left").withColumn("emit", emit).drop("_layers")
-
-
 def distances_long(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """(acq_id, row_idx, layer, d2): the same, one row for each layer."""
-    return layer_distances(rows.select("acq_id", "row_idx", "mx", "my"), plan).select("acq_id", "row_idx", F.posexplode("emit").alias("layer", "d2"))
+    """(acq_id, row_idx, layer, d2): for each row and layer the squared distance to the nearest spot (infinite without)."""
+    per_layer = layer_table(plan).select("acq_id", "layer").join(layer_lists(plan), ["acq_id", "layer"], "left")
+    met = rows.select("acq_id", "row_idx", "mx", "my").join(per_layer, "acq_id")
+    d2 = F.coalesce(_closest(F.col("spots"), F.col("mx"), F.col("my"))["d2"], F.lit(float("inf")))
+    return met.select("acq_id", "row_idx", "layer", d2.alias("d2"))
 
 
 def _nearest_along(rows: DataFrame, spots: DataFrame, axis: str, value: Column, keys: list[str]) -> DataFrame:
