@@ -151,6 +151,12 @@ def write_shard(doc_ids: list[int | None], counts: list[int], ids: np.ndarray, v
     return b"".join([head, *planes(rules[:, 0]), *planes(rules[:, 1]), lengths.astype(f"<u{width}").tobytes(), index.tobytes(), *planes(symbols)])
 
 
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Numbers from each start on, n of each."""
+    ends = np.cumsum(n)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + n, n)
+
+
 class Shard:
     """A shard's file image, read in place."""
 
@@ -175,18 +181,29 @@ class Shard:
         self._texts: tuple[np.ndarray, np.ndarray] | None = None
 
     def _expansions(self) -> tuple[np.ndarray, np.ndarray]:
-        """What each rule stands for, in one array, and where each begins."""
+        """What each rule stands for, in one array, and where each begins.
+
+        Rules refer to earlier ones, so they are written in runs of rules that refer to none of their own run.
+        """
         if self._texts is None:
-            flat, base = self.rules[:, :2].reshape(-1), self.vocabulary
-            while (flat >= base).any():
-                inner = flat >= base
-                size = np.where(inner, 2, 1)
-                at = np.cumsum(size) - size
-                out = np.empty(size.sum(), np.int64)
-                out[at[~inner]] = flat[~inner]
-                out[at[inner]], out[at[inner] + 1] = self.rules[flat[inner] - base, 0], self.rules[flat[inner] - base, 1]
-                flat = out
-            self._texts = flat, np.cumsum(self.rules[:, 2]) - self.rules[:, 2]
+            base, n = self.vocabulary, len(self.rules)
+            parts, size = self.rules[:, :2], self.rules[:, 2]
+            begin = np.cumsum(size) - size
+            texts, one = np.empty(int(size.sum()), "<u4"), np.r_[size, 1]  # the last one stands for single ids
+            newest, start = parts.max(axis=1, initial=0), 0
+            while start < n:
+                later = newest[start:] >= base + start
+                end = start + int(later.argmax()) if later.any() else n
+                to = begin[start:end]
+                for side in (0, 1):
+                    symbol = parts[start:end, side]
+                    single = symbol < base
+                    texts[to[single]] = symbol[single]
+                    rule = symbol[~single] - base
+                    texts[_ranges(to[~single], size[rule])] = texts[_ranges(begin[rule], size[rule])]
+                    to = to + one[np.where(single, n, symbol - base)]
+                start = end
+            self._texts = texts, begin
         return self._texts
 
     def ids(self) -> np.ndarray:
@@ -199,9 +216,7 @@ class Shard:
         at = np.cumsum(size) - size
         out = np.empty(int(size.sum()), "<u4")
         out[at[~inner]] = self.symbols[~inner]
-        n = size[inner]
-        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        out[np.repeat(at[inner], n) + step] = texts[np.repeat(begin[rule[inner]], n) + step]
+        out[_ranges(at[inner], size[inner])] = texts[_ranges(begin[rule[inner]], size[inner])]
         return out
 
     def document(self, i: int, start: int = 0, stop: int | None = None) -> list[int]:
