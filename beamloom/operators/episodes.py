@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -18,7 +18,7 @@ from . import kernels
 from .grid import layer_distances
 from .layers import last_layers, layer_table, spread_layers, with_layers
 from .nearest import impute_axes, impute_on_layer
-from .signal import advance_penalty, delivery_metric, delivery_weights, min_episode_rows
+from .signal import advance_penalty, cluster_radius, delivery_metric, delivery_weights, gap_of, min_on_weight_of, min_rows_of, plan_sizes, row_statistics
 
 _SPANS = "acq_id {kind}, span_id bigint, row_start bigint, row_end bigint, count_ok boolean, n_raw bigint"
 
@@ -32,25 +32,24 @@ def _xy(plan: pd.DataFrame) -> np.ndarray:
 
 
 def calibrated_ratio(rows: DataFrame, plan: DataFrame, tiny: int = K.TINY_MERGE_ROWS) -> DataFrame:
-    """(acq_id, dead_ratio): the ratio that makes about as many episodes as the plan has spots. One pass over the metric."""
+    """(acq_id, dead_ratio, min_rows): the ratio that makes about as many episodes as the plan has spots. One pass over the
+    metric; rows are shuffled once."""
     ship(rows.sparkSession)
-    sizes = plan.groupBy("acq_id").agg(F.count(F.lit(1)).alias("n_plan"))
-    measured = delivery_metric(rows).join(min_episode_rows(rows, plan), "acq_id").join(sizes, "acq_id", "left").select("acq_id", "row_idx", "metric", "min_rows", F.coalesce("n_plan", F.lit(0)).alias("n_plan"))
+    counted = delivery_metric(rows).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("acq_id"))).join(plan_sizes(plan), "acq_id", "left")
+    measured = counted.select("acq_id", "row_idx", "metric", min_rows_of().alias("min_rows"), F.coalesce("n_plan", F.lit(0)).alias("n_plan"))
 
     def fit(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("row_idx")
-        return pd.DataFrame({"acq_id": [p["acq_id"].iloc[0]], "dead_ratio": [kernels.calibrate_dead_ratio(p["metric"].to_numpy(float), int(p["n_plan"].iloc[0]), int(p["min_rows"].iloc[0]), tiny)]})
+        least = int(p["min_rows"].iloc[0])
+        return pd.DataFrame({"acq_id": [p["acq_id"].iloc[0]], "dead_ratio": [kernels.calibrate_dead_ratio(p["metric"].to_numpy(float), int(p["n_plan"].iloc[0]), least, tiny)], "min_rows": [least]})
 
-    return measured.groupBy("acq_id").applyInPandas(fit, f"acq_id {_kind(rows)}, dead_ratio double")
+    return measured.groupBy("acq_id").applyInPandas(fit, f"acq_id {_kind(rows)}, dead_ratio double, min_rows int")
 
 
 def auto_parameters(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """One row for each acquisition with all parameters that auto mode infers."""
-    from .signal import cluster_radius, episode_gap, min_on_weight
-
-    out = rows.select("acq_id").distinct()
-    for part in (episode_gap(rows, plan), min_on_weight(rows), min_episode_rows(rows, plan), advance_penalty(plan), calibrated_ratio(rows, plan), cluster_radius(plan)):
-        out = out.join(part, "acq_id", "left")
+    known = row_statistics(rows).join(plan_sizes(plan), "acq_id", "left").select("acq_id", gap_of().alias("gap_s"), min_on_weight_of().alias("min_on_weight"))
+    out = known.join(calibrated_ratio(rows, plan), "acq_id", "left").join(advance_penalty(plan), "acq_id", "left").join(cluster_radius(plan), "acq_id", "left")
     return out.withColumns({"jump_mm": F.lit(K.SPOT_JUMP_MM), "tiny_rows": F.lit(K.TINY_MERGE_ROWS)})
 
 
@@ -60,7 +59,7 @@ def episode_spans(rows: DataFrame, plan: DataFrame, parameters: DataFrame | None
     Rows need row_idx from 0 without gaps, t, a, b, mx, my, weight, channel and fit_a.
     """
     ship(rows.sparkSession)
-    par = (parameters if parameters is not None else calibrated_ratio(rows, plan, tiny).join(min_episode_rows(rows, plan), "acq_id")).select("acq_id", "dead_ratio", "min_rows")
+    par = (parameters if parameters is not None else calibrated_ratio(rows, plan, tiny)).select("acq_id", "dead_ratio", "min_rows")
     w = F.greatest("weight", F.lit(1e-18)) * (F.col("metric") >= K.ON_FRACTION).cast("double")
     data = delivery_metric(rows).withColumn("w", w).join(par, "acq_id").select("acq_id", "row_idx", "t", "a", "b", "mx", "my", "weight", "w", "metric", "dead_ratio", "min_rows")
 
@@ -102,8 +101,6 @@ def plan_sequence(rows: DataFrame, plan: DataFrame, window: int = K.SEQUENTIAL_W
 
 def slot_spans(rows: DataFrame) -> DataFrame:
     """(acq_id, span_id, row_start, row_end, spot_id): runs of rows of one slot."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy("acq_id").orderBy("row_idx")
     on = rows.withColumns({"_before": F.lag("spot_id").over(order)})
     new = (F.col("spot_id") >= 0) & ~F.col("_before").eqNullSafe(F.col("spot_id"))
@@ -132,8 +129,6 @@ def cheapest_layers(rows: DataFrame, plan: DataFrame, penalty: float | None = No
 
 def assign_by_path(rows: DataFrame, plan: DataFrame, penalty: float | None = None, weight_mode: str = "channel_sum", a_is_x: bool = False, heal: bool = False) -> DataFrame:
     """Assigned rows by the cheapest layer path. Spots are the gate's phases where there are gates, else the layers."""
-    from pyspark.sql import Window
-
     from .gates import gate_phase_spots
 
     if penalty is not None and penalty < 0:

@@ -26,10 +26,10 @@ def _rows() -> WindowSpec:
 
 
 def gap_spots(rows: DataFrame, gap_s: float = K.LAYER_GAP_S, tolerance_mm: float = K.REFILL_TOLERANCE_MM) -> DataFrame:
-    """Adds spot_id to rows with t, mx and my."""
+    """Adds spot_id to rows with t, mx and my; a row without a position is no refill."""
     before = lambda c: F.lag(c).over(_rows())
     dx, dy = F.col("mx") - before("mx"), F.col("my") - before("my")
-    new = (F.col("t") - before("t") >= gap_s) & ~(F.sqrt(dx * dx + dy * dy) <= tolerance_mm)
+    new = (F.col("t") - before("t") >= gap_s) & ~F.coalesce(F.sqrt(dx * dx + dy * dy) <= tolerance_mm, F.lit(False))
     marked = rows.withColumn("_new", F.coalesce(new, F.lit(False)).cast("int"))
     return marked.withColumn("spot_id", F.sum("_new").over(_rows()).cast("bigint"))
 

@@ -71,37 +71,65 @@ def _percentile(value: str | Column, p: float) -> Column:
     return F.percentile(value, F.lit(p))
 
 
+def row_statistics(rows: DataFrame) -> DataFrame:
+    """What the inference needs of an acquisition's rows, in one row each: n, percentiles of positive weights (w1, w50) and
+    of the steps between times (dt10, dt50, dt90), the steps in order (one number for each row), and the time from first
+    to last. Rows are shuffled once, by acquisition."""
+    weight = F.col("weight") if "weight" in rows.columns else F.lit(None).cast("double")
+    before = F.last("t", ignorenulls=True).over(_rows().rowsBetween(Window.unboundedPreceding, -1))
+    step = F.col("t") - before
+    stepped = rows.select("acq_id", "row_idx", "t", F.when(weight > 0, weight).alias("_w"), F.when(step > 0, step).alias("_dt"))
+    timed = F.when(F.col("t").isNotNull(), F.col("row_idx"))
+    found = stepped.groupBy("acq_id").agg(
+        F.count(F.lit(1)).alias("n"), F.percentile("_w", F.array(F.lit(0.01), F.lit(0.5))).alias("_ws"), F.percentile("_dt", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("_dts"),
+        F.sort_array(F.collect_list("_dt")).alias("steps"), (F.max_by("t", timed) - F.min_by("t", timed)).alias("span"),
+    )
+    return found.select("acq_id", "n", *[F.get("_ws", F.lit(i)).alias(c) for i, c in enumerate(("w1", "w50"))], *[F.get("_dts", F.lit(i)).alias(c) for i, c in enumerate(("dt10", "dt50", "dt90"))], "steps", "span")
+
+
+def min_on_weight_of() -> Column:
+    """A small share of the weights' 1st and 50th percentiles."""
+    found = F.least(F.greatest(F.lit(1e-12), 0.05 * F.col("w1"), 0.002 * F.col("w50")), 0.02 * F.col("w50"))
+    return F.coalesce(F.when(F.col("w50").isNotNull(), found), F.lit(K.MIN_WEIGHT_NA))
+
+
+def gap_of() -> Column:
+    """The pause that separates spots, from the steps between the times of consecutive rows: in the middle of the largest
+    rise of the steps in order, held within bounds by their percentiles and the time of a plan spot (``n_plan``)."""
+    places = F.sequence(F.lit(1), F.size("steps") - 1)
+    pair = lambda i: (F.get("steps", i - 1), F.get("steps", i))
+    rise = F.array_max(F.transform(places, lambda i: F.struct((pair(i)[1] / F.greatest(pair(i)[0], F.lit(1e-12))).alias("r"), (-i).alias("k"), ((pair(i)[0] + pair(i)[1]) / 2).alias("knee"))))
+    knee = F.when(F.size("steps") > 1, rise["knee"]).otherwise(1.5 * F.col("dt50"))
+    between = F.when(F.col("n_plan") > 1, F.col("span") / (F.col("n_plan") - 1)).otherwise(F.col("span"))
+    even = F.col("dt90") - F.col("dt10") < F.greatest(0.05 * F.col("dt50"), F.lit(1e-9))
+    gap = F.when(even, 2.5 * F.col("dt50")).otherwise(F.least(knee, between / 2, F.greatest(1.35 * F.col("dt90"), 3 * F.col("dt50"))))
+    return F.when(F.size("steps") > 0, F.greatest(F.lit(0.005), F.least(F.lit(5.0), gap, 8 * F.col("dt50")))).otherwise(K.LAYER_GAP_S)
+
+
+def min_rows_of() -> Column:
+    """3 % of the rows of a spot, from 1 to 20, by the numbers of rows (n) and of plan spots (n_plan)."""
+    rows = F.rint(F.col("n") / F.col("n_plan") * 0.03).cast("int")
+    return F.when(F.col("n_plan") > 0, F.greatest(F.lit(1), F.least(F.lit(20), rows))).otherwise(1)
+
+
+def plan_sizes(plan: DataFrame) -> DataFrame:
+    return plan.groupBy("acq_id").agg(F.count(F.lit(1)).alias("n_plan"))
+
+
 def min_on_weight(rows: DataFrame) -> DataFrame:
-    """(acq_id, min_on_weight): a small share of the weights' 1st and 50th percentiles."""
-    w = F.when(F.col("weight") > 0, F.col("weight"))
-    p = rows.groupBy("acq_id").agg(_percentile(w, 0.01).alias("p1"), _percentile(w, 0.5).alias("p50"))
-    found = F.least(F.greatest(F.lit(1e-12), 0.05 * F.col("p1"), 0.002 * F.col("p50")), 0.02 * F.col("p50"))
-    return p.select("acq_id", F.coalesce(F.when(F.col("p50").isNotNull(), found), F.lit(K.MIN_WEIGHT_NA)).alias("min_on_weight"))
+    """(acq_id, min_on_weight)."""
+    return row_statistics(rows).select("acq_id", min_on_weight_of().alias("min_on_weight"))
 
 
 def episode_gap(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """(acq_id, gap_s): the pause that separates spots, from the steps between the times of consecutive rows."""
-    timed = rows.filter("t is not null")
-    steps = timed.withColumn("dt", F.col("t") - F.lag("t").over(_rows())).filter("dt > 0").select("acq_id", "dt")
-    by_size = Window.partitionBy("acq_id").orderBy("dt")
-    sorted_ = steps.withColumns({"was": F.lag("dt").over(by_size), "k": F.row_number().over(by_size)})
-    sorted_ = sorted_.withColumn("r", F.when(F.col("was").isNotNull(), F.col("dt") / F.greatest("was", F.lit(1e-12))))
-    stats = sorted_.groupBy("acq_id").agg(_percentile("dt", 0.5).alias("p50"), _percentile("dt", 0.1).alias("p10"), _percentile("dt", 0.9).alias("p90"), F.max(F.struct("r", (-F.col("k")).alias("k"), ((F.col("dt") + F.col("was")) / 2).alias("knee"))).alias("top"))
-    ends = timed.groupBy("acq_id").agg((F.max_by("t", "row_idx") - F.min_by("t", "row_idx")).alias("span"))
-    sizes = plan.groupBy("acq_id").agg(F.count(F.lit(1)).alias("n_plan"))
-    s = stats.join(ends, "acq_id").join(sizes, "acq_id", "left")
-    knee = F.when(F.col("top.r").isNotNull(), F.col("top.knee")).otherwise(1.5 * F.col("p50"))
-    between = F.when(F.col("n_plan") > 1, F.col("span") / (F.col("n_plan") - 1)).otherwise(F.col("span"))
-    even = F.col("p90") - F.col("p10") < F.greatest(0.05 * F.col("p50"), F.lit(1e-9))
-    gap = F.when(even, 2.5 * F.col("p50")).otherwise(F.least(knee, between / 2, F.greatest(1.35 * F.col("p90"), 3 * F.col("p50"))))
-    found = s.select("acq_id", F.greatest(F.lit(0.005), F.least(F.lit(5.0), gap, 8 * F.col("p50"))).alias("gap_s"))
-    return rows.select("acq_id").distinct().join(found, "acq_id", "left").select("acq_id", F.coalesce("gap_s", F.lit(K.LAYER_GAP_S)).alias("gap_s"))
+    """(acq_id, gap_s)."""
+    return row_statistics(rows).join(plan_sizes(plan), "acq_id", "left").select("acq_id", gap_of().alias("gap_s"))
 
 
 def min_episode_rows(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """(acq_id, min_rows): 3 % of the rows of a spot, from 1 to 20."""
-    n = rows.groupBy("acq_id").agg(F.count(F.lit(1)).alias("n")).join(plan.groupBy("acq_id").agg(F.count(F.lit(1)).alias("m")), "acq_id", "left")
-    return n.select("acq_id", F.when(F.col("m") > 0, F.greatest(F.lit(1), F.least(F.lit(20), F.rint(F.col("n") / F.col("m") * 0.03).cast("int")))).otherwise(1).alias("min_rows"))
+    """(acq_id, min_rows)."""
+    n = rows.groupBy("acq_id").agg(F.count(F.lit(1)).alias("n")).join(plan_sizes(plan), "acq_id", "left")
+    return n.select("acq_id", min_rows_of().alias("min_rows"))
 
 
 def advance_penalty(plan: DataFrame) -> DataFrame:

@@ -176,7 +176,7 @@ def auto_episodes(spark, sf):
 def dead_ratio(spark, sf):
     """The calibrated ratio, which tests compare with plain loops."""
     plan = plan_view(spark, sf)
-    return episodes.calibrated_ratio(episodes.prepare_auto(acquisition_view(spark, sf), plan), plan)
+    return episodes.calibrated_ratio(episodes.prepare_auto(acquisition_view(spark, sf), plan), plan)  # with min_rows
 
 
 _FIT = "SELECT *, CASE WHEN channel > 0 THEN channel ELSE 1.0 END AS w FROM acq WHERE a IS NOT NULL AND b IS NOT NULL"

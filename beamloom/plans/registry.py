@@ -89,7 +89,7 @@ def event_sessions(spark, sf):
     order = Window.partitionBy("acq_id").orderBy("event_id")
     ev = events(spark, sf).withColumns({"acq_id": F.col("user_id") % 10, "t": F.unix_micros(F.col("ts").cast("timestamp")) / 1e6, "mx": F.lit(None).cast("double"), "my": F.lit(None).cast("double")})
     rows = ev.withColumn("row_idx", (F.row_number().over(order) - 1).cast("bigint"))
-    return gaps.gap_spots(rows.fillna({"mx": 0.0}).withColumn("mx", F.col("row_idx") * 10.0).withColumn("my", F.lit(0.0)), 600.0).select("acq_id", "row_idx", "spot_id")
+    return gaps.gap_spots(rows, 600.0).select("acq_id", "row_idx", "spot_id")
 
 
 @query(sql("acq", "metric", body="SELECT acq_id, row_idx, round(metric, 6) AS metric FROM metric"))
@@ -108,12 +108,18 @@ def delivery_row_weights(spark, sf):
     return weighted.groupBy("acq_id").agg(F.count(F.lit(1)).alias("n"), _r(F.sum("weight"), 4).alias("weight"))
 
 
-@query(sql("plan", "acq", "layers", "pl", "gated", body="SELECT s.acq_id, s.spot_id, p.layer FROM (SELECT acq_id, spot_id, row_number() OVER (PARTITION BY acq_id ORDER BY min(row_idx)) - 1 AS i, count(*) OVER (PARTITION BY acq_id) AS n FROM gated WHERE spot_id % 3 = 0 GROUP BY acq_id, spot_id) s JOIN (SELECT *, count(*) OVER (PARTITION BY acq_id) AS total FROM pl) p ON p.acq_id = s.acq_id AND p.spot_idx = CAST(floor((2 * s.i + 1) * p.total / (2 * s.n)) AS BIGINT)"))
+_SPREAD = """
+SELECT s.acq_id, s.span_id, p.layer FROM (SELECT *, row_number() OVER (PARTITION BY acq_id ORDER BY start) - 1 AS i, count(*) OVER (PARTITION BY acq_id) AS n
+  FROM (SELECT acq_id, CAST(floor(spot_id / 3) AS BIGINT) AS span_id, min(row_idx) AS start FROM gated GROUP BY ALL)) s JOIN (SELECT *, count(*) OVER (PARTITION BY acq_id) AS total FROM pl) p
+ON p.acq_id = s.acq_id AND p.spot_idx = CAST(floor((2 * s.i + 1) * p.total / (2 * s.n)) AS BIGINT)"""
+
+
+@query(sql("plan", "acq", "layers", "pl", "gated", body=_SPREAD))
 def episode_layer_spread(spark, sf):
-    """A third of the spots, spread over all layers by their order in time."""
-    g = gates.gate_spots(acquisition_view(spark, sf)).filter("spot_id % 3 = 0")
-    spans = g.groupBy("acq_id", "spot_id").agg(F.min("row_idx").alias("row_start")).withColumn("span_id", F.col("spot_id"))
-    return layers.spread_layers(spans, layers.layer_table(plan_view(spark, sf))).select("acq_id", "spot_id", "layer")
+    """Spans of three spots each, spread over all layers by their order in time."""
+    g = gates.gate_spots(acquisition_view(spark, sf))
+    spans = g.groupBy("acq_id", F.floor(F.col("spot_id") / 3).cast("bigint").alias("span_id")).agg(F.min("row_idx").alias("row_start"))
+    return layers.spread_layers(spans, layers.layer_table(plan_view(spark, sf))).select("acq_id", "span_id", "layer")
 
 
 @query(sql(*_HIT, body="SELECT acq_id, row_idx, nn AS nn_spot_idx, round(distance, 6) AS distance, emu AS expected_mu FROM hit"))
@@ -153,16 +159,21 @@ def spot_weighted_mean(spark, sf):
     return spots.weighted_spots(_rows(spark, sf)).select("acq_id", "spot_id", *[_r(c).alias(c) for c in ("a", "b", "layer", "weight", "sigma_a", "sigma_b", "channel", "t")], "first_row", "n_rows")
 
 
-@query(sql(*_SPOT[:6], body="SELECT p.acq_id, p.spot_idx, p.energy FROM plan p ANTI JOIN (SELECT * FROM rows WHERE sigma_b IS NOT NULL AND weight > 45) r ON p.acq_id = r.acq_id AND p.spot_idx = r.spot_id"))
+_SECOND = "SELECT acq_id, CAST(spot_idx + 100000 * f AS BIGINT) AS spot_idx, energy FROM plan, range(0, 2) r(f)"
+
+
+@query(sql(*_SPOT[:6], twice=_SECOND, body="SELECT p.acq_id, p.spot_idx, p.energy FROM twice p ANTI JOIN rows r ON p.acq_id = r.acq_id AND p.spot_idx = r.spot_id"))
 def plan_coverage_missing(spark, sf):
-    strong = _rows(spark, sf).filter("sigma_b is not null and weight > 45").withColumn("plan_idx", F.col("spot_id"))
-    return spots.uncovered(plan_view(spark, sf), strong).select("acq_id", "spot_idx", "energy")
+    """Spots without any row; each plan has a second field, which was not delivered."""
+    plan = plan_view(spark, sf)
+    twice = plan.unionByName(plan.withColumn("spot_idx", F.col("spot_idx") + 100_000))
+    return spots.uncovered(twice, _rows(spark, sf).withColumn("plan_idx", F.col("spot_id"))).select("acq_id", F.col("spot_idx").cast("bigint").alias("spot_idx"), "energy")
 
 
-@query(sql(*_SPOT[:6], body="SELECT p.acq_id, p.spot_idx, round(sum(r.weight * r.t) / sum(r.weight), 6) AS delivery_t FROM plan p LEFT JOIN (SELECT * FROM rows WHERE weight > 40) r ON p.acq_id = r.acq_id AND p.spot_idx = r.spot_id GROUP BY ALL"))
+@query(sql(*_SPOT[:6], body="SELECT p.acq_id, p.spot_idx, round(sum(r.weight * r.t) / sum(r.weight), 6) AS delivery_t FROM plan p LEFT JOIN rows r ON p.acq_id = r.acq_id AND p.spot_idx = r.spot_id GROUP BY ALL"))
 def plan_delivery_time(spark, sf):
-    strong = _rows(spark, sf).filter("weight > 40").withColumn("plan_idx", F.col("spot_id"))
-    return spots.delivery_times(plan_view(spark, sf), strong).select("acq_id", "spot_idx", _r("delivery_t").alias("delivery_t"))
+    rows = _rows(spark, sf).withColumn("plan_idx", F.col("spot_id"))
+    return spots.delivery_times(plan_view(spark, sf), rows).select("acq_id", "spot_idx", _r("delivery_t").alias("delivery_t"))
 
 
 @query(sql(*_HIT, body=f"SELECT acq_id, {_tiers('distance')} FROM hit GROUP BY ALL"))
@@ -300,12 +311,6 @@ def hide_pass_spots(spark, sf):
     return display.hide_passed(nearest.match_on_layer(_rows(spark, sf), plan_view(spark, sf))).select("acq_id", "row_idx")
 
 
-@query(sql("acq", body="SELECT a.acq_id, row_idx, CAST(floor(255.0 * (0.1 + (0.95 - 0.1) * power(CASE WHEN p96 <= p4 * 1.001 THEN 1.0 ELSE greatest(0.0, least(1.0, (greatest(channel, 1e-18) - p4) / (p96 - p4))) END, 0.5))) AS INTEGER) AS alpha, 214 AS red, 39 AS green, 40 AS blue FROM acq a JOIN (SELECT acq_id, quantile_cont(channel, 0.04) AS p4, quantile_cont(channel, 0.96) AS p96 FROM acq GROUP BY acq_id) p ON a.acq_id = p.acq_id WHERE a.a IS NOT NULL AND a.b IS NOT NULL"))
-def weight_alpha_rgba(spark, sf):
-    rows = R.with_plan_axes(acquisition_view(spark, sf)).withColumn("weight", F.col("channel"))
-    return colors.by_weight(rows).filter("partial = 0").select("acq_id", "row_idx", "alpha", "red", "green", "blue")
-
-
 @query(sql(*_SPOT, "spothit", body="SELECT acq_id, spot_id, CASE WHEN distance <= 1 THEN 34 WHEN distance > 3 THEN 239 ELSE 234 END AS red, CASE WHEN distance <= 1 THEN 197 WHEN distance > 3 THEN 68 ELSE 179 END AS green, CASE WHEN distance <= 1 THEN 94 WHEN distance > 3 THEN 68 ELSE 8 END AS blue, 255 AS alpha FROM spothit"))
 def qa_rgba(spark, sf):
     m = nearest.match_on_layer(_spots(spark, sf), plan_view(spark, sf))
