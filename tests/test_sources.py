@@ -1,4 +1,5 @@
 import gzip
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -107,3 +108,28 @@ def test_config():
     assert config.chosen_assignment("plan_sequential") == ("auto", "plan_sequential", True) and config.chosen_mode("time_gap") == "gate_counter"
     bad = config.Config(pass_mm=3, warn_mm=1)
     assert not bad.position_qa and bad.dose_qa
+
+
+def test_ion_plan_file(spark, monkeypatch):
+    """An ion plan through a stand-in for the optional reader: two control points, one slot without weight."""
+    from types import SimpleNamespace as Tags
+
+    first = Tags(NumberOfScanSpotPositions=2, NominalBeamEnergy="150.0", ScanSpotPositionMap=[0, 0, 5, 1], ScanSpotMetersetWeights=[1.0, 2.0], ScanningSpotSize=[7.0, 8.0])
+    second = Tags(NumberOfScanSpotPositions=2, NominalBeamEnergy=140.0, ScanSpotPositionMap=[1.0, 2.0, 3.0, 4.0], ScanSpotMetersetWeights=[0.0, 3.0])
+    data = Tags(RTPlanLabel="P7", IonBeamSequence=[Tags(IonControlPointSequence=[first, second]), Tags(IonControlPointSequence=None)])
+    monkeypatch.setitem(sys.modules, "pydicom", Tags(dcmread=lambda path: data))
+    got = plans.read_plan(spark, "in/p.dcm").orderBy("spot_idx").collect()
+    assert [(r["plan_id"], r["x"], r["y"], r["energy"], r["mu"], r["fwhm_x"]) for r in got] == [("P7", 0, 0, 150, 1, 7), ("P7", 5, 1, 150, 2, 7), ("P7", 3, 4, 140, 3, None)]
+    assert plans.is_supported(spark, "in/p.dcm") and plans.label_of(spark, "in/p.dcm") == "P7"
+    monkeypatch.setitem(sys.modules, "pydicom", None)
+    with pytest.raises(plans.PlanError, match="pydicom"):
+        plans.read_plan(spark, "in/p.dcm")
+
+
+def test_empty_export(spark, tmp_path):
+    none = spark.createDataFrame([], ", ".join(f"{c} double" for c in export.K.EXPORT_COLUMNS))
+    with pytest.raises(ValueError, match="nothing"):
+        export.write_export_file(none, str(tmp_path / "x.csv"))
+    with pytest.raises(ValueError, match="nothing"):
+        export.write_export(none, str(tmp_path / "y"))
+    assert not list(tmp_path.iterdir())
