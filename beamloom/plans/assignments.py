@@ -194,7 +194,11 @@ JOIN (SELECT acq_id AS g, round(greatest(0.005, least(5.0, CASE WHEN p90 - p10 <
       JOIN (SELECT acq_id, (dt + was) / 2 AS knee FROM (SELECT *, row_number() OVER (PARTITION BY acq_id ORDER BY dt / greatest(was, 1e-12) DESC, dt) AS k
             FROM (SELECT acq_id, dt, lag(dt) OVER (PARTITION BY acq_id ORDER BY dt) AS was FROM st) WHERE was IS NOT NULL) WHERE k = 1) USING (acq_id)
       JOIN (SELECT acq_id, max(t) - min(t) AS span FROM fit GROUP BY acq_id) USING (acq_id) JOIN (SELECT acq_id, count(*) AS spots FROM plan GROUP BY acq_id) USING (acq_id)) ON g = acq_id"""
-_STEPS = "SELECT acq_id, dt FROM (SELECT acq_id, t - lag(t) OVER (PARTITION BY acq_id ORDER BY row_idx) AS dt FROM fit) WHERE dt > 0"
+_STEPS = """
+SELECT acq_id, dt
+FROM (SELECT acq_id, t - lag(t) OVER (PARTITION BY acq_id ORDER BY row_idx) AS dt
+FROM fit)
+WHERE dt > 0"""
 
 
 @query(sql("plan", "acq", "layers", "pl", body=_PARAMETERS, fit=_FIT, st=_STEPS))
@@ -294,7 +298,10 @@ def run_summary(spark, sf):
     return part(missing, "missing", F.col("n")).unionByName(part(delivered, "delivered", F.col("n"))).unionByName(part(r.position_counts(config), "fail", F.col("n_fail")))
 
 
-@query(sql(*_WHOLE, body="SELECT acq_id, spot_id AS spot_idx, round(sum(weight * t) / sum(weight), 6) AS delivery_t FROM whole GROUP BY ALL"))
+@query(sql(*_WHOLE, body="""
+SELECT acq_id, spot_id AS spot_idx, round(sum(weight * t) / sum(weight), 6) AS delivery_t
+FROM whole
+GROUP BY ALL"""))
 def mode_delivery(spark, sf):
     """Delivery times of the gate counter's mode over all rows, delivered spots only."""
     got = assign.assign(acquisition_view(spark, sf), plan_view(spark, sf), "gate_counter")
@@ -383,7 +390,10 @@ def plan_slot_spots(spark, sf):
     return spots.plan_slot_spots(bare, plan_view(spark, sf)).select("acq_id", "spot_id", "layer", rounded("a").alias("a"), rounded("weight").alias("weight"))
 
 
-@query(sql("plan", "acq", body="SELECT acq_id, row_idx, CASE WHEN row_idx % 3 = 0 THEN NULL ELSE a END AS a, (row_idx % 3 = 0) AS dead FROM acq WHERE row_idx % 3 = 0 OR (a IS NOT NULL AND b IS NOT NULL)"))
+@query(sql("plan", "acq", body="""
+SELECT acq_id, row_idx, CASE WHEN row_idx % 3 = 0 THEN NULL ELSE a END AS a, (row_idx % 3 = 0) AS dead
+FROM acq
+WHERE row_idx % 3 = 0 OR (a IS NOT NULL AND b IS NOT NULL)"""))
 def dead_positions(spark, sf):
     """Rows of plan-sequential mode: dead ones (without a fit) stay, without positions. Row numbers as they were."""
     from ..sources.acquisition import signal_rows
@@ -393,7 +403,9 @@ def dead_positions(spark, sf):
     return kept.select("acq_id", "row_idx", "a", R.is_dead().alias("dead"))
 
 
-@query(sql("acq", "metric", body="SELECT acq_id, row_idx, round(greatest(channel, 1e-18) * CASE WHEN metric >= 0.45 THEN 1 ELSE 0 END, 6) AS weight FROM metric"))
+@query(sql("acq", "metric", body="""
+SELECT acq_id, row_idx, round(greatest(channel, 1e-18) * CASE WHEN metric >= 0.45 THEN 1 ELSE 0 END, 6) AS weight
+FROM metric"""))
 def on_weights(spark, sf):
     got = signal.delivery_weights(acquisition_view(spark, sf).withColumn("weight", F.col("channel")))
     return got.select("acq_id", "row_idx", rounded("weight").alias("weight"))

@@ -40,7 +40,12 @@ def scene_z_water(spark, sf):
     return z.join(top, "acq_id").select("acq_id", "spot_idx", rounded("scene_z").alias("scene_z"), "top")
 
 
-@query(sql("plan", body=f"SELECT acq_id, spot_idx, round(CASE WHEN hi <> lo THEN 100 + 50 * least(greatest((energy - lo) / (hi - lo), 0), 1) END, 6) AS label FROM plan JOIN (SELECT acq_id, max(energy) - 30 AS hi, min(energy) AS lo FROM plan GROUP BY acq_id) USING (acq_id)"))
+@query(sql("plan", body=f"""
+SELECT acq_id, spot_idx, round(CASE WHEN hi <> lo THEN 100 + 50 * least(greatest((energy - lo) / (hi - lo), 0), 1) END, 6) AS label
+FROM plan
+JOIN (SELECT acq_id, max(energy) - 30 AS hi, min(energy) AS lo
+FROM plan
+GROUP BY acq_id) USING (acq_id)"""))
 def axis_labels(spark, sf):
     """Axis labels at heights, held within the axis."""
     plan = plan_view(spark, sf).join(layers.energy_bounds(plan_view(spark, sf)), "acq_id")
@@ -58,7 +63,11 @@ def nearest_layer(spark, sf):
     return layers.nearest_layer_by_energy(rows, layers.layer_table(plan)).select("acq_id", "spot_idx", "nearest_layer")
 
 
-@query(sql(*SPOT, body="SELECT s.acq_id, s.spot_id, round(min(sqrt((p.x - s.b) * (p.x - s.b) + (p.y - s.a) * (p.y - s.a))), 6) AS d FROM spots s JOIN plan p ON s.acq_id = p.acq_id AND p.energy = 222.5 GROUP BY ALL"))
+@query(sql(*SPOT, body="""
+SELECT s.acq_id, s.spot_id, round(min(sqrt((p.x - s.b) * (p.x - s.b) + (p.y - s.a) * (p.y - s.a))), 6) AS d
+FROM spots s
+JOIN plan p ON s.acq_id = p.acq_id AND p.energy = 222.5
+GROUP BY ALL"""))
 def energy_distance(spark, sf):
     """Distance of spots to the spots of one nominal energy."""
     found = nearest.distance_to_energy(measured_spots(spark, sf), plan_view(spark, sf), 222.5)
@@ -73,7 +82,10 @@ def _paint(tier: str, part: int) -> str:
     return f"CASE {tier} {' '.join(f'WHEN {chr(39)}{t}{chr(39)} THEN {c[part]}' for t, c in _PAINT.items())} ELSE 0 END"
 
 
-@query(sql(*DOSE, body=f"SELECT acq_id, spot_id, {', '.join(f'{_paint(_DOSE_TIER, k)} AS {n}' for k, n in enumerate(('red', 'green', 'blue')))}, 255 AS alpha FROM (SELECT *, (mf - pf) * 100 AS d FROM dose)"))
+@query(sql(*DOSE, body=f"""
+SELECT acq_id, spot_id, {', '.join(f'{_paint(_DOSE_TIER, k)} AS {n}' for k, n in enumerate(('red', 'green', 'blue')))}, 255 AS alpha
+FROM (SELECT *, (mf - pf) * 100 AS d
+FROM dose)"""))
 def dose_rgba(spark, sf):
     d = quality.dose_fractions(measured_spots(spark, sf), plan_view(spark, sf))
     return colors.by_dose(d).select("acq_id", "spot_id", "red", "green", "blue", "alpha")
@@ -90,7 +102,9 @@ def weight_alpha_rgba(spark, sf):
     return colors.by_weight(rows).select("acq_id", "row_idx", "alpha", "red", "green", "blue")
 
 
-@query(sql("plan", body="SELECT acq_id, spot_idx, 31 AS red, 119 AS green, 180 AS blue, CASE WHEN mu > 950 THEN 115 ELSE 0 END AS alpha FROM plan"))
+@query(sql("plan", body="""
+SELECT acq_id, spot_idx, 31 AS red, 119 AS green, 180 AS blue, CASE WHEN mu > 950 THEN 115 ELSE 0 END AS alpha
+FROM plan"""))
 def plan_rgba(spark, sf):
     return colors.plan_visibility(plan_view(spark, sf), F.col("mu") > 950).select("acq_id", "spot_idx", "red", "green", "blue", "alpha")
 
@@ -98,8 +112,12 @@ def plan_rgba(spark, sf):
 _HEIGHT = "JOIN (SELECT acq_id, max(energy) + min(energy) AS turn FROM plan GROUP BY acq_id) USING (acq_id)"
 _SIGMA = """
 JOIN (SELECT acq_id, quantile_cont(sigma_b, 0.5) AS qb, quantile_cont(sigma_a, 0.5) AS qa FROM shown GROUP BY acq_id) USING (acq_id)"""
-_SIZES = "round(greatest(0.02, least(50, 0.5 * coalesce(CASE WHEN sigma_b > 0 THEN sigma_b END, qb, 0.35))), 6) AS half_x, round(greatest(0.02, least(50, 0.5 * coalesce(CASE WHEN sigma_a > 0 THEN sigma_a END, qa, 0.35))), 6) AS half_y"
-_POINTS = f"SELECT acq_id, row_idx, turn - l.energy AS scene_z, {_SIZES}, {{red}} AS red FROM shown JOIN layers l USING (acq_id, layer) {_HEIGHT} {_SIGMA}"
+_SIZES = """
+round(greatest(0.02, least(50, 0.5 * coalesce(CASE WHEN sigma_b > 0 THEN sigma_b END, qb, 0.35))), 6) AS half_x, round(greatest(0.02, least(50, 0.5 * coalesce(CASE WHEN sigma_a > 0 THEN sigma_a END, qa, 0.35))), 6) AS half_y"""
+_POINTS = f"""
+SELECT acq_id, row_idx, turn - l.energy AS scene_z, {_SIZES}, {{red}} AS red
+FROM shown
+JOIN layers l USING (acq_id, layer) {_HEIGHT} {_SIGMA}"""
 
 
 @query(sql(*HIT, shown="SELECT * FROM hit WHERE distance > 1", body=_POINTS.format(red="CASE WHEN distance > 3 THEN 239 ELSE 234 END")))
@@ -132,7 +150,11 @@ def error_segments(spark, sf):
     return display.error_segments(nearest.match_on_layer(complete_rows(spark, sf), plan_view(spark, sf)), plan_view(spark, sf))
 
 
-_GONE = "SELECT p.* FROM plan p ANTI JOIN (SELECT * FROM rows WHERE sigma_b IS NOT NULL) r ON p.acq_id = r.acq_id AND p.spot_idx = r.spot_id AND p.spot_idx % 5 <> 0"
+_GONE = """
+SELECT p.*
+FROM plan p ANTI JOIN (SELECT *
+FROM rows
+WHERE sigma_b IS NOT NULL) r ON p.acq_id = r.acq_id AND p.spot_idx = r.spot_id AND p.spot_idx % 5 <> 0"""
 
 
 def _gone(spark, sf) -> DataFrame:
@@ -156,7 +178,11 @@ def missing_crosses(spark, sf):
     return display.crosses(_gone(spark, sf)).select("acq_id", "spot_idx", *map(plus, ("x0", "y0", "x1", "y1")))
 
 
-@query(sql(*SPOT[:6], body="SELECT acq_id, row_idx, l.energy AS nominal_energy, t FROM rows JOIN layers l USING (acq_id, layer) WHERE l.energy BETWEEN 150 AND 215 AND t BETWEEN 20.0 AND 80.0"))
+@query(sql(*SPOT[:6], body="""
+SELECT acq_id, row_idx, l.energy AS nominal_energy, t
+FROM rows
+JOIN layers l USING (acq_id, layer)
+WHERE l.energy BETWEEN 150 AND 215 AND t BETWEEN 20.0 AND 80.0"""))
 def energy_and_time_slice(spark, sf):
     cloud = display.measured_cloud(complete_rows(spark, sf), plan_view(spark, sf))
     return display.sliced(cloud, (215.0, 150.0), 20.0, 60.0).select("acq_id", "row_idx", "nominal_energy", "t")
@@ -168,13 +194,19 @@ def cumulative_time_slice(spark, sf):
     return display.sliced(acquisition_view(spark, sf), None, 60.0, -1, t_min=3.0).select("acq_id", "row_idx", "t")
 
 
-@query(sql(*SPOT, body="SELECT acq_id, row_idx FROM (SELECT *, row_number() OVER (PARTITION BY acq_id ORDER BY row_idx) AS n FROM rows) WHERE n <= 1000"))
+@query(sql(*SPOT, body="""
+SELECT acq_id, row_idx
+FROM (SELECT *, row_number() OVER (PARTITION BY acq_id ORDER BY row_idx) AS n
+FROM rows)
+WHERE n <= 1000"""))
 def first_points(spark, sf):
     """The display's limit of measured points."""
     return display.measured_cloud(complete_rows(spark, sf), plan_view(spark, sf), most=1000).select("acq_id", "row_idx")
 
 
-@query(sql("acq", body="SELECT acq_id, row_idx, printf('%d:%04.1f', CAST(floor(round(t, 1) / 60) AS BIGINT), round(t, 1) - 60 * floor(round(t, 1) / 60)) AS clock FROM acq"))
+@query(sql("acq", body="""
+SELECT acq_id, row_idx, printf('%d:%04.1f', CAST(floor(round(t, 1) / 60) AS BIGINT), round(t, 1) - 60 * floor(round(t, 1) / 60)) AS clock
+FROM acq"""))
 def timeline_clock(spark, sf):
     return acquisition_view(spark, sf).select("acq_id", "row_idx", captions.timeline_column(F.round("t", 1)).alias("clock"))
 

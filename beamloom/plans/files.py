@@ -29,7 +29,9 @@ def _acquisition_file(spark, sf) -> str:
 _ONE = "SELECT *, row_number() OVER (ORDER BY acq_id, row_idx) - 1 AS n FROM acq"
 
 
-@query(sql("acq", one=_ONE, body="SELECT 'run 7' AS acq_id, CAST(n AS BIGINT) AS row_idx, round(t, 6) AS t, round(a, 6) AS a, round(b, 6) AS b, channel, round(fit_a, 6) AS fit_a, round(sigma_b, 6) AS sigma_b, gate FROM one"))
+@query(sql("acq", one=_ONE, body="""
+SELECT 'run 7' AS acq_id, CAST(n AS BIGINT) AS row_idx, round(t, 6) AS t, round(a, 6) AS a, round(b, 6) AS b, channel, round(fit_a, 6) AS fit_a, round(sigma_b, 6) AS sigma_b, gate
+FROM one"""))
 def acquisition_csv(spark, sf):
     """A gzipped acquisition file, read back; its name gives the acquisition."""
     path = _acquisition_file(spark, sf)
@@ -41,7 +43,10 @@ def acquisition_csv(spark, sf):
     return got.select("acq_id", "row_idx", *[rounded(c).alias(c) for c in ("t", "a", "b")], "channel", rounded("fit_a").alias("fit_a"), rounded("sigma_b").alias("sigma_b"), "gate")
 
 
-@query(sql("acq", one=_ONE, body="SELECT CAST(row_number() OVER (ORDER BY n) - 1 AS BIGINT) AS row_idx, round(a, 6) AS a, round(b, 6) AS b FROM one WHERE n < 5000 AND n % 4 <> 0"))
+@query(sql("acq", one=_ONE, body="""
+SELECT CAST(row_number() OVER (ORDER BY n) - 1 AS BIGINT) AS row_idx, round(a, 6) AS a, round(b, 6) AS b
+FROM one
+WHERE n < 5000 AND n % 4 <> 0"""))
 def auto_columns_csv(spark, sf):
     """Rows of auto mode from a file: those with a fit (here three of four) of the first 5000, numbered again."""
     rows = acquisition.first_rows(acquisition.read_acquisition(spark, _acquisition_file(spark, sf)), 5000)
@@ -52,7 +57,10 @@ def auto_columns_csv(spark, sf):
 _PLAN_ONE = "SELECT *, row_number() OVER (ORDER BY acq_id, spot_idx) - 1 AS n FROM plan"
 
 
-@query(sql("plan", one=_PLAN_ONE, body="SELECT 'P9_cube' AS plan_id, CAST(row_number() OVER (ORDER BY n) - 1 AS BIGINT) AS spot_idx, x, y, energy, CAST(mu AS DOUBLE) AS mu, round(fwhm_x, 6) AS fwhm FROM one WHERE n % 11 <> 0"))
+@query(sql("plan", one=_PLAN_ONE, body="""
+SELECT 'P9_cube' AS plan_id, CAST(row_number() OVER (ORDER BY n) - 1 AS BIGINT) AS spot_idx, x, y, energy, CAST(mu AS DOUBLE) AS mu, round(fwhm_x, 6) AS fwhm
+FROM one
+WHERE n % 11 <> 0"""))
 def plan_csv(spark, sf):
     """A plan file with units and a mark in its header; slots without a charge (every eleventh) are left out."""
     path = f"{workspace(spark)}/P9_cube.csv"
@@ -88,7 +96,10 @@ def plan_nested(spark, sf):
     return plans.kept_slots(plans.nested_slots(_nested(spark, sf)), weightless=True)
 
 
-@query(sql("plan", body="SELECT CAST(acq_id AS VARCHAR) AS plan_id, count(*) AS n_raw, count(*) FILTER (spot_idx % 9 <> 0) AS n_kept FROM plan GROUP BY acq_id"))
+@query(sql("plan", body="""
+SELECT CAST(acq_id AS VARCHAR) AS plan_id, count(*) AS n_raw, count(*) FILTER (spot_idx % 9 <> 0) AS n_kept
+FROM plan
+GROUP BY acq_id"""))
 def plan_slot_counts(spark, sf):
     return plans.slot_counts(plans.nested_slots(_nested(spark, sf)), weightless=True)
 
