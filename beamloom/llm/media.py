@@ -8,8 +8,7 @@ those that it owns; a chunk that another document owns is stored as its digest a
 their owners' chunks, puts the lists together, checks every digest and computes the features from the bytes read back.
 
 Only documents that may hold a shared chunk are shuffled to meet their owners' decisions. To tell them in a scan, the
-shared digests are put into a Bloom filter of ``FILTER_BITS`` bits, whatever their number: it never misses one, and its
-false alarms only shuffle some documents more. Samples are zstandard frames inside the store.
+shared digests are put into a Bloom filter: it never misses one, and its false alarms only shuffle some documents more. Samples are zstandard frames inside the store.
 
 A document's stored form, of which media_bytes and media_sha256 are computed, is what is read of the store for it: the
 letters CDC1, u32 number of chunks, for each chunk of its list u32 length, u32 length of the stored frame and the digest,
@@ -33,12 +32,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bloom
 from ._shared import Scratch, documents, keyed, tied
 from .gear import masked_cuts
 
 UNIT, PAD = 576, 255
 LEAST, MEAN_BITS, MOST = 1024, 12, 16384
-FILTER_BITS, FILTER_HASHES = 1 << 24, 3
 LEVEL = 6
 _CHUNKS = "array<struct<digest: binary, size: int, data: binary>>"
 _CHUNK = pa.struct([("digest", pa.binary()), ("size", pa.int32()), ("data", pa.binary())])
@@ -87,20 +86,6 @@ def _manifest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(seqs, pa.int32()), pa.array(digests, pa.binary())], ["key", "seq", "digest"])
 
 
-def _places(digest: bytes) -> list[int]:
-    return [int.from_bytes(digest[8 * i + 1 : 8 * i + 8], "big") % FILTER_BITS for i in range(FILTER_HASHES)]
-
-
-def _filter(shared: DataFrame) -> np.ndarray:
-    """Bloom filter of the shared digests as bits; at most FILTER_BITS / 64 rows come to the driver."""
-    places = F.array(*[F.pmod(F.conv(F.substring(F.hex("digest"), 16 * i + 1 + 2, 14), 16, 10).cast("bigint"), F.lit(FILTER_BITS)) for i in range(FILTER_HASHES)])
-    words = shared.select(F.explode(places).alias("p")).groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
-    got = words.toPandas()
-    bits = np.zeros(FILTER_BITS // 64, np.uint64)
-    bits[got["w"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
-    return bits
-
-
 def _store(bits, maybe: bool):
     """Chunk lists of the documents that may (or cannot) hold a shared chunk."""
 
@@ -112,7 +97,7 @@ def _store(bits, maybe: bool):
                 n, data = payload(text.as_py())
                 parts = chunks(data)
                 digests = [hashlib.sha256(p).digest() for p in parts]
-                hit = any(all(have[p >> 6] >> np.uint64(p & 63) & np.uint64(1) for p in _places(d)) for d in digests)
+                hit = bloom.hits(have, np.frombuffer(b"".join(digests), ">u8")[::4].astype(np.uint64)).any()  # the first 8 of 32 bytes
                 if hit == maybe:
                     rows.append((key, doc, n, [{"digest": d, "size": len(p), "data": pack.compress(p)} for p, d in zip(parts, digests, strict=True)]))
             if rows:
@@ -146,7 +131,7 @@ def write_media(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
     texts = keyed(docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")), "doc_id", scratch)[0].select("key", "doc_id", "text")
     manifest = scratch.table(texts.select("key", "text").mapInArrow(_manifest, "key bigint, seq int, digest binary"), "manifest")
     owners = scratch.table(manifest.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "seq")).alias("owner")).filter("n > 1").select("digest", "owner"), "owners")
-    bits = spark.sparkContext.broadcast(_filter(owners))
+    bits = spark.sparkContext.broadcast(bloom.build(owners, F.expr("cast(conv(hex(substring(digest, 1, 8)), 16, -10) as bigint)")))
     schema = f"key bigint, doc_id bigint, n_bytes bigint, chunks {_CHUNKS}"
     alone = texts.mapInArrow(_store(bits, False), schema).withColumn("shared", F.array().cast("array<int>"))
     owns = (F.col("key") == F.col("owner.key")) & (F.col("seq") == F.col("owner.seq"))

@@ -32,8 +32,7 @@ With 28 bands of 6 places, a pair of similarity 0.8 shares a bucket with a proba
 Shuffles: equal word sequences are one class from the start, and only its first document goes on, so copies cost
 nothing. Bucket sizes and hubs are combined before the shuffle; joins of members with their hubs and of pairs with their
 texts are plain sort-merge joins, which adaptive execution can split. Texts outside all pairs are ruled out once, by a
-Bloom filter sized by the number of texts in pairs (up to ``FILTER_BITS``; beyond that it rules out less, which changes
-no result), and the others are written once for all rounds of comparisons. Components: minimum labels with hooking and pointer jumping, in tables
+Bloom filter sized by the number of texts in pairs, and the others are written once for all rounds of comparisons. Components: minimum labels with hooking and pointer jumping, in tables
 written to the shared folder.
 
 Cases: texts without words (null, empty, marks only) are near-duplicates of equal texts only. Rows that repeat an id are
@@ -52,11 +51,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import bloom
 from ._shared import Scratch, documents, keeps, keyed, task_of, tied
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 28, 6
-FILTER_BITS, FILTER_HASHES = 1 << 27, 3
 _WORD = re.compile(r"\w+")
 _P = np.uint64(0x9E3779B97F4A7C15)
 _TIME = float(1 << 32)
@@ -206,27 +205,11 @@ def _compare(shingle: int):
     return run
 
 
-def _filter(keys: DataFrame) -> np.ndarray:
-    """Bloom filter of keys, 16 bits for each and FILTER_BITS at most; a 64th of its bits come to the driver as rows."""
-    size = min(FILTER_BITS, 1 << max(10, (16 * keys.count()).bit_length()))
-    places = F.array(*[F.expr(f"pmod(shiftrightunsigned(xxhash64(key), {18 * i}), {size}L)") for i in range(FILTER_HASHES)])
-    words = keys.select(F.explode(places).alias("p")).groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
-    got = words.toPandas()
-    bits = np.zeros(size // 64, np.uint64)
-    bits[got["w"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
-    return bits
-
-
 def _only(bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = np.uint64(64 * len(bits.value))
         for b in batches:
             h = np.array([xxhash.xxh64_intdigest(k.to_bytes(8, "little", signed=True), 42) for k in b.column(0).to_pylist()], np.uint64)
-            found = np.ones(len(h), bool)
-            for i in range(FILTER_HASHES):
-                p = (h >> np.uint64(18 * i)) % size
-                found &= (bits.value[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
-            if found.any():
+            if (found := bloom.hits(bits.value, h)).any():
                 yield b.filter(pa.array(found))
 
     return run
@@ -235,7 +218,7 @@ def _only(bits):
 def _texts(rows: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
     """(key, text) of the rows in pairs (a, b), and of the few others that the filter lets through."""
     needed = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "needed")
-    bits = rows.sparkSession.sparkContext.broadcast(_filter(needed))
+    bits = rows.sparkSession.sparkContext.broadcast(bloom.build(needed, F.xxhash64("key")))
     return scratch.table(rows.select("key", "text").mapInArrow(_only(bits), "key bigint, text string"), "texts")
 
 

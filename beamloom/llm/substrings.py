@@ -12,9 +12,9 @@ The document with the smallest key (its id) that has a window keeps it; in the o
 ``remove_passages`` does.
 
 Shuffles: chunk digests are counted with map-side combination and joined back to the documents' lists; only documents
-that a Bloom filter of the shared digests (``FILTER_BITS`` bits, whatever their number) doesn't rule out are shuffled
-with their texts to meet their lists. False alarms of the filter shuffle more and change no result. Hot digests are a
-side of plain sort-merge joins, which adaptive execution can split.
+that a Bloom filter of the shared digests doesn't rule out are shuffled with their texts to meet their lists, and only
+windows that a filter of the repeated ones doesn't rule out meet their owners. False alarms shuffle more and change no
+result. Hot digests are a side of plain sort-merge joins, which adaptive execution can split.
 
 Cases: null text counts as empty; texts of fewer than WORDS words have no passage. A passage that repeats in one
 document only is left alone. Rows that repeat an id are documents of their own; among them the row numbers decide.
@@ -34,11 +34,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bloom
 from ._shared import Scratch, documents, keyed, tied
 from .gear import WINDOW, lowest_cuts
 
 WORDS, REACH = 50, 24
-FILTER_BITS, FILTER_HASHES = 1 << 25, 3
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
 _SPACE = re.compile(r"\S+")
@@ -101,31 +101,13 @@ def _digests(words: int):
     return run
 
 
-def _filter(shared: DataFrame) -> np.ndarray:
-    """Bloom filter of the shared digests; at most FILTER_BITS / 64 rows come to the driver."""
-    places = F.array(*[F.expr(f"pmod(shiftrightunsigned(digest, {20 * i}), {FILTER_BITS}L)") for i in range(FILTER_HASHES)])
-    words = shared.select(F.explode(places).alias("p")).groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
-    got = words.toPandas()
-    bits = np.zeros(FILTER_BITS // 64, np.uint64)
-    bits[got["w"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
-    return bits
-
-
-def _hits(bits: np.ndarray, digests: np.ndarray) -> np.ndarray:
-    found = np.ones(len(digests), bool)
-    for i in range(FILTER_HASHES):
-        p = (digests >> np.uint64(20 * i)) % np.uint64(FILTER_BITS)
-        found &= (bits[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
-    return found
-
-
 def _may_share(bits, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
             for t in b.column(1):
                 w, data, cuts, digests = chunked(t.as_py(), words)
-                keep.append(len(w) >= words and len(candidates(data, cuts, _hits(bits.value, digests), words)) > 0)
+                keep.append(len(w) >= words and len(candidates(data, cuts, bloom.hits(bits.value, digests), words)) > 0)
             if any(keep):
                 yield b.filter(pa.array(keep))
 
@@ -145,6 +127,18 @@ def _windows(words: int):
     return run
 
 
+def _may_repeat(bits):
+    """Windows that may have an owner, and all of documents that have copies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = bloom.hits(bits.value, b.column(3).to_numpy().view(np.uint64)) | b.column(1).to_numpy(zero_copy_only=False)
+            if found.any():
+                yield b.filter(pa.array(found))
+
+    return run
+
+
 def _spans(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -170,12 +164,14 @@ def _find(rows: DataFrame, scratch: Scratch, words: int) -> DataFrame:
     places = described.select("key", F.explode("digests").alias("digest"))
     shared = scratch.table(places.groupBy("digest").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a <> b").select("digest"), "shared")
     lists = places.join(shared, "digest").groupBy("key").agg(F.collect_list("digest").alias("listed"))
-    bits = rows.sparkSession.sparkContext.broadcast(_filter(shared))
+    bits = rows.sparkSession.sparkContext.broadcast(bloom.build(shared, F.col("digest")))
     copied = alike.filter("key = first").select("key", F.lit(True).alias("copied"))
     texts = rows.select("key", "text").mapInArrow(_may_share(bits, words), "key bigint, text string").join(later.select("key"), "key", "left_anti")
     windows = texts.join(lists, "key", "left").join(copied, "key", "left").select("key", "text", "listed", F.coalesce("copied", F.lit(False)).alias("copied"))
     windows = scratch.table(windows.mapInArrow(_windows(words), "key bigint, copied boolean, at int, h bigint, g int"), "windows")
     owners = scratch.table(windows.groupBy("h", "g").agg(F.min("key").alias("owner"), F.max("key").alias("b")).filter("owner <> b").select("h", "g", "owner"), "owners")
+    known = rows.sparkSession.sparkContext.broadcast(bloom.build(owners, F.col("h")))
+    windows = windows.mapInArrow(_may_repeat(known), windows.schema)
     met = windows.join(owners, ["h", "g"], "left").filter("owner is not null or copied")
     found = met.groupBy("key").agg(F.collect_list(F.struct("at", F.coalesce("owner", "key").alias("owner"))).alias("found"))
     spans = scratch.table(found.mapInArrow(_spans(words), "key bigint, start_word bigint, end_word bigint, owner bigint, kept boolean"), "spans")
