@@ -39,6 +39,7 @@ from .tokens import END, default_vocabulary, encoder
 VOCABULARY = 50_257
 SHARD_TOKENS = 1 << 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_SKIPPED = np.int64(-1 << 63)  # marks the code of a place that doesn't count
 SHARDS = "part int, k int, n_docs bigint, n_tokens bigint, data binary"
 _HEAD = struct.Struct("<4sIIIII")
 
@@ -52,7 +53,7 @@ def _same(codes: np.ndarray, turn: int) -> tuple[np.ndarray, int]:
     number, left, offset = np.empty(len(codes), np.int64), np.arange(len(codes)), 0
     while len(left):
         c = codes[left]
-        bits = max(6, int(2 * len(c)).bit_length())
+        bits = max(6, len(c).bit_length())
         place = ((c.astype(np.uint64) * (_MIX + np.uint64(2 * turn))) >> np.uint64(64 - bits)).astype(np.int64)
         owner = np.empty(1 << bits, np.int64)
         owner[place] = c
@@ -83,31 +84,36 @@ def compress(ids: np.ndarray, starts: np.ndarray, vocabulary: int = VOCABULARY)
     while len(look):
         left, right = s[look], s[after[look]]
         codes = left.astype(np.int64) << 31 | right
-        counted = np.ones(len(look), bool)
+        pair, most = _same(codes, turn)
         alike = np.flatnonzero(left == right)
+        count = np.bincount(pair, minlength=most)
         if len(alike):  # of a run of one symbol every second place counts
             begin = np.r_[True, after[look[alike[:-1]]] != look[alike[1:]]]
             at = np.arange(len(alike))
-            counted[alike] = (at - np.maximum.accumulate(np.where(begin, at, 0))) % 2 == 0
-        pair, most = _same(codes, turn)
-        count = np.bincount(pair[counted], minlength=most)[pair]
-        often = count >= 2
-        look, codes, pair, counted, count = look[often], codes[often], pair[often], counted[often], count[often]
-        place, mine = look[counted], pair[counted]
-        value = count[counted] << 36 | ((codes[counted].astype(np.uint64) * (_MIX + np.uint64(2 * turn))) >> np.uint64(28)).astype(np.int64)
+            skipped = alike[(at - np.maximum.accumulate(np.where(begin, at, 0))) % 2 == 1]
+            count -= np.bincount(pair[skipped], minlength=most)
+            codes[skipped] |= _SKIPPED
+        count = count[pair]
+        often = np.flatnonzero(count >= 2)
+        look, codes, pair, count = look[often], codes[often], pair[often], count[often]
+        place, mine, code = look, pair, codes
+        if len(alike):
+            counted = np.flatnonzero(codes >= 0)
+            place, mine, code, count = look[counted], pair[counted], codes[counted], count[counted]
+        value = count << 36 | ((code.astype(np.uint64) * (_MIX + np.uint64(2 * turn))) >> np.uint64(28)).astype(np.int64)
         rank[place] = value
-        wins = (value > rank[before[place]]) & (value > rank[after[place]])
+        wins = np.flatnonzero(value > np.maximum(rank[before[place]], rank[after[place]]))
         rank[place] = 0
-        hit, mine = place[wins], mine[wins]
+        hit, mine, code = place[wins], mine[wins], code[wins]
         taken = np.bincount(mine, minlength=most)
-        made = taken[mine] >= 2
-        hit, mine = hit[made], mine[made]
+        made = np.flatnonzero(taken[mine] >= 2)
+        hit, mine, code = hit[made], mine[made], code[made]
         if not len(hit):  # two first pairs of one mark, which the next turn tells apart
             turn += 1
             continue
         new = np.flatnonzero(taken >= 2)
         name, of = np.empty(most, np.int64), np.empty(most, np.int64)
-        of[mine] = codes[counted][wins][made]
+        of[mine] = code
         order = np.argsort(of[new])
         name[new[order]] = base + np.arange(len(new))
         gone, mine, pairs = after[hit], name[mine], of[new[order]]
