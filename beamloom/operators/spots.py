@@ -33,6 +33,28 @@ def weighted_spots(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
     )
 
 
+_MEANS = ("a", "b", "sigma_a", "sigma_b", "channel")
+
+
+def spot_sums(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Sums of ``weighted_spots`` before the division, without layer, time and order: sums of parts of the rows add up.
+
+    For each mean c, ``of_c`` is the sum of weighted values and ``by_c`` that of the weights of rows that have one.
+    """
+    w = F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(TINY))
+    ok = {c: F.col(c) > 0 if c == "channel" else F.col(c).isNotNull() for c in _MEANS}
+    sums = [F.sum(F.when(ok[c], x)).alias(f"{p}_{c}") for c in _MEANS for p, x in (("of", w * F.col(c)), ("by", w))]
+    return rows.filter("spot_id >= 0").groupBy(*(keys or ["acq_id", "spot_id"])).agg(*sums, F.sum(w).alias("weight"), F.max("partial").alias("partial"), F.count(F.lit(1)).alias("n_rows"))
+
+
+def summed_spots(sums: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Measured spots of any number of tables of ``spot_sums``, put together."""
+    total = [F.sum(f"{p}_{c}").alias(f"{p}_{c}") for c in _MEANS for p in ("of", "by")]
+    keys = keys or ["acq_id", "spot_id"]
+    merged = sums.groupBy(*keys).agg(*total, F.sum("weight").alias("weight"), F.max("partial").alias("partial"), F.sum("n_rows").alias("n_rows"))
+    return merged.select(*keys, *[(F.col(f"of_{c}") / F.nullif(F.col(f"by_{c}"), F.lit(0.0))).alias(c) for c in _MEANS], "weight", "partial", "n_rows")
+
+
 def plan_slot_spots(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Weighted spots of plan-sequential rows: slots of the plan only, with both positions; layers fall back to delivery."""
     table = layer_table(plan)

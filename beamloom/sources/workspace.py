@@ -21,13 +21,17 @@ def _delete_all() -> None:
             p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; in local mode, where that is unset, the temporary folder."""
+    if shared := spark.conf.get("spark.checkpoint.dir", None):
+        return shared.rstrip("/")
+    if not re.fullmatch(r"local(\[.*)?", master := spark.sparkContext.master):
+        raise RuntimeError(f"spark.checkpoint.dir is not set, and {master} has no folder that its driver and executors share")
+    return f"file://{tempfile.gettempdir()}"
+
+
 def workspace(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir`` (in local mode, where that is unset, a temporary one), deleted at the end."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not re.fullmatch(r"local(\[.*)?", master := spark.sparkContext.master):
-            raise RuntimeError(f"spark.checkpoint.dir is not set, and {master} has no folder that its driver and executors share")
-        shared = f"file://{tempfile.gettempdir()}"
-    path = f"{shared.rstrip('/')}/beamloom-files-{uuid.uuid4().hex}"
+    """A new folder in the shared folder, deleted at the end."""
+    path = f"{shared_folder(spark)}/beamloom-files-{uuid.uuid4().hex}"
     _FOLDERS.append((spark, path))
     return path
