@@ -5,7 +5,7 @@ import zlib
 
 import pytest
 
-from beamloom.llm import exact_dedup, language, media, mixing, near_dedup, packing, quality, substrings, token_files, toxicity
+from beamloom.llm import exact_dedup, language, media, mixing, near_dedup, packing, quality, spelling, substrings, token_files, toxicity, vector_packing
 from beamloom.llm._shared import Scratch
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, key bigint, kept string, copy string, score string, class_id int, id string"
@@ -135,3 +135,34 @@ def test_classifiers(odd, none, spark):
     assert toxicity.score(none, toxicity.fit(odd, truth)).count() == 0
     assert quality.score(none, quality.fit(none, truth)).count() == 0
     assert quality.keep_good(odd, quality.fit(odd, truth)).columns == odd.columns
+
+
+def test_vector_packing(odd, none, spark):
+    got = vector_packing.pack_vectors(odd, vector_packing.one_part()).collect()
+    by = {}
+    for r in got:
+        by.setdefault((r["doc_id"], r["doc_tokens"]), []).append(r)
+    assert sum(r["length"] for r in got) == sum(r["doc_tokens"] for r in got if r["start"] == 0) and sum(r["start"] == 0 for r in got) == len(ROWS)
+    assert [r["length"] for r in by[4, 1]] == [1] and by[4, 1][0]["ids_crc32"] == zlib.crc32((2).to_bytes(4, "little")) and by[4, 1][0]["loss_tokens"] == 0
+    assert {r["doc_tokens"] for r in got if r["doc_id"] in (5, 6)} == {max(r["doc_tokens"] for r in got)} and sum(r["start"] == 0 for r in by[1, 4]) == 2
+    assert sum(r["doc_id"] is None for r in got) == 2
+    assert vector_packing.pack_vectors(none, vector_packing.one_part()).count() == 0
+    parts = "array<struct<text:string,loss:boolean>>"
+    turns = spark.createDataFrame([(1, [("what is it", False), ("it is this", True), (None, None), ("and that", True)]), (2, None), (3, []), (4, [None])], f"conv_id bigint, parts {parts}")
+    rows = vector_packing.pack_vectors(turns, turns["parts"], "conv_id").collect()
+    loss = lambda i: (sum(r["length"] for r in rows if r["conv_id"] == i), sum(r["loss_tokens"] for r in rows if r["conv_id"] == i))
+    assert [loss(i) for i in (1, 2, 3, 4)] == [(9, 6), (1, 0), (1, 0), (1, 0)]
+    with pytest.raises(ValueError):
+        vector_packing.pack_vectors(turns, turns["parts"], "conv_id", segments=0)
+
+
+def test_spelling_variants(odd, none, spark):
+    got = {r["word"]: r for r in spelling.spelling_variants(odd).collect()}
+    assert "word1234" not in got and got == {}  # no run of five letters occurs three times
+    long = "z" * 20_000
+    rows = [(None, "Straße"), (7, "Straße " * 3 + "Strasse Strase"), (7, long), (8, long + "y"), (9, long), (10, long + "y"), (11, long), (12, long + "y"), (13, None), (14, ""), (15, long), (15, long), (16, long)]
+    rows += [(i, f"{long[:9]}{'é' * (i % 2)}") for i in range(100, 112)]
+    found = {r["word"]: r for r in spelling.spelling_variants(spark.createDataFrame(rows, "doc_id bigint, text string"), most_letters=50).collect()}
+    assert found[long]["n_near"] == 1 and found[long + "y"]["n_near"] == 1 and found[long + "y"]["form"] == long
+    assert found[long[:9]]["form"] is None and found[long[:9]]["n_near"] == 1 and found[long[:9]]["form_n"] is None
+    assert spelling.spelling_variants(none).count() == 0

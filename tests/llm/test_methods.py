@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from beamloom.llm import exact_dedup, gear, language, media, mixing, near_dedup, packing, quality, registry, substrings, token_files, tokens, toxicity
+from beamloom.llm import exact_dedup, gear, language, media, mixing, near_dedup, packing, quality, registry, spelling, substrings, token_files, tokens, toxicity, vector_packing, word_tokens
 from beamloom.llm._shared import Scratch, documents, release
 from beamloom.llm.learn import remainder
 
@@ -429,3 +430,136 @@ def test_pipeline_equals_a_plain_version(spark, sf_dir, texts):
     got = got.sort_values(["sequence_id", "offset"])
     assert (got["offset"] == got.groupby("sequence_id")["length"].cumsum() - got["length"]).all()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact_copies", "near_copies", "mixture", "sequences"]
+
+
+def _examples(rng, n, tokens, parts):
+    out = []
+    for i in range(n):
+        runs, at = [], 0
+        for k in range(rng.randint(1, parts)):
+            at += rng.randint(0, tokens)
+            runs.append((at, bool(k % 2) or parts == 1))
+        out.append(vector_packing.Example(i, bytes(4 * (at + 1)), [*runs, (at + 1, runs[-1][1])]))
+    return out
+
+
+@pytest.mark.parametrize(("tokens", "segments", "loss"), [(4096, 128, 4096), (4096, 16, 700), (100, 2, 7), (64, 1, 64), (1, 1, 1)])
+def test_sequences_hold_every_token_within_the_limits(tokens, segments, loss):
+    rng = random.Random(tokens + segments)
+    examples, bears = _examples(rng, 60 if tokens < 4096 else 1500, 300, 5), {}
+    for e in examples:
+        bears[e.id] = [e.before(p) for p in range(e.n + 1)]
+        assert all(0 <= b - a <= 1 for a, b in zip(bears[e.id], bears[e.id][1:], strict=False)) and bears[e.id][1] == 0
+        for start in range(0, e.n, 41):
+            reach = e.reach(start, 5)
+            assert bears[e.id][reach] - bears[e.id][start] <= 5 and (reach == e.n or bears[e.id][reach + 1] - bears[e.id][start] > 5)
+    pieces = defaultdict(list)
+    for made in vector_packing.sequences(iter(examples), tokens, segments, loss):
+        used = sum(end - start for _, start, end in made)
+        assert 0 < used <= tokens and len(made) <= segments and sum(bears[e.id][end] - bears[e.id][start] for e, start, end in made) <= loss
+        assert used == tokens or used & (used - 1) == 0  # no padding
+        for e, start, end in made:
+            pieces[e.id].append((start, end))
+    for e in examples:
+        ends = sorted(pieces[e.id])
+        assert [s for s, _ in ends] == [0, *(t for _, t in ends[:-1])] and ends[-1][1] == e.n
+
+
+def test_the_largest_dot_product_goes_first():
+    """Of what fits in all dimensions: with little room for loss, the piece that needs more of what is left."""
+    packer = vector_packing.Packer(100, 9, 10)
+    for i, (n, bears) in enumerate([(60, 9), (50, 2), (40, 8), (30, 0)]):
+        list(packer.add(vector_packing.Example(i, bytes(4 * n), [(n - bears, False), (n, True)])))
+    size, loss = packer.size[:4].copy(), packer.loss[:4].copy()
+    first = packer.fill()[0]
+    score = [s / 100 * size.sum() / 100 + x / 10 * loss.sum() / 10 for s, x in zip(size, loss, strict=True)]
+    assert first[0].id == score.index(max(score))
+
+
+def test_vector_packing_equals_the_library(spark, sf_dir, texts):
+    from tokenizers import Tokenizer
+
+    coder = Tokenizer.from_file(word_tokens.default_word_vocabulary())
+    ids = {d: np.array([*coder.encode(t, add_special_tokens=False).ids, 2], "<u4") for d, t in texts.items()}
+    got = registry.QUERIES["op11_vector_packing"][0](spark, sf_dir).collect()
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for r in got:
+        assert r["doc_tokens"] == len(ids[r["doc_id"]])
+        assert r["ids_crc32"] == zlib.crc32(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]].tobytes())
+        by_doc[r["doc_id"]].append((r["start"], r["start"] + r["length"]))
+        by_sequence[r["sequence_id"]].append((r["offset"], r["offset"] + r["length"]))
+    assert set(by_doc) == set(ids)
+    for d, ends in by_doc.items():
+        ends.sort()
+        assert [s for s, _ in ends] == [0, *(t for _, t in ends[:-1])] and ends[-1][1] == len(ids[d])
+    padding = 0
+    for ends in by_sequence.values():
+        ends.sort()
+        assert [s for s, _ in ends] == [0, *(t for _, t in ends[:-1])]
+        used = ends[-1][1]
+        padding += 0 if used & (used - 1) == 0 else 4096 - used
+    assert padding == 0 and len(by_sequence) <= sum(map(len, ids.values())) / 4096 + 13
+
+
+def test_word_encoder_equals_the_library(texts):
+    coder = word_tokens.WordEncoder(word_tokens.default_word_vocabulary())
+    odd = ["It's  a\tTest ÅÄÖ ǅ İstanbul ΑΣ ΟΔΟΣ. don't", "a\x1cb", "x ́y é", "<|endoftext|> a<|startoftext|>b", "ﬁ ª º µ ß ẞ", "　wide　x", "123 4.5 ½x", "\r\n\r\n a ", "A\u0085B", "é.", "I'm we'LL 'S", "﻿BOM", "한국어", "a ̸= b"]
+    for t in [*texts.values(), *odd]:
+        assert coder.ids(t) == coder.plain(t)
+
+
+def _spelling(rows):
+    """Words by plain counting; near words by all strings with one letter deleted or masked."""
+    n, lower = Counter(), {c: c + 32 for c in range(65, 91)}
+    for d, t in rows:
+        for w in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            w = w.translate(lower)
+            h = zlib.crc32(f"{'' if d is None else d}:{w}".encode())
+            if h % 97 == 0:
+                w = w[: h % len(w)] + w[h % len(w) + 1 :]
+            if len(w) >= 5:
+                n[w] += 1
+    n = {w: k for w, k in n.items() if k >= 3}
+    masked, near = defaultdict(set), defaultdict(set)
+    for w in n:
+        for i in range(len(w)):
+            masked[w[:i], w[i + 1 :]].add(w)
+            if (v := w[:i] + w[i + 1 :]) in n:
+                near[w].add(v)
+                near[v].add(w)
+    for group in masked.values():
+        for w in group:
+            near[w] |= group - {w}
+    best = {w: min(near[w], key=lambda v: (-n[v], v)) for w in n if near[w]}
+    form = {w: best[w] if w in best and n[best[w]] >= 2 * k else None for w, k in n.items()}
+
+    def root(w):
+        return root(form[w]) if form[w] else w
+
+    return {(w, form[w], root(w), k, len(near[w]), n[form[w]] if form[w] else None) for w, k in n.items()}
+
+
+def test_spelling_variants_equal_brute_force(spark, sf_dir, texts):
+    got = registry.QUERIES["op12_spelling_variants"][0](spark, sf_dir).collect()
+    want = _spelling(texts.items())
+    assert set(map(tuple, got)) == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("most_letters", [10, 300, 60_000])
+def test_hot_tries_are_split(spark, most_letters):
+    """A family of words of two letters with one beginning and one end, as far as repeats within a word make pairs ambiguous."""
+    rng, words = random.Random(3), set()
+    while len(words) < 600:
+        words.add("aaaa" * rng.randint(1, 2) + "".join(rng.choices("ab", k=rng.randint(1, 9))) + "ß" * rng.randint(0, 2))
+    rows = [(i, " ".join(rng.choices(sorted(words), k=20))) for i in range(400)]
+    got = spelling.spelling_variants(spark.createDataFrame(rows, "doc_id bigint, text string"), most_letters=most_letters).collect()
+    want = _spelling(rows)
+    assert set(map(tuple, got)) == want and len(got) == len(want) and sum(r["n_near"] for r in got) > 1000
+
+
+def test_roots_follow_chains(spark):
+    """Each word is more than twice as frequent as the next, one letter apart."""
+    chain = {"helloo": 800, "halloo": 300, "hallao": 110, "hillao": 40, "hillaa": 15}
+    rows = [(i, w) for i, w in enumerate([w for w, n in chain.items() for _ in range(n)])]
+    got = {r["word"]: r for r in spelling.spelling_variants(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert set(map(tuple, got.values())) == _spelling(rows) and got["hillaa"]["root"] == "helloo"
