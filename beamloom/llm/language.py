@@ -3,7 +3,7 @@
 The lower-cased text's UTF-8 bytes give n-grams of 2, 3 and 4 bytes (white space included, so word ends count), hashed
 to ``BUCKETS`` rows of an embedding. A document is the mean of its rows; a linear softmax scores the languages. Both
 are trained by stochastic gradient descent in numpy on a bounded sample (``PER_CLASS`` texts of each language, fewer
-where there are many languages, of at most ``MOST_CHARS`` characters each). As the model is linear, embedding and softmax
+where there are many languages but one at least, of at most ``MOST_CHARS`` characters each). As the model is linear, embedding and softmax
 are multiplied once into one table of buckets by languages where there are at most ``DIM`` languages; with more, both go
 to the executors. So the model has at most ``DIM * (BUCKETS + languages)`` numbers, whatever the corpus.
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from ._shared import documents
-from .learn import MOST_CHARS, remainder, sample, sparse_features
+from .learn import MOST_CHARS, first_by_hash, remainder, sparse_features
 
 BUCKETS, DIM, GRAMS = 1 << 16, 12, (2, 3, 4)
 PER_CLASS = 500  # labelled documents of each language that are learned from
@@ -157,9 +157,10 @@ def train(rows: list[tuple]) -> Model | None:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_class: int = PER_CLASS, most_chars: int = MOST_CHARS) -> Model | None:
-    """Learn from the rows of ``docs`` with a label."""
-    chosen, _ = sample(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label")), per_class)
-    return train(sparse_features(docs.filter(F.col(f"`{text_col}`").isNotNull()), chosen, features, id_col, text_col, most_chars))
+    """Learn from the rows of ``docs`` with a label and a text of at most ``most_chars`` characters."""
+    short = docs.filter(F.length(F.col(f"`{text_col}`").cast("string")) <= most_chars)
+    chosen = first_by_hash(short.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label")), per_class)
+    return train(sparse_features(short, chosen, features, id_col, text_col, most_chars))
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

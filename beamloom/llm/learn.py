@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -48,6 +48,19 @@ def sample(rows: DataFrame, per_class: int) -> tuple[DataFrame, dict]:
     return rows.filter(F.coalesce(unit < F.element_at(limits, F.col("label")), F.lit(False))), share
 
 
+def first_by_hash(rows: DataFrame, per_class: int) -> DataFrame:
+    """The per_class rows of each label of (id, label) whose ids have the smallest hashes; all rows of rarer labels.
+
+    Beyond ``MOST_ROWS / per_class`` labels each gets fewer rows, but one at least: every label is learned, whatever their
+    number. Ids that repeat count once, with their largest label; null ids and labels are left out. A task sends on no
+    more rows of a label than are wanted, so a label that most rows have gathers nowhere.
+    """
+    rows = rows.dropna().groupBy("id").agg(F.max("label").alias("label"))
+    each = max(1, min(per_class, MOST_ROWS // max(1, rows.select("label").distinct().count())))
+    order = Window.partitionBy("label").orderBy(F.xxhash64("id", F.lit(77)), "id")
+    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= each).drop("rank")
+
+
 def sparse_features(docs: DataFrame, chosen: DataFrame, feature: Callable[[str], tuple[np.ndarray, np.ndarray]], id_col: str, text_col: str, most_chars: int = MOST_CHARS) -> list[tuple[int, object, np.ndarray, np.ndarray]]:
     """(id, label, indices, values) of the sample's documents in the order of their ids; chosen is bounded by ``sample``."""
     ship(docs.sparkSession)

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from beamloom.llm import exact_dedup, gear, language, media, mixing, near_dedup, packing, quality, registry, spelling, substrings, token_files, tokens, toxicity, vector_packing, word_tokens
+from beamloom.llm import exact_dedup, gear, language, learn, media, mixing, near_dedup, packing, quality, registry, spelling, substrings, token_files, tokens, toxicity, vector_packing, word_tokens
 from beamloom.llm._shared import Scratch, documents, release
 from beamloom.llm.learn import remainder
 
@@ -303,6 +303,18 @@ def test_languages_are_not_cut():
     assert p.argmax(axis=1).tolist() == [1, 0]
 
 
+def test_every_language_is_sampled(spark):
+    """Many languages, a rare one, and one whose first rows by hash have texts that are too long to be learned from."""
+    many = spark.range(27_000).select("id", F.concat(F.lit("l"), F.col("id") % 9_000).alias("label"))
+    assert learn.first_by_hash(many, 500).groupBy("label").count().agg(F.count("*"), F.max("count")).first() == (9_000, 1)
+    few = spark.range(3_000).select("id", F.when(F.col("id") == 5, "rare").otherwise("common").alias("label"))
+    assert {r["label"]: r["count"] for r in learn.first_by_hash(few, 500).groupBy("label").count().collect()} == {"rare": 1, "common": 500}
+    mostly_long = spark.range(400).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "aa").otherwise("bb").alias("lang"))
+    text = F.when((F.col("lang") == "aa") & (F.col("doc_id") > 4), F.repeat(F.lit("long "), 20_000)).when(F.col("lang") == "aa", "short one").otherwise("brief other")
+    model = language.fit(mostly_long.withColumn("text", text), per_class=10)
+    assert model.labels == ["aa", "bb"]
+
+
 def test_letters(spark):
     docs = spark.createDataFrame([(1, "½ ² ① Ⅷ 12 _"), (2, "é"), (3, "日"), (4, "ab cd")], "doc_id bigint, text string")
     model = language.train([(k, "en", *language.features("ab cd")) for k in range(9)])
