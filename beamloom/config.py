@@ -112,6 +112,9 @@ class Config:
     layer_gap_s: float = K.LAYER_GAP_S
     refill_tolerance_mm: float = K.REFILL_TOLERANCE_MM
     penalty_mm2: float | None = K.ADVANCE_PENALTY_MM2
+    auto_infer: bool = True
+    min_episode_rows: int = 1
+    dead_ratio: float = K.DEAD_RATIO
     coarse: bool = False
     flier_sigma: float | None = None
     fine_shift: bool = False
@@ -130,6 +133,8 @@ class Config:
             raise ValueError(f"unknown auto method: {self.auto_method}")
         if self.layer_gap_s <= 0 or self.refill_tolerance_mm <= 0 or (self.penalty_mm2 is not None and self.penalty_mm2 < 0):
             raise ValueError("gap and tolerance must be positive, the penalty not negative")
+        if self.min_episode_rows < 1 or self.dead_ratio <= 0 or (self.max_points is not None and self.max_points < 1):
+            raise ValueError("episodes have one row at least, and so has a limit of points; the dead ratio is positive")
 
     @property
     def position_qa(self) -> bool:

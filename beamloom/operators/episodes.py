@@ -1,7 +1,7 @@
-"""Assignment by signal episodes, by plan order and by cheapest layer path: grouped maps over one acquisition at a time.
+"""Assignment by signal episodes, by plan order and by cheapest layer path.
 
-These rules are folds over an acquisition's rows in order. Acquisitions are independent, so they are the unit of
-parallelism, and a task holds one of them (its plan's spots beside it).
+The cheapest path is windows over an acquisition's rows. Episodes and plan order are folds over them, by grouped maps;
+acquisitions are independent, so they are the unit of parallelism, and a task holds one of them (its plan's spots beside it).
 """
 
 from __future__ import annotations
@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import rows as R
 from ..session import ship
+from ..sources.acquisition import first_points, numbered, signal_rows
 from . import kernels
-from .grid import layer_distances
-from .layers import last_layers, layer_table, spread_layers, with_layers
-from .nearest import impute_axes, impute_on_layer
+from .layers import layer_energies, layer_table, spread_layers
+from .nearest import impute_axes, impute_on_layer, layer_distances
 from .signal import advance_penalty, cluster_radius, delivery_metric, delivery_weights, gap_of, min_on_weight_of, min_rows_of, plan_sizes, row_statistics
 
 _SPANS = "acq_id {kind}, span_id bigint, row_start bigint, row_end bigint, count_ok boolean, n_raw bigint"
@@ -109,31 +109,50 @@ def slot_spans(rows: DataFrame) -> DataFrame:
 
 
 def cheapest_layers(rows: DataFrame, plan: DataFrame, penalty: float | None = None) -> DataFrame:
-    """Adds layer: the cheapest monotone path of all rows through the layers. ``penalty`` None: inferred from the plan."""
-    ship(rows.sparkSession)
+    """Adds layer: the cheapest path of all rows from layer 0 up, by 0 or 1 a row, where a row costs its squared distance to
+    the layer and a step ``penalty``. None: inferred from the plan.
+
+    Layer by layer, all rows at once. With S the running sum of a layer's distances, the cheapest way to be on layer k at row
+    i is S(k, i) plus the least of best(k - 1, j - 1) + penalty - S(k, j - 1) over the rows j up to i at which it may have
+    been entered, a running minimum. The rows at which its layers were entered go along with it, so the cheapest of the last
+    row tells all steps. Staying wins a tie, and the lower of equal last layers. Each layer is one window over the rows in
+    order, and all of them have one partitioning and sort; they run in the JVM, row by row, and spill where they must.
+
+    Costs are whole millionths of mm2, so that sums are exact and equal ways are equal, in whatever order they are added.
+    Layers behind one without spots can't be reached. Where a row has no position, all are on layer 0. The number of layers,
+    one number, is asked of the plans first, as there is a window for each.
+    """
+    order = Window.partitionBy("acq_id").orderBy("row_idx")
+    up_to, before, whole = (order.rowsBetween(Window.unboundedPreceding, x) for x in (Window.currentRow, -1, Window.unboundedFollowing))
+    layers = (layer_energies(plan).agg(F.max("layer")).first()[0] or 0) + 1
     table = advance_penalty(plan) if penalty is None else plan.select("acq_id").distinct().withColumn("penalty", F.lit(float(penalty)))
-    light = rows.select("acq_id", "row_idx", "mx", "my").join(table, "acq_id", "left")
-    spots = with_layers(plan).join(last_layers(plan), "acq_id").select(F.col("acq_id").alias("of"), "layer", "x", "y", "_last")
-
-    def path(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if p.empty or q.empty:
-            return pd.DataFrame(columns=["acq_id", "row_idx", "layer"])
-        p = p.sort_values("row_idx")
-        emit = layer_distances(p[["mx", "my"]].to_numpy(float), q[["x", "y"]].to_numpy(float), q["layer"].to_numpy(), int(q["_last"].iloc[0]) + 1)
-        layers = kernels.monotone_layers(emit, float(p["penalty"].iloc[0]))
-        return pd.DataFrame({"acq_id": p["acq_id"], "row_idx": p["row_idx"], "layer": layers.astype("int32")})
-
-    got = light.groupBy("acq_id").cogroup(spots.groupBy("of")).applyInPandas(path, f"acq_id {_kind(rows)}, row_idx bigint, layer int")
-    return rows.drop("layer").join(got, ["acq_id", "row_idx"])
-
-
-def assign_by_path(rows: DataFrame, plan: DataFrame, penalty: float | None = None, weight_mode: str = "channel_sum", a_is_x: bool = False, heal: bool = False) -> DataFrame:
-    """Assigned rows by the cheapest layer path. Spots are the gate's phases where there are gates, else the layers."""
+    light = layer_distances(rows.join(table.withColumnRenamed("penalty", "_pen"), "acq_id", "left"), plan)
+    whole_units = lambda c: F.rint(c * 1e6)
+    light = light.withColumn("_pen", whole_units(F.col("_pen")))
+    emit = [whole_units(F.get("emit", F.lit(k))) for k in range(layers)]
+    summed = light.withColumns({"_i": F.row_number().over(order) - 1, "_none": F.max(F.col("mx").isNull() | F.col("my").isNull()).over(whole), "_s": F.array(*[F.sum(e).over(up_to) for e in emit])}).drop("emit")
+    s = [F.get("_s", F.lit(k)) for k in range(layers)]
+    none = F.array().cast("array<int>")
+    summed = summed.withColumn("_c", F.when(s[0].isNotNull(), F.struct(s[0].alias("cost"), none.alias("entered")))).withColumn("_best", F.col("_c"))
+    for k in range(1, layers):
+        way = F.struct((F.col("_c.cost") + F.col("_pen") - s[k]).alias("v"), (F.col("_i") + 1).alias("j"), F.col("_c.entered").alias("entered"))
+        summed = summed.withColumn("_m", F.min(F.when(way["v"].isNotNull(), way)).over(before))
+        here = F.struct((s[k] + F.col("_m.v")).alias("cost"), F.array_append("_m.entered", F.col("_m.j").cast("int")).alias("entered"))
+        summed = summed.withColumn("_c", F.when(F.col("_m").isNotNull() & here["cost"].isNotNull(), here)).drop("_m")
+        summed = summed.withColumn("_best", F.when(F.col("_c.cost") < F.col("_best.cost"), F.col("_c")).otherwise(F.col("_best")))
+    end = F.last("_best").over(whole)["entered"]
+    layer = F.coalesce(F.size(F.filter("_end", lambda j: j <= F.col("_i"))), F.lit(0))
+    ended = summed.withColumn("_end", end).withColumn("layer", F.when(F.col("_none"), 0).otherwise(layer).cast("int"))
+    return ended.drop("_pen", "_i", "_none", "_s", "_c", "_best", "_end")
+
+
+def assign_by_path(rows: DataFrame, plan: DataFrame, penalty: float | None = None, weight_mode: str = "channel_sum", a_is_x: bool = False, heal: bool = False, max_points: int | None = None) -> DataFrame:
+    """Assigned rows by the cheapest layer path, of the first ``max_points`` of each acquisition. Spots are the gate's phases where there are gates, else the layers."""
     from .gates import gate_phase_spots
 
     if penalty is not None and penalty < 0:
         raise ValueError("the penalty must not be negative")
-    fit = R.with_plan_axes(rows.filter("fit_a is not null and t is not null"), a_is_x).filter(R.position_ok(heal)).withColumn("weight", R.spot_weight(weight_mode))
+    fit = first_points(R.with_plan_axes(rows.filter("fit_a is not null and t is not null"), a_is_x).filter(R.position_ok(heal)), max_points).withColumn("weight", R.spot_weight(weight_mode))
     whole = impute_axes(fit.withColumns({"_x": F.col("mx"), "_y": F.col("my")}), plan) if heal else fit
     layered = cheapest_layers(whole, plan, penalty)
     if heal:
@@ -143,12 +162,10 @@ def assign_by_path(rows: DataFrame, plan: DataFrame, penalty: float | None = Non
     return R.with_detector_axes(out, a_is_x)
 
 
-def prepare_auto(rows: DataFrame, plan: DataFrame, weight_mode: str = "channel_sum", a_is_x: bool = False, heal: bool = False, with_dead: bool = False) -> DataFrame:
-    """Rows of auto mode: fitted ones, complete or healed along one axis of the whole plan; weights that aren't positive
-    are 1. With dead rows, these stay without positions. Rows are numbered again."""
-    from ..sources.acquisition import numbered, signal_rows
-
-    typed = R.with_plan_axes(signal_rows(rows, with_dead), a_is_x).filter(R.position_ok(heal, with_dead))
+def prepare_auto(rows: DataFrame, plan: DataFrame, weight_mode: str = "channel_sum", a_is_x: bool = False, heal: bool = False, with_dead: bool = False, max_points: int | None = None) -> DataFrame:
+    """Rows of auto mode: fitted ones, of which the first ``max_points`` are read, complete or healed along one axis of the
+    whole plan; weights that aren't positive are 1. With dead rows, these stay without positions. Rows are numbered again."""
+    typed = R.with_plan_axes(first_points(signal_rows(rows, with_dead), max_points), a_is_x).filter(R.position_ok(heal, with_dead))
     typed = typed.withColumns({"weight": R.spot_weight(weight_mode, auto=True), "channel": F.when(F.col("channel") > 0, F.col("channel")).otherwise(1.0), "fit_a": F.coalesce("fit_a", F.lit(0.0))})
     if heal:
         alive = typed.filter("partial >= 0")
@@ -157,8 +174,18 @@ def prepare_auto(rows: DataFrame, plan: DataFrame, weight_mode: str = "channel_s
     return numbered(R.with_detector_axes(typed, a_is_x))
 
 
-def assign_auto(rows: DataFrame, plan: DataFrame, method: str = "episodes", **more) -> DataFrame:
-    """Assigned rows of auto mode: by episodes of the signal, or in plan order (``plan_sequential``, ``sequential``)."""
+def given_parameters(plan: DataFrame, min_rows: int, dead_ratio: float = K.DEAD_RATIO) -> DataFrame:
+    """(acq_id, dead_ratio, min_rows) for ``episode_spans``, the same for every acquisition."""
+    if min_rows < 1 or not 0 < dead_ratio:
+        raise ValueError("an episode has one row at least, and the dead ratio is positive")
+    return plan.select("acq_id").distinct().select("acq_id", F.lit(float(dead_ratio)).alias("dead_ratio"), F.lit(int(min_rows)).alias("min_rows"))
+
+
+def assign_auto(rows: DataFrame, plan: DataFrame, method: str = "episodes", min_rows: int | None = None, dead_ratio: float | None = None, **more) -> DataFrame:
+    """Assigned rows of auto mode: by episodes of the signal, or in plan order (``plan_sequential``, ``sequential``).
+
+    With ``min_rows``, nothing is inferred: episodes have that many rows at least, between rows at or below the dead ratio.
+    """
     table = layer_table(plan)
     if method in ("plan_sequential", "sequential"):
         from .layers import delivery_layers
@@ -168,6 +195,7 @@ def assign_auto(rows: DataFrame, plan: DataFrame, method: str = "episodes", **mo
     if method != "episodes":
         raise ValueError(f"unknown method: {method}")
     ready = prepare_auto(rows, plan, **more)
-    spans = spread_layers(episode_spans(ready, plan), table)
+    given = None if min_rows is None else given_parameters(plan, min_rows, K.DEAD_RATIO if dead_ratio is None else dead_ratio)
+    spans = spread_layers(episode_spans(ready, plan, given), table)
     places = spans.filter("row_end > row_start").select("acq_id", F.col("span_id").alias("spot_id"), "layer", F.explode(F.sequence(F.col("row_start"), F.col("row_end") - 1)).alias("row_idx"))
     return delivery_weights(ready).join(places, ["acq_id", "row_idx"])

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import rows as R
 from ..session import ship
+from ..sources.acquisition import first_points
 from .grid import layer_distances
 from .layers import last_layers, with_layers
 from .nearest import impute_axes, impute_on_layer
@@ -60,8 +61,8 @@ def gap_layers(spots: DataFrame, plan: DataFrame, trust_mm: float = K.REFILL_TRU
     return spots.join(path, ["acq_id", "spot_id"], "left").withColumn("layer", F.coalesce("layer", F.lit(0)))
 
 
-def assign_by_gap(rows: DataFrame, plan: DataFrame | None, gap_s: float = K.LAYER_GAP_S, tolerance_mm: float = K.REFILL_TOLERANCE_MM, trust_mm: float = K.REFILL_TRUST_MM, weight_mode: str = "channel_sum", a_is_x: bool = False, heal: bool = False) -> DataFrame:
-    """Assigned rows by pauses. Without a plan the layer is the spot.
+def assign_by_gap(rows: DataFrame, plan: DataFrame | None, gap_s: float = K.LAYER_GAP_S, tolerance_mm: float = K.REFILL_TOLERANCE_MM, trust_mm: float = K.REFILL_TRUST_MM, weight_mode: str = "channel_sum", a_is_x: bool = False, heal: bool = False, max_points: int | None = None) -> DataFrame:
+    """Assigned rows by pauses, the first ``max_points`` of each acquisition. Without a plan the layer is the spot.
 
     One-axis rows (``heal``) are completed from the whole plan before spots are told apart, and from their layer's spots
     after that.
@@ -69,7 +70,7 @@ def assign_by_gap(rows: DataFrame, plan: DataFrame | None, gap_s: float = K.LAYE
     if gap_s <= 0 or tolerance_mm <= 0:
         raise ValueError("gap and tolerance must be positive")
     fit = R.with_plan_axes(rows.filter("fit_a is not null and t is not null"), a_is_x).filter(R.position_ok(heal))
-    fit = fit.withColumn("weight", R.spot_weight(weight_mode))
+    fit = first_points(fit, max_points).withColumn("weight", R.spot_weight(weight_mode))
     if plan is None:
         spots = gap_spots(fit.fillna(0.0, ["mx", "my"]), gap_s, tolerance_mm)
         return R.with_detector_axes(spots.withColumn("layer", F.col("spot_id").cast("int")), a_is_x).drop("_new")

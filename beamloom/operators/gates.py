@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rows as R
 from ..functions.rows import spot_weight
+from ..sources.acquisition import first_points
 from .layers import delivery_layers, layer_table
 from .nearest import impute_on_layer
 
@@ -42,5 +43,4 @@ def assign_by_gate(rows: DataFrame, plan: DataFrame, weight_mode: str = "channel
     spots = delivery_layers(R.with_plan_axes(gate_spots(rows), a_is_x), table)
     fit = spots.filter(F.col("fit_a").isNotNull() & (F.col("partial") >= 0))
     done = R.with_detector_axes(impute_on_layer(fit, plan), a_is_x).withColumn("weight", spot_weight(weight_mode))
-    kept = done.withColumn("_n", F.row_number().over(_rows())) if max_points is not None else done
-    return kept.filter(F.col("_n") <= max_points).drop("_n") if max_points is not None else kept
+    return first_points(done, max_points)

@@ -29,18 +29,27 @@ def last_layers(plan: DataFrame) -> DataFrame:
     return layer_energies(plan).groupBy("acq_id").agg(F.max("layer").alias("_last"))
 
 
-def with_layers(plan: DataFrame) -> DataFrame:
-    """Adds layer (first match by energy) and local_idx (place among the layer's spots).
+def layered(plan: DataFrame) -> DataFrame:
+    """Adds layer (first match by energy), local_idx (place among the layer's spots) and last_layer (the plan's).
 
-    The layers come as one short list for each acquisition, and all windows are within one, so the plan is shuffled once.
+    All windows are over one acquisition or within one, so the plan is shuffled once and joined with nothing.
     """
-    lists = layer_energies(plan).groupBy("acq_id").agg(F.sort_array(F.collect_list(F.struct("layer", F.col("energy").alias("e")))).alias("_layers"))
+    new = ~F.lag("energy").over(_order()).eqNullSafe(F.col("energy"))
+    runs = plan.withColumn("_new", new).withColumn("_run", F.sum(F.col("_new").cast("int")).over(_order()).cast("int") - 1)
+    whole = Window.partitionBy("acq_id")
+    first = F.when(F.col("_new"), F.struct(F.col("_run").alias("layer"), F.col("energy").alias("e")))
+    listed = runs.withColumns({"_layers": F.sort_array(F.collect_list(first).over(whole)), "last_layer": F.max("_run").over(whole)})
     near = F.filter("_layers", lambda x: F.abs(x["e"] - F.col("energy")) <= K.ENERGY_TOLERANCE_MEV)
-    placed = plan.join(lists, "acq_id").withColumn("layer", F.get(near, F.lit(0))["layer"]).drop("_layers").filter("layer is not null")
+    placed = listed.withColumn("layer", F.get(near, F.lit(0))["layer"]).drop("_layers", "_new", "_run").filter("layer is not null")
     local = Window.partitionBy("acq_id", "layer").orderBy("spot_idx")
     return placed.withColumn("local_idx", (F.row_number().over(local) - 1).cast("int"))
 
 
+def with_layers(plan: DataFrame) -> DataFrame:
+    """Adds layer and local_idx."""
+    return layered(plan).drop("last_layer")
+
+
 def layer_table(plan: DataFrame) -> DataFrame:
     """(acq_id, layer, energy, n_spots, first_slot, total_mu): slots are counted over the layers in order."""
     spots = with_layers(plan).groupBy("acq_id", "layer").agg(F.count(F.lit(1)).alias("n"), F.sum("mu").alias("total_mu"))

@@ -1,51 +1,25 @@
 """Nearest plan spots: on a layer, over the whole plan, along one axis.
 
-A layer's spots come to a row as one sorted list, joined by (acq_id, layer), so the nearest is found by a fold in the row
-and nothing is multiplied by the number of spots. A list is one plan's layer, so its size is bounded by the plan format,
-not by the data. Whole plans don't come to rows: the nearest spot of all is found in a grid by a grouped map that has the
-plan once, the nearest along an axis by sorting. Equal distances go to the lowest spot_idx.
+On a layer or over a plan, rows meet the spots around their cell (``cells.nearest``). The nearest spot along an axis is found
+by sorting rows and spots together. Nothing is multiplied by the number of spots and no row goes to a group. Equal
+distances go to the lowest spot_idx.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import rows as R
-from ..session import ship
-from .grid import Spots
-from .layers import last_layers, layer_of_row, layer_table, with_layers
-
-_SPOT = ("spot_idx", "local_idx", "x", "y", "energy", "mu")
-
-
-def layer_lists(plan: DataFrame) -> DataFrame:
-    """(acq_id, layer, spots): the spots of each layer in order."""
-    return with_layers(plan).groupBy("acq_id", "layer").agg(F.sort_array(F.collect_list(F.struct(*_SPOT))).alias("spots"))
-
-
-def plan_lists(plan: DataFrame) -> DataFrame:
-    """(acq_id, spots): all spots of each plan in order."""
-    return plan.withColumn("local_idx", F.col("spot_idx").cast("int")).groupBy("acq_id").agg(F.sort_array(F.collect_list(F.struct(*_SPOT))).alias("spots"))
-
-
-def _closest(spots: Column, mx: Column, my: Column) -> Column:
-    """Struct of squared distance and spot, the smallest one."""
-    d2 = lambda s: (s["x"] - mx) * (s["x"] - mx) + (s["y"] - my) * (s["y"] - my)
-    return F.array_min(F.transform(spots, lambda s: F.struct(d2(s).alias("d2"), s.alias("spot"))))
-
+from .cells import closest, grid, nearest, with_boxes
+from .layers import layer_energies, layer_of_row, layer_table, layered, with_layers
 
 def _with_match(rows: DataFrame) -> DataFrame:
-    have = F.col("mx").isNotNull() & F.col("my").isNotNull()
-    best = F.when(have, _closest(F.col("spots"), F.col("mx"), F.col("my")))
-    out = rows.withColumn("_m", best).drop("spots")
-    spot = F.col("_m.spot")
-    return out.withColumns(
+    spot = F.col("near.spot")
+    return rows.withColumns(
         {
-            "distance": F.coalesce(F.sqrt(F.col("_m.d2")), F.lit(float("inf"))),
+            "distance": F.coalesce(F.sqrt(F.col("near.d2")), F.lit(float("inf"))),
             "expected_x": spot["x"],
             "expected_y": spot["y"],
             "expected_energy": spot["energy"],
@@ -53,7 +27,7 @@ def _with_match(rows: DataFrame) -> DataFrame:
             "nn_spot_idx": spot["spot_idx"],
             "nn_local_idx": F.coalesce(spot["local_idx"], F.lit(-1)),
         }
-    ).drop("_m")
+    ).drop("near")
 
 
 def match_on_layer(rows: DataFrame, plan: DataFrame) -> DataFrame:
@@ -61,28 +35,23 @@ def match_on_layer(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
     distance is infinite, and the expected values missing, for rows without a position and on layers without spots.
     """
-    placed = rows.join(last_layers(plan), "acq_id", "left").withColumn("_layer", layer_of_row(F.col("layer"), F.col("_last")))
-    lists = layer_lists(plan).withColumnRenamed("layer", "_layer")
-    return _with_match(placed.join(lists, ["acq_id", "_layer"], "left")).drop("_layer", "_last")
+    boxed = with_boxes(layered(plan), ["acq_id", "layer"])
+    boxes = boxed.groupBy("acq_id", "layer").agg(F.first("last_layer").alias("_last"), F.first("box").alias("box"))
+    boxes = boxes.groupBy("acq_id").agg(F.max("_last").alias("_last"), F.map_from_entries(F.collect_list(F.struct("layer", "box"))).alias("_boxes"))
+    placed = rows.join(boxes, "acq_id", "left").withColumn("_layer", layer_of_row(F.col("layer"), F.col("_last")))
+    placed = placed.withColumn("box", F.try_element_at("_boxes", F.col("_layer"))).drop("_boxes", "_last")
+    return _with_match(nearest(placed, boxed.withColumnRenamed("layer", "_layer"), ["acq_id", "_layer"])).drop("_layer")
 
 
-def match_on_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """Adds the nearest spot whatever its layer, found in a grid of the acquisition's plan. Rows need their row_idx."""
-    ship(rows.sparkSession)
+def _near_any(rows: DataFrame, spots: DataFrame) -> DataFrame:
+    boxed = with_boxes(spots.withColumn("local_idx", F.col("spot_idx").cast("int")), ["acq_id"])
+    boxes = boxed.groupBy("acq_id").agg(F.first("box").alias("box"))
+    return nearest(rows.join(boxes, "acq_id", "left"), boxed, ["acq_id"])
 
-    def find(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if p.empty or q.empty:
-            return pd.DataFrame(columns=["acq_id", "row_idx", "nn_spot_idx", "distance"])
-        q = q.sort_values("spot_idx")
-        at, d2 = Spots(q[["x", "y"]].to_numpy(float)).nearest(p[["mx", "my"]].to_numpy(float))
-        return pd.DataFrame({"acq_id": p["acq_id"], "row_idx": p["row_idx"], "nn_spot_idx": q["spot_idx"].to_numpy()[at], "distance": np.sqrt(d2)})
 
-    placed = rows.filter("mx is not null and my is not null").select("acq_id", "row_idx", "mx", "my")
-    planned = plan.select(F.col("acq_id").alias("of"), F.col("spot_idx").cast("bigint").alias("spot_idx"), "x", "y")
-    near = placed.groupBy("acq_id").cogroup(planned.groupBy("of")).applyInPandas(find, f"acq_id {dict(rows.dtypes)['acq_id']}, row_idx bigint, nn_spot_idx bigint, distance double")
-    spots = plan.select("acq_id", F.col("spot_idx").cast("bigint").alias("nn_spot_idx"), F.col("x").alias("expected_x"), F.col("y").alias("expected_y"), F.col("energy").alias("expected_energy"), F.col("mu").alias("expected_mu"))
-    out = rows.join(near, ["acq_id", "row_idx"], "left").join(spots, ["acq_id", "nn_spot_idx"], "left")
-    return out.withColumns({"distance": F.coalesce("distance", F.lit(float("inf"))), "nn_local_idx": F.coalesce(F.col("nn_spot_idx").cast("int"), F.lit(-1))})
+def match_on_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Adds the nearest spot whatever its layer."""
+    return _with_match(_near_any(rows, plan))
 
 
 def plan_slot(rows: DataFrame, plan: DataFrame) -> DataFrame:
@@ -95,12 +64,21 @@ def plan_slot(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return out.withColumn("plan_idx", F.when(F.col("nn_local_idx") >= 0, F.col("first_slot") + F.col("nn_local_idx")).otherwise(-1)).drop("_cut", "first_slot")
 
 
+def layer_distances(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Adds emit: for each layer of the plan in order, the squared distance to its nearest spot (NULL without).
+
+    The plan comes to a row as one value of grids, and a row looks up one cell of each layer."""
+    grids = with_layers(plan).groupBy("acq_id", "layer").agg(F.collect_list(F.struct("x", "y")).alias("s")).select("acq_id", "layer", grid(F.col("s")).alias("grid"))
+    every = layer_energies(plan).select("acq_id", "layer").join(grids, ["acq_id", "layer"], "left")
+    lists = every.groupBy("acq_id").agg(F.sort_array(F.collect_list(F.struct("layer", "grid"))).alias("_grids"))
+    emit = F.transform("_grids", lambda g: closest(g["grid"], F.col("mx"), F.col("my")))
+    return rows.join(lists, "acq_id", "left").withColumn("emit", emit).drop("_grids")
+
+
 def distances_long(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """(acq_id, row_idx, layer, d2): for each row and layer the squared distance to the nearest spot (infinite without)."""
-    per_layer = layer_table(plan).select("acq_id", "layer").join(layer_lists(plan), ["acq_id", "layer"], "left")
-    met = rows.select("acq_id", "row_idx", "mx", "my").join(per_layer, "acq_id")
-    d2 = F.coalesce(_closest(F.col("spots"), F.col("mx"), F.col("my"))["d2"], F.lit(float("inf")))
-    return met.select("acq_id", "row_idx", "layer", d2.alias("d2"))
+    met = layer_distances(rows.select("acq_id", "row_idx", "mx", "my"), plan).select("acq_id", "row_idx", F.posexplode("emit").alias("layer", "d2"))
+    return met.withColumn("d2", F.coalesce("d2", F.lit(float("inf"))))
 
 
 def _nearest_along(rows: DataFrame, spots: DataFrame, axis: str, value: Column, keys: list[str]) -> DataFrame:
@@ -146,8 +124,8 @@ def impute_on_layer(rows: DataFrame, plan: DataFrame) -> DataFrame:
 def distance_to_energy(rows: DataFrame, plan: DataFrame, energy: float) -> DataFrame:
     """Adds distance_to_energy: the distance to the nearest spot of one nominal energy."""
     spots = plan.filter(F.abs(F.col("energy") - energy) <= K.ENERGY_TOLERANCE_MEV)
-    found = rows.join(plan_lists(spots), "acq_id", "left")
-    return found.withColumn("distance_to_energy", F.coalesce(F.sqrt(_closest(F.col("spots"), F.col("mx"), F.col("my"))["d2"]), F.lit(float("inf")))).drop("spots")
+    distance = F.coalesce(F.sqrt("near.d2"), F.lit(float("inf")))
+    return _near_any(rows, spots).withColumn("distance_to_energy", distance).drop("near")
 
 
 def flier_score(rows: DataFrame, plan: DataFrame, a_is_x: bool = False, fallback: float = K.SIGMA_FALLBACK_MM) -> DataFrame:

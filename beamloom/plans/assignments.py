@@ -104,16 +104,31 @@ def time_gap_drifting(spark, sf):
     return gaps.assign_by_gap(_drifting_rows(spark, sf), _drifting_plan(spark, sf), heal=True).select("acq_id", "row_idx", "spot_id", "layer")
 
 
+def _first(most: int, *needs: str, body: str, **more) -> str:
+    """SQL over the first complete rows of each acquisition."""
+    from .base import WITH
+
+    capped = f"SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY acq_id ORDER BY row_idx) AS n FROM acq0 WHERE a IS NOT NULL AND b IS NOT NULL) WHERE n <= {most}"
+    recursive = more.pop("recursive", False)
+    return sql(body=body, recursive=recursive, **({"plan": WITH["plan"], "acq0": WITH["acq"], "acq": capped} | {n: WITH[n] for n in needs} | more))
+
+
+@query(_first(700, "layers", "pl", body=_GAP_LAYERS, recursive=True, **_GAP_PARTS))
+def time_gap_max_points(spark, sf):
+    """Spots by pauses among the first rows of each acquisition."""
+    return gaps.assign_by_gap(acquisition_view(spark, sf), plan_view(spark, sf), max_points=700).select("acq_id", "row_idx", "spot_id", "layer")
+
+
 # The cheapest monotone path, layer by layer: best(k, i) = S(k, i) + min over j <= i of (best(k - 1, j - 1) + penalty - S(k, j - 1)).
 _EMIT = """
-SELECT r.acq_id, p.layer, row_number() OVER (PARTITION BY r.acq_id, p.layer ORDER BY r.row_idx) AS i, r.row_idx, min((p.x - r.b) * (p.x - r.b) + (p.y - r.a) * (p.y - r.a)) AS e
+SELECT r.acq_id, p.layer, row_number() OVER (PARTITION BY r.acq_id, p.layer ORDER BY r.row_idx) AS i, r.row_idx, round_even(min((p.x - r.b) * (p.x - r.b) + (p.y - r.a) * (p.y - r.a)) * 1000000, 0) AS e
 FROM acq r JOIN pl p ON r.acq_id = p.acq_id WHERE r.a IS NOT NULL AND r.b IS NOT NULL GROUP BY r.acq_id, p.layer, r.row_idx"""
 _SUMS = "SELECT *, sum(e) OVER (PARTITION BY acq_id, layer ORDER BY i) AS s FROM emit"
 _BEST = """
 SELECT acq_id, layer, i, s AS best, CAST(0 AS BIGINT) AS came FROM sums WHERE layer = 0
 UNION ALL
 SELECT acq_id, layer, i, s + low.v, low.j FROM (
-  SELECT c.acq_id, c.layer, c.i, c.s, min({'v': b.best + 400.0 - (c.s - c.e), 'j': c.i}) OVER (PARTITION BY c.acq_id ORDER BY c.i) AS low
+  SELECT c.acq_id, c.layer, c.i, c.s, min({'v': b.best + 400000000.0 - (c.s - c.e), 'j': c.i}) OVER (PARTITION BY c.acq_id ORDER BY c.i) AS low
   FROM best b JOIN sums c ON c.acq_id = b.acq_id AND c.layer = b.layer + 1 AND c.i = b.i + 1)"""
 _ENDS = """
 SELECT acq_id, layer, i, came FROM (SELECT b.*, row_number() OVER (PARTITION BY b.acq_id ORDER BY best, b.layer) AS k
@@ -134,6 +149,12 @@ def viterbi_layers(spark, sf):
     return episodes.assign_by_path(_drifting_rows(spark, sf), _drifting_plan(spark, sf), 400.0).select("acq_id", "row_idx", "spot_id", "layer")
 
 
+@query(_first(900, "layers", "pl", body=_PATH, recursive=True, emit=_EMIT, sums=_SUMS, best=_BEST, ends=_ENDS, phases=_PHASES))
+def viterbi_max_points(spark, sf):
+    """The same over the first rows of each acquisition, where all layers have one grid of positions."""
+    return episodes.assign_by_path(acquisition_view(spark, sf), plan_view(spark, sf), 400.0, max_points=900).select("acq_id", "row_idx", "spot_id", "layer")
+
+
 # Bursts between dead rows (here: every row whose number is a multiple of 7), and the slot of each by its first row.
 _SEQ_ROWS = """
 SELECT acq_id, row_idx, b AS x, a AS y, channel AS w, dead, row_number() OVER (PARTITION BY acq_id ORDER BY row_idx) - 1 AS n

@@ -64,15 +64,16 @@ class Result:
 
 
 def _parameters(config: Config, mode: str) -> dict:
-    common = {"weight_mode": config.weight_mode, "a_is_x": config.a_is_x}
+    common = {"weight_mode": config.weight_mode, "a_is_x": config.a_is_x, "max_points": config.max_points}
     match mode:
         case "gate_counter":
-            return common | {"max_points": config.max_points}
+            return common
         case "time_gap":
             return common | {"heal": config.heal, "gap_s": config.layer_gap_s, "tolerance_mm": config.refill_tolerance_mm}
         case "plan_viterbi":
             return common | {"heal": config.heal, "penalty": config.penalty_mm2}
-    return common | {"heal": config.heal, "method": config.auto_method}
+    given = {} if config.auto_infer else {"min_rows": config.min_episode_rows, "dead_ratio": config.dead_ratio}
+    return common | {"heal": config.heal, "method": config.auto_method} | given
 
 
 def run(rows: DataFrame, plan: DataFrame | None, config: Config, has_gate: bool = True, progress: Progress = quiet) -> Result:

@@ -83,3 +83,11 @@ def numbered(df: DataFrame) -> DataFrame:
 def first_rows(df: DataFrame, most: int | None) -> DataFrame:
     """The first rows of each acquisition that are kept so far (``row_idx`` counts them)."""
     return df if most is None else df.filter(F.col("row_idx") < most)
+
+
+def first_points(df: DataFrame, most: int | None) -> DataFrame:
+    """The first rows of each acquisition among those that are left, in their order."""
+    if most is None:
+        return df
+    place = F.row_number().over(Window.partitionBy("acq_id").orderBy("row_idx"))
+    return df.withColumn("_place", place).filter(F.col("_place") <= most).drop("_place")

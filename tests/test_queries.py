@@ -147,17 +147,15 @@ class _Spans:
             bids += [(cost(j), j) for j in (i - 1, i) if 0 <= j < len(self.spans) - 1]
 
     def expand(self, n):
+        """Edge i is the largest of what earlier edges and its own share ask for, as far as there is room for those after it."""
         weights = [self.on[s:e].sum() for s, e in self.spans]
         k, total, at = len(weights), sum(weights), np.cumsum(weights)
-        edges = [0, *[int((at <= total * j / k).sum()) for j in range(1, k)], n]
-        for i in range(1, k + 1):
-            edges[i] = min(max(edges[i], edges[i - 1] + 1), n - (k - i))
+        share = [0, *[int((at <= total * j / k).sum()) for j in range(1, k)]]
+        edges = [*[min(max(share[j] + i - j for j in range(i + 1)), n - k + i) for i in range(k)], n]
         out = []
         for (s, e), parts in zip(self.spans, np.diff(edges), strict=True):
-            cuts = [int(s + (e - s) * j / parts) for j in range(parts + 1)]
-            for j in range(1, parts):
-                cuts[j] = min(max(cuts[j], cuts[j - 1] + 1), e)
-            cuts[-1] = e
+            even = [int(s + (e - s) * j / parts) for j in range(parts)]
+            cuts = [*[min(max(even[j] + i - j for j in range(i + 1)), e) for i in range(parts)], e]
             out += [[a, b if b > a else min(a + 1, e)] for a, b in zip(cuts, cuts[1:], strict=False)]
         self.spans = out
 
