@@ -52,13 +52,19 @@ def first_by_hash(rows: DataFrame, per_class: int) -> DataFrame:
     """The per_class rows of each label of (id, label) whose ids have the smallest hashes; all rows of rarer labels.
 
     Beyond ``MOST_ROWS / per_class`` labels each gets fewer rows, but one at least: every label is learned, whatever their
-    number. Ids that repeat count once, with their largest label; null ids and labels are left out. A task sends on no
-    more rows of a label than are wanted, so a label that most rows have gathers nowhere.
+    number. Ids that repeat count once, with their largest label; null ids and labels are left out.
+
+    Rows are ranked within their label. Before that, those go whose hash is so large, for the number of rows that the label
+    has, that several times as many smaller ones are to be expected as are wanted. So a label brings about
+    4 * per_class + 60 rows to its task, however many it has (fewer than wanted once in e ** 60 labels).
     """
-    rows = rows.dropna().groupBy("id").agg(F.max("label").alias("label"))
-    each = max(1, min(per_class, MOST_ROWS // max(1, rows.select("label").distinct().count())))
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id", F.lit(77)), "id")
-    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= each).drop("rank")
+    rows = rows.dropna().groupBy("id").agg(F.max("label").alias("label")).withColumn("hash", F.xxhash64("id", F.lit(77)))
+    sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    each = max(1, min(per_class, MOST_ROWS // max(1, sizes.count())))
+    share = F.col("hash") / F.lit(2.0**64) + 0.5
+    near = rows.join(sizes, "label").filter(share * F.col("n") < 4 * each + 60)
+    order = Window.partitionBy("label").orderBy("hash", "id")
+    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= each).select("id", "label")
 
 
 def sparse_features(docs: DataFrame, chosen: DataFrame, feature: Callable[[str], tuple[np.ndarray, np.ndarray]], id_col: str, text_col: str, most_chars: int = MOST_CHARS) -> list[tuple[int, object, np.ndarray, np.ndarray]]:
