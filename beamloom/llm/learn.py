@@ -21,6 +21,8 @@ MOST_CHARS = 1 << 16
 MOST_LABELS = 10_000
 #: With many labels each gets fewer examples, so that a sample never has many more than that.
 MOST_ROWS = 8_000
+#: Up to that many labels, their sizes are broadcast (a few megabytes).
+MOST_SENT = 50_000
 
 
 def remainder(id_col: Column | str, n: int) -> Column:
@@ -60,9 +62,10 @@ def first_by_hash(rows: DataFrame, per_class: int) -> DataFrame:
     """
     rows = rows.dropna().groupBy("id").agg(F.max("label").alias("label")).withColumn("hash", F.xxhash64("id", F.lit(77)))
     sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    each = max(1, min(per_class, MOST_ROWS // max(1, sizes.count())))
+    labels = sizes.count()
+    each = max(1, min(per_class, MOST_ROWS // max(1, labels)))
     share = F.col("hash") / F.lit(2.0**64) + 0.5
-    near = rows.join(sizes, "label").filter(share * F.col("n") < 4 * each + 60)
+    near = rows.join(F.broadcast(sizes) if labels <= MOST_SENT else sizes, "label").filter(share * F.col("n") < 4 * each + 60)
     order = Window.partitionBy("label").orderBy("hash", "id")
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= each).select("id", "label")
 
