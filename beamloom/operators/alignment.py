@@ -1,9 +1,13 @@
 """Registration of detector positions to the plan: rigid and similarity fits, coarse search, fine search.
 
-One fit is for one acquisition: a grouped map takes an acquisition's positions and its plan and gives one row of a table
-of transforms (acq_id, the affine map ``AFFINE``, and what the map is made of), which is joined back by acq_id. Nothing
-goes to the driver. Within a fit, the steps run on at most ``FIT_SAMPLES`` positions (every n-th), residuals on all.
-Nearest spots are found by a grid over the plan.
+Each acquisition has its own fit: a row of a table of transforms (acq_id, the affine map ``AFFINE``, and what the map is
+made of), which is joined back by acq_id. Acquisitions' rows never meet in a group.
+
+The coarse search tries many starts on a sample of bounded size. A start (acquisition, orientation, rotation) is a row of a
+table, so all of them run at the same time. Which orientation is best is decided by all rows, matched to the whole plan in
+pieces of bounded size and averaged. The fine search matches all rows to their layers, sums up thirteen moments of the pairs for each
+acquisition, and solves the fit from these; a round is one aggregation. What rounds share is written once: the rows that
+are fitted, and the small table of the acquisitions' state. So both searches run when they are called.
 """
 
 from __future__ import annotations
@@ -19,11 +23,12 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import rows as R
 from ..session import ship
+from ..sources.workspace import landed
 from .grid import Spots
-from .layers import last_layers, layer_of_row, with_layers
 from .nearest import match_on_layer
 from .quality import weighted_rms
 
+PIECE = 20_000  # rows of an acquisition that are matched to its plan at a time
 AFFINE = ("m11", "m12", "m21", "m22", "t1", "t2")
 _NUMBERS = ", ".join(f"{c} double" for c in AFFINE)
 _COARSE = f"acq_id {{kind}}, {_NUMBERS}, theta_deg double, tx double, ty double, swap boolean, flip_x boolean, flip_y boolean, rms double, rms_pairs double, n_pairs bigint, n_fit bigint, iterations int"
@@ -40,11 +45,6 @@ class Rigid:
     swap: bool = False
     flip_x: bool = False
     flip_y: bool = False
-    rms: float = float("nan")
-    rms_pairs: float = float("nan")
-    n_pairs: int = 0
-    n_fit: int = 0
-    iterations: int = 0
 
     def columns(self, x: Column, y: Column) -> tuple[Column, Column]:
         x, y = (y, x) if self.swap else (x, y)
@@ -75,9 +75,6 @@ class Similarity:
     ty: float = 0.0
     sx: float = 1.0
     sy: float = 1.0
-    rms_before: float = float("nan")
-    rms_after: float = float("nan")
-    n_pairs: int = 0
 
     def columns(self, x: Column, y: Column) -> tuple[Column, Column]:
         c, s = math.cos(math.radians(self.theta_deg)), math.sin(math.radians(self.theta_deg))
@@ -87,13 +84,6 @@ class Similarity:
         c, s = math.cos(math.radians(self.theta_deg)), math.sin(math.radians(self.theta_deg))
         return np.array([[c * self.sx, -s * self.sy, self.tx], [s * self.sx, c * self.sy, self.ty]])
 
-    def points(self, p: np.ndarray) -> np.ndarray:
-        return moved(p, self.matrix())
-
-
-def moved(p: np.ndarray, m: np.ndarray) -> np.ndarray:
-    return p @ m[:, :2].T + m[:, 2]
-
 
 def after(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     """The matrix of one map after another."""
@@ -167,10 +157,9 @@ def strided(rows: DataFrame, most: int) -> DataFrame:
     return rows.withColumns({"_i": i, "_s": step}).filter(F.col("_i") % F.col("_s") == 0).drop("_i", "_s")
 
 
-def seed_degrees(n: int) -> tuple[int, ...]:
-    """Rotations to start from; fewer for more samples."""
-    step = 90 if n > 100_000 else 45 if n > 50_000 else 30 if n > 10_000 else 15
-    return tuple(range(0, 360, step))
+def _seed_step(n: Column) -> Column:
+    """Degrees between the rotations to start from; more for more samples."""
+    return F.when(n > 100_000, 90).when(n > 50_000, 45).when(n > 10_000, 30).otherwise(15)
 
 
 def icp(m: np.ndarray, plan: np.ndarray | Spots, r: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float, int]:
@@ -198,76 +187,87 @@ def _start(m: np.ndarray, degrees: float) -> tuple[np.ndarray, np.ndarray]:
     return r, c - r @ c
 
 
-def multistart(m: np.ndarray, plan: np.ndarray | Spots, degrees: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, float, float, int]:
-    """The best of several rotations about the centre; stops early at a nearly perfect one."""
-    if len(m) < 1 or not np.isfinite(m).all():
-        raise ValueError("no finite positions")
-    best = None
-    for d in degrees:
-        got = icp(m, plan, *_start(m, d))
-        if math.isfinite(got[3]) and (best is None or got[3] < best[3]):
-            best = got
-        if best is not None and best[3] <= K.RMS_STOP_MM:
-            break
-    if best is None:
-        raise ValueError("no rotation fits")
-    return best
-
-
 ORIENTATIONS = tuple((swap, fx, fy) for swap in (False, True) for fx in (False, True) for fy in (False, True))
+_START = f"acq_id {{kind}}, orientation int, place int, {_NUMBERS}, theta_deg double, tx double, ty double, rms_pairs double, rms_fit double, iterations int"
 
 
-def fit_coarse(xy: np.ndarray, plan: np.ndarray, most: int = K.FIT_SAMPLES) -> Rigid:
-    """Best orientation and rigid map of positions to the flattened plan.
+def _tried(starts: DataFrame) -> DataFrame:
+    """The fit of each start (acq_id, orientation, place, degrees, sample, plan): a row with the sample and the plan in it."""
+    ship(starts.sparkSession)
+    schema = _START.format(kind=dict(starts.dtypes)["acq_id"])
+    names = [c.split()[0] for c in schema.split(", ")]
 
-    Eight orientations are tried with four rotations; the best few by the residual over all positions are fitted with all
-    rotations; the one with the least residual over all positions wins (the first of equal ones).
-    """
-    live = xy[np.isfinite(xy).all(axis=1)]
-    if not len(live) or not len(plan):
-        raise ValueError("coarse alignment needs measured and planned positions")
-    sample, spots = live[:: stride(len(live), most)], Spots(plan)
-    seeds = seed_degrees(len(sample))
-
-    def turned(p: np.ndarray, key: tuple[bool, bool, bool]) -> np.ndarray:
-        q = p[:, ::-1] if key[0] else p
-        return q * [-1.0 if key[1] else 1.0, -1.0 if key[2] else 1.0]
-
-    def rest(key, fit) -> float:
-        return float(np.sqrt(spots.nearest(turned(live, key) @ fit[0].T + fit[1])[1].mean()))
-
-    def attempt(key, degrees):
-        fit = multistart(turned(sample, key), spots, degrees)
-        return fit, rest(key, fit)
-
-    narrow = set(seeds) <= set(K.PRESCREEN_DEGREES)
-    found = {key: attempt(key, seeds if narrow else K.PRESCREEN_DEGREES) for key in ORIENTATIONS}
-    if not narrow:
-        ranked = sorted(found, key=lambda k: found[k][1])
-        close = [k for k in ranked if found[k][1] <= found[ranked[0]][1] + K.FINALIST_KEEP_MM][: K.FINALISTS]
-        for key in [k for k in ORIENTATIONS if k in {*close, *ranked[:2]}]:
-            again = attempt(key, seeds)
-            if again[0][3] < found[key][0][3]:
-                found[key] = again
-    key = min(found, key=lambda k: found[k][1])
-    (r, t, pairs, _, n), rms = found[key]
-    return Rigid(math.degrees(math.atan2(r[1, 0], r[0, 0])), float(t[0]), float(t[1]), *key, rms=rms, rms_pairs=pairs, n_pairs=len(live), n_fit=len(sample), iterations=n)
+    def fit(p: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for s in p.itertuples():
+            swap, fx, fy = ORIENTATIONS[s.orientation]
+            m, plan = (np.array([[v["x"], v["y"]] for v in points], float) for points in (s.sample, s.plan))
+            m = (m[:, ::-1] if swap else m) * [-1.0 if fx else 1.0, -1.0 if fy else 1.0]
+            r, t, pairs, rms, k = icp(m, plan, *_start(m, s.degrees))
+            g = Rigid(math.degrees(math.atan2(r[1, 0], r[0, 0])), float(t[0]), float(t[1]), swap, fx, fy)
+            out.append([s.acq_id, s.orientation, s.place, *_flat(g), g.theta_deg, g.tx, g.ty, pairs, rms, k])
+        return pd.DataFrame(out, columns=names)
+
+    return starts.groupBy("acq_id", "orientation", "place").applyInPandas(fit, schema)
+
+
+def _best_starts(fits: DataFrame) -> DataFrame:
+    """Of each orientation, the first start that is nearly perfect, or else the one with the least residual."""
+    good = F.col("rms_fit") <= K.RMS_STOP_MM
+    rank = F.struct(F.when(good, 0).otherwise(1), F.when(good, 0.0).otherwise(F.col("rms_fit")), F.col("place"))
+    finite = fits.filter(~F.isnan("rms_fit") & (F.abs("rms_fit") != float("inf")))
+    best = finite.groupBy("acq_id", "orientation").agg(F.min_by(F.struct(*[c for c in fits.columns if c not in ("acq_id", "orientation", "place")]), rank).alias("fit"))
+    return best.select("acq_id", "orientation", "fit.*")
+
+
+def _with_rest(fits: DataFrame, live: DataFrame, plans: DataFrame) -> DataFrame:
+    """Adds rms: the residual of each fit over all rows. Pieces of ``PIECE`` rows are matched apart and their sums added up."""
+    of = fits.groupBy("acq_id").agg(F.collect_list(F.struct("orientation", *AFFINE)).alias("fits")).join(plans, "acq_id")
+    cut = live.withColumn("piece", F.floor(F.col("row_idx") / PIECE))
+    beside = cut.select("acq_id", "piece").distinct().join(of, "acq_id").select(F.col("acq_id").alias("of"), F.col("piece").alias("of_piece"), "fits", "plan")
+
+    def rest(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if p.empty or q.empty:
+            return pd.DataFrame(columns=["acq_id", "orientation", "d2", "n"])
+        xy, spots = p[["mx", "my"]].to_numpy(float), Spots(np.array([[v["x"], v["y"]] for v in q["plan"].iloc[0]], float))
+        maps = [(f["orientation"], np.array([[f[c] for c in AFFINE[:2]], [f[c] for c in AFFINE[2:4]]]), [f["t1"], f["t2"]]) for f in q["fits"].iloc[0]]
+        return pd.DataFrame([[p["acq_id"].iloc[0], o, float(spots.nearest(xy @ m.T + t)[1].sum()), len(p)] for o, m, t in maps], columns=["acq_id", "orientation", "d2", "n"])
 
+    sums = cut.groupBy("acq_id", "piece").cogroup(beside.groupBy("of", "of_piece")).applyInPandas(rest, f"acq_id {dict(live.dtypes)['acq_id']}, orientation int, d2 double, n bigint")
+    return fits.join(sums.groupBy("acq_id", "orientation").agg(F.sqrt(F.sum("d2") / F.sum("n")).alias("rms")), ["acq_id", "orientation"])
 
-def coarse_align(rows: DataFrame, plan: DataFrame, most: int = K.FIT_SAMPLES) -> DataFrame:
-    """Table of coarse fits, one for each acquisition with measured and planned positions."""
-    ship(rows.sparkSession)
 
-    def fit(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if p.empty or q.empty:
-            return pd.DataFrame(columns=names)
-        g = fit_coarse(p.sort_values("row_idx")[["mx", "my"]].to_numpy(float), q.sort_values("spot_idx")[["x", "y"]].to_numpy(float), most)
-        return pd.DataFrame([[p["acq_id"].iloc[0], *_flat(g), g.theta_deg, g.tx, g.ty, g.swap, g.flip_x, g.flip_y, g.rms, g.rms_pairs, g.n_pairs, g.n_fit, g.iterations]], columns=names)
+def coarse_align(rows: DataFrame, plan: DataFrame, most: int = K.FIT_SAMPLES) -> DataFrame:
+    """Table of coarse fits, one for each acquisition with measured and planned positions.
 
-    schema = _COARSE.format(kind=dict(rows.dtypes)["acq_id"])
-    names = [c.split()[0] for c in schema.split(", ")]
-    live = rows.filter("mx is not null and my is not null").select("acq_id", "row_idx", "mx", "my")
-    return live.groupBy("acq_id").cogroup(plan.select(F.col("acq_id").alias("of"), "spot_idx", "x", "y").groupBy("of")).applyInPandas(fit, schema)
+    Eight orientations are tried with four rotations; the best few by the residual over all positions are fitted with all
+    rotations; the one with the least residual over all positions wins (the first of equal ones). Fits run on every n-th
+    position, ``most`` at most.
+    """
+    live = landed(rows.filter("mx is not null and my is not null").select("acq_id", "row_idx", "mx", "my"))
+    point = lambda i, x, y: F.struct(i, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    sample = strided(live, most).groupBy("acq_id").agg(F.sort_array(F.collect_list(point("row_idx", "mx", "my"))).alias("sample"), F.count(F.lit(1)).alias("n_fit"))
+    planned = plan.groupBy("acq_id").agg(F.sort_array(F.collect_list(point("spot_idx", "x", "y"))).alias("plan"))
+    sizes = live.groupBy("acq_id").agg(F.count(F.lit(1)).alias("n_pairs"))
+    base = landed(sample.join(planned, "acq_id").join(sizes, "acq_id"))
+    plans = base.select("acq_id", "plan")
+
+    at = lambda degrees: F.posexplode(degrees).alias("place", "degrees")
+    every = base.withColumn("orientation", F.explode(F.array(*[F.lit(k) for k in range(len(ORIENTATIONS))])))
+    found = landed(_with_rest(_best_starts(_tried(every.select("*", at(F.array(*[F.lit(d) for d in K.PRESCREEN_DEGREES]))))), live, plans))
+    order = Window.partitionBy("acq_id").orderBy("rms", "orientation")
+    ranked = found.withColumns({"_k": F.row_number().over(order), "_low": F.min("rms").over(Window.partitionBy("acq_id"))})
+    chosen = ranked.filter((F.col("_k") <= 2) | ((F.col("rms") <= F.col("_low") + K.FINALIST_KEEP_MM) & (F.col("_k") <= K.FINALISTS))).select("acq_id", "orientation")
+    step = F.col("_step")
+    all_seeds = every.join(chosen, ["acq_id", "orientation"]).withColumn("_step", _seed_step(F.col("n_fit"))).filter(step < 90)
+    again = _best_starts(_tried(all_seeds.select("*", at(F.sequence(F.lit(0), 360 - step, step))).drop("_step")))
+    better = landed(_with_rest(again.join(found.select("acq_id", "orientation", F.col("rms_fit").alias("_was")), ["acq_id", "orientation"]).filter("rms_fit < _was").drop("_was"), live, plans))
+    both = found.join(better.select("acq_id", "orientation"), ["acq_id", "orientation"], "left_anti").unionByName(better)
+    won = both.groupBy("acq_id").agg(F.min_by(F.struct(*[c for c in both.columns if c != "acq_id"]), F.struct("rms", "orientation")).alias("f")).select("acq_id", "f.*")
+    turn = lambda i: F.get(F.array(*[F.lit(o[i]) for o in ORIENTATIONS]), F.col("orientation"))
+    return won.join(base.select("acq_id", "n_pairs", "n_fit"), "acq_id").select(
+        "acq_id", *AFFINE, "theta_deg", "tx", "ty", turn(0).alias("swap"), turn(1).alias("flip_x"), turn(2).alias("flip_y"), "rms", "rms_pairs", "n_pairs", "n_fit", "iterations"
+    )
 
 
 def _flat(fit) -> list[float]:
@@ -275,116 +275,136 @@ def _flat(fit) -> list[float]:
     return [*m[:, :2].ravel().tolist(), *m[:, 2].tolist()]
 
 
-def gauss_newton(m: np.ndarray, p: np.ndarray, w: np.ndarray, shift: bool = True, rotate: bool = True, scale: bool = True) -> Similarity:
-    """Weighted least-squares similarity of pairs by Gauss-Newton steps, with scales held within bounds.
+_PRODUCTS = {"w": "1", "x": "mx", "y": "my", "xx": "mx * mx", "xy": "mx * my", "yy": "my * my", "p": "px", "q": "py", "xp": "mx * px", "yp": "my * px", "xq": "mx * py", "yq": "my * py", "pp": "px * px + py * py"}
+MOMENTS = tuple(f"s_{name}" for name in _PRODUCTS)
+
 
-    One pair gives a shift only. Weights without any positive one count as equal.
+def moment_sums() -> list[Column]:
+    """Aggregates of pairs (mx, my) and (px, py) with weights w: all that a weighted similarity fit needs of them."""
+    return [F.sum(F.col("w") * F.expr(product)).alias(f"s_{name}") for name, product in _PRODUCTS.items()]
+
+
+@dataclass(frozen=True)
+class Moments:
+    """Sums of the products of measured (x, y, 1) with themselves and with the planned x and y."""
+
+    measured: np.ndarray
+    planned: np.ndarray
+    squares: float
+
+    @staticmethod
+    def of(row: pd.Series) -> Moments:
+        g = {name: float(row[f"s_{name}"]) for name in _PRODUCTS}
+        return Moments(np.array([[g["xx"], g["xy"], g["x"]], [g["xy"], g["yy"], g["y"]], [g["x"], g["y"], g["w"]]]), np.array([[g["xp"], g["xq"]], [g["yp"], g["yq"]], [g["p"], g["q"]]]), g["pp"])
+
+    def against(self, m: np.ndarray) -> Moments:
+        """Those of the same measured positions and where the map m brings them."""
+        planned = self.measured @ m.T
+        return Moments(self.measured, planned, float((m * planned.T).sum()))
+
+    def rms(self, m: np.ndarray) -> float:
+        rest = self.squares - 2 * float((m * self.planned.T).sum()) + float((m * (m @ self.measured)).sum())
+        return math.sqrt(max(rest, 0.0) / self.measured[2, 2])
+
+
+def fit_similarity(g: Moments, n: int, shift: bool = True, rotate: bool = True, scale: bool = True) -> Similarity:
+    """Weighted least-squares similarity of n pairs by Gauss-Newton steps on their moments, with scales held within bounds.
+
+    Every derivative of the map is itself a map of (x, y, 1), so the normal equations of a step are products of such maps
+    with the moments. One pair gives a shift only.
     """
-    if not len(m):
-        raise ValueError("no pairs")
-    if not w.sum() > 0:
-        w = np.ones(len(m))
-    rotate, scale = rotate and len(m) > 1, scale and len(m) > 1
-    start = (w[:, None] * (p - m)).sum(axis=0) / w.sum() if shift else np.zeros(2)
-    fit = Similarity(tx=float(start[0]), ty=float(start[1]))
-    rms = lambda f: float(np.sqrt((w * ((p - f.points(m)) ** 2).sum(axis=1)).sum() / w.sum()))
-    before = math.inf
-    root = np.sqrt(w)[:, None]
+    rotate, scale = rotate and n > 1, scale and n > 1
+    start = (g.planned[2] - g.measured[2, :2]) / g.measured[2, 2] if shift else np.zeros(2)
+    fit, before = Similarity(tx=float(start[0]), ty=float(start[1])), math.inf
     for _ in range(K.FINE_NEWTON_ITERATIONS if shift or rotate or scale else 0):
         c, s = math.cos(math.radians(fit.theta_deg)), math.sin(math.radians(fit.theta_deg))
-        u, v = fit.sx * m[:, 0], fit.sy * m[:, 1]
-        one, none = np.ones(len(m)), np.zeros(len(m))
-        moves = ([np.stack([-s * u - c * v, c * u - s * v], 1) * math.pi / 180] if rotate else []) + ([np.stack([one, none], 1), np.stack([none, one], 1)] if shift else []) + ([np.stack([c * m[:, 0], s * m[:, 0]], 1), np.stack([-s * m[:, 1], c * m[:, 1]], 1)] if scale else [])
-        jacobian = np.stack([(root * g).ravel() for g in moves], 1)
-        step, _, rank, _ = np.linalg.lstsq(jacobian, (root * (p - fit.points(m))).ravel(), rcond=None)
+        moves = {
+            "theta_deg": rotate and np.array([[-s * fit.sx, -c * fit.sy, 0], [c * fit.sx, -s * fit.sy, 0]]) * math.pi / 180, "tx": shift and np.array([[0, 0, 1.0], [0, 0, 0]]), "ty": shift and np.array([[0, 0, 0], [0, 0, 1.0]]),
+            "sx": scale and np.array([[c, 0, 0], [s, 0, 0]]), "sy": scale and np.array([[0, -s, 0], [0, c, 0]]),
+        }
+        moves = {name: d for name, d in moves.items() if d is not False}
+        d = np.array(list(moves.values()))
+        left = np.einsum("iab,bc,jac->ij", d, g.measured, d)
+        step, _, rank, _ = np.linalg.lstsq(left, np.einsum("iab,ba->i", d, g.planned - g.measured @ fit.matrix().T), rcond=1e-13)
         if rank < 1 or not np.isfinite(step).all():
             break
-        parts = list(step)
-        theta = parts.pop(0) if rotate else 0.0
-        dx, dy = (parts.pop(0), parts.pop(0)) if shift else (0.0, 0.0)
-        dsx, dsy = (parts.pop(0), parts.pop(0)) if scale else (0.0, 0.0)
-        hold = lambda v: min(max(v, K.FINE_SCALE_MIN), K.FINE_SCALE_MAX)
-        fit = Similarity(fit.theta_deg + theta, fit.tx + dx, fit.ty + dy, hold(fit.sx + dsx), hold(fit.sy + dsy))
-        now = rms(fit)
+        new = {name: getattr(fit, name) + float(v) for name, v in zip(moves, step, strict=True)}
+        fit = replace(fit, **{name: min(max(v, K.FINE_SCALE_MIN), K.FINE_SCALE_MAX) if name in ("sx", "sy") else v for name, v in new.items()})
+        now = g.rms(fit.matrix())
         if abs(before - now) < K.FINE_NEWTON_TOLERANCE_MM:
             break
         before = now
-    return replace(fit, rms_before=rms(Similarity()), rms_after=rms(fit), n_pairs=len(m))
+    return fit
 
 
-def fit_fine(xy: np.ndarray, weight: np.ndarray, layer: np.ndarray, plan: np.ndarray, plan_layer: np.ndarray, shift: bool = True, rotate: bool = True, scale: bool = True, most: int = K.FIT_SAMPLES) -> tuple[np.ndarray, Similarity] | None:
-    """The map of positions to their layers' nearest spots, as a matrix, and the one similarity closest to it; None unless
-    the weighted distance falls.
+_STATE = f"acq_id {{kind}}, {_NUMBERS}, rms_before double, last double, now double, n_pairs bigint, active boolean"
 
-    Each round pairs all positions anew and fits every n-th pair. A round's map comes after those before it.
-    """
-    by_layer = [(np.flatnonzero(layer == k), Spots(plan[plan_layer == k])) for k in np.unique(layer) if (plan_layer == k).any()]
 
-    def match(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        target, d = np.full(p.shape, np.nan), np.full(len(p), np.inf)
-        for rows, spots in by_layer:
-            rows = rows[np.isfinite(p[rows]).all(axis=1)]
-            at, d[rows] = nearest(p[rows], spots)
-            target[rows] = spots.whole[at]
-        return target, d
+def _matched_sums(light: DataFrame, plan: DataFrame) -> DataFrame:
+    """(acq_id, moments, rms, n): rows and their layers' nearest spots, all of them in one aggregation."""
+    m = match_on_layer(light, plan).withColumns({"px": F.col("expected_x"), "py": F.col("expected_y")})
+    pairs = m.filter("mx is not null and my is not null and px is not null")
+    return pairs.groupBy("acq_id").agg(*moment_sums(), weighted_rms(F.col("distance"), F.col("w")).alias("rms"), F.count(F.lit(1)).alias("n"))
 
-    def rms(d: np.ndarray) -> float:
-        ok = np.isfinite(d) & (weight > 0)
-        return float(np.sqrt((weight[ok] * d[ok] ** 2).sum() / weight[ok].sum())) if ok.any() else math.nan
 
-    def every(rows: np.ndarray) -> np.ndarray:
-        return rows[:: stride(len(rows), most)]
+def fine_fits(rows: DataFrame, plan: DataFrame, shift: bool = True, rotate: bool = True, scale: bool = True) -> DataFrame:
+    """Table of fine fits, one for each acquisition that its fit brings closer to its plan.
 
-    if not (shift or rotate or scale):
-        return None
-    total, now_xy, n = Similarity().matrix(), xy, 0
-    target, d = match(now_xy)
-    before = last = now = rms(d)
-    if not math.isfinite(before):
-        return None
+    A round fits all pairs of rows and their layers' nearest spots, moves the rows by that, and pairs them anew. An
+    acquisition takes part until a round brings it no closer. Its map is those of its rounds one after another; the one
+    similarity closest to that map over all its rows is noted beside it.
+    """
+    ship(rows.sparkSession)
+    kind = dict(rows.dtypes)["acq_id"]
+    light = landed(rows.select("acq_id", "row_idx", "mx", "my", F.col("layer").cast("double").alias("layer"), R.align_weight(F.col("weight")).alias("w")))
+    planned = landed(plan.select("acq_id", "spot_idx", "x", "y", "energy", "mu"))
+    state_names = [c.split()[0] for c in _STATE.split(", ")]
+
+    def advance(p: pd.DataFrame) -> pd.DataFrame:
+        """Fits of a round for the acquisitions whose rows were paired."""
+        for i, row in p[p["active"]].iterrows():
+            step = fit_similarity(Moments.of(row), int(row["n"]), shift, rotate, scale).matrix()
+            total = after(np.array(row[list(AFFINE)], float)[[0, 1, 4, 2, 3, 5]].reshape(2, 3), step)
+            p.loc[i, list(AFFINE)] = _flat(total)
+            p.loc[i, "n_pairs"] = int(row["n"])
+        return p[state_names]
+
+    still = _flat(Similarity())
+    sums = landed(_matched_sums(light, planned))
+    state = sums.filter("rms is not null").select("acq_id", *[F.lit(v).alias(c) for c, v in zip(AFFINE, still, strict=True)], *[F.col("rms").alias(c) for c in ("rms_before", "last", "now")], F.lit(0).cast("bigint").alias("n_pairs"), F.lit(True).alias("active"))
+    first = sums
     for k in range(K.FINE_ICP_ITERATIONS):
-        pairs = np.flatnonzero(np.isfinite(target).all(axis=1))
-        use, n = every(pairs), len(pairs)
-        step = gauss_newton(now_xy[use], target[use], weight[use], shift, rotate, scale).matrix()
-        total, now_xy = after(total, step), moved(now_xy, step)
-        target, d = match(now_xy)
-        now = rms(d)
-        if not math.isfinite(now) or (k > 0 and last - now < K.FINE_ICP_TOLERANCE_MM):
+        met = state.join(sums, "acq_id").select(*state.columns, *MOMENTS, "n")
+        fitted = landed(met.groupBy("acq_id").applyInPandas(advance, _STATE.format(kind=kind)).unionByName(state.join(sums, "acq_id", "left_anti").withColumn("active", F.lit(False))))
+        going = fitted.filter("active")
+        sums = landed(_matched_sums(apply(light.join(going.select("acq_id"), "acq_id", "left_semi"), going), planned))
+        fresh = fitted.join(sums.select("acq_id", "rms"), "acq_id", "left")
+        better = F.col("rms").isNotNull() & (F.lit(k == 0) | (F.col("last") - F.col("rms") >= K.FINE_ICP_TOLERANCE_MM))
+        state = landed(fresh.withColumn("now", F.when(F.col("active"), F.col("rms")).otherwise(F.col("now"))).withColumn("active", F.col("active") & better).withColumn("last", F.when(F.col("active"), F.col("now")).otherwise(F.col("last"))).drop("rms"))
+        sums = sums.join(state.filter("active").select("acq_id"), "acq_id", "left_semi")
+        if state.filter("active").isEmpty():
             break
-        last = now
-    if not math.isfinite(now) or now >= before - 1e-6:
-        return None
-    ends = every(np.flatnonzero(np.isfinite(xy).all(axis=1)))
-    net = gauss_newton(xy[ends], now_xy[ends], weight[ends], shift, rotate, scale)
-    return total, replace(net, rms_before=before, rms_after=now, n_pairs=n)
 
+    schema = _FINE.format(kind=kind)
+    names = [c.split()[0] for c in schema.split(", ")]
 
-def fine_fits(rows: DataFrame, plan: DataFrame, shift: bool = True, rotate: bool = True, scale: bool = True, most: int = K.FIT_SAMPLES) -> DataFrame:
-    """Table of fine fits, one for each acquisition that it brings closer to its plan."""
-    ship(rows.sparkSession)
+    def net(p: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, row in p.iterrows():
+            m = np.array(row[list(AFFINE)], float)[[0, 1, 4, 2, 3, 5]].reshape(2, 3)
+            g = fit_similarity(Moments.of(row).against(m), int(row["n"]), shift, rotate, scale)
+            out.append([row["acq_id"], *_flat(m), g.theta_deg, g.tx, g.ty, g.sx, g.sy, row["rms_before"], row["now"], row["n_pairs"]])
+        return pd.DataFrame(out, columns=names)
 
-    def fit(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if p.empty or q.empty:
-            return pd.DataFrame(columns=names)
-        p, q = p.sort_values("row_idx"), q.sort_values("spot_idx")
-        got = fit_fine(p[["mx", "my"]].to_numpy(float), p["w"].to_numpy(float), p["_layer"].to_numpy(), q[["x", "y"]].to_numpy(float), q["layer"].to_numpy(), shift, rotate, scale, most)
-        if got is None:
-            return pd.DataFrame(columns=names)
-        m, g = got
-        return pd.DataFrame([[p["acq_id"].iloc[0], *_flat(m), g.theta_deg, g.tx, g.ty, g.sx, g.sy, g.rms_before, g.rms_after, g.n_pairs]], columns=names)
-
-    schema = _FINE.format(kind=dict(rows.dtypes)["acq_id"])
-    names = [c.split()[0] for c in schema.split(", ")]
-    placed = rows.join(last_layers(plan), "acq_id", "left").withColumn("_layer", layer_of_row(F.col("layer"), F.col("_last")))
-    light = placed.select("acq_id", "row_idx", "mx", "my", R.align_weight(F.col("weight")).alias("w"), "_layer")
-    return light.groupBy("acq_id").cogroup(with_layers(plan).select(F.col("acq_id").alias("of"), "spot_idx", "layer", "x", "y").groupBy("of")).applyInPandas(fit, schema)
+    closer = state.filter("now < rms_before - 1e-6").join(first.select("acq_id", *MOMENTS, "n"), "acq_id")
+    return closer.groupBy("acq_id").applyInPandas(net, schema)
 
 
-def fine_align(rows: DataFrame, plan: DataFrame, shift: bool = True, rotate: bool = True, scale: bool = True, a_is_x: bool = False, most: int = K.FIT_SAMPLES) -> tuple[DataFrame, DataFrame | None]:
+def fine_align(rows: DataFrame, plan: DataFrame, shift: bool = True, rotate: bool = True, scale: bool = True, a_is_x: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """Rows moved by their acquisition's fine fit, and the table of fits. Where no fit helps, rows are as they were."""
     if not (shift or rotate or scale):
         return rows, None
-    fits = fine_fits(rows, plan, shift, rotate, scale, most)
+    fits = landed(fine_fits(rows, plan, shift, rotate, scale))
     return apply(rows, fits, a_is_x), fits
 
 
@@ -411,22 +431,22 @@ def fine_captions(fits: DataFrame) -> DataFrame:
     return fits.select("acq_id", text.alias("caption"))
 
 
-def total_captions(before: DataFrame, moved_rows: DataFrame, coarse: DataFrame | None, fine: DataFrame | None, most: int = K.FIT_SAMPLES) -> DataFrame | None:
+def total_captions(before: DataFrame, moved_rows: DataFrame, coarse: DataFrame | None, fine: DataFrame | None) -> DataFrame | None:
     """(acq_id, caption): the whole move of each acquisition from measured to final positions, as one similarity after the
     coarse fit's orientation."""
     if coarse is None:
         return None if fine is None else fine_captions(fine)
     ship(before.sparkSession)
-    ends = before.select("acq_id", "row_idx", F.col("mx").alias("x0"), F.col("my").alias("y0")).join(moved_rows.select("acq_id", "row_idx", "mx", "my"), ["acq_id", "row_idx"]).dropna()
+    ends = before.select("acq_id", "row_idx", F.col("mx").alias("x0"), F.col("my").alias("y0")).join(moved_rows.select("acq_id", "row_idx", F.col("mx").alias("px"), F.col("my").alias("py")), ["acq_id", "row_idx"]).dropna()
     ends = ends.join(coarse.select("acq_id", "swap", "flip_x", "flip_y"), "acq_id")
     x, y = F.when(F.col("swap"), F.col("y0")).otherwise(F.col("x0")), F.when(F.col("swap"), F.col("x0")).otherwise(F.col("y0"))
-    turned = strided(ends, most).select("acq_id", "row_idx", F.when(F.col("flip_x"), -x).otherwise(x).alias("x"), F.when(F.col("flip_y"), -y).otherwise(y).alias("y"), "mx", "my")
+    turned = ends.select("acq_id", F.when(F.col("flip_x"), -x).otherwise(x).alias("mx"), F.when(F.col("flip_y"), -y).otherwise(y).alias("my"), "px", "py", F.lit(1.0).alias("w"))
+    sums = turned.groupBy("acq_id").agg(*moment_sums(), F.count(F.lit(1)).alias("n"))
 
     def fit(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("row_idx")
-        g = gauss_newton(p[["x", "y"]].to_numpy(float), p[["mx", "my"]].to_numpy(float), np.ones(len(p)))
-        return pd.DataFrame([[p["acq_id"].iloc[0], g.theta_deg, g.tx, g.ty, g.sx, g.sy]], columns=["acq_id", "theta", "x", "y", "sx", "sy"])
+        fits = [(row["acq_id"], fit_similarity(Moments.of(row), int(row["n"]))) for _, row in p.iterrows()]
+        return pd.DataFrame([[a, g.theta_deg, g.tx, g.ty, g.sx, g.sy] for a, g in fits], columns=["acq_id", "theta", "x", "y", "sx", "sy"])
 
-    net = turned.groupBy("acq_id").applyInPandas(fit, f"acq_id {dict(before.dtypes)['acq_id']}, theta double, x double, y double, sx double, sy double")
+    net = sums.groupBy("acq_id").applyInPandas(fit, f"acq_id {dict(before.dtypes)['acq_id']}, theta double, x double, y double, sx double, sy double")
     text = F.format_string("Total align: %.2f deg, (%.2f, %.2f) mm, scale %.4f x %.4f", "theta", "x", "y", "sx", "sy")
     return coarse.join(net, "acq_id").select("acq_id", F.concat(text, _side()).alias("caption"))

@@ -112,7 +112,8 @@ def closest(g: Column, mx: Column, my: Column) -> Column:
     """Squared distance to the nearest spot of a grid. NULL without a grid or position."""
     spots = g["spots"]
     u, v = (mx - g["x0"]) / g["side"], (my - g["y0"]) / g["side"]
-    cell = F.get(F.get(g["bands"], F.floor(v).cast("int") + 1), F.floor(u).cast("int") + 1)
+    place = lambda c: F.floor(c).try_cast("int") + 1  # noqa: E731  NULL, and so in no cell, beyond the numbers of cells
+    cell = F.get(F.get(g["bands"], place(v)), place(u))
     near = F.array_min(F.transform(cell, lambda i: _squared(F.get(spots, i), mx, my)))
     every = F.array_min(F.transform(spots, lambda s: _squared(s, mx, my)))
     found = _let(near, lambda d2: F.when(d2 < _border(u, v, g["side"]), d2).otherwise(every))

@@ -13,6 +13,7 @@ from ..config import Config
 from ..functions import rows as R
 from ..operators import alignment, assign, episodes, gaps, gates, layers, nearest, signal, spots
 from ..sources.tables import acquisition_view, plan_view
+from ..sources.workspace import landed
 from . import pipeline
 from .base import query, rounded, sql
 
@@ -254,10 +255,11 @@ def fine_align(spark, sf):
     return out.join(theta, "acq_id", "left").select("acq_id", "spot_id", rounded("mx", 2).alias("mx"), rounded("my", 2).alias("my"), F.coalesce("theta_deg", F.lit(0.0)).alias("theta_deg"))
 
 
-@query(_drifting(body="SELECT acq_id, spot_idx AS spot_id, true AS close FROM plan"))
+@query(sql("plan", body="""
+SELECT acq_id, CAST(90 * (acq_id % 4) AS DOUBLE) AS theta_deg, acq_id % 2 = 1 AS mirrored, count(*) AS n_close FROM plan GROUP BY acq_id"""))
 def coarse_align(spark, sf):
-    """Each acquisition turned about its centre by 90 degrees times its number and a little more, shifted and, by turns, mirrored; whether
-    the fit brings each position within 0.3 mm of its spot."""
+    """Each acquisition turned about its centre by 90 degrees times its number and a little more, shifted and, by turns, mirrored:
+    the rotation (to 10 degrees) and mirroring that the fit finds, and how many positions it brings within 0.3 mm of their spots."""
     plan = _drifting_plan(spark, sf).withColumn("y", F.col("y") + 0.4 * F.floor(F.col("spot_idx") / _PER_LAYER))  # no mirror image of itself
     centre = plan.groupBy("acq_id").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
     turn = F.radians(90.0 * (F.col("acq_id") % 4) + 0.2)
@@ -265,8 +267,42 @@ def coarse_align(spark, sf):
     mx, my = x * F.cos(turn) + y * F.sin(turn) + F.col("cx") + 0.1, y * F.cos(turn) - x * F.sin(turn) + F.col("cy") - 0.1
     mirrored = F.when(F.col("acq_id") % 2 == 1, -mx).otherwise(mx)
     rows = plan.join(centre, "acq_id").select("acq_id", F.col("spot_idx").alias("row_idx"), "x", "y", mirrored.alias("mx"), my.alias("my"))
-    out = alignment.apply(R.with_detector_axes(rows), alignment.coarse_align(rows, plan))
-    return out.select("acq_id", F.col("row_idx").alias("spot_id"), (F.hypot(F.col("mx") - F.col("x"), F.col("my") - F.col("y")) < 0.3).alias("close"))
+    fits = landed(alignment.coarse_align(rows, plan))
+    near = F.hypot(F.col("mx") - F.col("x"), F.col("my") - F.col("y")) < 0.3
+    counts = alignment.apply(R.with_detector_axes(rows), fits).groupBy("acq_id").agg(F.count_if(near).alias("n_close"))
+    theta = F.degrees(F.atan2(-F.col("m12"), F.col("m22")))  # a mirror before the turn changes the first column only
+    mirrored = F.col("m11") * F.col("m22") < F.col("m12") * F.col("m21")
+    return fits.join(counts, "acq_id").select("acq_id", (F.pmod(F.round(theta / 10) * 10, F.lit(360.0)) + 0.0).alias("theta_deg"), mirrored.alias("mirrored"), "n_close")
+
+
+# Samples close to their spots, of acquisitions that a known map turned (by up to 270 degrees and a little more), shifted by
+# a millimetre or two and, by turns, mirrored. No layer is a mirror image of the plan, so only the inverse map brings them back.
+_TURN = {"theta": "(90 * ({a} % 4) + 3 * ({a} % 3) - 2)", "tx": "({a} % 5 - 2)", "ty": "({a} % 3)", "mirror": "(CASE WHEN {a} % 2 = 1 THEN -1 ELSE 1 END)"}
+
+
+def _tilted_plan(spark, sf) -> DataFrame:
+    return _drifting_plan(spark, sf).withColumn("y", F.col("y") + 0.4 * F.floor(F.col("spot_idx") / _PER_LAYER))
+
+
+def _turned_rows(spark, sf) -> DataFrame:
+    k = F.floor(F.col("spot") / _PER_LAYER).cast("double")
+    own = lambda c, place: F.col(c) - place  # noqa: E731  how far a sample is from its spot
+    x0, y0 = F.col("spot") % 5 * 5.0 - 10, F.floor(F.col("spot") % 25 / 5) * 5.0 - 10
+    rows = acquisition_view(spark, sf).filter("a is not null and b is not null")
+    x, y = x0 + _shift("spot") + 0.1 * own("b", x0), y0 + 0.4 * k + 0.1 * own("a", y0)
+    known = {name: F.expr(text.format(a="acq_id")).cast("double") for name, text in _TURN.items()}
+    c, s = F.cos(F.radians(known["theta"])), F.sin(F.radians(known["theta"]))
+    u, v = x - known["tx"], y - known["ty"]
+    return R.with_detector_axes(rows.withColumns({"mx": known["mirror"] * (u * c + v * s), "my": v * c - u * s})).drop("mx", "my")
+
+
+@query(sql("acq", body="""
+SELECT acq_id, count(DISTINCT spot) AS n_pass, CAST(0 AS BIGINT) AS n_warn, CAST(0 AS BIGINT) AS n_fail, count(DISTINCT spot) AS n
+FROM acq WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY acq_id"""))
+def aligned_run(spark, sf):
+    """Position quality of a whole run with coarse and fine alignment: all spots of the turned samples come back to theirs."""
+    config = Config(coarse=True, fine_shift=True, fine_rotation=True)
+    return pipeline.run(_turned_rows(spark, sf), _tilted_plan(spark, sf), config).position_counts(config)
 
 
 @query(sql("plan", body="SELECT acq_id, spot_idx, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y FROM plan"))

@@ -8,7 +8,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _FOLDERS: list[tuple[SparkSession, str]] = []
 
@@ -35,3 +35,10 @@ def workspace(spark: SparkSession) -> str:
     path = f"{shared_folder(spark)}/beamloom-files-{uuid.uuid4().hex}"
     _FOLDERS.append((spark, path))
     return path
+
+
+def landed(table: DataFrame) -> DataFrame:
+    """The table written to a workspace and read back: what comes after it starts from files, however often it is used."""
+    path = workspace(table.sparkSession)
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)

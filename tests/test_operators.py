@@ -112,27 +112,70 @@ def test_time_gap_like_a_loop(spark):
     assert [(r["spot_id"], r["layer"]) for r in got] == want
 
 
-def test_viterbi_like_a_table():
+def test_viterbi_like_a_table(spark):
+    """Many small acquisitions with whole coordinates, so that ties are many: some with a layer without spots, one with a row
+    without a position. Against the table of all costs, row by row."""
     rng = np.random.default_rng(1)
-    for _ in range(200):
-        n, m = rng.integers(1, 12), rng.integers(1, 5)
-        emit, pen = rng.integers(0, 4, (n, m)).astype(float), float(rng.integers(0, 3))
+    plan, rows, want = [], [], {}
+    for acq in range(60):
+        m, n = int(rng.integers(1, 6)), int(rng.integers(1, 14))
+        energies = [100.0 + k for k in range(m)]
+        if acq % 10 == 3 and m > 2:
+            energies[2] = energies[0]  # comes back: the third layer has no spots of its own
+        points = [[(int(rng.integers(0, 4)), int(rng.integers(0, 4))) for _ in range(int(rng.integers(1, 4)))] for _ in range(m)]
+        flat = [(float(x), float(y), e) for e, layer in zip(energies, points, strict=True) for x, y in layer]
+        plan += [(acq, i, *p, 1.0, None, None) for i, p in enumerate(flat)]
+        xy = [(int(rng.integers(0, 4)), int(rng.integers(0, 4))) for _ in range(n)]
+        rows += [(acq, i, float(x), float(y)) if (acq, i) != (7, 0) else (acq, i, None, float(y)) for i, (x, y) in enumerate(xy)]
+        first = [energies.index(e) for e in energies]
+        emit = np.array([[min(((px - x) ** 2 + (py - y) ** 2 for px, py, e in flat if first[energies.index(e)] == k), default=np.inf) for k in range(m)] for x, y in xy])
         cost, back = np.full((n, m), np.inf), np.zeros((n, m), int)
         cost[0, 0] = emit[0, 0]
         for i in range(1, n):
             for k in range(m):
-                stay, up = cost[i - 1, k], cost[i - 1, k - 1] + pen if k else np.inf
+                stay, up = cost[i - 1, k], cost[i - 1, k - 1] + 2.0 if k else np.inf
                 back[i, k] = k if stay <= up else k - 1
                 cost[i, k] = emit[i, k] + min(stay, up)
-        k, want = int(cost[-1].argmin()), []
+        k = int(cost[-1].argmin())
         for i in range(n - 1, -1, -1):
-            want.append(k)
+            want[acq, i] = 0 if acq == 7 else k
             k = back[i, k]
-        assert kernels.monotone_layers(emit, pen).tolist() == want[::-1]
-    with pytest.raises(ValueError):
-        kernels.monotone_layers(np.zeros((3, 0)), 1.0)
-    with pytest.raises(ValueError):
-        kernels.monotone_layers(np.zeros((3, 2)), -1.0)
+    frame = spark.createDataFrame(rows, "acq_id int, row_idx bigint, mx double, my double")
+    got = episodes.cheapest_layers(frame, spark.createDataFrame(plan, PLAN), 2.0)
+    assert {(r["acq_id"], r["row_idx"]): r["layer"] for r in got.collect()} == want and got.columns == [*frame.columns, "layer"]
+
+
+def test_nearest_like_all_pairs(spark):
+    """Lattices, clusters with one spot far away, single spots and repeated ones; positions inside, far outside, missing."""
+    rng = np.random.default_rng(11)
+    plan, rows, xy = [], [], {}
+    for acq in range(24):
+        p = rng.integers(0, 9, (int(rng.integers(1, 60)), 2)).astype(float) * rng.choice([0.1, 1, 50], 2)
+        if acq % 4 == 0:
+            p[0] = 1e4
+        q = np.concatenate([rng.normal(0, 300, (30, 2)), p[:5] + 0.01, p[:5], rng.uniform(-1, 10, (30, 2)), [[1e12, -1e12]]])
+        layer = rng.integers(0, 2, len(p)) if acq % 3 else np.zeros(len(p), int)
+        order = np.argsort(layer, kind="stable")
+        p, layer = p[order], layer[order]
+        plan += [(acq, i, float(x), float(y), 100.0 - int(k), 1.0, None, None) for i, ((x, y), k) in enumerate(zip(p, layer, strict=True))]
+        rows += [(acq, i, float(x), float(y), float(i % 2)) for i, (x, y) in enumerate(q)] + [(acq, len(q), None, 1.0, 0.0)]
+        xy[acq] = p, layer - layer[0], q
+    frame, planned = spark.createDataFrame(rows, "acq_id int, row_idx bigint, mx double, my double, layer double"), spark.createDataFrame(plan, PLAN)
+    every = {(r["acq_id"], r["row_idx"]): r for r in nearest.match_on_plan(frame, planned).collect()}
+    own = {(r["acq_id"], r["row_idx"]): r for r in nearest.match_on_layer(frame, planned).collect()}
+    emit = {(r["acq_id"], r["row_idx"]): r["emit"] for r in nearest.layer_distances(frame, planned).collect()}
+    for acq, (p, layer, q) in xy.items():
+        d2 = ((p[None, :, 0] - q[:, None, 0]) ** 2) + ((p[None, :, 1] - q[:, None, 1]) ** 2)
+        for i in range(len(q)):
+            got = every[acq, i]
+            assert (got["nn_spot_idx"], got["distance"]) == (d2[i].argmin(), math.sqrt(d2[i].min()))
+            k = min(i % 2, layer.max())
+            of = np.flatnonzero(layer == k)
+            assert own[acq, i]["nn_spot_idx"] == of[d2[i, of].argmin()] and own[acq, i]["nn_local_idx"] == d2[i, of].argmin()
+            assert emit[acq, i] == [d2[i, layer == k].min() for k in range(layer.max() + 1)]
+        lost = every[acq, len(q)], own[acq, len(q)]
+        assert all(r["distance"] == math.inf and r["nn_local_idx"] == -1 and r["expected_x"] is None for r in lost) and not any(emit[acq, len(q)])
+    assert len(every) == len(own) == len(emit) == len(rows)
 
 
 def test_viterbi(spark):
@@ -286,14 +329,49 @@ def test_rigid(spark):
     assert pairs.select(F.max(F.abs(x - F.col("px")) + F.abs(y - F.col("py")) + F.abs(back[0] - F.col("mx")) + F.abs(back[1] - F.col("my")))).first()[0] < 1e-9
 
 
-def test_coarse():
+def test_coarse(spark):
+    """One acquisition turned, one mirrored, one without positions."""
     plan = np.random.default_rng(8).uniform(-60, 60, (40, 2))
     c, s = math.cos(math.radians(-22)), math.sin(math.radians(-22))
-    turned = (plan - [4, -3]) @ np.array([[c, s], [-s, c]])
-    assert alignment.fit_coarse(turned, plan).rms < 1
-    assert alignment.fit_coarse(plan * [-1, 1], plan).rms < 0.2
-    with pytest.raises(ValueError):
-        alignment.fit_coarse(np.full((3, 2), np.nan), plan)
+    of = {0: (plan - [4, -3]) @ np.array([[c, s], [-s, c]]), 1: plan * [-1, 1], 2: np.full((3, 2), np.nan)}
+    rows = [(a, i, *(None if np.isnan(v) else float(v) for v in p)) for a, xy in of.items() for i, p in enumerate(xy)]
+    planned = spark.createDataFrame([(a, i, float(x), float(y), 100.0, 1.0, None, None) for a in of for i, (x, y) in enumerate(plan)], PLAN)
+    fits = {r["acq_id"]: r for r in alignment.coarse_align(spark.createDataFrame(rows, "acq_id int, row_idx bigint, mx double, my double"), planned).collect()}
+    assert fits.keys() == {0, 1} and fits[0]["rms"] < 1 and fits[1]["rms"] < 0.2
+    assert all(f["n_pairs"] == f["n_fit"] == 40 and 1 <= f["iterations"] <= K.ICP_ITERATIONS for f in fits.values())
+    for a, f in fits.items():
+        back = of[a] @ np.array([[f["m11"], f["m12"]], [f["m21"], f["m22"]]]).T + [f["t1"], f["t2"]]
+        d2 = ((back[:, None] - plan[None]) ** 2).sum(axis=2).min(axis=1)
+        assert f["rms"] == pytest.approx(math.sqrt(d2.mean()), abs=1e-9)
+
+
+def _moments(m, p, w):
+    row = {"w": w.sum(), "pp": (w[:, None] * p * p).sum()}
+    for (a, u), (b, v) in [((a, u), (b, v)) for a, u in (("x", m[:, 0]), ("y", m[:, 1])) for b, v in (("x", m[:, 0]), ("y", m[:, 1]), ("p", p[:, 0]), ("q", p[:, 1]))]:
+        row[a + b] = (w * u * v).sum()
+    row |= {c: (w * u).sum() for c, u in zip("xypq", (*m.T, *p.T), strict=True)}
+    return alignment.Moments.of({f"s_{c}": v for c, v in row.items()})
+
+
+def test_fit_by_moments():
+    """The least-squares fit of noisy pairs: no small change of a parameter is better, and the moments give its residual."""
+    rng = np.random.default_rng(3)
+    m, w = rng.normal(0, 40, (60, 2)), rng.uniform(0.1, 2, 60)
+    truth = alignment.Similarity(3.0, 1.5, -2.0, 1.03, 0.98).matrix()
+    p = m @ truth[:, :2].T + truth[:, 2] + rng.normal(0, 0.5, m.shape)
+    rms = lambda f: float(np.sqrt((w * ((m @ f.matrix()[:, :2].T + f.matrix()[:, 2] - p) ** 2).sum(axis=1)).sum() / w.sum()))
+    for parts in ((True, True, True), (True, False, False), (False, True, False), (True, True, False), (False, False, True)):
+        g = _moments(m, p, w)
+        fit = alignment.fit_similarity(g, 60, *parts)
+        assert g.rms(fit.matrix()) == pytest.approx(rms(fit), abs=1e-9)
+        names = [n for n, on in zip((("tx", "ty"), ("theta_deg",), ("sx", "sy")), parts, strict=True) if on]
+        for name in sum(names, ()):
+            for step in (-0.05, 0.05):
+                moved = alignment.replace(fit, **{name: getattr(fit, name) + step * (0.1 if name[0] == "s" else 1)})
+                assert rms(moved) > rms(fit) - 1e-5
+    assert _moments(m, p, w).against(truth).rms(truth) < 1e-6
+    one = alignment.fit_similarity(_moments(np.array([[1.0, 2.0]]), np.array([[3.0, 5.0]]), np.ones(1)), 1)
+    assert (one.theta_deg, one.tx, one.ty, one.sx) == (0.0, 2.0, 3.0, 1.0)
 
 
 def test_fine(spark):
@@ -310,8 +388,6 @@ def test_fine(spark):
     assert abs(fit["theta_deg"] - truth.theta_deg) < 0.22 and abs(fit["sx"] - truth.sx) < 0.15 and abs(fit["tx"] - truth.tx) < 0.2 and fit["rms_after"] < 0.2
     assert alignment.residual(out, plan_of(spark, plan)).first()["rms"] < 0.2
     assert alignment.fine_align(rows, plan_of(spark, plan), False, False, False)[1] is None
-    one = alignment.gauss_newton(np.array([[1.0, 2.0]]), np.array([[3.0, 5.0]]), np.ones(1))
-    assert (one.theta_deg, one.tx, one.ty, one.sx) == (0.0, 2.0, 3.0, 1.0)
     assert alignment.fine_captions(fits).first()["caption"].startswith("Fine align: ")
 
 
