@@ -21,8 +21,9 @@ alone reaches what their total weights ask for, which is looked up by the few pa
 or (B) they share shingles that c hasn't. A hub's shingles beyond c that members of different components hold are
 counted first. A member of weight w and overlap o with fewer than 0.8 w - o of them is done. The others put theirs in the
 order of their counts, the rarest first; the first shingle that a similar pair shares leaves both enough that follow.
-So a passage or line that many texts share stands last, where too little follows it, and makes no pairs. Members that
-share a shingle early enough are compared, first with one of them for each shingle, and, where that has not made them one
+So a passage or line that many texts share stands last, where too little follows it, and makes no pairs. (Texts that are put
+together from the same few blocks, each pair of them similar to a little less than 0.8, are another matter: no bound rules
+their pairs out, so all of them are compared, and these grow with the square of such a family.) Members that share a shingle early enough are compared, first with one of them for each shingle, and, where that has not made them one
 component, with each other. Before that, whatever was compared with a member of a component is compared with its centre
 too, and a pair is looked at only below the largest hub of both, if that is the same one: the bounds are tight there. So
 every pair of a common bucket is linked, joined by others, or known to be dissimilar.
