@@ -71,20 +71,38 @@ def _percentile(value: str | Column, p: float) -> Column:
     return F.percentile(value, F.lit(p))
 
 
+def _ranked(rows: DataFrame, c: str) -> DataFrame:
+    """Adds the place from 0 and the number of an acquisition's values, sorted; missing ones have no place."""
+    place = F.when(F.col(c).isNotNull(), F.row_number().over(Window.partitionBy("acq_id").orderBy(F.col(c).asc_nulls_last())) - 1)
+    return rows.withColumns({f"{c}_at": place, f"{c}_n": F.count(c).over(_all())})
+
+
+def _percentiles(c: str, names: dict[str, float]) -> tuple[list[Column], list[Column]]:
+    """Aggregates of ranked values, and the percentiles made of them: those at the places around, by their distances."""
+    place = lambda p: p * (F.col(f"{c}_n") - 1)
+    found = [F.max(F.when(F.col(f"{c}_at") == f(place(p)), F.col(c))).alias(f"{name}_{f.__name__}") for name, p in names.items() for f in (F.floor, F.ceil)]
+    share = lambda p: place(p) - F.floor(place(p))
+    made = [(F.col(f"{name}_floor") * (1 - share(p)) + F.col(f"{name}_ceil") * share(p)).alias(name) for name, p in names.items()]
+    return [*found, F.first(f"{c}_n").alias(f"{c}_n")], made
+
+
 def row_statistics(rows: DataFrame) -> DataFrame:
     """What the inference needs of an acquisition's rows, in one row each: n, percentiles of positive weights (w1, w50) and
-    of the steps between times (dt10, dt50, dt90), the steps in order (one number for each row), and the time from first
-    to last. Rows are shuffled once, by acquisition."""
+    of the steps between times (dt10, dt50, dt90), the number of steps, the knee (the middle of the largest rise of the
+    steps in order), and the time from first to last. Rows are shuffled once, by acquisition; nothing is gathered."""
     weight = F.col("weight") if "weight" in rows.columns else F.lit(None).cast("double")
     before = F.last("t", ignorenulls=True).over(_rows().rowsBetween(Window.unboundedPreceding, -1))
     step = F.col("t") - before
     stepped = rows.select("acq_id", "row_idx", "t", F.when(weight > 0, weight).alias("_w"), F.when(step > 0, step).alias("_dt"))
+    lower = F.lag("_dt").over(Window.partitionBy("acq_id").orderBy(F.col("_dt").asc_nulls_last()))
+    sorted_ = _ranked(_ranked(stepped.withColumn("_low", lower), "_dt"), "_w")
+    rise = F.struct((F.col("_dt") / F.greatest(F.col("_low"), F.lit(1e-12))).alias("r"), (-F.col("_dt")).alias("d"), ((F.col("_low") + F.col("_dt")) / 2).alias("knee"))
     timed = F.when(F.col("t").isNotNull(), F.col("row_idx"))
-    found = stepped.groupBy("acq_id").agg(
-        F.count(F.lit(1)).alias("n"), F.percentile("_w", F.array(F.lit(0.01), F.lit(0.5))).alias("_ws"), F.percentile("_dt", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("_dts"),
-        F.sort_array(F.collect_list("_dt")).alias("steps"), (F.max_by("t", timed) - F.min_by("t", timed)).alias("span"),
-    )
-    return found.select("acq_id", "n", *[F.get("_ws", F.lit(i)).alias(c) for i, c in enumerate(("w1", "w50"))], *[F.get("_dts", F.lit(i)).alias(c) for i, c in enumerate(("dt10", "dt50", "dt90"))], "steps", "span")
+    (dt_sums, dts), (w_sums, ws) = _percentiles("_dt", {"dt10": 0.1, "dt50": 0.5, "dt90": 0.9}), _percentiles("_w", {"w1": 0.01, "w50": 0.5})
+    found = sorted_.groupBy("acq_id").agg(
+        F.count(F.lit(1)).alias("n"), *dt_sums, *w_sums, F.max(F.when(F.col("_low").isNotNull() & F.col("_dt").isNotNull(), rise))["knee"].alias("knee"), (F.max_by("t", timed) - F.min_by("t", timed)).alias("span")
+    )
+    return found.select("acq_id", "n", *ws, *dts, F.col("_dt_n").alias("steps"), "knee", "span")
 
 
 def min_on_weight_of() -> Column:
@@ -96,14 +114,11 @@ def min_on_weight_of() -> Column:
 def gap_of() -> Column:
     """The pause that separates spots, from the steps between the times of consecutive rows: in the middle of the largest
     rise of the steps in order, held within bounds by their percentiles and the time of a plan spot (``n_plan``)."""
-    places = F.sequence(F.lit(1), F.size("steps") - 1)
-    pair = lambda i: (F.get("steps", i - 1), F.get("steps", i))
-    rise = F.array_max(F.transform(places, lambda i: F.struct((pair(i)[1] / F.greatest(pair(i)[0], F.lit(1e-12))).alias("r"), (-i).alias("k"), ((pair(i)[0] + pair(i)[1]) / 2).alias("knee"))))
-    knee = F.when(F.size("steps") > 1, rise["knee"]).otherwise(1.5 * F.col("dt50"))
+    knee = F.coalesce("knee", 1.5 * F.col("dt50"))
     between = F.when(F.col("n_plan") > 1, F.col("span") / (F.col("n_plan") - 1)).otherwise(F.col("span"))
     even = F.col("dt90") - F.col("dt10") < F.greatest(0.05 * F.col("dt50"), F.lit(1e-9))
     gap = F.when(even, 2.5 * F.col("dt50")).otherwise(F.least(knee, between / 2, F.greatest(1.35 * F.col("dt90"), 3 * F.col("dt50"))))
-    return F.when(F.size("steps") > 0, F.greatest(F.lit(0.005), F.least(F.lit(5.0), gap, 8 * F.col("dt50")))).otherwise(K.LAYER_GAP_S)
+    return F.when(F.col("steps") > 0, F.greatest(F.lit(0.005), F.least(F.lit(5.0), gap, 8 * F.col("dt50")))).otherwise(K.LAYER_GAP_S)
 
 
 def min_rows_of() -> Column:
