@@ -198,4 +198,34 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(documents(spark, sf_dir))
 
 
-QUERIES = {"op12_spelling_variants": (op12_spelling_variants, None)}
+#: Words by crc32 written out, near words by strings with one letter masked or deleted, roots by recursion.
+ORACLE_SQL = f"""
+WITH RECURSIVE crc AS (
+  SELECT list(v ORDER BY i) AS step FROM (
+    SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS v FROM range(256) r(i))),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]{{5,}}')) AS raw FROM documents),
+lowered AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || translate(raw, '{ascii_uppercase}', '{ascii_lowercase}') AS id_run, translate(raw, '{ascii_uppercase}', '{ascii_lowercase}') AS run, count(*) AS k FROM runs GROUP BY ALL),
+bytes AS (SELECT run, k, hex(encode(id_run)) AS h FROM lowered),
+hashed AS (
+  SELECT run, k, xor(list_reduce(list_transform(range(1, length(h) // 2 + 1), lambda i: CAST('0x' || substr(h, 2 * i - 1, 2) AS BIGINT)),
+                     lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS hash
+  FROM bytes, crc),
+written AS (SELECT CASE WHEN hash % 97 = 0 THEN substr(run, 1, CAST(hash % length(run) AS BIGINT)) || substr(run, CAST(hash % length(run) AS BIGINT) + 2) ELSE run END AS word, k FROM hashed),
+vocabulary AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM written WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM vocabulary),
+masked AS (SELECT word, n, i, substr(word, 1, i - 1) AS head, substr(word, i + 1) AS tail FROM places),
+shorter AS (SELECT DISTINCT m.word, m.n, v.word AS other, v.n AS other_n FROM masked m JOIN vocabulary v ON v.word = m.head || m.tail),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM masked a JOIN masked b ON a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+  UNION ALL SELECT word, other, other_n FROM shorter UNION ALL SELECT other, word, n FROM shorter),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS top, max(other_n) AS top_n FROM near GROUP BY word),
+forms AS (
+  SELECT v.word, CASE WHEN top_n >= 2 * n THEN top END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN top_n >= 2 * n THEN top_n END AS form_n
+  FROM vocabulary v LEFT JOIN best USING (word)),
+chains AS (
+  SELECT word, word AS leaf, 0 AS depth FROM forms
+  UNION ALL SELECT c.word, f.form, c.depth + 1 FROM chains c JOIN forms f ON f.word = c.leaf WHERE f.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN (SELECT word, arg_max(leaf, depth) AS root FROM chains GROUP BY word) USING (word)
+"""
+
+QUERIES = {"op12_spelling_variants": (op12_spelling_variants, ORACLE_SQL)}

@@ -24,7 +24,7 @@ def texts(spark, sf_dir):
     return {r["doc_id"]: r["text"] or "" for r in documents(spark, sf_dir).collect()}
 
 
-@pytest.mark.parametrize("name", ["op8_mixing", "op10_exact_dedup"])
+@pytest.mark.parametrize("name", ["op8_mixing", "op10_exact_dedup", "op12_spelling_variants"])
 def test_sql(spark, sf_dir, name):
     query, sql = registry.QUERIES[name]
     con = duckdb.connect()
