@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -31,19 +31,81 @@ def _xy(plan: pd.DataFrame) -> np.ndarray:
     return plan.sort_values("spot_idx")[["x", "y"]].to_numpy(float)
 
 
-def calibrated_ratio(rows: DataFrame, plan: DataFrame, tiny: int = K.TINY_MERGE_ROWS) -> DataFrame:
-    """(acq_id, dead_ratio, min_rows): the ratio that makes about as many episodes as the plan has spots. One pass over the
-    metric; rows are shuffled once."""
-    ship(rows.sparkSession)
-    counted = delivery_metric(rows).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("acq_id"))).join(plan_sizes(plan), "acq_id", "left")
-    measured = counted.select("acq_id", "row_idx", "metric", min_rows_of().alias("min_rows"), F.coalesce("n_plan", F.lit(0)).alias("n_plan"))
+def dead_ratios() -> list[float]:
+    return np.linspace(K.DEAD_RATIO_MIN, K.DEAD_RATIO_MAX, K.DEAD_RATIO_STEPS).tolist()
 
-    def fit(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("row_idx")
-        least = int(p["min_rows"].iloc[0])
-        return pd.DataFrame({"acq_id": [p["acq_id"].iloc[0]], "dead_ratio": [kernels.calibrate_dead_ratio(p["metric"].to_numpy(float), int(p["n_plan"].iloc[0]), least, tiny)], "min_rows": [least]})
 
-    return measured.groupBy("acq_id").applyInPandas(fit, f"acq_id {_kind(rows)}, dead_ratio double, min_rows int")
+def _ratios_below(metric: Column, ratios: list[float]) -> Column:
+    """How many of the (evenly spaced) ratios are below the metric: a guess by division, and one step where that rounds badly."""
+    n, step = len(ratios), (ratios[-1] - ratios[0]) / (len(ratios) - 1)
+    listed = F.array(*[F.lit(r) for r in ratios])
+    guess = F.greatest(F.lit(0), F.least(F.lit(n), F.ceil((metric - ratios[0]) / step))).cast("int")
+    less, more = (guess > 0) & (F.get(listed, guess - 1) >= metric), (guess < n) & (F.get(listed, guess) < metric)
+    return F.when(less, guess - 1).when(more, guess + 1).otherwise(guess)
+
+
+def on_edges(measured: DataFrame) -> DataFrame:
+    """(acq_id, k, at, begins): where spans begin and end for each ratio k, of rows (acq_id, row_idx from 0, metric).
+
+    A row is on for the ratios below its metric. So between two rows spans begin or end for just the ratios between their
+    metrics, and rows that don't cross a ratio leave no trace.
+    """
+    order = Window.partitionBy("acq_id").orderBy("row_idx")
+    below = measured.withColumn("_k", _ratios_below(F.col("metric"), dead_ratios()))
+    sided = below.withColumns({"_was": F.coalesce(F.lag("_k").over(order), F.lit(0)), "_last": F.lead("row_idx").over(order).isNull()})
+    event = lambda k, at, begins: F.struct(k.alias("k"), at.alias("at"), F.lit(begins).alias("begins"))
+    between = lambda low, high, at, begins: F.when(low < high, F.transform(F.sequence(low, high - 1), lambda k: event(k, at, begins))).otherwise(F.array().cast("array<struct<k:int,at:bigint,begins:boolean>>"))
+    here, was, row = F.col("_k"), F.col("_was"), F.col("row_idx").cast("bigint")
+    found = F.concat(between(was, here, row, True), between(here, was, row, False), between(F.lit(0), F.when(F.col("_last"), here).otherwise(0), row + 1, False))
+    return sided.filter((here != was) | F.col("_last")).select("acq_id", F.explode(found).alias("e")).select("acq_id", "e.*")
+
+
+def episode_counts(measured: DataFrame) -> DataFrame:
+    """(acq_id, k, count): the number of episodes for each dead ratio that has any, of rows with metric and min_rows.
+
+    Merging needs no fold. A span of at most two rows takes in the next one and is longer then, so of spans in a row a span
+    is taken in if the number of tiny ones directly before it is odd. Spans shorter than min_rows go into the one before
+    them. Only the first can stay short, until it has taken in enough: a later span counts if it is long enough itself and
+    begins when the first one is.
+    """
+    keys = ["acq_id", "k"]
+    least = measured.groupBy("acq_id").agg(F.max("min_rows").alias("least"))
+    order = Window.partitionBy(*keys).orderBy("at")
+    spans = on_edges(measured).withColumn("to", F.lead("at").over(order)).filter("begins")
+    tiny = spans.withColumns({"_tiny": F.col("to") - F.col("at") <= K.TINY_MERGE_ROWS, "_i": F.row_number().over(order)})
+    run = F.col("_i") - 1 - F.coalesce(F.max(F.when(~F.col("_tiny"), F.col("_i"))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    merged = tiny.withColumns({"_run": run, "_next": F.lead("to").over(order)}).filter(F.col("_run") % 2 == 0).withColumn("to", F.when(F.col("_tiny"), F.coalesce("_next", "to")).otherwise(F.col("to")))
+    first = F.min("at").over(Window.partitionBy(*keys))
+    sized = merged.join(least, "acq_id").withColumn("_settled", F.lag("to").over(order) - first >= F.col("least"))
+    counts = F.col("_settled").isNull() | (F.col("least") <= 1) | (F.col("_settled") & (F.col("to") - F.col("at") >= F.col("least")))
+    return sized.groupBy(*keys).agg(F.count_if(counts).alias("count"))
+
+
+def calibrated_ratio(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """(acq_id, dead_ratio, min_rows): the ratio that makes about as many episodes as the plan has spots, the first of equal
+    ones. If none fits and counts rise with the ratio around the plan's number, the ratio is interpolated.
+
+    Each ratio of each acquisition is a key of its own.
+    """
+    ratios = dead_ratios()
+    counted = delivery_metric(rows).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("acq_id"))).join(plan_sizes(plan), "acq_id", "left")
+    place = F.row_number().over(Window.partitionBy("acq_id").orderBy("row_idx")) - 1
+    measured = counted.select("acq_id", place.alias("row_idx"), "metric", "n", min_rows_of().alias("min_rows"), F.coalesce("n_plan", F.lit(0)).alias("n_plan"))
+    known = measured.groupBy("acq_id").agg(F.max("n").alias("n"), F.max("n_plan").alias("n_plan"), F.max("min_rows").alias("min_rows"))
+    every = known.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(len(ratios) - 1)))).join(episode_counts(measured), ["acq_id", "k"], "left")
+    every = every.withColumn("count", F.coalesce("count", F.lit(0)))
+    at = F.struct("k", "count")
+    found = every.groupBy("acq_id").agg(
+        *[F.first(c).alias(c) for c in ("n", "n_plan", "min_rows")], F.min(F.struct(F.abs(F.col("count") - F.col("n_plan")).alias("off"), "k")).alias("best"),
+        F.min(F.when(F.col("count") >= F.col("n_plan"), at)).alias("up"), F.max(F.when(F.col("count") <= F.col("n_plan"), at)).alias("down"),
+    )
+    ratio = lambda k: F.get(F.array(*[F.lit(r) for r in ratios]), k)
+    low, high = ratio(F.col("down.k")), ratio(F.col("up.k"))
+    between = low + (F.col("n_plan") - F.col("down.count")) / (F.col("up.count") - F.col("down.count")) * (high - low)
+    rising = (F.col("best.off") > 0) & (F.col("up.k") > F.col("down.k")) & (F.col("up.count") != F.col("down.count"))
+    fit = F.when(F.coalesce(rising, F.lit(False)), between).otherwise(ratio(F.col("best.k")))
+    held = F.greatest(F.lit(K.DEAD_RATIO_MIN), F.least(F.lit(K.DEAD_RATIO_MAX), fit))
+    return found.select("acq_id", F.when((F.col("n_plan") > 0) & (F.col("n") >= 2), held).otherwise(K.DEAD_RATIO).alias("dead_ratio"), "min_rows")
 
 
 def auto_parameters(rows: DataFrame, plan: DataFrame) -> DataFrame:
@@ -59,7 +121,7 @@ def episode_spans(rows: DataFrame, plan: DataFrame, parameters: DataFrame | None
     Rows need row_idx from 0 without gaps, t, a, b, mx, my, weight, channel and fit_a.
     """
     ship(rows.sparkSession)
-    par = (parameters if parameters is not None else calibrated_ratio(rows, plan, tiny)).select("acq_id", "dead_ratio", "min_rows")
+    par = (parameters if parameters is not None else calibrated_ratio(rows, plan)).select("acq_id", "dead_ratio", "min_rows")
     w = F.greatest("weight", F.lit(1e-18)) * (F.col("metric") >= K.ON_FRACTION).cast("double")
     data = delivery_metric(rows).withColumn("w", w).join(par, "acq_id").select("acq_id", "row_idx", "t", "a", "b", "mx", "my", "weight", "w", "metric", "dead_ratio", "min_rows")
 

@@ -194,11 +194,36 @@ def auto_episodes(spark, sf):
     return episodes.assign_auto(acquisition_view(spark, sf), plan_view(spark, sf)).select("acq_id", "row_idx", "spot_id", "layer")
 
 
-@query()
+# Every row for every ratio; runs of rows above it; tiny runs joined with the next, short ones with the one before.
+_SWEEP = {
+    "grid": "SELECT CAST(i AS INTEGER) AS k, CASE WHEN i = 48 THEN CAST(0.85 AS DOUBLE) ELSE i * ((CAST(0.85 AS DOUBLE) - CAST(0.48 AS DOUBLE)) / 48) + CAST(0.48 AS DOUBLE) END AS r FROM range(49) t(i)",
+    "sizes": "SELECT m.acq_id, greatest(1, least(20, round_even(count(*) / any_value(n_plan) * 0.03, 0))) AS least, any_value(n_plan) AS n_plan FROM metric m JOIN (SELECT acq_id, count(*) AS n_plan FROM plan GROUP BY acq_id) p USING (acq_id) GROUP BY m.acq_id",
+    "marked": "SELECT acq_id, k, row_idx, row_idx - row_number() OVER (PARTITION BY acq_id, k ORDER BY row_idx) AS island FROM metric, grid WHERE metric > r",
+    "runs": "SELECT acq_id, k, min(row_idx) AS s, max(row_idx) + 1 AS e, row_number() OVER (PARTITION BY acq_id, k ORDER BY min(row_idx)) AS i FROM marked GROUP BY acq_id, k, island",
+    "pairs": "SELECT *, lead(e) OVER w AS e1, i - 1 - coalesce(max(CASE WHEN e - s > 2 THEN i END) OVER (PARTITION BY acq_id, k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS tiny_before FROM runs WINDOW w AS (PARTITION BY acq_id, k ORDER BY i)",
+    "joined": "SELECT acq_id, k, s, CASE WHEN e - s <= 2 THEN coalesce(e1, e) ELSE e END AS e FROM pairs WHERE tiny_before % 2 = 0",
+    "counts": """SELECT acq_id, k, count(*) FILTER (before IS NULL OR least <= 1 OR (before - s0 >= least AND e - s >= least)) AS n
+      FROM (SELECT j.*, least, min(s) OVER (PARTITION BY acq_id, k) AS s0, lag(e) OVER (PARTITION BY acq_id, k ORDER BY s) AS before FROM joined j JOIN sizes USING (acq_id)) GROUP BY acq_id, k""",
+    "fits": "SELECT z.acq_id, n_plan, least, g.k, r, coalesce(n, 0) AS n FROM sizes z CROSS JOIN grid g LEFT JOIN counts c ON c.acq_id = z.acq_id AND c.k = g.k",
+    "ends": """SELECT acq_id, any_value(n_plan) AS np, any_value(least) AS least, arg_min(r, abs(n - n_plan) * 100 + k) AS best, min(abs(n - n_plan)) AS off, min(k) FILTER (n >= n_plan) AS ku, max(k) FILTER (n <= n_plan) AS kd,
+      arg_min(n, k) FILTER (n >= n_plan) AS nu, arg_max(n, k) FILTER (n <= n_plan) AS nd, arg_min(r, k) FILTER (n >= n_plan) AS ru, arg_max(r, k) FILTER (n <= n_plan) AS rd FROM fits GROUP BY acq_id""",
+}
+_COMPLETE = "SELECT * REPLACE (row_number() OVER (PARTITION BY acq_id ORDER BY row_idx) - 1 AS row_idx) FROM acq0 WHERE a IS NOT NULL AND b IS NOT NULL"
+
+
+def _sweep_sql() -> str:
+    from .base import WITH
+
+    body = "SELECT acq_id, round(CASE WHEN off > 0 AND ku > kd AND nu <> nd THEN rd + (np - nd) / (nu - nd) * (ru - rd) ELSE best END, 9) AS dead_ratio, CAST(least AS INTEGER) AS min_rows FROM ends"
+    return sql(body=body, **({"plan": WITH["plan"], "acq0": WITH["acq"], "acq": _COMPLETE, "metric": WITH["metric"]} | _SWEEP))
+
+
+@query(_sweep_sql())
 def dead_ratio(spark, sf):
-    """The calibrated ratio, which tests compare with plain loops."""
+    """The calibrated ratio and the least rows of an episode."""
     plan = plan_view(spark, sf)
-    return episodes.calibrated_ratio(episodes.prepare_auto(acquisition_view(spark, sf), plan), plan)  # with min_rows
+    got = episodes.calibrated_ratio(episodes.prepare_auto(acquisition_view(spark, sf), plan), plan)
+    return got.select("acq_id", rounded("dead_ratio", 9).alias("dead_ratio"), "min_rows")
 
 
 _FIT = "SELECT *, CASE WHEN channel > 0 THEN channel ELSE 1.0 END AS w FROM acq WHERE a IS NOT NULL AND b IS NOT NULL"

@@ -145,6 +145,22 @@ def test_viterbi_like_a_table(spark):
     assert {(r["acq_id"], r["row_idx"]): r["layer"] for r in got.collect()} == want and got.columns == [*frame.columns, "layer"]
 
 
+def test_episode_counts_like_folds(spark):
+    """The number of episodes for every ratio, without a fold, against the folds; metrics on and beside the ratios."""
+    rng, ratios, rows = np.random.default_rng(9), episodes.dead_ratios(), []
+    signals = {}
+    for acq in range(40):
+        n = int(rng.integers(1, 60))
+        metric = np.where(rng.random(n) < 0.3, rng.choice(ratios, n), rng.uniform(0.4, 0.95, n)) if acq % 4 else np.full(n, (0.1, 0.9)[acq % 8 // 4])
+        signals[acq] = metric, int(rng.integers(1, 9))
+        rows += [(acq, i, float(m), signals[acq][1]) for i, m in enumerate(metric)]
+    got = episodes.episode_counts(spark.createDataFrame(rows, "acq_id int, row_idx bigint, metric double, min_rows int")).collect()
+    found = {(r["acq_id"], r["k"]): r["count"] for r in got}
+    for acq, (metric, least) in signals.items():
+        assert [found.get((acq, k), 0) for k in range(len(ratios))] == [len(kernels.segment(metric <= r, least)) for r in ratios]
+    assert sum(found.values()) > 1000
+
+
 def test_nearest_like_all_pairs(spark):
     """Lattices, clusters with one spot far away, single spots and repeated ones; positions inside, far outside, missing."""
     rng = np.random.default_rng(11)
