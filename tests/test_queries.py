@@ -218,15 +218,27 @@ def test_invariants(spark, sf_dir):
 def test_live(spark, sf_dir, tmp_path):
     from beamloom.operators.gaps import gap_spots
 
-    fit = tables.acquisition_view(spark, sf_dir).filter("a is not null and b is not null").withColumns({"mx": F.col("b"), "my": F.col("a"), "layer": F.floor(F.col("spot") / 25).cast("double"), "arrived": F.timestamp_seconds("t")})
-    fit.repartition(1).sortWithinPartitions("acq_id", "row_idx").write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(fit.schema).parquet(str(tmp_path / "in"))
-    q = live.live_gap_spots(stream).writeStream.format("memory").queryName("live_spots").outputMode("append").start()
+    fit = tables.acquisition_view(spark, sf_dir).filter("a is not null and b is not null").withColumns({"mx": F.col("b"), "my": F.col("a"), "layer": F.floor(F.col("spot") / 25).cast("double"), "arrived": F.timestamp_seconds(F.col("t") + 1e6)})
+    for k in (1, 0):  # rows out of order over two triggers
+        fit.filter(F.col("row_idx") % 2 == k).repartition(1).sortWithinPartitions(F.desc("row_idx")).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(fit.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    told, listener = [], None
+    spark.streams.addListener(listener := live.Progress(lambda *batch: told.append(batch)))
+    q = live.live_gap_spots(stream, late="1000 seconds", forget_s=100.0).writeStream.format("memory").queryName("live_spots").outputMode("append").start()
+    q.processAllAvailable()
+    assert spark.table("live_spots").count() == 0  # all may be late yet
+    after = fit.filter("row_idx = 0").withColumns({"acq_id": F.lit(99).cast("bigint"), "arrived": F.col("arrived") + F.expr("interval 2000 seconds")})
+    after.limit(1).write.mode("append").parquet(str(tmp_path / "in"))
     q.processAllAvailable()
-    q.stop()
     got = {(r["acq_id"], r["row_idx"]): r["spot_id"] for r in spark.table("live_spots").collect()}
     assert got == {(r["acq_id"], r["row_idx"]): r["spot_id"] for r in gap_spots(fit).collect()}
+    after.limit(1).withColumns({"acq_id": F.lit(98).cast("bigint"), "arrived": F.col("arrived") + F.expr("interval 2000 seconds")}).write.mode("append").parquet(str(tmp_path / "in"))
+    q.processAllAvailable()
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2  # those delivered long ago are forgotten
+    q.stop()
+    spark.streams.removeListener(listener)
+    assert sum(rows for name, _, rows, _ in told if name == "live_spots") >= fit.count()
     q = live.live_tiers(stream, tables.plan_view(spark, sf_dir)).writeStream.format("memory").queryName("live_tiers").outputMode("complete").start()
     q.processAllAvailable()
     q.stop()
-    assert spark.table("live_tiers").selectExpr("sum(n_pass + n_warn + n_fail)").first()[0] == fit.count()
+    assert spark.table("live_tiers").selectExpr("sum(n_pass + n_warn + n_fail)").first()[0] == fit.count() + 2
