@@ -161,6 +161,26 @@ def plan_sequence(rows: DataFrame, plan: DataFrame, window: int = K.SEQUENTIAL_W
     return rows.join(ids, ["acq_id", "row_idx"])
 
 
+def plan_path(centres: DataFrame, plan: DataFrame, band: int = 3, stay_penalty: float = 0.0) -> DataFrame:
+    """(acq_id, span_id, spot_idx): the plan spot of each centre (acq_id, span_id, mx, my) in the order of spans, never going
+    back and within ``band`` spots of the span's place, at the least squared distance.
+
+    A group has an acquisition's spans and its plan, not its rows; memory is 2 * band + 1 numbers for a span. Acquisitions
+    with more spans than the plan has spots and the band reaches have no path.
+    """
+    ship(centres.sparkSession)
+
+    def path(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if p.empty or len(p) - 1 - band > len(q) - 1 or q.empty:
+            return pd.DataFrame(columns=["acq_id", "span_id", "spot_idx"])
+        p, q = p.sort_values("span_id"), q.sort_values("spot_idx")
+        at = kernels.banded_path(p[["mx", "my"]].to_numpy(float), q[["x", "y"]].to_numpy(float), band, stay_penalty)
+        return pd.DataFrame({"acq_id": p["acq_id"], "span_id": p["span_id"], "spot_idx": q["spot_idx"].to_numpy()[at]})
+
+    light = centres.select("acq_id", "span_id", "mx", "my")
+    return light.groupBy("acq_id").cogroup(plan.select(F.col("acq_id").alias("of"), "spot_idx", "x", "y").groupBy("of")).applyInPandas(path, f"acq_id {_kind(centres)}, span_id bigint, spot_idx bigint")
+
+
 def slot_spans(rows: DataFrame) -> DataFrame:
     """(acq_id, span_id, row_start, row_end, spot_id): runs of rows of one slot."""
     order = Window.partitionBy("acq_id").orderBy("row_idx")

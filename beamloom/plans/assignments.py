@@ -6,7 +6,7 @@ queries move layer k of plan and rows by ``DRIFT * k * k`` along x.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
@@ -15,7 +15,7 @@ from ..operators import alignment, assign, episodes, gaps, gates, layers, neares
 from ..sources.tables import acquisition_view, plan_view
 from ..sources.workspace import landed
 from . import pipeline
-from .base import query, rounded, sql
+from .base import SPOT, measured_spots, query, rounded, sql
 
 DRIFT = 0.37
 _PER_LAYER = 25  # spots of a layer in the views
@@ -156,6 +156,32 @@ def viterbi_max_points(spark, sf):
     return episodes.assign_by_path(acquisition_view(spark, sf), plan_view(spark, sf), 400.0, max_points=900).select("acq_id", "row_idx", "spot_id", "layer")
 
 
+# Centres of delivered spots, every seventh of which is lost; the cheapest way along the plan, spot by spot.
+_CENTRES = """
+SELECT acq_id, CAST(row_number() OVER (PARTITION BY acq_id ORDER BY spot_id) - 1 AS BIGINT) AS i, b AS x, a AS y FROM spots WHERE spot_id % 7 <> 3"""
+_PLACED = "SELECT acq_id, CAST(row_number() OVER (PARTITION BY acq_id ORDER BY spot_idx) - 1 AS BIGINT) AS j, spot_idx, x, y FROM plan"
+_BAND = """
+SELECT c.acq_id, c.i, p.j, (c.x - p.x) * (c.x - p.x) + (c.y - p.y) * (c.y - p.y) AS d2 FROM centres c JOIN placed p ON c.acq_id = p.acq_id AND p.j BETWEEN c.i - 80 AND c.i + 80"""
+_WAYS = """
+SELECT acq_id, i, j, d2 AS cost, CAST(0 AS BIGINT) AS came FROM band WHERE i = 0
+UNION ALL
+SELECT acq_id, i, j, d2 + best.c, best.k FROM (
+  SELECT b.acq_id, b.i, b.j, b.d2, min({'c': w.cost + CASE WHEN w.j = b.j THEN 30.0 ELSE 0.0 END, 'k': w.j}) AS best
+  FROM ways w JOIN band b ON b.acq_id = w.acq_id AND b.i = w.i + 1 AND w.j <= b.j AND w.j >= b.j - 80 AND w.j >= b.i - 80 GROUP BY ALL)"""
+_BACK = """
+SELECT acq_id, i, j, came FROM (SELECT w.*, row_number() OVER (PARTITION BY w.acq_id ORDER BY cost, j) AS k FROM ways w JOIN (SELECT acq_id, max(i) AS i FROM centres GROUP BY acq_id) USING (acq_id, i)) WHERE k = 1
+UNION ALL
+SELECT w.acq_id, w.i, w.j, w.came FROM back b JOIN ways w ON w.acq_id = b.acq_id AND w.i = b.i - 1 AND w.j = b.came"""
+
+
+@query(sql(*SPOT, recursive=True, centres=_CENTRES, placed=_PLACED, band=_BAND, ways=_WAYS, back=_BACK, body="SELECT b.acq_id, b.i AS span_id, spot_idx FROM back b JOIN placed p USING (acq_id, j)"))
+def plan_path(spark, sf):
+    """The cheapest way of delivered spots along the plan, where some are missing."""
+    spots_ = measured_spots(spark, sf).filter("spot_id % 7 <> 3")
+    place = F.row_number().over(Window.partitionBy("acq_id").orderBy("spot_id")) - 1
+    return episodes.plan_path(spots_.withColumn("span_id", place.cast("bigint")), plan_view(spark, sf), 80, 30.0)
+
+
 # Bursts between dead rows (here: every row whose number is a multiple of 7), and the slot of each by its first row.
 _SEQ_ROWS = """
 SELECT acq_id, row_idx, b AS x, a AS y, channel AS w, dead, row_number() OVER (PARTITION BY acq_id ORDER BY row_idx) - 1 AS n
