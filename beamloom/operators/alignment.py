@@ -157,9 +157,17 @@ def strided(rows: DataFrame, most: int) -> DataFrame:
     return rows.withColumns({"_i": i, "_s": step}).filter(F.col("_i") % F.col("_s") == 0).drop("_i", "_s")
 
 
+#: Degrees between the rotations to start from, for more samples than that.
+_SEED_STEPS = {100_000: 90, 50_000: 45, 10_000: 30, 0: 15}
+
+
+def seed_degrees(n: int) -> tuple[int, ...]:
+    """Rotations to start from; fewer for more samples."""
+    return tuple(range(0, 360, next(step for more, step in _SEED_STEPS.items() if n > more)))
+
+
 def _seed_step(n: Column) -> Column:
-    """Degrees between the rotations to start from; more for more samples."""
-    return F.when(n > 100_000, 90).when(n > 50_000, 45).when(n > 10_000, 30).otherwise(15)
+    return F.coalesce(*[F.when(n > more, step) for more, step in _SEED_STEPS.items()])
 
 
 def icp(m: np.ndarray, plan: np.ndarray | Spots, r: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float, int]:
