@@ -498,3 +498,18 @@ def test_kernels_at_scale():
     start = time.time()
     got, ok = kernels.fit_count(s, spans, np.column_stack([y[spans[:, 0]], x[spans[:, 0]]]), np.ones(m), 6200, np.column_stack([np.arange(6200) % 50 * 5.0, np.arange(6200) // 50 * 5.0]))
     assert ok and len(got) == 6200 and time.time() - start < 60
+
+
+def test_settings_out_of_range(spark):
+    from beamloom.config import Config
+
+    plan, rows = plan_of(spark, SMALL), rows_of(spark, ACQ)
+    for bad in ({"min_episode_rows": 0}, {"dead_ratio": 0.0}, {"max_points": 0}, {"layer_gap_s": 0.0}, {"penalty_mm2": -1.0}, {"auto_method": "other"}, {"layer_mode": "other"}):
+        with pytest.raises(ValueError):
+            Config(**bad)
+    for mode, bad in (("time_gap", {"gap_s": 0.0}), ("time_gap", {"tolerance_mm": -1.0}), ("plan_viterbi", {"penalty": -1.0}), ("auto", {"min_rows": 0}), ("auto", {"min_rows": 1, "dead_ratio": 0.0}), ("auto", {"method": "other"})):
+        with pytest.raises(ValueError):
+            assign.assign(rows, plan, mode, **bad)
+    for mode in ("gate_counter", "plan_viterbi", "auto"):
+        with pytest.raises(ValueError):
+            assign.assign(rows, None, mode)

@@ -160,18 +160,26 @@ class _Spans:
         self.spans = out
 
 
-def test_auto_episodes_like_loops(spark, sf_dir, con):
-    """Dead ratio and episodes of all rows, against plain loops."""
-    ratios = {r["acq_id"]: r["dead_ratio"] for r in QUERIES["dead_ratio"][0](spark, sf_dir).collect()}
-    got = sorted(map(tuple, QUERIES["auto_episodes"][0](spark, sf_dir).collect()))
+@pytest.mark.parametrize("given", [None, (4, 0.7)])
+def test_auto_episodes_like_loops(spark, sf_dir, con, given):
+    """Dead ratio and episodes of all rows, with inferred and with given parameters, against plain loops."""
+    if given is None:
+        ratios = {r["acq_id"]: r["dead_ratio"] for r in QUERIES["dead_ratio"][0](spark, sf_dir).collect()}
+        assigned = QUERIES["auto_episodes"][0](spark, sf_dir)
+    else:
+        config = Config(layer_mode="auto", auto_infer=False, min_episode_rows=given[0], dead_ratio=given[1])
+        assigned = pipeline.run(tables.acquisition_view(spark, sf_dir), tables.plan_view(spark, sf_dir), config).assigned
+    got = sorted(map(tuple, assigned.select("acq_id", "row_idx", "spot_id", "layer").collect()))
     want = []
     for (acq,) in con.sql(f"select distinct acq_id from ({tables.PLAN_SQL})").fetchall():
         plan = con.sql(f"select x, y, energy from ({tables.PLAN_SQL}) where acq_id = {acq} order by spot_idx").fetchall()
         c, metric = _signal(con, acq)
-        least = max(1, min(20, round(len(metric) / len(plan) * 0.03)))
-        assert ratios[acq] == pytest.approx(_ratio(metric, len(plan), least), abs=1e-9)
+        least, ratio = given or (max(1, min(20, round(len(metric) / len(plan) * 0.03))), None)
+        if ratio is None:
+            ratio = ratios[acq]
+            assert ratio == pytest.approx(_ratio(metric, len(plan), least), abs=1e-9)
         xy = [p[:2] for p in plan]
-        spans = _Spans(c, metric, xy, _runs(metric <= ratios[acq], least))
+        spans = _Spans(c, metric, xy, _runs(metric <= ratio, least))
         spans.refine(min(len(spans.spans), len(xy)))
         if len(spans.spans) > len(xy):
             spans.merge(len(xy))
