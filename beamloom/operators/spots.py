@@ -5,7 +5,7 @@ Aggregates are plain sums and maxima by (acq_id, spot_id), so they combine befor
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rows import TINY
@@ -88,6 +88,32 @@ def span_weights(rows: DataFrame, spans: DataFrame) -> DataFrame:
     return spans.join(span_stats(rows, spans).select("acq_id", "span_id", "weight"), ["acq_id", "span_id"], "left").fillna(0.0, ["weight"])
 
 
+def quantile_spans(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """(acq_id, span_id, row_start, row_end): all rows (row_idx from 0, weight) in one span for each plan spot, of about equal
+    weight and one row at least; without any weight, of about equal length. Acquisitions with fewer rows than spots have none.
+
+    A row tells by its cumulated weight the first share that it lies within; rows are counted by that, and the counts summed
+    up over the shares. Edges that would leave a span empty are raised by a running maximum, as far as the rows reach.
+    """
+    order = Window.partitionBy("acq_id").orderBy("row_idx")
+    n_plan = plan.groupBy("acq_id").agg(F.count(F.lit(1)).alias("n"))
+    sized = rows.select("acq_id", "row_idx", F.sum(F.coalesce("weight", F.lit(0.0))).over(order).alias("c")).join(n_plan, "acq_id")
+    whole = Window.partitionBy("acq_id")
+    sized = sized.withColumns({"total": F.max("c").over(whole), "rows": F.count(F.lit(1)).over(whole)}).filter("rows >= n")
+    within = lambda i: F.col("c") <= F.col("total") * i / F.col("n")
+    guess = F.ceil(F.col("c") * F.col("n") / F.nullif(F.col("total"), F.lit(0.0))).cast("int")
+    share = F.when(within(guess - 1), guess - 1).when(~within(guess), guess + 1).otherwise(guess)
+    counts = sized.withColumn("i", F.greatest(share, F.lit(0))).groupBy("acq_id", "i").agg(F.count(F.lit(1)).alias("rows_in"))
+    edges = sized.groupBy("acq_id").agg(*[F.first(c).alias(c) for c in ("n", "total", "rows")]).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
+    by_share = Window.partitionBy("acq_id").orderBy("i")
+    even = F.when(F.col("n") > 2, F.rint((F.col("i") - 1) * ((F.col("rows") - 2) / F.nullif(F.col("n") - 2, F.lit(0))) + 1)).otherwise(1)
+    summed = edges.join(counts, ["acq_id", "i"], "left").withColumn("at", F.sum(F.coalesce("rows_in", F.lit(0))).over(by_share))
+    at = F.when(F.col("i") == 0, 0).when(F.col("total") > 0, F.col("at")).otherwise(even).cast("bigint")
+    edge = F.least(F.col("i") + F.max(at - F.col("i")).over(by_share), F.col("rows") - F.col("n") + F.col("i"))
+    placed = summed.withColumn("row_start", edge)
+    return placed.select("acq_id", F.col("i").cast("bigint").alias("span_id"), "row_start", F.coalesce(F.lead("row_start").over(by_share), "rows").alias("row_end"))
+
+
 def merge_means(left: Column, right: Column, w_left: Column, w_right: Column) -> Column:
     """Weighted mean of two means; a missing side is passed over."""
     return F.when(left.isNull(), right).when(right.isNull(), left).otherwise((left * w_left + right * w_right) / (w_left + w_right))

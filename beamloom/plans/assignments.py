@@ -182,6 +182,23 @@ def plan_path(spark, sf):
     return episodes.plan_path(spots_.withColumn("span_id", place.cast("bigint")), plan_view(spark, sf), 80, 30.0)
 
 
+_QUANTILES = {
+    "heavy": "SELECT acq_id, row_idx, sum(CASE WHEN row_idx % 1000 < 400 THEN 0 ELSE channel END) OVER (PARTITION BY acq_id ORDER BY row_idx) AS c FROM acq",
+    "wholes": "SELECT h.acq_id, max(c) AS total, count(*) AS n_rows, any_value(n) AS n FROM heavy h JOIN (SELECT acq_id, count(*) AS n FROM plan GROUP BY acq_id) p USING (acq_id) GROUP BY h.acq_id",
+    "shares": "SELECT acq_id, total, n_rows, n, unnest(range(CAST(n AS BIGINT))) AS i FROM wholes",
+    "counted": "SELECT s.acq_id, s.n_rows, s.n, s.i, count(h.c) FILTER (h.c <= s.total * s.i / s.n AND s.i > 0) AS at_ FROM shares s JOIN heavy h ON h.acq_id = s.acq_id GROUP BY ALL",
+    "edges": "SELECT acq_id, i, n_rows, least(i + max(at_ - i) OVER (PARTITION BY acq_id ORDER BY i), n_rows - n + i) AS s FROM counted",
+}
+
+
+@query(sql("plan", "acq", **_QUANTILES, body="""
+SELECT acq_id, i AS span_id, CAST(s AS BIGINT) AS row_start, CAST(coalesce(lead(s) OVER (PARTITION BY acq_id ORDER BY i), n_rows) AS BIGINT) AS row_end FROM edges"""))
+def quantile_spans(spark, sf):
+    """All rows in as many spans as spots, by weight, where 400 of every 1000 rows have none."""
+    weight = F.when(F.col("row_idx") % 1000 < 400, 0.0).otherwise(F.col("channel"))
+    return spots.quantile_spans(acquisition_view(spark, sf).withColumn("weight", weight), plan_view(spark, sf))
+
+
 # Bursts between dead rows (here: every row whose number is a multiple of 7), and the slot of each by its first row.
 _SEQ_ROWS = """
 SELECT acq_id, row_idx, b AS x, a AS y, channel AS w, dead, row_number() OVER (PARTITION BY acq_id ORDER BY row_idx) - 1 AS n

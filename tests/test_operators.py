@@ -513,3 +513,17 @@ def test_settings_out_of_range(spark):
     for mode in ("gate_counter", "plan_viterbi", "auto"):
         with pytest.raises(ValueError):
             assign.assign(rows, None, mode)
+
+
+def test_quantile_spans_like_arrays(spark):
+    """Shares of the weight by windows, against the kernel: weights of 0, few rows, fewer rows than spots, no weight at all."""
+    rng, rows, plan, want = np.random.default_rng(21), [], [], {}
+    for acq in range(40):
+        n, m = int(rng.integers(1, 30)), int(rng.integers(1, 12))
+        w = rng.choice([0.0, 0.0, 1.0, 3.0, 7.5], n) if acq % 5 else np.zeros(n)
+        rows += [(acq, i, float(v)) for i, v in enumerate(w)]
+        plan += [(acq, i, 0.0, 0.0, 100.0, 1.0, None, None) for i in range(m)]
+        if n >= m:
+            want |= {(acq, k): (s, e) for k, (s, e) in enumerate(kernels.weight_quantiles(n, m, np.cumsum(w)).tolist())}
+    got = spots.quantile_spans(spark.createDataFrame(rows, "acq_id int, row_idx bigint, weight double"), spark.createDataFrame(plan, PLAN)).collect()
+    assert {(r["acq_id"], r["span_id"]): (r["row_start"], r["row_end"]) for r in got} == want
