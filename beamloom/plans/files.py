@@ -54,6 +54,18 @@ def auto_columns_csv(spark, sf):
     return acquisition.numbered(acquisition.signal_rows(lacking)).select("row_idx", rounded("a").alias("a"), rounded("b").alias("b"))
 
 
+@query(sql("acq", body="""
+SELECT acq_id, row_idx, round(t, 6) AS t, round(a, 6) AS a, round(b, 6) AS b, channel, gate FROM acq"""))
+def acquisition_files(spark, sf):
+    """A file for each acquisition, written in parallel, and all of them read at once with their lines' numbers."""
+    path = f"{workspace(spark)}/acquisitions"
+    cells = [F.col(c).cast("string").alias(name) for name, c in _CELLS.items()]
+    rows = acquisition_view(spark, sf).repartition("acq_id").sortWithinPartitions("acq_id", "row_idx").select("acq_id", *cells)
+    rows.write.partitionBy("acq_id").option("header", True).csv(path)
+    got = acquisition.read_acquisitions(spark, path, F.regexp_extract("_file", "acq_id=([0-9]+)/", 1).cast("bigint"))
+    return got.select("acq_id", "row_idx", *[rounded(c).alias(c) for c in ("t", "a", "b")], "channel", "gate")
+
+
 _PLAN_ONE = "SELECT *, row_number() OVER (ORDER BY acq_id, spot_idx) - 1 AS n FROM plan"
 
 

@@ -6,12 +6,12 @@ fit_a, fit_b), sigma_a, sigma_b and gate. Columns that a file lacks are NULL.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import rows as R
-from .names import acquisition_stem, is_acquisition
+from .names import acquisition_stem, acquisition_stem_column, is_acquisition
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
@@ -23,6 +23,23 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     return raw.toDF(*names).withColumn("_place", F.monotonically_increasing_id())
 
 
+def read_texts(spark: SparkSession, path: str, acq_id: Column | None = None) -> DataFrame:
+    """All cells of many files with one header, as text, with acq_id (``acq_id`` of the column ``_file``, by default the
+    file's stem) and the line's number in its file (``_row``).
+
+    Large files are read in several pieces. A line's number is its place within its piece plus the lines of the pieces before
+    it, of which only the counts are gathered; so no file has to go through one task.
+    """
+    raw = spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE").option("recursiveFileLookup", True).csv(path)
+    cells = [F.col(f"`{c}`").alias(c.lstrip("\ufeff").strip()) for c in raw.columns]
+    text = raw.select(*cells, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_place"))
+    pieces = text.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
+    before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    own = acquisition_stem_column(F.url_decode(F.replace(F.col("_file"), F.lit("+"), F.lit("%2B")))) if acq_id is None else acq_id
+    return text.join(pieces, ["_file", "_block"]).withColumn("_row", F.col("_place") - F.col("_first") + F.col("_before")).withColumn("acq_id", own).drop("_block", "_first", "_before")
+
+
 def has_gate_counter(columns: list[str]) -> bool:
     return K.GATE_COUNTER in [c.lstrip("﻿").strip() for c in columns]
 
@@ -40,16 +57,18 @@ def check_columns(columns: list[str], mode: str = "channel_sum", auto: bool = Fa
         raise ValueError(f"missing columns: {', '.join(missing)}")
 
 
-def typed(raw: DataFrame, acq_id: str, strict: bool = False) -> DataFrame:
-    """Typed rows of a text frame. With ``strict``, a malformed number raises; otherwise it is missing."""
+def typed(raw: DataFrame, acq_id: str | None = None, strict: bool = False) -> DataFrame:
+    """Typed rows of a text frame of one acquisition, or of ``read_texts``. With ``strict``, a malformed number raises;
+    otherwise it is missing."""
     names = raw.columns
     have = lambda c: c in names
     number = lambda c: (R.cell(c) if not strict else R.finite(F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")).cast("double"))) if have(c) else F.lit(None).cast("double")
     time = K.TIME if have(K.TIME) else names[0]
     order = Window.partitionBy("acq_id").orderBy("_place")
-    out = raw.withColumn("acq_id", F.lit(acq_id)).select(
+    placed = raw if have("_row") else raw.withColumn("acq_id", F.lit(acq_id)).withColumn("_row", F.row_number().over(order) - 1)
+    out = placed.select(
         "acq_id",
-        (F.row_number().over(order) - 1).cast("bigint").alias("row_idx"),
+        F.col("_row").cast("bigint").alias("row_idx"),
         number(time).alias("t"),
         number(K.POSITION_A).alias("a"),
         number(K.POSITION_B).alias("b"),
@@ -67,6 +86,11 @@ def read_acquisition(spark: SparkSession, path: str, acq_id: str | None = None,
     return typed(read_text(spark, path), acq_id or acquisition_stem(path), strict)
 
 
+def read_acquisitions(spark: SparkSession, path: str, acq_id: Column | None = None, strict: bool = False) -> DataFrame:
+    """Typed rows of many files, each of which is an acquisition (see ``read_texts``)."""
+    return typed(read_texts(spark, path, acq_id), strict=strict)
+
+
 def signal_rows(df: DataFrame, with_dead: bool = False) -> DataFrame:
     """Rows with a fit; dead rows too if asked for, then without positions and fit values."""
     if not with_dead:

@@ -133,3 +133,26 @@ def test_empty_export(spark, tmp_path):
     with pytest.raises(ValueError, match="nothing"):
         export.write_export(none, str(tmp_path / "y"))
     assert not list(tmp_path.iterdir())
+
+
+def test_files_in_pieces(spark, tmp_path):
+    """Lines keep their numbers where files are read in many pieces, several small files in one, or as one compressed stream."""
+    import gzip
+
+    from beamloom.sources import acquisition
+
+    lines = {"run 1+1.csv": 3000, "b.csv": 1, "c.csv": 40, "d.csv.gz": 700, "e.csv": 0}
+    (tmp_path / "in").mkdir()
+    for name, n in lines.items():
+        text = "time (s),Fit Mean Position A (mm)\n" + "".join(f"{i}.5,{i}\n" for i in range(n))
+        path = tmp_path / "in" / name
+        path.write_bytes(gzip.compress(text.encode()) if name.endswith("gz") else text.encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("2k", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = acquisition.read_acquisitions(spark, str(tmp_path / "in"))
+            got = sorted((r["acq_id"], r["row_idx"], r["a"]) for r in rows.collect())
+            assert got == sorted((name.removesuffix(".gz").removesuffix(".csv"), i, float(i)) for name, n in lines.items() for i in range(n))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
