@@ -3,8 +3,8 @@
 Each acquisition has its own fit: a row of a table of transforms (acq_id, the affine map ``AFFINE``, and what the map is
 made of), which is joined back by acq_id. Acquisitions' rows never meet in a group.
 
-The coarse search tries many starts on a sample of bounded size. A start (acquisition, orientation, rotation) is a row of a
-table, so all of them run at the same time. Which orientation is best is decided by all rows, matched to the whole plan in
+The coarse search tries many starts on a sample of bounded size. An orientation of an acquisition is a row of a table, with
+the rotations to start from as a list, so all of them run at the same time. Which orientation is best is decided by all rows, matched to the whole plan in
 pieces of bounded size and averaged. The fine search matches all rows to their layers, sums up thirteen moments of the pairs for each
 acquisition, and solves the fit from these; a round is one aggregation. What rounds share is written once: the rows that
 are fitted, and the small table of the acquisitions' state. So both searches run when they are called.
@@ -199,8 +199,13 @@ ORIENTATIONS = tuple((swap, fx, fy) for swap in (False, True) for fx in (False,
 _START = f"acq_id {{kind}}, orientation int, place int, {_NUMBERS}, theta_deg double, tx double, ty double, rms_pairs double, rms_fit double, iterations int"
 
 
-def _tried(starts: DataFrame) -> DataFrame:
-    """The fit of each start (acq_id, orientation, place, degrees, sample, plan): a row with the sample and the plan in it."""
+def _points(at) -> np.ndarray:
+    """Positions of one value of the table: arrays of x and of y."""
+    return np.column_stack([at["x"], at["y"]]).astype(float)
+
+
+def _tried(starts: DataFrame, tasks: int) -> DataFrame:
+    """The fits of all starts of a row (acq_id, orientation, degrees as a list, sample, plan), each row a group of its own."""
     ship(starts.sparkSession)
     schema = _START.format(kind=dict(starts.dtypes)["acq_id"])
     names = [c.split()[0] for c in schema.split(", ")]
@@ -209,14 +214,16 @@ def _tried(starts: DataFrame) -> DataFrame:
         out = []
         for s in p.itertuples():
             swap, fx, fy = ORIENTATIONS[s.orientation]
-            m, plan = (np.array([[v["x"], v["y"]] for v in points], float) for points in (s.sample, s.plan))
+            m, plan = _points(s.sample), Spots(_points(s.plan))
             m = (m[:, ::-1] if swap else m) * [-1.0 if fx else 1.0, -1.0 if fy else 1.0]
-            r, t, pairs, rms, k = icp(m, plan, *_start(m, s.degrees))
-            g = Rigid(math.degrees(math.atan2(r[1, 0], r[0, 0])), float(t[0]), float(t[1]), swap, fx, fy)
-            out.append([s.acq_id, s.orientation, s.place, *_flat(g), g.theta_deg, g.tx, g.ty, pairs, rms, k])
+            for place, degrees in enumerate(s.degrees):
+                r, t, pairs, rms, k = icp(m, plan, *_start(m, degrees))
+                g = Rigid(math.degrees(math.atan2(r[1, 0], r[0, 0])), float(t[0]), float(t[1]), swap, fx, fy)
+                out.append([s.acq_id, s.orientation, place, *_flat(g), g.theta_deg, g.tx, g.ty, pairs, rms, k])
         return pd.DataFrame(out, columns=names)
 
-    return starts.groupBy("acq_id", "orientation", "place").applyInPandas(fit, schema)
+    # the table is small and its fits are long, so that its size doesn't tell into how many tasks it should go
+    return starts.repartition(tasks, "acq_id", "orientation").groupBy("acq_id", "orientation").applyInPandas(fit, schema)
 
 
 def _best_starts(fits: DataFrame) -> DataFrame:
@@ -237,7 +244,7 @@ def _with_rest(fits: DataFrame, live: DataFrame, plans: DataFrame) -> DataFrame:
     def rest(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if p.empty or q.empty:
             return pd.DataFrame(columns=["acq_id", "orientation", "d2", "n"])
-        xy, spots = p[["mx", "my"]].to_numpy(float), Spots(np.array([[v["x"], v["y"]] for v in q["plan"].iloc[0]], float))
+        xy, spots = p[["mx", "my"]].to_numpy(float), Spots(_points(q["plan"].iloc[0]))
         maps = [(f["orientation"], np.array([[f[c] for c in AFFINE[:2]], [f[c] for c in AFFINE[2:4]]]), [f["t1"], f["t2"]]) for f in q["fits"].iloc[0]]
         return pd.DataFrame([[p["acq_id"].iloc[0], o, float(spots.nearest(xy @ m.T + t)[1].sum()), len(p)] for o, m, t in maps], columns=["acq_id", "orientation", "d2", "n"])
 
@@ -254,22 +261,26 @@ def coarse_align(rows: DataFrame, plan: DataFrame, most: int = K.FIT_SAMPLES) ->
     """
     live = landed(rows.filter("mx is not null and my is not null").select("acq_id", "row_idx", "mx", "my"))
     point = lambda i, x, y: F.struct(i, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    axes = lambda c: F.struct(F.transform(c, lambda v: v["x"]).alias("x"), F.transform(c, lambda v: v["y"]).alias("y")).alias(c)  # noqa: E731  plain numbers are cheap to pass to Python
     sample = strided(live, most).groupBy("acq_id").agg(F.sort_array(F.collect_list(point("row_idx", "mx", "my"))).alias("sample"), F.count(F.lit(1)).alias("n_fit"))
     planned = plan.groupBy("acq_id").agg(F.sort_array(F.collect_list(point("spot_idx", "x", "y"))).alias("plan"))
     sizes = live.groupBy("acq_id").agg(F.count(F.lit(1)).alias("n_pairs"))
-    base = landed(sample.join(planned, "acq_id").join(sizes, "acq_id"))
+    base = landed(sample.select("acq_id", axes("sample"), "n_fit").join(planned.select("acq_id", axes("plan")), "acq_id").join(sizes, "acq_id"))
     plans = base.select("acq_id", "plan")
+    n = max(1, base.count())
+    tasks = min(8 * n, max(64, n // 4))
 
-    at = lambda degrees: F.posexplode(degrees).alias("place", "degrees")
     every = base.withColumn("orientation", F.explode(F.array(*[F.lit(k) for k in range(len(ORIENTATIONS))])))
-    found = landed(_with_rest(_best_starts(_tried(every.select("*", at(F.array(*[F.lit(d) for d in K.PRESCREEN_DEGREES]))))), live, plans))
+    tried = landed(_best_starts(_tried(every.withColumn("degrees", F.array(*[F.lit(d) for d in K.PRESCREEN_DEGREES])), tasks)))
+    found = landed(_with_rest(tried, live, plans))
     order = Window.partitionBy("acq_id").orderBy("rms", "orientation")
     ranked = found.withColumns({"_k": F.row_number().over(order), "_low": F.min("rms").over(Window.partitionBy("acq_id"))})
     chosen = ranked.filter((F.col("_k") <= 2) | ((F.col("rms") <= F.col("_low") + K.FINALIST_KEEP_MM) & (F.col("_k") <= K.FINALISTS))).select("acq_id", "orientation")
     step = F.col("_step")
     all_seeds = every.join(chosen, ["acq_id", "orientation"]).withColumn("_step", _seed_step(F.col("n_fit"))).filter(step < 90)
-    again = _best_starts(_tried(all_seeds.select("*", at(F.sequence(F.lit(0), 360 - step, step))).drop("_step")))
-    better = landed(_with_rest(again.join(found.select("acq_id", "orientation", F.col("rms_fit").alias("_was")), ["acq_id", "orientation"]).filter("rms_fit < _was").drop("_was"), live, plans))
+    again = _best_starts(_tried(all_seeds.withColumn("degrees", F.sequence(F.lit(0), 360 - step, step)).drop("_step"), tasks))
+    again = landed(again.join(found.select("acq_id", "orientation", F.col("rms_fit").alias("_was")), ["acq_id", "orientation"]).filter("rms_fit < _was").drop("_was"))
+    better = landed(_with_rest(again, live, plans))
     both = found.join(better.select("acq_id", "orientation"), ["acq_id", "orientation"], "left_anti").unionByName(better)
     won = both.groupBy("acq_id").agg(F.min_by(F.struct(*[c for c in both.columns if c != "acq_id"]), F.struct("rms", "orientation")).alias("f")).select("acq_id", "f.*")
     turn = lambda i: F.get(F.array(*[F.lit(o[i]) for o in ORIENTATIONS]), F.col("orientation"))

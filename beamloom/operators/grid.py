@@ -8,51 +8,73 @@ import numpy as np
 
 
 class Spots:
-    """Plan points in the cells of a grid, to find the nearest one (of equal ones, the first)."""
+    """Plan points, to find the nearest one (of equal ones, the first).
+
+    A grid lies over the points and a margin around them. Each of its cells lists the points that can be the nearest one
+    somewhere in it: no farther at their closest than another one at its farthest. Positions beyond the grid, and in cells
+    with more than ``LONGEST`` points, are compared with all points.
+    """
+
+    LONGEST, MARGIN = 24, 0.25
 
     def __init__(self, points: np.ndarray):
         self.whole = points
-        self.points, self.at = np.unique(points, axis=0, return_index=True)
-        n, self.low = len(self.points), points.min(axis=0)
-        span = points.max(axis=0) - self.low
-        self.h = float(max(math.sqrt(max(span[0], 1e-9) * max(span[1], 1e-9) / n), span.max() / n, 1e-9)) * 1.5
-        self.shape = (span / self.h).astype(np.int64) + 3  # a cell without points all around
-        cell = self._cell(self.points)
-        code = cell[:, 0] * self.shape[1] + cell[:, 1]
-        order = np.argsort(code, kind="stable")
-        sizes = np.bincount(code, minlength=int(self.shape.prod()))
-        self.table = np.full((len(sizes), int(sizes.max())), -1, np.int64)
-        place = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        self.table[code[order], place] = order
+        self.at = np.sort(np.unique(points, axis=0, return_index=True)[1])  # in the plan's order, so that argmin finds the first
+        self.x, self.y = points[self.at, 0], points[self.at, 1]
+        span = points.max(axis=0) - points.min(axis=0)
+        margin = max(self.MARGIN * span.max(), 1e-9)
+        self.n = int(min(max(2 * math.sqrt(len(self.at)), 8), 64))
+        self.low, self.h = points.min(axis=0) - margin, (span + 2 * margin) / self.n
+        (near_x, far_x), (near_y, far_y) = (self._ends(v, self.low[k], self.h[k]) for k, v in enumerate((self.x, self.y)))
+        self.table = np.full((self.n * self.n, self.LONGEST), len(self.at), np.int64)  # one beyond the last is no point
+        self.listed = np.zeros(self.n * self.n, bool)
+        for band in range(self.n):
+            most = (far_x + far_y[band]).min(axis=1)
+            cell, point = np.nonzero(near_x + near_y[band] <= most[:, None] * (1 + 1e-9))
+            sizes = np.bincount(cell, minlength=self.n)
+            fits = sizes <= self.LONGEST
+            place = np.arange(len(cell)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            self.listed[band * self.n : (band + 1) * self.n] = fits
+            self.table[band * self.n + cell[fits[cell]], place[fits[cell]]] = point[fits[cell]]
+        self.table = self.table[:, : max(1, int((self.table < len(self.at)).sum(axis=1).max()))]
+        self.listed_x, self.listed_y = np.append(self.x, np.inf)[self.table], np.append(self.y, np.inf)[self.table]
 
-    def _cell(self, p: np.ndarray) -> np.ndarray:
-        return np.floor((p - self.low) / self.h).astype(np.int64) + 1
+    def _ends(self, v: np.ndarray, low: float, h: float) -> tuple[np.ndarray, np.ndarray]:
+        """Squared distances along one axis from each column of cells to each point: the least and the most."""
+        start = (low + h * np.arange(self.n))[:, None]
+        return np.maximum(np.maximum(start - v, v - start - h), 0.0) ** 2, np.maximum(np.abs(v - start), np.abs(v - start - h)) ** 2
 
-    def nearest(self, q: np.ndarray, block: int = 4096) -> tuple[np.ndarray, np.ndarray]:
-        """Number and squared distance of the nearest point of each (finite) position: from the nine cells around it,
-        where these hold one that is closer than their border, else from all points."""
+    def nearest(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number and squared distance of the nearest point of each (finite) position."""
         best, d2 = np.zeros(len(q), np.int64), np.full(len(q), np.inf)
-        cell = self._cell(q)
-        inside = np.flatnonzero(((cell >= 1) & (cell < self.shape - 1)).all(axis=1))
-        near = np.array([i * self.shape[1] + j for i in (-1, 0, 1) for j in (-1, 0, 1)])
-        for part in (inside[k : k + block] for k in range(0, len(inside), block)):
-            found = self.table[(cell[part, 0] * self.shape[1] + cell[part, 1])[:, None] + near].reshape(len(part), -1)
-            d = ((q[part, None, :] - self.points[found]) ** 2).sum(axis=2)
-            d[found < 0] = np.inf
-            best[part], d2[part] = self._first(d, found)
-            from_edge = (q[part] - self.low) / self.h - np.floor((q[part] - self.low) / self.h)
-            border = (1 + np.minimum(from_edge, 1 - from_edge).min(axis=1)) * self.h
-            d2[part[d2[part] >= border**2 * (1 - 1e-9)]] = np.inf
-        far, everything = np.flatnonzero(~np.isfinite(d2)), np.arange(len(self.points))
-        step = max(1, 4_000_000 // len(everything))
-        for part in (far[k : k + step] for k in range(0, len(far), step)):
-            d = ((q[part, None, :] - self.points[None, :, :]) ** 2).sum(axis=2)
-            best[part], d2[part] = self._first(d, np.broadcast_to(everything, d.shape))
+        cell = np.floor((q - self.low) / self.h)
+        inside = ((cell >= 0) & (cell < self.n)).all(axis=1)
+        code = np.where(inside, cell[:, 1] * self.n + cell[:, 0], 0).astype(np.int64)
+        inside &= self.listed[code]
+        for part in self._pieces(inside, self.table.shape[1]):
+            d = self._squared(q[part], self.listed_x[code[part]], self.listed_y[code[part]])
+            low = d.argmin(axis=1)
+            best[part], d2[part] = self.at[self.table[code[part], low]], d[np.arange(len(part)), low]
+        for part in self._pieces(~inside, len(self.x)):
+            d = self._squared(q[part], self.x, self.y)
+            low = d.argmin(axis=1)
+            best[part], d2[part] = self.at[low], d[np.arange(len(part)), low]
         return best, d2
 
-    def _first(self, d: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        low = d.min(axis=1)
-        return np.where(d == low[:, None], self.at[found], np.iinfo(np.int64).max).min(axis=1), low
+    @staticmethod
+    def _pieces(which: np.ndarray, each: int) -> list[np.ndarray]:
+        """Places of the marked positions, few enough at a time for their distances to stay in a core's cache."""
+        rows, step = np.flatnonzero(which), max(1, 100_000 // each)
+        return [rows[k : k + step] for k in range(0, len(rows), step)]
+
+    @staticmethod
+    def _squared(q: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Squared distances of positions to points, one axis after the other."""
+        d, e = q[:, :1] - x, q[:, 1:] - y
+        d *= d
+        e *= e
+        d += e
+        return d
 
 
 def layer_distances(xy: np.ndarray, plan: np.ndarray, layer: np.ndarray, layers: int) -> np.ndarray:

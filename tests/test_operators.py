@@ -527,3 +527,16 @@ def test_quantile_spans_like_arrays(spark):
             want |= {(acq, k): (s, e) for k, (s, e) in enumerate(kernels.weight_quantiles(n, m, np.cumsum(w)).tolist())}
     got = spots.quantile_spans(spark.createDataFrame(rows, "acq_id int, row_idx bigint, weight double"), spark.createDataFrame(plan, PLAN)).collect()
     assert {(r["acq_id"], r["span_id"]): (r["row_start"], r["row_end"]) for r in got} == want
+
+
+def test_positions_between_columns_of_spots_meet_few_of_them(monkeypatch):
+    """Columns of spots far apart, as those of the coarse search: a position is compared with a few spots, not with all."""
+    i = np.arange(500)
+    p = np.column_stack([i % 5 * 5.0 - 10, i % 25 // 5 * 5.0 - 10 + 0.4 * (i // 25)])
+    q = np.random.default_rng(3).uniform(-12, 12, (3000, 2))
+    sizes, squared = [], grid.Spots._squared
+    monkeypatch.setattr(grid.Spots, "_squared", staticmethod(lambda *a: sizes.append(len(a[0]) * a[1].shape[-1]) or squared(*a)))
+    at, found = grid.Spots(p).nearest(q)
+    every = (q[:, None, 0] - p[:, 0]) ** 2 + (q[:, None, 1] - p[:, 1]) ** 2
+    assert (at == every.argmin(axis=1)).all() and (found == every.min(axis=1)).all()
+    assert sum(sizes) < every.size / 5
