@@ -18,6 +18,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.partitions import partitions
+
 SPOT = ("spot_idx", "local_idx", "x", "y", "energy", "mu")
 _NOWHERE, _SPREAD = 1 << 40, 4096
 
@@ -80,10 +82,12 @@ def nearest(rows: DataFrame, boxed: DataFrame, keys: list[str]) -> DataFrame:
     names = [c for c in ("row_idx", "spot_id", "span_id", "t") if c in rows.columns]
     spread = F.pmod(F.xxhash64(*names) if names else F.lit(0), F.lit(_SPREAD))
     placed = rows.withColumns({"_cx": F.when(there, F.floor(u)).otherwise(_NOWHERE + spread), "_cy": F.when(there, F.floor(v)).otherwise(0).cast("bigint")})
-    met = placed.join(cells, [*keys, "_cx", "_cy"], "left").withColumn("_near", best("_spots")).drop("_spots", "_cx", "_cy")
+    n = partitions(rows)
+    dealt = lambda table, *by: table.repartition(n, *by) if n else table
+    met = dealt(placed, *keys, "_cx", "_cy").join(cells, [*keys, "_cx", "_cy"], "left").withColumn("_near", best("_spots")).drop("_spots", "_cx", "_cy")
     sure = ~there | F.coalesce(F.col("_near")["d2"] < _border(u, v, F.col("box")["side"]), F.lit(False))
     met = met.withColumn("_all", F.when(sure, -1 - spread).otherwise(0).cast("bigint"))
-    return met.join(lists, [*keys, "_all"], "left").withColumn("near", F.when(F.col("_all") < 0, F.col("_near")).otherwise(best("_every"))).drop("_near", "_all", "_every", "box")
+    return dealt(met, *keys, "_all").join(lists, [*keys, "_all"], "left").withColumn("near", F.when(F.col("_all") < 0, F.col("_near")).otherwise(best("_every"))).drop("_near", "_all", "_every", "box")
 
 
 def grid(spots: Column) -> Column:

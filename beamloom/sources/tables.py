@@ -8,6 +8,9 @@ views scale with the number of acquisitions. The same views in SQL are ``PLAN_SQ
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .partitions import spread
 
 SPOTS = 500  # of an acquisition
 
@@ -43,7 +46,7 @@ def plans_of(part: DataFrame) -> DataFrame:
 
 
 def acquisitions_of(lineitem: DataFrame) -> DataFrame:
-    return _over(lineitem, "lineitem", ACQ_SQL)
+    return _over(spread(lineitem, F.expr(_ACQ)), "lineitem", ACQ_SQL)
 
 
 def samples_of(lineitem: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from beamloom import config, constants as K
 from beamloom.functions import rows as R
-from beamloom.sources import acquisition, export, names, plans
+from beamloom.sources import acquisition, export, names, partitions, plans
 
 HEADER = "time (s),IX512 Channel Sum (nA),Fit Amplitude A (nA),Fit Amplitude B (nA),Fit Mean Position A (mm),Fit Mean Position B (mm),Gate Counter"
 LINES = ["0.0,1.0,0.5,,0,0,1", "0.05,1.0,0.5,,5,0,1", "0.2,,,,,,2", "0.5,1.0,0.5,,0,bad,3.7"]
@@ -156,3 +156,25 @@ def test_files_in_pieces(spark, tmp_path):
             assert got == sorted((name.removesuffix(".gz").removesuffix(".csv"), i, float(i)) for name, n in lines.items() for i in range(n))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_acquisition_of_several_files_is_numbered_by_their_names(spark, tmp_path):
+    """The second file is the larger one, which Spark reads first; no window over the acquisition puts rows into one task."""
+    folder = tmp_path / "run 9.csv"
+    folder.mkdir()
+    for name, lines in (("part-0.csv", range(3)), ("part-1.csv", range(3, 400))):
+        (folder / name).write_text("\n".join([f"{K.TIME},{K.FIT_AMPLITUDE_A}", *(f"{i},1" for i in lines)]))
+    got = acquisition.read_acquisition(spark, str(folder))
+    assert got.filter("row_idx = t").count() == 400 and {r[0] for r in got.select("acq_id").distinct().collect()} == {"run 9"}
+
+
+def test_partitions_grow_with_the_files(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "rows with spaces.parquet")
+    spark.range(5000).withColumn("k", F.col("id") % 300).write.parquet(path)
+    rows = spark.read.parquet(path)
+    assert partitions.partitions(rows) is None and partitions.partitions(spark.range(10)) is None
+    monkeypatch.setattr(partitions, "SMALL", 0)
+    monkeypatch.setattr(partitions, "EACH", 1000)
+    dealt = partitions.spread(rows.filter("id >= 0"), "k")
+    assert dealt.rdd.getNumPartitions() > 10 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert dealt.count() == 5000
