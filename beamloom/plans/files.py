@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..config import Config
 from ..sources import acquisition, export, names, plans
+from ..sources.partitions import partitions
 from ..sources.tables import acquisition_view, plan_view
 from ..sources.workspace import workspace
 from . import pipeline
@@ -17,12 +18,14 @@ _CELLS = {K.TIME: "t", K.POSITION_A: "a", K.POSITION_B: "b", K.CHANNEL_SUM: "cha
 
 
 def _acquisition_file(spark, sf) -> str:
-    """All rows of the view as one gzipped file, as if of one acquisition; missing cells are empty, blank or words."""
+    """All rows of the view as one gzipped acquisition, large ones in several files; missing cells are empty, blank or words."""
     path = f"{workspace(spark)}/run 7.csv.gz"
     rows = acquisition_view(spark, sf)
     blank = F.when(F.col("row_idx") % 3 == 0, "  ").when(F.col("row_idx") % 3 == 1, "none")
     cells = [F.coalesce(F.col(c).cast("string"), blank).alias(name) for name, c in _CELLS.items()]
-    rows.repartition(1).sortWithinPartitions("acq_id", "row_idx").select(*cells).write.option("header", True).option("compression", "gzip").csv(path)
+    n = partitions(rows)
+    dealt = rows.repartitionByRange(n, "acq_id", "row_idx") if n else rows.repartition(1)
+    dealt.sortWithinPartitions("acq_id", "row_idx").select(*cells).write.option("header", True).option("compression", "gzip").csv(path)
     return path
 
 

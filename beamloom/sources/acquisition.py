@@ -15,12 +15,26 @@ from .names import acquisition_stem, acquisition_stem_column, is_acquisition
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """All cells of one file (or of all files of a folder that have one header) as text, with their place."""
+    """All cells of one file (or of all files of a folder that have one header) as text, with the line's number (``_row``).
+
+    The files of a folder follow each other by their names, and large plain ones are read in pieces, so an acquisition in
+    several files doesn't go through one task. A gzipped file can't be read in pieces."""
     if not is_acquisition(path):
         raise ValueError(f"not an acquisition file: {path}")
     raw = spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE").csv(path)
-    names = [c.lstrip("﻿").strip() for c in raw.columns]
-    return raw.toDF(*names).withColumn("_place", F.monotonically_increasing_id())
+    names = [c.lstrip("\ufeff").strip() for c in raw.columns]
+    at = [F.col("_metadata.file_path").alias("_part"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_place")]
+    return _counted(raw.select("*", *at).toDF(*names, "_part", "_block", "_place")).drop("_part")
+
+
+def _counted(text: DataFrame) -> DataFrame:
+    """Adds _row, the line's number, in the order of the names of files and of their pieces: of the pieces before a line's own
+    only the counts are gathered."""
+    pieces = text.groupBy("_part", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
+    before = Window.orderBy("_part", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    met = text.join(F.broadcast(pieces), ["_part", "_block"])
+    return met.withColumn("_row", F.col("_place") - F.col("_first") + F.col("_before")).drop("_block", "_first", "_before")
 
 
 def read_texts(spark: SparkSession, path: str, acq_id: Column | None = None) -> DataFrame:
@@ -65,7 +79,8 @@ def typed(raw: DataFrame, acq_id: str | None = None, strict: bool = False) -> Da
     number = lambda c: (R.cell(c) if not strict else R.finite(F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")).cast("double"))) if have(c) else F.lit(None).cast("double")
     time = K.TIME if have(K.TIME) else names[0]
     order = Window.partitionBy("acq_id").orderBy("_place")
-    placed = raw if have("_row") else raw.withColumn("acq_id", F.lit(acq_id)).withColumn("_row", F.row_number().over(order) - 1)
+    placed = raw if have("_file") else raw.withColumn("acq_id", F.lit(acq_id))
+    placed = placed if have("_row") else placed.withColumn("_row", F.row_number().over(order) - 1)
     out = placed.select(
         "acq_id",
         F.col("_row").cast("bigint").alias("row_idx"),
