@@ -19,9 +19,9 @@ def build(keys: DataFrame, hashed: Column) -> np.ndarray:
     size = min(MOST_BITS, 1 << max(10, (16 * keys.count()).bit_length()))
     places = F.transform(F.array(*[F.lit(_SHIFT * i) for i in range(HASHES)]), lambda s: F.pmod(F.call_function("shiftrightunsigned", hashed, s), F.lit(size)))
     words = keys.select(F.explode(places).alias("p")).groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
-    got = words.toPandas()
+    got = words.toArrow()  # 16 bytes a row; without Arrow's setting, toPandas would make an object of each
     bits = np.zeros(size // 64, np.uint64)
-    bits[got["w"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
+    bits[got["w"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
     return bits
 
 

@@ -576,3 +576,15 @@ def test_roots_follow_chains(spark):
     rows = [(i, w) for i, w in enumerate([w for w, n in chain.items() for _ in range(n)])]
     got = {r["word"]: r for r in spelling.spelling_variants(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert set(map(tuple, got.values())) == _spelling(rows) and got["hillaa"]["root"] == "helloo"
+
+
+def test_filter_comes_to_the_driver_by_arrow(spark, monkeypatch):
+    """Whatever Arrow's setting is: pandas without Arrow makes an object of each row."""
+    from beamloom.llm import bloom
+
+    keys = spark.range(5000).select(F.xxhash64("id").alias("h"))
+    monkeypatch.setattr(type(keys), "toPandas", lambda self: pytest.fail("rows became objects"))
+    bits = bloom.build(keys, F.col("h"))
+    inside = np.array([r["h"] for r in keys.collect()], np.int64).view(np.uint64)
+    assert bloom.hits(bits, inside).all()
+    assert bloom.hits(bits, inside ^ np.uint64(0x5555555555555555)).mean() < 0.1
