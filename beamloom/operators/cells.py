@@ -6,7 +6,7 @@ the nearest one somewhere in the cell: no farther at its closest point than anot
 one cell that it lies in: rows are not multiplied, they meet the few spots near them, and a long acquisition is spread
 over as many keys as it has cells. The nearest spot there is the nearest of all if it is closer than the border of the
 nine cells. The few rows for which it isn't, far from any spot, join the whole list; the others have a key there that is
-no list's, different enough not to gather anywhere.
+no list's, different enough not to gather anywhere. Cells and lists are joined by sorting, never broadcast.
 
 ``closest`` does the same within one value, for rows that need the distance to every layer at once.
 """
@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.partitions import partitions
+from ..sources.partitions import partitions, sorted_beside
 
 SPOT = ("spot_idx", "local_idx", "x", "y", "energy", "mu")
 _NOWHERE, _SPREAD = 1 << 40, 4096
@@ -74,7 +74,7 @@ def nearest(rows: DataFrame, boxed: DataFrame, keys: list[str]) -> DataFrame:
     cells = around.groupBy(*keys, "_cx", "_cy").agg(F.collect_list("spot").alias("_spots"), F.first("box").alias("_b"))
     corner = lambda c: F.col("_b")[f"{c}0"] + F.col(f"_c{c}") * F.col("_b")["side"]
     cells = cells.withColumn("_spots", _possible(F.col("_spots"), corner("x"), corner("y"), F.col("_b")["side"])).drop("_b")
-    lists = boxed.select(*keys, spot).groupBy(*keys).agg(F.collect_list("spot").alias("_every")).withColumn("_all", F.lit(0).cast("bigint"))
+    lists = boxed.select(*keys, spot).groupBy(*keys).agg(F.collect_list("spot").alias("_every"), F.least(F.count(F.lit(1)), F.lit(0)).alias("_all"))  # 0, but no literal: that would be no key of the join
 
     best = lambda c: F.array_min(F.transform(F.col(c), lambda s: F.struct(_squared(s, F.col("mx"), F.col("my")).alias("d2"), s.alias("spot"))))
     there = F.col("mx").isNotNull() & F.col("my").isNotNull() & F.col("box").isNotNull()
@@ -84,10 +84,10 @@ def nearest(rows: DataFrame, boxed: DataFrame, keys: list[str]) -> DataFrame:
     placed = rows.withColumns({"_cx": F.when(there, F.floor(u)).otherwise(_NOWHERE + spread), "_cy": F.when(there, F.floor(v)).otherwise(0).cast("bigint")})
     n = partitions(rows)
     dealt = lambda table, *by: table.repartition(n, *by) if n else table
-    met = dealt(placed, *keys, "_cx", "_cy").join(cells, [*keys, "_cx", "_cy"], "left").withColumn("_near", best("_spots")).drop("_spots", "_cx", "_cy")
+    met = dealt(placed, *keys, "_cx", "_cy").join(sorted_beside(cells), [*keys, "_cx", "_cy"], "left").withColumn("_near", best("_spots")).drop("_spots", "_cx", "_cy")
     sure = ~there | F.coalesce(F.col("_near")["d2"] < _border(u, v, F.col("box")["side"]), F.lit(False))
     met = met.withColumn("_all", F.when(sure, -1 - spread).otherwise(0).cast("bigint"))
-    return dealt(met, *keys, "_all").join(lists, [*keys, "_all"], "left").withColumn("near", F.when(F.col("_all") < 0, F.col("_near")).otherwise(best("_every"))).drop("_near", "_all", "_every", "box")
+    return dealt(met, *keys, "_all").join(sorted_beside(lists), [*keys, "_all"], "left").withColumn("near", F.when(F.col("_all") < 0, F.col("_near")).otherwise(best("_every"))).drop("_near", "_all", "_every", "box")
 
 
 def grid(spots: Column) -> Column:

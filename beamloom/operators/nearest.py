@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import rows as R
+from ..sources.partitions import sorted_beside
 from .cells import closest, grid, nearest, with_boxes
 from .layers import layer_energies, layer_of_row, layer_table, layered, with_layers
 
@@ -69,10 +70,10 @@ def layer_distances(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
     The plan comes to a row as one value of grids, and a row looks up one cell of each layer."""
     grids = with_layers(plan).groupBy("acq_id", "layer").agg(F.collect_list(F.struct("x", "y")).alias("s")).select("acq_id", "layer", grid(F.col("s")).alias("grid"))
-    every = layer_energies(plan).select("acq_id", "layer").join(grids, ["acq_id", "layer"], "left")
+    every = layer_energies(plan).select("acq_id", "layer").join(sorted_beside(grids), ["acq_id", "layer"], "left")
     lists = every.groupBy("acq_id").agg(F.sort_array(F.collect_list(F.struct("layer", "grid"))).alias("_grids"))
     emit = F.transform("_grids", lambda g: closest(g["grid"], F.col("mx"), F.col("my")))
-    return rows.join(lists, "acq_id", "left").withColumn("emit", emit).drop("_grids")
+    return rows.join(sorted_beside(lists), "acq_id", "left").withColumn("emit", emit).drop("_grids")
 
 
 def distances_long(rows: DataFrame, plan: DataFrame) -> DataFrame:

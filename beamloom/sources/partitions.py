@@ -24,6 +24,12 @@ def partitions(table: DataFrame) -> int | None:
     return None if size <= SMALL else max(-(-size // EACH), int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def sorted_beside(table: DataFrame) -> DataFrame:
+    """A table of lists that grows with the input, to be joined by sorting. Spark would broadcast it where its files are small,
+    and repeated lists are packed so well that a few MB of files fill a GB in every executor and in the driver."""
+    return table.hint("merge")
+
+
 def spread(table: DataFrame, *keys: Column | str) -> DataFrame:
     """Rows with equal keys together, in as many partitions as their files need."""
     n = partitions(table)

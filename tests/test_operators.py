@@ -540,3 +540,23 @@ def test_positions_between_columns_of_spots_meet_few_of_them(monkeypatch):
     every = (q[:, None, 0] - p[:, 0]) ** 2 + (q[:, None, 1] - p[:, 1]) ** 2
     assert (at == every.argmin(axis=1)).all() and (found == every.min(axis=1)).all()
     assert sum(sizes) < every.size / 5
+
+
+def _final_plan(found):
+    found.collect()
+    return found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_lists_of_spots_are_not_broadcast(spark, sf_dir):
+    """They grow with the plan, and packed ones look small enough to broadcast."""
+    from beamloom.functions import rows as R
+    from beamloom.operators.nearest import layer_distances, match_on_layer
+    from beamloom.plans.base import complete_rows
+    from beamloom.sources.tables import acquisition_view, plan_view
+
+    plan = plan_view(spark, sf_dir)
+    matched = _final_plan(match_on_layer(complete_rows(spark, sf_dir), plan).select("distance"))
+    joins = [line for line in matched.splitlines() if "Join" in line]
+    assert not [line for line in joins if "Broadcast" in line and ("_cx" in line or "_layer" in line)]
+    assert [line for line in joins if "SortMergeJoin" in line and "_all" in line]  # so long lists' rows are spread by it
+    assert "BroadcastHashJoin" not in _final_plan(layer_distances(R.with_plan_axes(acquisition_view(spark, sf_dir)), plan).select("emit"))
