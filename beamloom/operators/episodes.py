@@ -15,6 +15,7 @@ from .. import constants as K
 from ..functions import rows as R
 from ..session import ship
 from ..sources.acquisition import first_points, numbered, signal_rows
+from ..sources.partitions import spread
 from . import kernels
 from .layers import layer_energies, layer_table, spread_layers
 from .nearest import impute_axes, impute_on_layer, layer_distances
@@ -71,7 +72,7 @@ def episode_counts(measured: DataFrame) -> DataFrame:
     keys = ["acq_id", "k"]
     least = measured.groupBy("acq_id").agg(F.max("min_rows").alias("least"))
     order = Window.partitionBy(*keys).orderBy("at")
-    spans = on_edges(measured).withColumn("to", F.lead("at").over(order)).filter("begins")
+    spans = spread(on_edges(measured), *keys, times=4).withColumn("to", F.lead("at").over(order)).filter("begins")
     tiny = spans.withColumns({"_tiny": F.col("to") - F.col("at") <= K.TINY_MERGE_ROWS, "_i": F.row_number().over(order)})
     run = F.col("_i") - 1 - F.coalesce(F.max(F.when(~F.col("_tiny"), F.col("_i"))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     merged = tiny.withColumns({"_run": run, "_next": F.lead("to").over(order)}).filter(F.col("_run") % 2 == 0).withColumn("to", F.when(F.col("_tiny"), F.coalesce("_next", "to")).otherwise(F.col("to")))

@@ -30,7 +30,7 @@ def sorted_beside(table: DataFrame) -> DataFrame:
     return table.hint("merge")
 
 
-def spread(table: DataFrame, *keys: Column | str) -> DataFrame:
-    """Rows with equal keys together, in as many partitions as their files need."""
+def spread(table: DataFrame, *keys: Column | str, times: int = 1) -> DataFrame:
+    """Rows with equal keys together, in as many partitions as their files need; ``times`` as many for rows that were multiplied."""
     n = partitions(table)
-    return table.repartition(n, *keys) if n else table
+    return table.repartition(n * times, *keys) if n else table

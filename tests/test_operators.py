@@ -560,3 +560,16 @@ def test_lists_of_spots_are_not_broadcast(spark, sf_dir):
     assert not [line for line in joins if "Broadcast" in line and ("_cx" in line or "_layer" in line)]
     assert [line for line in joins if "SortMergeJoin" in line and "_all" in line]  # so long lists' rows are spread by it
     assert "BroadcastHashJoin" not in _final_plan(layer_distances(R.with_plan_axes(acquisition_view(spark, sf_dir)), plan).select("emit"))
+
+
+def test_ratios_get_partitions_by_the_files(spark, sf_dir, monkeypatch):
+    """A row may cross many ratios, so that their edges are many more than Spark's number of partitions is meant for."""
+    from beamloom.operators.episodes import episode_counts
+    from beamloom.sources import partitions
+
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("l_partkey div 100 as acq_id", "l_orderkey * 10 + l_linenumber as row_idx", "l_tax * 10 as metric", "2 as min_rows")
+    want = sorted(map(tuple, episode_counts(rows).collect()))
+    monkeypatch.setattr(partitions, "SMALL", 0)
+    found = episode_counts(rows)
+    assert "hashpartitioning(acq_id" in (text := found._jdf.queryExecution().executedPlan().toString()) and ", 16), REPARTITION_BY_NUM" in text
+    assert sorted(map(tuple, found.collect())) == want
