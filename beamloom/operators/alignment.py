@@ -127,16 +127,22 @@ def rigid_sums(pairs: DataFrame) -> DataFrame:
     return s.select("acq_id", "n", F.degrees("theta").alias("theta_deg"), tx.alias("tx"), ty.alias("ty"), F.sqrt(F.greatest(rest, F.lit(0.0))).alias("rms"))
 
 
-def rigid_fit(m: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """The same for arrays: rotation, shift, rms."""
-    if len(m) < 1:
+def _rigid_columns(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """The same for four arrays: rotation, shift, rms. Sums are over plain arrays, which are fast."""
+    n = len(x)
+    if n < 1:
         raise ValueError("no pairs")
-    cm, cp = m.mean(axis=0), p.mean(axis=0)
-    a, b = m - cm, p - cp
-    theta = math.atan2(float((a[:, 0] * b[:, 1] - a[:, 1] * b[:, 0]).sum()), float((a * b).sum())) if len(m) > 1 else 0.0
-    r = np.array([[math.cos(theta), -math.sin(theta)], [math.sin(theta), math.cos(theta)]])
-    t = cp - r @ cm
-    return r, t, float(np.sqrt(((m @ r.T + t - p) ** 2).sum(axis=1).mean()))
+    cx, cy, cp, cq = (float(v.sum()) / n for v in (x, y, px, py))
+    ax, ay, bx, by = x - cx, y - cy, px - cp, py - cq
+    theta = math.atan2(float((ax * by - ay * bx).sum()), float((ax * bx + ay * by).sum())) if n > 1 else 0.0
+    c, s = math.cos(theta), math.sin(theta)
+    dx, dy = ax * c - ay * s - bx, ax * s + ay * c - by
+    return np.array([[c, -s], [s, c]]), np.array([cp - (c * cx - s * cy), cq - (s * cx + c * cy)]), math.sqrt(float((dx * dx + dy * dy).sum()) / n)
+
+
+def rigid_fit(m: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """The same for arrays of positions: rotation, shift, rms."""
+    return _rigid_columns(m[:, 0], m[:, 1], p[:, 0], p[:, 1])
 
 
 def nearest(m: np.ndarray, plan: np.ndarray | Spots) -> tuple[np.ndarray, np.ndarray]:
@@ -173,14 +179,15 @@ def _seed_step(n: Column) -> Column:
 def icp(m: np.ndarray, plan: np.ndarray | Spots, r: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float, int]:
     """Nearest points and rigid fit in turn: rotation, shift, rms before the last fit, rms, iterations."""
     index = plan if isinstance(plan, Spots) else Spots(plan)
-    plan = index.whole
+    (x, y), (px, py) = (np.ascontiguousarray(v.T) for v in (m, index.whole))
+    now = np.empty(m.shape[::-1]).T  # columns lie together
     before, pairs, rms = math.inf, math.nan, math.inf
     k = 0
     for k in range(1, K.ICP_ITERATIONS + 1):
-        now = m @ r.T + t
+        now[:, 0], now[:, 1] = x * r[0, 0] + y * r[0, 1] + t[0], x * r[1, 0] + y * r[1, 1] + t[1]
         at, d2 = index.nearest(now)
         pairs = float(np.sqrt(d2.mean()))
-        r1, t1, rms = rigid_fit(now, plan[at])
+        r1, t1, rms = _rigid_columns(now[:, 0], now[:, 1], px[at], py[at])
         r, t = r1 @ r, r1 @ t + t1
         if abs(before - rms) < K.ICP_TOLERANCE_MM:
             break
@@ -205,7 +212,8 @@ def _points(at) -> np.ndarray:
 
 
 def _tried(starts: DataFrame, tasks: int) -> DataFrame:
-    """The fits of all starts of a row (acq_id, orientation, degrees as a list, sample, plan), each row a group of its own."""
+    """The fits of all starts of a row (acq_id, orientation, degrees and their places as lists, sample, plan), each row a group of
+    its own. Starts behind a nearly perfect one can't win (``_best_starts``) and are left out."""
     ship(starts.sparkSession)
     schema = _START.format(kind=dict(starts.dtypes)["acq_id"])
     names = [c.split()[0] for c in schema.split(", ")]
@@ -216,10 +224,12 @@ def _tried(starts: DataFrame, tasks: int) -> DataFrame:
             swap, fx, fy = ORIENTATIONS[s.orientation]
             m, plan = _points(s.sample), Spots(_points(s.plan))
             m = (m[:, ::-1] if swap else m) * [-1.0 if fx else 1.0, -1.0 if fy else 1.0]
-            for place, degrees in enumerate(s.degrees):
+            for place, degrees in zip(s.places, s.degrees, strict=True):
                 r, t, pairs, rms, k = icp(m, plan, *_start(m, degrees))
                 g = Rigid(math.degrees(math.atan2(r[1, 0], r[0, 0])), float(t[0]), float(t[1]), swap, fx, fy)
                 out.append([s.acq_id, s.orientation, place, *_flat(g), g.theta_deg, g.tx, g.ty, pairs, rms, k])
+                if rms <= K.RMS_STOP_MM:
+                    break
         return pd.DataFrame(out, columns=names)
 
     # the table is small and its fits are long, so that its size doesn't tell into how many tasks it should go
@@ -271,14 +281,20 @@ def coarse_align(rows: DataFrame, plan: DataFrame, most: int = K.FIT_SAMPLES) ->
     tasks = min(8 * n, max(64, n // 4))
 
     every = base.withColumn("orientation", F.explode(F.array(*[F.lit(k) for k in range(len(ORIENTATIONS))])))
-    tried = landed(_best_starts(_tried(every.withColumn("degrees", F.array(*[F.lit(d) for d in K.PRESCREEN_DEGREES])), tasks)))
+    few = {"degrees": K.PRESCREEN_DEGREES, "places": range(len(K.PRESCREEN_DEGREES))}
+    starts = landed(_tried(every.withColumns({name: F.array(*[F.lit(v) for v in values]) for name, values in few.items()}), tasks))
+    tried = landed(_best_starts(starts))
     found = landed(_with_rest(tried, live, plans))
     order = Window.partitionBy("acq_id").orderBy("rms", "orientation")
     ranked = found.withColumns({"_k": F.row_number().over(order), "_low": F.min("rms").over(Window.partitionBy("acq_id"))})
     chosen = ranked.filter((F.col("_k") <= 2) | ((F.col("rms") <= F.col("_low") + K.FINALIST_KEEP_MM) & (F.col("_k") <= K.FINALISTS))).select("acq_id", "orientation")
     step = F.col("_step")
     all_seeds = every.join(chosen, ["acq_id", "orientation"]).withColumn("_step", _seed_step(F.col("n_fit"))).filter(step < 90)
-    again = _best_starts(_tried(all_seeds.withColumn("degrees", F.sequence(F.lit(0), 360 - step, step)).drop("_step"), tasks))
+    done = F.array(*[F.lit(d) for d in K.PRESCREEN_DEGREES])
+    seeds = all_seeds.withColumn("degrees", F.array_except(F.sequence(F.lit(0), 360 - step, step), done)).withColumn("places", F.transform("degrees", lambda d: (d / step).cast("int")))
+    at = F.element_at(done, F.col("place") + 1) / step  # the place among all seeds of those that were fitted before
+    before = starts.join(all_seeds.select("acq_id", "orientation", "_step"), ["acq_id", "orientation"]).withColumn("place", at.cast("int")).drop("_step")
+    again = _best_starts(_tried(seeds.drop("_step"), tasks).unionByName(before))
     again = landed(again.join(found.select("acq_id", "orientation", F.col("rms_fit").alias("_was")), ["acq_id", "orientation"]).filter("rms_fit < _was").drop("_was"))
     better = landed(_with_rest(again, live, plans))
     both = found.join(better.select("acq_id", "orientation"), ["acq_id", "orientation"], "left_anti").unionByName(better)

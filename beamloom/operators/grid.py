@@ -7,64 +7,112 @@ import math
 import numpy as np
 
 
+class _Cells:
+    """A grid of square cells over points and a margin around them. Each cell lists the points that can be the nearest one
+    somewhere in it: no farther at their closest than another one at its farthest, and not behind one that is closer to all four
+    corners, and so to the whole cell. Lists of about one length are one table."""
+
+    WIDTHS = (4, 8, 16, 32, 64, 128)
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, margin: float, cells: int):
+        wide, high = np.ptp(x) + 2 * margin, np.ptp(y) + 2 * margin
+        self.h = max(math.sqrt(wide * high / cells), max(wide, high) / cells)
+        self.low = np.array([x.min() - margin, y.min() - margin])
+        self.nx, self.ny = math.ceil(wide / self.h), math.ceil(high / self.h)
+        (near_x, far_x), (near_y, far_y) = self._ends(x, self.low[0], self.nx), self._ends(y, self.low[1], self.ny)
+        found = []
+        for band in range(self.ny):
+            most = (far_x + far_y[band]).min(axis=1)
+            cell, point = np.nonzero(near_x + near_y[band] <= most[:, None] * (1 + 1e-9))
+            found.append((cell + band * self.nx, point))
+        cell, point = (np.concatenate(c) for c in zip(*found, strict=True))
+        stays = ~self._behind(cell, x[point], y[point])
+        cell, point = cell[stays], point[stays]
+        sizes = np.bincount(cell, minlength=self.nx * self.ny)
+        place = np.arange(len(cell)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.kind = np.searchsorted(self.WIDTHS, sizes)  # beyond the last width: not listed
+        self.slot, self.tables = np.zeros(len(sizes), np.int64), []
+        far_away = np.append(x, np.inf), np.append(y, np.inf)
+        for k, width in enumerate(self.WIDTHS):
+            of = np.flatnonzero(self.kind == k)
+            self.slot[of] = np.arange(len(of))
+            table = np.full((len(of), width), len(x), np.int64)  # one beyond the last is no point
+            mine = self.kind[cell] == k
+            table[self.slot[cell[mine]], place[mine]] = point[mine]
+            self.tables.append((table, far_away[0][table], far_away[1][table]))
+
+    def _ends(self, v: np.ndarray, low: float, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Squared distances along one axis from each column of cells to each point: the least and the most."""
+        start = (low + self.h * np.arange(n))[:, None]
+        return np.maximum(np.maximum(start - v, v - start - self.h), 0.0) ** 2, np.maximum(np.abs(v - start), np.abs(v - start - self.h)) ** 2
+
+    def _behind(self, cell: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Of points listed by cell, those that are farther from all corners than the point nearest to one of them."""
+        left, low = self.low[0] + cell % self.nx * self.h, self.low[1] + cell // self.nx * self.h
+        far = np.array([(x - left - i * self.h) ** 2 + (y - low - j * self.h) ** 2 for i in (0, 1) for j in (0, 1)])
+        begin = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        own = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(cell)]))
+        behind = np.zeros(len(cell), bool)
+        for corner in far:
+            least = np.flatnonzero(corner == np.minimum.reduceat(corner, begin)[own])
+            front = np.empty(len(begin), np.int64)
+            front[own[least]] = least
+            behind |= (far > far[:, front[own]] * (1 + 1e-9) + 1e-12).all(axis=0)
+        return behind
+
+    def kinds(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Table and row of each position; positions that are not in any table have the number of tables."""
+        u, v = np.floor((q[:, 0] - self.low[0]) / self.h), np.floor((q[:, 1] - self.low[1]) / self.h)
+        inside = (u >= 0) & (u < self.nx) & (v >= 0) & (v < self.ny)
+        code = np.where(inside, v * self.nx + u, 0).astype(np.int64)
+        return np.where(inside, self.kind[code], len(self.WIDTHS)), self.slot[code]
+
+
 class Spots:
     """Plan points, to find the nearest one (of equal ones, the first).
 
-    A grid lies over the points and a margin around them. Each of its cells lists the points that can be the nearest one
-    somewhere in it: no farther at their closest than another one at its farthest. Positions beyond the grid, and in cells
-    with more than ``LONGEST`` points, are compared with all points.
+    A fine grid lies over the points, and a coarse one over a wide margin around them, for positions that are turned or mirrored
+    away. Positions beyond both, and in cells of very many points, are compared with all points.
     """
 
-    LONGEST, MARGIN = 24, 0.25
+    NEAR, WIDE = 0.1, 1.5  # margins, by the span of the points
 
     def __init__(self, points: np.ndarray):
         self.whole = points
         self.at = np.sort(np.unique(points, axis=0, return_index=True)[1])  # in the plan's order, so that argmin finds the first
         self.x, self.y = points[self.at, 0], points[self.at, 1]
-        span = points.max(axis=0) - points.min(axis=0)
-        margin = max(self.MARGIN * span.max(), 1e-9)
-        self.n = int(min(max(2 * math.sqrt(len(self.at)), 8), 64))
-        self.low, self.h = points.min(axis=0) - margin, (span + 2 * margin) / self.n
-        (near_x, far_x), (near_y, far_y) = (self._ends(v, self.low[k], self.h[k]) for k, v in enumerate((self.x, self.y)))
-        self.table = np.full((self.n * self.n, self.LONGEST), len(self.at), np.int64)  # one beyond the last is no point
-        self.listed = np.zeros(self.n * self.n, bool)
-        for band in range(self.n):
-            most = (far_x + far_y[band]).min(axis=1)
-            cell, point = np.nonzero(near_x + near_y[band] <= most[:, None] * (1 + 1e-9))
-            sizes = np.bincount(cell, minlength=self.n)
-            fits = sizes <= self.LONGEST
-            place = np.arange(len(cell)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            self.listed[band * self.n : (band + 1) * self.n] = fits
-            self.table[band * self.n + cell[fits[cell]], place[fits[cell]]] = point[fits[cell]]
-        self.table = self.table[:, : max(1, int((self.table < len(self.at)).sum(axis=1).max()))]
-        self.listed_x, self.listed_y = np.append(self.x, np.inf)[self.table], np.append(self.y, np.inf)[self.table]
-
-    def _ends(self, v: np.ndarray, low: float, h: float) -> tuple[np.ndarray, np.ndarray]:
-        """Squared distances along one axis from each column of cells to each point: the least and the most."""
-        start = (low + h * np.arange(self.n))[:, None]
-        return np.maximum(np.maximum(start - v, v - start - h), 0.0) ** 2, np.maximum(np.abs(v - start), np.abs(v - start - h)) ** 2
+        self.span = max(float(np.ptp(self.x)), float(np.ptp(self.y)), 1e-9)
+        self.fine = _Cells(self.x, self.y, self.NEAR * self.span, min(max(4 * len(self.at), 64), 2048))
+        self.coarse: _Cells | None = None  # made when a position needs it
 
     def nearest(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number and squared distance of the nearest point of each (finite) position."""
         best, d2 = np.zeros(len(q), np.int64), np.full(len(q), np.inf)
-        cell = np.floor((q - self.low) / self.h)
-        inside = ((cell >= 0) & (cell < self.n)).all(axis=1)
-        code = np.where(inside, cell[:, 1] * self.n + cell[:, 0], 0).astype(np.int64)
-        inside &= self.listed[code]
-        for part in self._pieces(inside, self.table.shape[1]):
-            d = self._squared(q[part], self.listed_x[code[part]], self.listed_y[code[part]])
-            low = d.argmin(axis=1)
-            best[part], d2[part] = self.at[self.table[code[part], low]], d[np.arange(len(part)), low]
-        for part in self._pieces(~inside, len(self.x)):
+        left = self._listed(self.fine, q, np.arange(len(q)), best, d2)
+        if len(left):
+            self.coarse = self.coarse or _Cells(self.x, self.y, self.WIDE * self.span, 256)
+            left = self._listed(self.coarse, q, left, best, d2)
+        for part in self._pieces(left, len(self.x)):
             d = self._squared(q[part], self.x, self.y)
             low = d.argmin(axis=1)
             best[part], d2[part] = self.at[low], d[np.arange(len(part)), low]
         return best, d2
 
+    def _listed(self, cells: _Cells, q: np.ndarray, rows: np.ndarray, best: np.ndarray, d2: np.ndarray) -> np.ndarray:
+        """Finds those of the rows that lie in listed cells; the others are returned."""
+        kind, slot = cells.kinds(q[rows])
+        for k, (table, x, y) in enumerate(cells.tables):
+            for some in self._pieces(np.flatnonzero(kind == k), table.shape[1]):
+                part, line = rows[some], slot[some]
+                d = self._squared(q[part], x.take(line, axis=0), y.take(line, axis=0))
+                low = d.argmin(axis=1)
+                best[part], d2[part] = self.at[table[line, low]], d[np.arange(len(part)), low]
+        return rows[kind == len(cells.tables)]
+
     @staticmethod
-    def _pieces(which: np.ndarray, each: int) -> list[np.ndarray]:
-        """Places of the marked positions, few enough at a time for their distances to stay in a core's cache."""
-        rows, step = np.flatnonzero(which), max(1, 100_000 // each)
+    def _pieces(rows: np.ndarray, each: int) -> list[np.ndarray]:
+        """The rows, few enough at a time for their distances to stay in a core's cache."""
+        step = max(1, 100_000 // each)
         return [rows[k : k + step] for k in range(0, len(rows), step)]
 
     @staticmethod
