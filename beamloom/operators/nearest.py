@@ -111,7 +111,7 @@ def impute_axes(rows: DataFrame, spots: DataFrame, on: list[str] | None = None)
     near = near.select("acq_id", "row_idx", F.col("_s.x").alias("_x1"), F.col("_s.y").alias("_y1"))
     left = spots.groupBy(*keys).agg(F.min(F.struct("x", "spot_idx", "y")).alias("_l"))
     none = F.col("mx").isNull() & F.col("my").isNull()
-    joined = rows.join(near, ["acq_id", "row_idx"], "left").join(left, keys, "left")
+    joined = rows.join(sorted_beside(near), ["acq_id", "row_idx"], "left").join(left, keys, "left")
     x, y = F.when(none, F.col("_l.x")).otherwise(F.coalesce("_x1", "mx")), F.when(none, F.col("_l.y")).otherwise(F.coalesce("_y1", "my"))
     return joined.withColumns({"_x1": x, "_y1": y}).withColumns({"mx": F.col("_x1"), "my": F.col("_y1")}).drop("_x1", "_y1", "_l")
 

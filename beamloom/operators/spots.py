@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rows import TINY
+from ..sources.partitions import sorted_beside
 from .layers import delivery_layers, layer_table
 
 
@@ -122,11 +123,11 @@ def merge_means(left: Column, right: Column, w_left: Column, w_right: Column) ->
 def uncovered(plan: DataFrame, rows: DataFrame, slot: str = "plan_idx") -> DataFrame:
     """Plan spots to which no row was assigned."""
     seen = rows.filter(F.col(slot) >= 0).select("acq_id", F.col(slot).cast("bigint").alias("spot_idx")).distinct()
-    return plan.join(seen, ["acq_id", "spot_idx"], "left_anti")
+    return plan.join(sorted_beside(seen), ["acq_id", "spot_idx"], "left_anti")
 
 
 def delivery_times(plan: DataFrame, rows: DataFrame, slot: str = "plan_idx") -> DataFrame:
     """Adds delivery_t to the plan: the weighted mean time of each spot's rows (bad weights count as 1), NULL without any."""
     w = F.when(F.col("weight") > 0, F.col("weight")).otherwise(1.0)
     times = rows.filter((F.col(slot) >= 0) & F.col("t").isNotNull()).groupBy("acq_id", F.col(slot).cast("bigint").alias("spot_idx")).agg((F.sum(w * F.col("t")) / F.sum(w)).alias("delivery_t"))
-    return plan.join(times, ["acq_id", "spot_idx"], "left")
+    return plan.join(sorted_beside(times), ["acq_id", "spot_idx"], "left")

@@ -416,7 +416,7 @@ UNION ALL SELECT acq_id, 'fail', count(*) FILTER (distance > 3) FROM spothit GRO
 def run_summary(spark, sf):
     """Coverage and tiers of a whole run."""
     config = Config(flier_sigma=3.0)
-    r = pipeline.run(acquisition_view(spark, sf), plan_view(spark, sf), config)
+    r = pipeline.run(acquisition_view(spark, sf), plan_view(spark, sf), config, keep=landed)
     part = lambda df, what, n: df.select("acq_id", F.lit(what).alias("what"), n.alias("n"))
     missing = r.missing.groupBy("acq_id").agg(F.count(F.lit(1)).alias("n"))
     delivered = r.delivery.filter("delivery_t is not null").groupBy("acq_id").agg(F.count(F.lit(1)).alias("n"))

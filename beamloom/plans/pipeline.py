@@ -76,8 +76,9 @@ def _parameters(config: Config, mode: str) -> dict:
     return common | {"heal": config.heal, "method": config.auto_method} | given
 
 
-def run(rows: DataFrame, plan: DataFrame | None, config: Config, has_gate: bool = True, progress: Progress = quiet) -> Result:
-    """All phases over typed rows and a plan (both with acq_id)."""
+def run(rows: DataFrame, plan: DataFrame | None, config: Config, has_gate: bool = True, progress: Progress = quiet, keep: Callable[[DataFrame], DataFrame] = lambda table: table) -> Result:
+    """All phases over typed rows and a plan (both with acq_id). ``keep`` is done to the assigned rows, which all results come
+    from: where several of them are asked for, ``landed`` assigns the rows once."""
     mode = resolved_mode(config.layer_mode, has_gate, plan is not None)
     coarse = None
     if config.coarse and plan is not None:
@@ -89,6 +90,7 @@ def run(rows: DataFrame, plan: DataFrame | None, config: Config, has_gate: bool
     if config.flier_sigma and plan is not None:
         progress("flier filter")
         assigned = nearest.filter_fliers(assigned, plan, config.flier_sigma, config.a_is_x)
+    assigned = keep(assigned)
     if plan is None:
         measured = spots.weighted_spots(assigned)
         return Result(plan, assigned, measured, measured, measured.limit(0), measured.limit(0), mode, coarse, None)

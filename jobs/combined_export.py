@@ -25,6 +25,7 @@ from beamloom.config import Config
 from beamloom.operators import quality
 from beamloom.plans import pipeline
 from beamloom.sources.tables import acquisitions_of, plans_of
+from beamloom.sources.workspace import landed
 from jobs.common import command_line, log, settings
 
 
@@ -71,7 +72,7 @@ def run(spark: SparkSession, samples: str, plan: str, out: str, s: Settings = Se
     if s.last is not None:
         inside &= F.col("acq_id") <= s.last
     rows, planned = acquisitions_of(spark.read.parquet(samples)).filter(inside), plans_of(spark.read.parquet(plan)).filter(inside)
-    result = pipeline.run(rows, planned, config)
+    result = pipeline.run(rows, planned, config, keep=landed)
     acquisition = dict(rows.dtypes)["acq_id"]
     _write(result.measured, f"{out}/spots", "parquet")
     measured = spark.read.parquet(f"{out}/spots").withColumn("acq_id", F.col("acq_id").cast(acquisition)).filter(inside)

@@ -2,7 +2,9 @@
 
 import numpy as np
 
+from beamloom.operators import spots
 from beamloom.operators.grid import Spots
+from beamloom.plans import assignments
 
 
 def test_few_comparisons_for_positions_far_away(monkeypatch):
@@ -28,3 +30,21 @@ def test_nearest_of_odd_lists():
         got, d2 = Spots(points).nearest(q)
         every = (q[:, :1] - points[:, 0]) ** 2 + (q[:, 1:] - points[:, 1]) ** 2
         assert (got == every.argmin(axis=1)).all() and (d2 == every.min(axis=1)).all()
+
+
+def _plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tables_by_spot_are_not_broadcast(spark):
+    """Coverage and delivery times join tables as long as the plan: neither side goes through the driver."""
+    plan = spark.sql("select 0 as acq_id, id as spot_idx, 1.0 as x, 2.0 as y from range(5)")
+    rows = spark.sql("select 0 as acq_id, id as row_idx, id % 3 as plan_idx, 1.0 as weight, 0.5 * id as t from range(9)")
+    missing, times = spots.uncovered(plan, rows), spots.delivery_times(plan, rows).filter("delivery_t is not null")
+    assert sorted(r["spot_idx"] for r in missing.collect()) == [3, 4]
+    assert {r["spot_idx"]: r["delivery_t"] for r in times.collect()} == {0: 1.5, 1: 2.0, 2: 2.5}
+    assert "Broadcast" not in _plan_of(missing) + _plan_of(times)
+
+
+def test_a_summary_assigns_rows_once(spark, sf_dir):
+    assert "l_partkey" not in _plan_of(assignments.run_summary(spark, sf_dir))  # its parts start from the assigned rows
