@@ -15,7 +15,7 @@ from .. import constants as K
 from ..functions import rows as R
 from ..session import ship
 from ..sources.acquisition import first_points, numbered, signal_rows
-from ..sources.partitions import spread
+from ..sources.partitions import sorted_beside, spread
 from . import kernels
 from .layers import layer_energies, layer_table, spread_layers
 from .nearest import impute_axes, impute_on_layer, layer_distances
@@ -49,7 +49,8 @@ def on_edges(measured: DataFrame) -> DataFrame:
     """(acq_id, k, at, begins): where spans begin and end for each ratio k, of rows (acq_id, row_idx from 0, metric).
 
     A row is on for the ratios below its metric. So between two rows spans begin or end for just the ratios between their
-    metrics, and rows that don't cross a ratio leave no trace.
+    metrics, and rows that don't cross a ratio leave no trace. A row that crosses many ratios is shuffled as one row, by acquisition,
+    and becomes as many edges in the task where the windows over them are.
     """
     order = Window.partitionBy("acq_id").orderBy("row_idx")
     below = measured.withColumn("_k", _ratios_below(F.col("metric"), dead_ratios()))
@@ -58,7 +59,8 @@ def on_edges(measured: DataFrame) -> DataFrame:
     between = lambda low, high, at, begins: F.when(low < high, F.transform(F.sequence(low, high - 1), lambda k: event(k, at, begins))).otherwise(F.array().cast("array<struct<k:int,at:bigint,begins:boolean>>"))
     here, was, row = F.col("_k"), F.col("_was"), F.col("row_idx").cast("bigint")
     found = F.concat(between(was, here, row, True), between(here, was, row, False), between(F.lit(0), F.when(F.col("_last"), here).otherwise(0), row + 1, False))
-    return sided.filter((here != was) | F.col("_last")).select("acq_id", F.explode(found).alias("e")).select("acq_id", "e.*")
+    crossing = spread(sided.filter((here != was) | F.col("_last")).select("acq_id", "row_idx", "_k", "_was", "_last"), "acq_id", times=4)
+    return crossing.select("acq_id", F.explode(found).alias("e")).select("acq_id", "e.*")
 
 
 def episode_counts(measured: DataFrame) -> DataFrame:
@@ -72,7 +74,7 @@ def episode_counts(measured: DataFrame) -> DataFrame:
     keys = ["acq_id", "k"]
     least = measured.groupBy("acq_id").agg(F.max("min_rows").alias("least"))
     order = Window.partitionBy(*keys).orderBy("at")
-    spans = spread(on_edges(measured), *keys, times=4).withColumn("to", F.lead("at").over(order)).filter("begins")
+    spans = on_edges(measured).withColumn("to", F.lead("at").over(order)).filter("begins")
     tiny = spans.withColumns({"_tiny": F.col("to") - F.col("at") <= K.TINY_MERGE_ROWS, "_i": F.row_number().over(order)})
     run = F.col("_i") - 1 - F.coalesce(F.max(F.when(~F.col("_tiny"), F.col("_i"))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     merged = tiny.withColumns({"_run": run, "_next": F.lead("to").over(order)}).filter(F.col("_run") % 2 == 0).withColumn("to", F.when(F.col("_tiny"), F.coalesce("_next", "to")).otherwise(F.col("to")))
@@ -280,5 +282,5 @@ def assign_auto(rows: DataFrame, plan: DataFrame, method: str = "episodes", min_
     ready = prepare_auto(rows, plan, **more)
     given = None if min_rows is None else given_parameters(plan, min_rows, K.DEAD_RATIO if dead_ratio is None else dead_ratio)
     spans = spread_layers(episode_spans(ready, plan, given), table)
-    places = spans.filter("row_end > row_start").select("acq_id", F.col("span_id").alias("spot_id"), "layer", F.explode(F.sequence(F.col("row_start"), F.col("row_end") - 1)).alias("row_idx"))
-    return delivery_weights(ready).join(places, ["acq_id", "row_idx"])
+    places = spread(spans.filter("row_end > row_start"), "acq_id").select("acq_id", F.col("span_id").alias("spot_id"), "layer", F.explode(F.sequence(F.col("row_start"), F.col("row_end") - 1)).alias("row_idx"))
+    return delivery_weights(ready).join(sorted_beside(places), ["acq_id", "row_idx"])

@@ -2,9 +2,10 @@
 
 import numpy as np
 
-from beamloom.operators import spots
+from beamloom.operators import episodes, kernels, spots
 from beamloom.operators.grid import Spots
 from beamloom.plans import assignments
+from beamloom.sources import partitions
 
 
 def test_few_comparisons_for_positions_far_away(monkeypatch):
@@ -48,3 +49,17 @@ def test_tables_by_spot_are_not_broadcast(spark):
 
 def test_a_summary_assigns_rows_once(spark, sf_dir):
     assert "l_partkey" not in _plan_of(assignments.run_summary(spark, sf_dir))  # its parts start from the assigned rows
+
+
+def test_edges_are_not_shuffled(spark, tmp_path, monkeypatch):
+    """Of rows that cross many ratios, the rows are shuffled, not an edge for each ratio."""
+    monkeypatch.setattr(partitions, "SMALL", 0)
+    spark.sql("select id % 3 as acq_id, id div 3 as row_idx, rand(7) as metric, 1 as min_rows from range(3000)").write.parquet(f"{tmp_path}/rows")
+    counted = episodes.episode_counts(spark.read.parquet(f"{tmp_path}/rows"))
+    above = _plan_of(counted).split("Generate")[0]
+    assert "Window" in above and "Exchange" not in above
+    want = {}
+    for acq in range(3):
+        rows = counted.sparkSession.read.parquet(f"{tmp_path}/rows").filter(f"acq_id = {acq}").orderBy("row_idx").toPandas()
+        want |= {(acq, k): len(kernels.segment(rows["metric"].to_numpy() <= ratio, 1)) for k, ratio in enumerate(episodes.dead_ratios())}
+    assert {(r["acq_id"], r["k"]): r["count"] for r in counted.collect()} == want
