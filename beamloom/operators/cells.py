@@ -7,8 +7,6 @@ one cell that it lies in: rows are not multiplied, they meet the few spots near
 over as many keys as it has cells. The nearest spot there is the nearest of all if it is closer than the border of the
 nine cells. The few rows for which it isn't, far from any spot, join the whole list; the others have a key there that is
 no list's, different enough not to gather anywhere. Cells and lists are joined by sorting, never broadcast.
-
-``closest`` does the same within one value, for rows that need the distance to every layer at once.
 """
 
 from __future__ import annotations
@@ -88,37 +86,3 @@ def nearest(rows: DataFrame, boxed: DataFrame, keys: list[str]) -> DataFrame:
     sure = ~there | F.coalesce(F.col("_near")["d2"] < _border(u, v, F.col("box")["side"]), F.lit(False))
     met = met.withColumn("_all", F.when(sure, -1 - spread).otherwise(0).cast("bigint"))
     return dealt(met, *keys, "_all").join(sorted_beside(lists), [*keys, "_all"], "left").withColumn("near", F.when(F.col("_all") < 0, F.col("_near")).otherwise(best("_every"))).drop("_near", "_all", "_every", "box")
-
-
-def grid(spots: Column) -> Column:
-    """Struct (spots, xs, ys, x0, y0, side, bands) of an array of structs with x and y; the cells are ``bands[row][column]``.
-
-    A cell holds the places in the array of the spots around it; a ring of cells without own spots lies around the others.
-    With n spots, it takes about n ** 1.5 steps: bands of cells first, then the cells of each band.
-    """
-    axis = lambda c: F.transform(spots, lambda s: s[c])
-    box = F.struct(F.array_min(axis("x")).alias("x0"), F.array_max(axis("x")).alias("x1"), F.array_min(axis("y")).alias("y0"), F.array_max(axis("y")).alias("y1"))
-    sided = lambda b: F.struct(b["x0"].alias("x0"), b["x1"].alias("x1"), b["y0"].alias("y0"), b["y1"].alias("y1"), _side(b["x1"] - b["x0"], b["y1"] - b["y0"], F.size(spots)).alias("side"))
-    cell = lambda v, low, side: F.floor((v - low) / side).cast("int")
-
-    def bands(b: Column) -> Column:
-        placed = F.transform(spots, lambda s, i: F.struct(i.alias("i"), cell(s["x"], b["x0"], b["side"]).alias("cx"), cell(s["y"], b["y0"], b["side"]).alias("cy")))
-        around = lambda list_, axis_, k: F.filter(list_, lambda p: F.abs(p[axis_] - k) <= 1)
-        columns, rows = (F.sequence(F.lit(-1), cell(b[f"{a}1"], b[f"{a}0"], b["side"]) + 1) for a in "xy")
-        near = lambda k, band, j: _possible(F.transform(around(band, "cx", j), lambda p: p["i"]), b["x0"] + j * b["side"], b["y0"] + k * b["side"], b["side"], lambda i: F.get(spots, i))
-        return F.transform(rows, lambda k: _let(around(placed, "cy", k), lambda band: F.transform(columns, lambda j: near(k, band, j))))
-
-    made = lambda b: F.struct(spots.alias("spots"), axis("x").alias("xs"), axis("y").alias("ys"), b["x0"].alias("x0"), b["y0"].alias("y0"), b["side"].alias("side"), bands(b).alias("bands"))
-    return F.when(F.size(spots) > 0, _let(_let(box, sided), made))
-
-
-def closest(g: Column, mx: Column, my: Column) -> Column:
-    """Squared distance to the nearest spot of a grid. NULL without a grid or position."""
-    spots = g["spots"]
-    u, v = (mx - g["x0"]) / g["side"], (my - g["y0"]) / g["side"]
-    place = lambda c: F.floor(c).try_cast("int") + 1  # noqa: E731  NULL, and so in no cell, beyond the numbers of cells
-    cell = F.get(F.get(g["bands"], place(v)), place(u))
-    near = F.array_min(F.transform(cell, lambda i: _squared(F.get(spots, i), mx, my)))
-    every = F.array_min(F.zip_with(g["xs"], g["ys"], lambda x, y: (x - mx) * (x - mx) + (y - my) * (y - my)))  # plain numbers are faster than structs
-    found = _let(near, lambda d2: F.when(d2 < _border(u, v, g["side"]), d2).otherwise(every))
-    return F.when(mx.isNotNull() & my.isNotNull() & g.isNotNull(), found)

@@ -211,7 +211,7 @@ def cheapest_layers(rows: DataFrame, plan: DataFrame, penalty: float | None = No
     up_to, before, whole = (order.rowsBetween(Window.unboundedPreceding, x) for x in (Window.currentRow, -1, Window.unboundedFollowing))
     layers = (layer_energies(plan).agg(F.max("layer")).first()[0] or 0) + 1
     table = advance_penalty(plan) if penalty is None else plan.select("acq_id").distinct().withColumn("penalty", F.lit(float(penalty)))
-    light = layer_distances(rows.join(table.withColumnRenamed("penalty", "_pen"), "acq_id", "left"), plan)
+    light = spread(layer_distances(rows.join(table.withColumnRenamed("penalty", "_pen"), "acq_id", "left"), plan), "acq_id")
     whole_units = lambda c: F.rint(c * 1e6)
     light = light.withColumn("_pen", whole_units(F.col("_pen")))
     emit = [whole_units(F.get("emit", F.lit(k))) for k in range(layers)]

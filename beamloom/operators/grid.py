@@ -132,3 +132,31 @@ def layer_distances(xy: np.ndarray, plan: np.ndarray, layer: np.ndarray, layers:
     for k in np.unique(layer):
         out[rows, k] = Spots(plan[layer == k]).nearest(xy[rows])[1]
     return out
+
+
+class Layers:
+    """A plan's spots by layer, to find how far positions are from each layer. Layers of few spots are compared whole, all at once."""
+
+    FEW = 256
+
+    def __init__(self, points: np.ndarray, layer: np.ndarray, layers: int):
+        sizes = np.bincount(layer, minlength=layers)
+        self.layers, self.without = layers, np.flatnonzero(sizes == 0)
+        few = (sizes > 0) & (sizes <= self.FEW)
+        self.small, order = np.flatnonzero(few), np.argsort(layer, kind="stable")
+        listed = points[order[few[layer[order]]]]
+        self.x, self.y, self.starts = listed[:, 0], listed[:, 1], np.cumsum(sizes[few]) - sizes[few]
+        self.large = {k: Spots(points[layer == k]) for k in np.flatnonzero(sizes > self.FEW)}
+
+    def squared(self, q: np.ndarray) -> np.ndarray:
+        """Squared distance of each position to each layer's nearest spot, positions by layers; NaN without spots or position."""
+        out = np.full((len(q), self.layers), np.nan)
+        for part in Spots._pieces(np.arange(len(q)), max(len(self.x), 1)) if len(self.small) else []:
+            out[part[:, None], self.small] = np.minimum.reduceat(Spots._squared(q[part], self.x, self.y), self.starts, axis=1)
+        near = np.flatnonzero(np.isfinite(q).all(axis=1))
+        rest = np.setdiff1d(np.arange(len(q)), near)
+        for k, spots in self.large.items():
+            out[near, k] = spots.nearest(q[near])[1]
+            for part in Spots._pieces(rest, len(spots.x)):
+                out[part, k] = Spots._squared(q[part], spots.x, spots.y).min(axis=1)
+        return out

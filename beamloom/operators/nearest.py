@@ -7,15 +7,23 @@ distances go to the lowest spot_idx.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import rows as R
-from ..sources.partitions import sorted_beside
-from .cells import closest, grid, nearest, with_boxes
+from ..session import ship
+from ..sources.partitions import partitions, sorted_beside
+from .cells import nearest, with_boxes
+from .grid import Layers
 from .layers import layer_energies, layer_of_row, layer_table, layered, with_layers
 
+PIECE = 256  # row numbers of one piece: an Arrow batch has up to 10,000 pieces
+
+
 def _with_match(rows: DataFrame) -> DataFrame:
     spot = F.col("near.spot")
     return rows.withColumns(
@@ -65,15 +73,44 @@ def plan_slot(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return out.withColumn("plan_idx", F.when(F.col("nn_local_idx") >= 0, F.col("first_slot") + F.col("nn_local_idx")).otherwise(-1)).drop("_cut", "first_slot")
 
 
+def _squared_by_layer(xs: pa.Array, ys: pa.Array, at: pa.Array, px: pa.Array, py: pa.Array, n: pa.Array) -> pa.Array:
+    """For each piece of rows, the distances of its positions to the layers of its plan."""
+    x, y = (v.values.to_numpy(zero_copy_only=False) for v in (xs, ys))
+    there = (pc.is_valid(xs.values).to_numpy(zero_copy_only=False)) & (pc.is_valid(ys.values).to_numpy(zero_copy_only=False))
+    plan = [v.values.to_numpy(zero_copy_only=False) for v in (at, px, py)]
+    ends, places = xs.offsets.to_numpy(), at.offsets.to_numpy()
+    known, found, hidden, sizes = (None, None), [np.empty(0)], [np.empty(0, bool)], [np.empty(0, np.int64)]
+    for i, layers in enumerate(n.fill_null(0).to_numpy()):
+        k, sx, sy = (v[places[i] : places[i + 1]] for v in plan)
+        if (key := (layers, k.tobytes(), sx.tobytes(), sy.tobytes())) != known[0]:  # pieces of a plan mostly follow each other
+            known = key, Layers(np.column_stack([sx, sy]), k.astype(np.int64), int(layers))
+        part = slice(ends[i], ends[i + 1])
+        d2 = known[1].squared(np.column_stack([x[part], y[part]]))
+        none = np.repeat(~there[part, None], layers, axis=1)
+        none[:, known[1].without] = True
+        found.append(d2.ravel())
+        hidden.append(none.ravel())
+        sizes.append(np.full(len(d2), layers, np.int64))
+    rows = pa.ListArray.from_arrays(np.r_[0, np.cumsum(np.concatenate(sizes))].astype(np.int32), pa.array(np.concatenate(found), mask=np.concatenate(hidden)))
+    return pa.ListArray.from_arrays((ends - ends[0]).astype(np.int32), rows)
+
+
 def layer_distances(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Adds emit: for each layer of the plan in order, the squared distance to its nearest spot (NULL without).
 
-    The plan comes to a row as one value of grids, and a row looks up one cell of each layer."""
-    grids = with_layers(plan).groupBy("acq_id", "layer").agg(F.collect_list(F.struct("x", "y")).alias("s")).select("acq_id", "layer", grid(F.col("s")).alias("grid"))
-    every = layer_energies(plan).select("acq_id", "layer").join(sorted_beside(grids), ["acq_id", "layer"], "left")
-    lists = every.groupBy("acq_id").agg(F.sort_array(F.collect_list(F.struct("layer", "grid"))).alias("_grids"))
-    emit = F.transform("_grids", lambda g: closest(g["grid"], F.col("mx"), F.col("my")))
-    return rows.join(sorted_beside(lists), "acq_id", "left").withColumn("emit", emit).drop("_grids")
+    The rows of an acquisition are put into pieces of at most ``PIECE`` row numbers, where they are. The plan's spots come to a
+    piece as one list, numpy finds the distances of its rows, and the piece becomes rows again. Rows are shuffled once, by acq_id."""
+    ship(rows.sparkSession)
+    placed = with_layers(plan).filter("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    spots = placed.groupBy("acq_id").agg(F.collect_list(F.struct("layer", "x", "y")).alias("_s"))
+    lists = layer_energies(plan).groupBy("acq_id").agg((F.max("layer") + 1).alias("_n")).join(sorted_beside(spots), "acq_id", "left")
+    light = [c for c in rows.columns if c != "acq_id"]
+    n = partitions(rows)
+    pieces = rows.repartition(*([n] if n else []), "acq_id").groupBy("acq_id", F.floor(F.col("row_idx") / PIECE).alias("_piece")).agg(F.collect_list(F.struct(*light)).alias("_rows"))
+    met = pieces.join(sorted_beside(lists), "acq_id", "left")
+    squared = F.arrow_udf(_squared_by_layer, "array<array<double>>")(F.col("_rows")["mx"].cast("array<double>"), F.col("_rows")["my"].cast("array<double>"), *[F.coalesce(F.col("_s")[c], F.array()).cast(f"array<{kind}>") for c, kind in (("layer", "int"), ("x", "double"), ("y", "double"))], F.col("_n"))
+    each = met.withColumn("_d2", squared).select("acq_id", "_n", F.explode(F.arrays_zip("_rows", "_d2")).alias("_z"))
+    return each.select(*[F.col("acq_id") if c == "acq_id" else F.col("_z")["_rows"][c].alias(c) for c in rows.columns], F.when(F.col("_n").isNotNull(), F.col("_z")["_d2"]).alias("emit"))
 
 
 def distances_long(rows: DataFrame, plan: DataFrame) -> DataFrame:

@@ -194,6 +194,26 @@ def test_nearest_like_all_pairs(spark):
     assert len(every) == len(own) == len(emit) == len(rows)
 
 
+def test_layer_distances_by_numpy(spark, monkeypatch):
+    """Layers of few spots and of many, and without any; positions far away and beyond numbers; pieces of a row each. No row folds lists of spots."""
+    from beamloom.operators.grid import Layers
+
+    rng = np.random.default_rng(5)
+    p, layer = rng.normal(0, 10, (900, 2)), np.sort(rng.choice([0, 1, 3], 900, p=[0.01, 0.09, 0.9]))
+    q = np.concatenate([rng.normal(0, 10, (300, 2)), [[1e9, 3.0], [np.inf, 0.0], [np.nan, 1.0]]])
+    every = ((p[:, 0] - q[:, :1]) ** 2) + ((p[:, 1] - q[:, 1:]) ** 2)
+    want = np.column_stack([every[:, layer == k].min(axis=1) if k != 2 else np.full(len(q), np.nan) for k in range(4)])
+    for few in (0, 5, 256, 10_000):
+        monkeypatch.setattr(Layers, "FEW", few)
+        assert np.array_equal(Layers(p, layer, 4).squared(q), want, equal_nan=True)
+    monkeypatch.setattr(nearest, "PIECE", 1)
+    rows = spark.createDataFrame([(a, i, x, 1.0) for a in (1, 2) for i, x in enumerate([0.0, 7.0, None])], "acq_id int, row_idx bigint, mx double, my double")
+    plan = spark.createDataFrame([(1, 0, 0.0, 0.0, 9.0, 1.0, None, None), (1, 1, None, 0.0, 8.0, 1.0, None, None), (1, 2, 5.0, 1.0, 7.0, 1.0, None, None)], PLAN)
+    found = nearest.layer_distances(rows, plan)
+    assert {(r["acq_id"], r["row_idx"]): r["emit"] for r in found.collect()} == {(1, 0): [1.0, None, 25.0], (1, 1): [50.0, None, 4.0], (1, 2): [None] * 3, (2, 0): None, (2, 1): None, (2, 2): None}
+    assert not [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "lambda" in line and "mx#" in line]
+
+
 def test_viterbi(spark):
     got = assign.assign(rows_of(spark, [(t, a, b, None) for t, a, b, _ in ACQ]), plan_of(spark, SMALL), "plan_viterbi", penalty=400.0).orderBy("row_idx").collect()
     assert [(r["spot_id"], r["layer"]) for r in got] == [(0, 0), (0, 0), (0, 0)]
