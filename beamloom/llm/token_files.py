@@ -39,35 +39,35 @@ from .tokens import END, default_vocabulary, encoder
 VOCABULARY = 50_257
 SHARD_TOKENS = 1 << 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_SKIPPED = np.int64(-1 << 63)  # marks the code of a place that doesn't count
 SHARDS = "part int, k int, n_docs bigint, n_tokens bigint, data binary"
 _HEAD = struct.Struct("<4sIIIII")
 
 
-def _same(codes: np.ndarray, turn: int) -> tuple[np.ndarray, int]:
-    """A number for each code, equal for equal codes only, and a bound of the numbers.
+def _runs(left: np.ndarray, right: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places by their pair: numbers of the places in the order of pairs, where each pair begins among them, its left and right.
 
-    Codes are put into a table without collision lists: of the codes that share a place one owns it, and the others go
-    to the next, smaller table, until each owns one.
+    Pair and place are one number where that has room, as plain numbers sort several times faster than places by their numbers.
     """
-    number, left, offset = np.empty(len(codes), np.int64), np.arange(len(codes)), 0
-    while len(left):
-        c = codes[left]
-        bits = max(6, len(c).bit_length())
-        place = ((c.astype(np.uint64) * (_MIX + np.uint64(2 * turn))) >> np.uint64(64 - bits)).astype(np.int64)
-        owner = np.empty(1 << bits, np.int64)
-        owner[place] = c
-        own = owner[place] == c
-        number[left[own]] = offset + place[own]
-        offset, left, turn = offset + (1 << bits), left[~own], turn + 1
-    return number, offset
+    wide, bits = symbols.bit_length(), len(left).bit_length()
+    code = left.astype(np.int64) << wide | right
+    if 2 * wide + bits < 64:
+        code <<= bits
+        code |= np.arange(len(code))
+        code.sort()
+        order = code & ((1 << bits) - 1)
+        code >>= bits
+    else:
+        order = np.argsort(code, kind="stable")
+        code = code[order]
+    begin = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+    return order, begin, code[begin] >> wide, code[begin] & ((1 << wide) - 1)
 
 
 def compress(ids: np.ndarray, starts: np.ndarray, vocabulary: int = VOCABULARY) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair of ids whose documents begin at starts: symbols, first symbols, rules (n, 2), expansion lengths.
 
     Symbols are a linked list. A turn counts the pairs at the places to look at, gives each pair its count as priority
-    (a mark of the pair decides between equal counts), and replaces a pair wherever it goes before the pairs on both
+    (a mark of the pair decides between equal counts, and the pair between equal marks), and replaces a pair wherever it goes before the pairs on both
     sides, if that is twice or more. The most frequent pair of all always is, so turns go on until no pair is left that
     occurs twice without overlap. A pair's count only falls, except for pairs of new symbols. So after the first turn the
     places to look at are those next to a new symbol and those of pairs that still occur twice.
@@ -79,57 +79,57 @@ def compress(ids: np.ndarray, starts: np.ndarray, vocabulary: int = VOCABULARY)
     after[starts[1:] - 1] = -1
     after[-1:] = -1
     before[starts] = -1
-    rank, mark = np.zeros(n + 1, np.int64), np.zeros(n + 1, bool)  # the last one stands for "none", which -1 finds
+    rank, mark = np.zeros(n + 1, kind), np.zeros(n + 1, bool)  # the last one stands for "none", which -1 finds
     look, turn = np.flatnonzero(after >= 0), 0
     while len(look):
-        left, right = s[look], s[after[look]]
-        codes = left.astype(np.int64) << 31 | right
-        pair, most = _same(codes, turn)
+        follows, kept = after.take(look), look
+        left, right = s.take(look), s.take(follows)
         alike = np.flatnonzero(left == right)
-        count = np.bincount(pair, minlength=most)
         if len(alike):  # of a run of one symbol every second place counts
-            begin = np.r_[True, after[look[alike[:-1]]] != look[alike[1:]]]
+            start = np.r_[True, follows[alike[:-1]] != look[alike[1:]]]
             at = np.arange(len(alike))
-            skipped = alike[(at - np.maximum.accumulate(np.where(begin, at, 0))) % 2 == 1]
-            count -= np.bincount(pair[skipped], minlength=most)
-            codes[skipped] |= _SKIPPED
-        count = count[pair]
-        often = np.flatnonzero(count >= 2)
-        look, codes, pair, count = look[often], codes[often], pair[often], count[often]
-        place, mine, code = look, pair, codes
-        if len(alike):
-            counted = np.flatnonzero(codes >= 0)
-            place, mine, code, count = look[counted], pair[counted], codes[counted], count[counted]
-        value = count << 36 | ((code.astype(np.uint64) * (_MIX + np.uint64(2 * turn))) >> np.uint64(28)).astype(np.int64)
-        rank[place] = value
-        wins = np.flatnonzero(value > np.maximum(rank[before[place]], rank[after[place]]))
-        rank[place] = 0
-        hit, mine, code = place[wins], mine[wins], code[wins]
-        taken = np.bincount(mine, minlength=most)
-        made = np.flatnonzero(taken[mine] >= 2)
-        hit, mine, code = hit[made], mine[made], code[made]
-        if not len(hit):  # two first pairs of one mark, which the next turn tells apart
-            turn += 1
-            continue
+            counted = np.ones(len(look), bool)
+            counted[alike[(at - np.maximum.accumulate(np.where(start, at, 0))) % 2 == 1]] = False
+            kept, left, right = look[counted], left[counted], right[counted]
+            mark[look[~counted]] = True
+        order, begin, first, second = _runs(left, right, base)
+        count = np.diff(begin, append=len(order))
+        often = count >= 2
+        place = kept.take(order[np.repeat(often, count)])
+        first, second, count = first[often], second[often], count[often]
+        code = (first << 31 | second).astype(np.uint64)
+        by_value = np.argsort(count << 36 | ((code * (_MIX + np.uint64(2 * turn))) >> np.uint64(28)).astype(np.int64), kind="stable")
+        ranks = np.empty(len(count), kind)
+        ranks[by_value] = np.arange(1, len(count) + 1)
+        rank[place] = np.repeat(ranks, count)
+        mine = rank.take(kept)
+        look = np.flatnonzero(mine > 0)
+        kept, mine = kept[look], mine[look]
+        wins = np.flatnonzero(mine > np.maximum(rank.take(before.take(kept)), rank.take(after.take(kept))))
+        rank[kept] = 0
+        mark[kept] = True
+        hit, mine = kept[wins], by_value.take(mine[wins] - 1)
+        taken = np.bincount(mine, minlength=len(count))
+        made = np.flatnonzero(taken.take(mine) >= 2)
+        hit, mine = hit[made], mine[made]
+        if not len(hit):  # then no pair is left
+            break
         new = np.flatnonzero(taken >= 2)
-        name, of = np.empty(most, np.int64), np.empty(most, np.int64)
-        of[mine] = code
-        order = np.argsort(of[new])
-        name[new[order]] = base + np.arange(len(new))
-        gone, mine, pairs = after[hit], name[mine], of[new[order]]
-        rules.append(np.column_stack([pairs >> 31, pairs & 0x7FFFFFFF]))
+        name = np.empty(len(count), np.int64)
+        name[new] = base + np.arange(len(new))
+        gone, mine = after.take(hit), name.take(mine)
+        rules.append(np.column_stack([first[new], second[new]]))
         base += len(new)
         s[hit], s[gone] = mine, -1
-        far = after[gone]
+        far = after.take(gone)
         after[hit] = far
         before[far[far >= 0]] = hit[far >= 0]
-        mark[look] = True
         mark[hit] = True
         mark[before[hit]] = True
         mark[n] = False
         look = np.flatnonzero(mark[:n])
         mark[look] = False
-        look = look[(s[look] >= 0) & (after[look] >= 0)]
+        look = look[(s.take(look) >= 0) & (after.take(look) >= 0)]
         turn += 1
     stays = s >= 0
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)

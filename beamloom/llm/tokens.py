@@ -71,7 +71,9 @@ class Encoder:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _part(self, text: str) -> bytes:
-        if text.isascii() or max(text) < "\u0250":
+        if text.isascii() and text.isprintable():
+            written = text.replace(" ", self.bytes[32])
+        elif text.isascii() or max(text) < "\u0250":
             written = text.translate(self.letters)
         else:
             written = "".join([self.bytes[b] for b in text.encode()])
@@ -82,7 +84,7 @@ class Encoder:
         if word.isalpha() and text[0] in self.starts:
             return self._part(text)
         if (mark := self.marks.get(text[-1:])) and text[1:-1].isalpha() and text[0] in self.starts:
-            return self._part(text[:-1]) + mark
+            return (self.rest[text[1:-1]] if text[0] == " " else self.first[text[:-1]]) + mark
         if "|" in text:  # may name a special token
             return self.plain(text)
         return b"".join(map(self.parts.__getitem__, _SPLIT.findall(text)))

@@ -128,6 +128,20 @@ def test_passages_equal_brute_force(spark, sf_dir, texts):
     assert got == want and want[False]
 
 
+def test_words_before_marks_are_encoded_once():
+    coder, seen = tokens.Encoder(tokens.default_vocabulary()), Counter()
+    whole, encode = coder.plain("dog dog, dog.\ndog, (dog) dog;"), coder.tokenize
+    coder.tokenize = lambda text: seen.update([text]) or encode(text)
+    assert coder.ids("dog dog, dog.\ndog, (dog) dog;") == whole and seen["\u0120dog"] == 1
+
+
+def test_pairs_are_sorted_alike_with_room_for_places_and_without():
+    left, right = np.random.default_rng(3).integers(0, 9, (2, 300)).astype(np.int32)
+    small, large = token_files._runs(left, right, 9), token_files._runs(left, right, 1 << 30)
+    assert all(np.array_equal(a, b) for a, b in zip(small, large, strict=True))
+    assert list(zip(left[small[0][small[1]]], right[small[0][small[1]]], strict=True)) == list(zip(small[2], small[3], strict=True)) == sorted(set(zip(left, right, strict=True)))
+
+
 def test_encoder_equals_the_library(texts):
     coder = tokens.Encoder(tokens.default_vocabulary())
     odd = ["", " ", "  ", "a  b", "a\n b", "a \nb", " x", " \n\t x y", "it's we'll don't", "日本語 テキスト です", "naïve café 123 4,5", "tab\tsep end ", "a  b", "<|endoftext|> hi <|endoftext|>", "Ǆ x ǆ", "end. Stop! 'tis 'll"]
