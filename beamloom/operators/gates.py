@@ -37,10 +37,12 @@ def gate_phase_spots(rows: DataFrame) -> DataFrame:
     return marked.withColumn("phase_id", F.when(odd, F.sum("_step").over(_rows())).otherwise(-1).cast("bigint")).drop("_g", "_step")
 
 
-def assign_by_gate(rows: DataFrame, plan: DataFrame, weight_mode: str = "channel_sum", a_is_x: bool = False, max_points: int | None = None) -> DataFrame:
-    """Assigned rows: spot_id by the gate counter, layer by the spot's place in the plan, one-axis rows completed on it."""
+def assign_by_gate(rows: DataFrame, plan: DataFrame, weight_mode: str = "channel_sum", a_is_x: bool = False, max_points: int | None = None, keep_own: bool = False) -> DataFrame:
+    """Assigned rows: spot_id by the gate counter, layer by the spot's place in the plan, one-axis rows completed on it.
+
+    ``keep_own`` adds own, each row's spot of its layer, for the flier filter."""
     table = layer_table(plan)
     spots = delivery_layers(R.with_plan_axes(gate_spots(rows), a_is_x), table)
     fit = spots.filter(F.col("fit_a").isNotNull() & (F.col("partial") >= 0))
-    done = R.with_detector_axes(impute_on_layer(fit, plan), a_is_x).withColumn("weight", spot_weight(weight_mode))
+    done = R.with_detector_axes(impute_on_layer(fit, plan, keep_own), a_is_x).withColumn("weight", spot_weight(weight_mode))
     return first_points(done, max_points)

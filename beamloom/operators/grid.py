@@ -160,3 +160,69 @@ class Layers:
             for part in Spots._pieces(rest, len(spots.x)):
                 out[part, k] = Spots._squared(q[part], spots.x, spots.y).min(axis=1)
         return out
+
+
+class OwnLayer:
+    """A plan's spots by layer, to find for each position one spot of its own layer: its place among the plan's spots, or -1."""
+
+    FEW = 256
+
+    def __init__(self, points: np.ndarray, layer: np.ndarray):
+        self.points, self.order = points, np.argsort(layer, kind="stable")
+        numbers, starts = np.unique(layer[self.order], return_index=True)
+        self.of = dict(zip(numbers.tolist(), np.split(self.order, starts[1:]), strict=True)) if len(layer) else {}
+        self.made: dict = {}
+
+    def _by_layer(self, layer: np.ndarray, wanted: np.ndarray, kind, find) -> np.ndarray:
+        """The places that ``find`` gives for the wanted rows of each layer; what it looks up is made once for a layer."""
+        out = np.full(len(layer), -1, np.int64)
+        for k in np.unique(layer[wanted]).tolist():
+            if k not in self.of:
+                continue
+            if (k, kind) not in self.made:
+                at = self.of[k]
+                usable = ~np.isnan(self.points[at] if kind is None else self.points[at, kind : kind + 1]).any(axis=1)
+                self.made[k, kind] = self._near(at[usable]) if kind is None else self._line(at[usable], kind)
+            if self.made[k, kind] is not None:
+                mine = np.flatnonzero(wanted & (layer == k))
+                out[mine] = find(self.made[k, kind], mine)
+        return out
+
+    def _near(self, at: np.ndarray):
+        return (at, self.points[at, 0], self.points[at, 1], Spots(self.points[at]) if len(at) > self.FEW else None) if len(at) else None
+
+    def _line(self, at: np.ndarray, axis: int):
+        """Values along an axis in order, and the first spot of each."""
+        values, first = np.unique(self.points[at, axis], return_index=True)
+        return (values, at[first]) if len(at) else None
+
+    def nearest(self, q: np.ndarray, layer: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """The nearest spot of each wanted position, the first of equal ones."""
+
+        def find(spots, mine):
+            at, x, y, grid = spots
+            near, whole = np.zeros(len(mine), np.int64), np.arange(len(mine))
+            if grid is not None:
+                finite = np.isfinite(q[mine]).all(axis=1)
+                near[finite], whole = grid.nearest(q[mine[finite]])[0], whole[~finite]
+            for part in Spots._pieces(whole, len(x)):
+                near[part] = Spots._squared(q[mine[part]], x, y).argmin(axis=1)
+            return at[near]
+
+        return self._by_layer(layer, wanted, None, find)
+
+    def along(self, q: np.ndarray, layer: np.ndarray, wanted: np.ndarray, axis: int) -> np.ndarray:
+        """The spot nearest along one axis, the first of equal ones."""
+
+        def find(line, mine):
+            values, first = line
+            v, above = q[mine, axis], np.searchsorted(values, q[mine, axis])
+            low, high = np.maximum(above - 1, 0), np.minimum(above, len(values) - 1)
+            d, e = np.abs(values[low] - v), np.abs(values[high] - v)
+            return np.where((d < e) | ((d == e) & (first[low] < first[high])), first[low], first[high])
+
+        return self._by_layer(layer, wanted, axis, find)
+
+    def leftmost(self, layer: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """The layer's spot with the smallest x."""
+        return self._by_layer(layer, wanted, 0, lambda line, mine: line[1][0])

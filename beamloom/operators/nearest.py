@@ -2,11 +2,14 @@
 
 On a layer or over a plan, rows meet the spots around their cell (``cells.nearest``). The nearest spot along an axis is found
 by sorting rows and spots together. Nothing is multiplied by the number of spots and no row goes to a group. Equal
-distances go to the lowest spot_idx.
+distances go to the lowest spot_idx. Rows of a whole run stay where they are, by acquisition: they are put into pieces, which
+meet their plan's spots and are taken apart again (``_own_spot``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,7 +21,7 @@ from ..functions import rows as R
 from ..session import ship
 from ..sources.partitions import partitions, sorted_beside
 from .cells import nearest, with_boxes
-from .grid import Layers
+from .grid import Layers, OwnLayer
 from .layers import layer_energies, layer_of_row, layer_table, layered, with_layers
 
 PIECE = 256  # row numbers of one piece: an Arrow batch has up to 10,000 pieces
@@ -153,10 +156,74 @@ def impute_axes(rows: DataFrame, spots: DataFrame, on: list[str] | None = None)
     return joined.withColumns({"_x1": x, "_y1": y}).withColumns({"mx": F.col("_x1"), "my": F.col("_y1")}).drop("_x1", "_y1", "_l")
 
 
-def impute_on_layer(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """The same within each row's own layer."""
-    placed = rows.withColumn("_layer", F.col("layer").cast("int"))
-    return impute_axes(placed, with_layers(plan).withColumnRenamed("layer", "_layer"), ["acq_id", "_layer"]).drop("_layer")
+def _found(find: Callable[[OwnLayer, np.ndarray, np.ndarray], np.ndarray]) -> Callable[..., pa.Array]:
+    """For each piece of rows, the spots of its plan that ``find`` gives for its positions and layers, as lists of (x, y), and
+    the positions completed by them, as mx and my."""
+
+    def pieces(layers: pa.Array, xs: pa.Array, ys: pa.Array, at: pa.Array, px: pa.Array, py: pa.Array) -> pa.Array:
+        plain = lambda v, missing: v.values.fill_null(missing).to_numpy(zero_copy_only=False)
+        layer, q = plain(layers, -1), np.column_stack([plain(xs, np.nan), plain(ys, np.nan)])
+        there = np.column_stack([pc.is_valid(v.values).to_numpy(zero_copy_only=False) for v in (xs, ys)])
+        of, points = plain(at, -1), np.column_stack([plain(px, np.nan), plain(py, np.nan)])
+        ends, places, known, found = xs.offsets.to_numpy(), at.offsets.to_numpy(), (None, None), np.full((len(q), 2), np.nan)
+        for i in range(len(xs)):
+            part, spots = slice(ends[i], ends[i + 1]), slice(places[i], places[i + 1])
+            if (key := (of[spots].tobytes(), points[spots].tobytes())) != known[0]:  # pieces of a plan mostly follow each other
+                known = key, OwnLayer(points[spots], of[spots])
+            k = find(known[1], q[part], layer[part], there[part])
+            found[part][k >= 0] = points[spots][k[k >= 0]]
+        done = np.where(~there.all(axis=1)[:, None] & ~np.isnan(found), found, q)
+        columns = np.column_stack([found, done])[ends[0] : ends[-1]].T
+        each = pa.StructArray.from_arrays([pa.array(v, mask=np.isnan(v)) for v in columns], ["x", "y", "mx", "my"])
+        return pa.ListArray.from_arrays((ends - ends[0]).astype(np.int32), each)
+
+    return pieces
+
+
+def _own_spot(rows: DataFrame, plan: DataFrame, layer: Callable[[Column, Column], Column], find: Callable[[OwnLayer, np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """Adds own, a struct (x, y, mx, my): the spot that ``find`` gives for each row on its layer (NULL without), and the row's
+    position, completed by it. ``layer`` is the layer's number, of the row's layer and the plan's last one.
+
+    The rows of an acquisition are put into pieces of at most ``PIECE`` row numbers, where they are, as for ``layer_distances``.
+    Rows that are together by acq_id are not shuffled, others once; only a plan's spots are, as one list for each acquisition."""
+    ship(rows.sparkSession)
+    placed = layered(plan)
+    last = placed.groupBy("acq_id").agg(F.max("last_layer").alias("_last"))
+    lists = placed.groupBy("acq_id").agg(F.sort_array(F.collect_list(F.struct("spot_idx", "layer", "x", "y"))).alias("_s"))
+    at = rows.join(sorted_beside(last), "acq_id", "left").withColumn("_own", layer(F.col("layer"), F.col("_last")).cast("int")).drop("_last")
+    light = F.struct(*[c for c in at.columns if c != "acq_id"])
+    pieces = at.groupBy("acq_id", F.floor(F.col("row_idx") / PIECE).alias("_piece")).agg(F.collect_list(light).alias("_rows"))
+    met = pieces.join(sorted_beside(lists), "acq_id", "left")
+    column = lambda c, kind: F.col("_rows")[c].cast(f"array<{kind}>")
+    planned = [F.coalesce(F.col("_s")[c], F.array()).cast(f"array<{kind}>") for c, kind in (("layer", "int"), ("x", "double"), ("y", "double"))]
+    spots = F.arrow_udf(_found(find), "array<struct<x:double,y:double,mx:double,my:double>>")(column("_own", "int"), column("mx", "double"), column("my", "double"), *planned)
+    each = met.withColumn("_f", spots).select("acq_id", F.explode(F.arrays_zip("_rows", "_f")).alias("_z"))
+    return each.select(*[F.col("acq_id") if c == "acq_id" else F.col("_z")["_rows"][c].alias(c) for c in rows.columns], F.col("_z")["_f"].alias("own"))
+
+
+def _completing(spots: OwnLayer, q: np.ndarray, layer: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """Places of the spots that complete one-axis rows, and rows without an axis; -1 for others."""
+    x, y = there.T
+    some = spots.along(q, layer, x & ~y, 0)
+    some = np.where(~x & y, spots.along(q, layer, ~x & y, 1), some)
+    return np.where(~x & ~y, spots.leftmost(layer, ~x & ~y), some)
+
+
+def _whole(spots: OwnLayer, q: np.ndarray, layer: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """Places of the spots nearest to rows with both axes; -1 for others."""
+    return spots.nearest(q, layer, there.all(axis=1))
+
+
+def _either(spots: OwnLayer, q: np.ndarray, layer: np.ndarray, there: np.ndarray) -> np.ndarray:
+    return np.where(there.all(axis=1), _whole(spots, q, layer, there), _completing(spots, q, layer, there))
+
+
+def impute_on_layer(rows: DataFrame, plan: DataFrame, keep_own: bool = False) -> DataFrame:
+    """The same within each row's own layer. ``keep_own`` adds own with the nearest spot (x, y) of complete rows, and for others
+    the one that completes them, which is their nearest one then. So ``flier_score`` has nothing to look up again."""
+    found = _own_spot(rows, plan, lambda layer, last: layer.cast("int"), _either if keep_own else _completing)
+    whole = found.withColumns({"mx": F.col("own.mx"), "my": F.col("own.my")})
+    return whole if keep_own else whole.drop("own")
 
 
 def distance_to_energy(rows: DataFrame, plan: DataFrame, energy: float) -> DataFrame:
@@ -167,18 +234,20 @@ def distance_to_energy(rows: DataFrame, plan: DataFrame, energy: float) -> DataF
 
 
 def flier_score(rows: DataFrame, plan: DataFrame, a_is_x: bool = False, fallback: float = K.SIGMA_FALLBACK_MM) -> DataFrame:
-    """Matched rows with score: the distance to the expected spot in units of the row's widths (NULL without a spot)."""
-    m = R.sigma_xy(match_on_layer(rows, plan), a_is_x, fallback)
-    dx, dy = (F.col("mx") - F.col("expected_x")) / F.col("sx"), (F.col("my") - F.col("expected_y")) / F.col("sy")
-    return m.withColumn("score", F.sqrt(dx * dx + dy * dy))
+    """Rows with score: the distance to the nearest spot of their layer, which may be known (``own``), in units of the row's
+    widths (NULL without a spot)."""
+    known = rows if "own" in rows.columns else _own_spot(rows, plan, layer_of_row, _whole)
+    m = R.sigma_xy(known, a_is_x, fallback)
+    dx, dy = (F.col("mx") - F.col("own.x")) / F.col("sx"), (F.col("my") - F.col("own.y")) / F.col("sy")
+    return m.withColumn("score", F.sqrt(dx * dx + dy * dy)).drop("own")
 
 
 def filter_fliers(rows: DataFrame, plan: DataFrame, n_sigma: float = K.FLIER_SIGMA, a_is_x: bool = False, fallback: float = K.SIGMA_FALLBACK_MM) -> DataFrame:
     """Rows within n_sigma of their expected spot, and rows without one. Nothing is filtered for n_sigma up to 0."""
     if n_sigma <= 0:
-        return rows
-    kept = flier_score(rows, plan, a_is_x, fallback).filter("score is null or score <= " + repr(float(n_sigma)))
-    return kept.select(*rows.columns)
+        return rows.drop("own")
+    kept = flier_score(rows, plan, a_is_x, fallback).filter(F.coalesce(F.col("score") <= float(n_sigma), F.lit(True)))
+    return kept.select(*[c for c in rows.columns if c != "own"])
 
 
 def error_lines(matched: DataFrame, pass_mm: float = K.PASS_MM) -> DataFrame:

@@ -67,7 +67,7 @@ def _parameters(config: Config, mode: str) -> dict:
     common = {"weight_mode": config.weight_mode, "a_is_x": config.a_is_x, "max_points": config.max_points}
     match mode:
         case "gate_counter":
-            return common
+            return common | {"keep_own": bool(config.flier_sigma)}
         case "time_gap":
             return common | {"heal": config.heal, "gap_s": config.layer_gap_s, "tolerance_mm": config.refill_tolerance_mm}
         case "plan_viterbi":

@@ -1,11 +1,14 @@
 """That work and data grow no faster than they have to: what steps compare, shuffle and broadcast."""
 
+import re
+
 import numpy as np
 
-from beamloom.operators import episodes, kernels, spots
+from beamloom.config import Config
+from beamloom.operators import episodes, kernels, nearest, spots
 from beamloom.operators.grid import Spots
-from beamloom.plans import assignments
-from beamloom.sources import partitions
+from beamloom.plans import assignments, pipeline
+from beamloom.sources import partitions, tables
 
 
 def test_few_comparisons_for_positions_far_away(monkeypatch):
@@ -63,3 +66,39 @@ def test_edges_are_not_shuffled(spark, tmp_path, monkeypatch):
         rows = counted.sparkSession.read.parquet(f"{tmp_path}/rows").filter(f"acq_id = {acq}").orderBy("row_idx").toPandas()
         want |= {(acq, k): len(kernels.segment(rows["metric"].to_numpy() <= ratio, 1)) for k, ratio in enumerate(episodes.dead_ratios())}
     assert {(r["acq_id"], r["k"]): r["count"] for r in counted.collect()} == want
+
+
+def test_a_run_reads_its_rows_once(spark, sf_dir):
+    """Row numbers are given once: rows aren't joined to themselves by them, to be completed or filtered."""
+    plan = _plan_of(assignments.full_run(spark, sf_dir))
+    assert plan.count("l_partkey") and len([line for line in plan.splitlines() if "FileScan" in line and "l_partkey" in line]) == 1
+
+
+def test_rows_of_a_run_stay_where_they_are(spark, sf_dir):
+    """Rows are shuffled by acquisition, and then not before they are spots."""
+    rows, plan = tables.acquisition_view(spark, sf_dir), tables.plan_view(spark, sf_dir)
+    text = _plan_of(pipeline.run(rows, plan, Config(flier_sigma=3.0)).assigned)
+    keys = re.findall(r"Exchange hashpartitioning\((.*), \d+\), ", text)
+    assert keys and not [k for k in keys if re.search("row_idx|_cx|_layer", k)], keys
+
+
+def test_own_spots_of_layers(spark, monkeypatch):
+    """Complete, one-axis and empty rows meet the first nearest spot of their layer, whether it is compared whole or by a grid."""
+    rng = np.random.default_rng(3)
+    p, layer = np.round(rng.normal(0, 9, (600, 2))), np.sort(rng.choice([0, 1, 2], 600, p=[0.02, 0.2, 0.78]))
+    q, of = np.round(np.concatenate([rng.normal(0, 12, (400, 2)), [[1e9, -3.0]]]), 1), rng.integers(0, 4, 401)
+    q[100:180, 0], q[150:250, 1] = np.nan, np.nan
+    plan = spark.createDataFrame([(7, i, float(x), float(y), 100.0 - int(k), 1.0) for i, ((x, y), k) in enumerate(zip(p, layer, strict=True))], "acq_id int, spot_idx int, x double, y double, energy double, mu double")
+    number = lambda v: None if np.isnan(v) else float(v)
+    rows = spark.createDataFrame([(7, i, number(x), number(y), int(k)) for i, ((x, y), k) in enumerate(zip(q, of, strict=True))], "acq_id int, row_idx bigint, mx double, my double, layer int")
+    monkeypatch.setattr(nearest, "PIECE", 64)
+    got = {r["row_idx"]: r for r in nearest.impute_on_layer(rows, plan, keep_own=True).collect()}
+    assert len(got) == len(q)
+    for i, (x, y) in enumerate(q):
+        at = np.flatnonzero(layer == of[i])
+        if not len(at):
+            assert (got[i]["mx"], got[i]["my"], got[i]["own"]["x"]) == (number(x), number(y), None)
+            continue
+        far = (p[at, 0] - x) ** 2 + (p[at, 1] - y) ** 2 if not np.isnan(x + y) else np.abs(p[at, 0] - x) if not np.isnan(x) else np.abs(p[at, 1] - y) if not np.isnan(y) else p[at, 0]
+        own = tuple(p[at[far.argmin()]])
+        assert (got[i]["own"]["x"], got[i]["own"]["y"]) == own and (got[i]["mx"], got[i]["my"]) == (own if np.isnan(x + y) else (x, y))
