@@ -25,9 +25,10 @@ from ..functions import rows as R
 from ..session import ship
 from ..sources.workspace import landed
 from .grid import Spots
-from .nearest import match_on_layer
+from .nearest import match_on_layer, own_spot
 from .quality import weighted_rms
 
+TOGETHER = 4  # starts that are fitted side by side
 PIECE = 20_000  # rows of an acquisition that are matched to its plan at a time
 AFFINE = ("m11", "m12", "m21", "m22", "t1", "t2")
 _NUMBERS = ", ".join(f"{c} double" for c in AFFINE)
@@ -178,21 +179,31 @@ def _seed_step(n: Column) -> Column:
 
 def icp(m: np.ndarray, plan: np.ndarray | Spots, r: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float, int]:
     """Nearest points and rigid fit in turn: rotation, shift, rms before the last fit, rms, iterations."""
+    return icp_starts(m, plan, [(r, t)])[0]
+
+
+def icp_starts(m: np.ndarray, plan: np.ndarray | Spots, starts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray, float, float, int]]:
+    """The same from several starts, each a fit of its own: only their nearest points are looked up together."""
     index = plan if isinstance(plan, Spots) else Spots(plan)
     (x, y), (px, py) = (np.ascontiguousarray(v.T) for v in (m, index.whole))
-    now = np.empty(m.shape[::-1]).T  # columns lie together
-    before, pairs, rms = math.inf, math.nan, math.inf
-    k = 0
+    fits, before, live = [(r, t, math.nan, math.inf, 0) for r, t in starts], [math.inf] * len(starts), list(range(len(starts)))
     for k in range(1, K.ICP_ITERATIONS + 1):
-        now[:, 0], now[:, 1] = x * r[0, 0] + y * r[0, 1] + t[0], x * r[1, 0] + y * r[1, 1] + t[1]
-        at, d2 = index.nearest(now)
-        pairs = float(np.sqrt(d2.mean()))
-        r1, t1, rms = _rigid_columns(now[:, 0], now[:, 1], px[at], py[at])
-        r, t = r1 @ r, r1 @ t + t1
-        if abs(before - rms) < K.ICP_TOLERANCE_MM:
+        now = np.empty((2, len(live), len(m)))
+        for i, of in enumerate(live):
+            r, t, *_ = fits[of]
+            now[0, i], now[1, i] = x * r[0, 0] + y * r[0, 1] + t[0], x * r[1, 0] + y * r[1, 1] + t[1]
+        at, d2 = (v.reshape(len(live), -1) for v in index.nearest(now.reshape(2, -1).T))
+        for i, of in enumerate(live):
+            r, t, *_ = fits[of]
+            r1, t1, rms = _rigid_columns(now[0, i], now[1, i], px[at[i]], py[at[i]])
+            fits[of] = r1 @ r, r1 @ t + t1, float(np.sqrt(d2[i].mean())), rms, k
+        done = [abs(before[of] - fits[of][3]) < K.ICP_TOLERANCE_MM for of in live]
+        for of in live:
+            before[of] = fits[of][3]
+        live = [of for of, end in zip(live, done, strict=True) if not end]
+        if not live:
             break
-        before = rms
-    return r, t, pairs, rms, k
+    return fits
 
 
 def _start(m: np.ndarray, degrees: float) -> tuple[np.ndarray, np.ndarray]:
@@ -211,29 +222,39 @@ def _points(at) -> np.ndarray:
     return np.column_stack([at["x"], at["y"]]).astype(float)
 
 
-def _tried(starts: DataFrame, tasks: int) -> DataFrame:
+def _tried(starts: DataFrame, tasks: int, keys: tuple[str, ...]) -> DataFrame:
     """The fits of all starts of a row (acq_id, orientation, degrees and their places as lists, sample, plan), each row a group of
-    its own. Starts behind a nearly perfect one can't win (``_best_starts``) and are left out."""
+    its own, dealt to tasks by ``keys``. Starts behind a nearly perfect one can't win (``_best_starts``) and are left out. Of rows
+    with one plan that follow each other in a task, the plan's grid is made once."""
     ship(starts.sparkSession)
     schema = _START.format(kind=dict(starts.dtypes)["acq_id"])
     names = [c.split()[0] for c in schema.split(", ")]
+    made: dict[bytes, Spots] = {}  # one at a time, of a task
 
     def fit(p: pd.DataFrame) -> pd.DataFrame:
         out = []
         for s in p.itertuples():
             swap, fx, fy = ORIENTATIONS[s.orientation]
-            m, plan = _points(s.sample), Spots(_points(s.plan))
+            m, points = _points(s.sample), _points(s.plan)
+            if (key := points.tobytes()) not in made:
+                made.clear()
+                made[key] = Spots(points)
+            plan = made[key]
             m = (m[:, ::-1] if swap else m) * [-1.0 if fx else 1.0, -1.0 if fy else 1.0]
-            for place, degrees in zip(s.places, s.degrees, strict=True):
-                r, t, pairs, rms, k = icp(m, plan, *_start(m, degrees))
-                g = Rigid(math.degrees(math.atan2(r[1, 0], r[0, 0])), float(t[0]), float(t[1]), swap, fx, fy)
-                out.append([s.acq_id, s.orientation, place, *_flat(g), g.theta_deg, g.tx, g.ty, pairs, rms, k])
-                if rms <= K.RMS_STOP_MM:
+            seeds = list(zip(s.places, s.degrees, strict=True))
+            for few in (seeds[k : k + TOGETHER] for k in range(0, len(seeds), TOGETHER)):
+                good = False
+                for (place, _), (r, t, pairs, rms, k) in zip(few, icp_starts(m, plan, [_start(m, degrees) for _, degrees in few]), strict=True):
+                    g = Rigid(math.degrees(math.atan2(r[1, 0], r[0, 0])), float(t[0]), float(t[1]), swap, fx, fy)
+                    out.append([s.acq_id, s.orientation, place, *_flat(g), g.theta_deg, g.tx, g.ty, pairs, rms, k])
+                    if good := rms <= K.RMS_STOP_MM:
+                        break
+                if good:
                     break
         return pd.DataFrame(out, columns=names)
 
     # the table is small and its fits are long, so that its size doesn't tell into how many tasks it should go
-    return starts.repartition(tasks, "acq_id", "orientation").groupBy("acq_id", "orientation").applyInPandas(fit, schema)
+    return starts.repartition(tasks, *keys).groupBy("acq_id", "orientation").applyInPandas(fit, schema)
 
 
 def _best_starts(fits: DataFrame) -> DataFrame:
@@ -279,10 +300,11 @@ def coarse_align(rows: DataFrame, plan: DataFrame, most: int = K.FIT_SAMPLES) ->
     plans = base.select("acq_id", "plan")
     n = max(1, base.count())
     tasks = min(8 * n, max(64, n // 4))
+    keys = ("acq_id",) if n >= 2 * tasks else ("acq_id", "orientation")  # few acquisitions are spread by both
 
     every = base.withColumn("orientation", F.explode(F.array(*[F.lit(k) for k in range(len(ORIENTATIONS))])))
     few = {"degrees": K.PRESCREEN_DEGREES, "places": range(len(K.PRESCREEN_DEGREES))}
-    starts = landed(_tried(every.withColumns({name: F.array(*[F.lit(v) for v in values]) for name, values in few.items()}), tasks))
+    starts = landed(_tried(every.withColumns({name: F.array(*[F.lit(v) for v in values]) for name, values in few.items()}), tasks, keys))
     tried = landed(_best_starts(starts))
     found = landed(_with_rest(tried, live, plans))
     order = Window.partitionBy("acq_id").orderBy("rms", "orientation")
@@ -294,7 +316,7 @@ def coarse_align(rows: DataFrame, plan: DataFrame, most: int = K.FIT_SAMPLES) ->
     seeds = all_seeds.withColumn("degrees", F.array_except(F.sequence(F.lit(0), 360 - step, step), done)).withColumn("places", F.transform("degrees", lambda d: (d / step).cast("int")))
     at = F.element_at(done, F.col("place") + 1) / step  # the place among all seeds of those that were fitted before
     before = starts.join(all_seeds.select("acq_id", "orientation", "_step"), ["acq_id", "orientation"]).withColumn("place", at.cast("int")).drop("_step")
-    again = _best_starts(_tried(seeds.drop("_step"), tasks).unionByName(before))
+    again = _best_starts(_tried(seeds.drop("_step"), tasks, keys).unionByName(before))
     again = landed(again.join(found.select("acq_id", "orientation", F.col("rms_fit").alias("_was")), ["acq_id", "orientation"]).filter("rms_fit < _was").drop("_was"))
     better = landed(_with_rest(again, live, plans))
     both = found.join(better.select("acq_id", "orientation"), ["acq_id", "orientation"], "left_anti").unionByName(better)
@@ -377,13 +399,14 @@ _STATE = f"acq_id {{kind}}, {_NUMBERS}, rms_before double, last double, now doub
 
 def _matched_sums(light: DataFrame, plan: DataFrame) -> DataFrame:
     """(acq_id, moments, rms, n): rows and their layers' nearest spots, all of them in one aggregation."""
-    m = match_on_layer(light, plan).withColumns({"px": F.col("expected_x"), "py": F.col("expected_y")})
+    m = own_spot(light, plan).withColumns({"px": F.col("own.x"), "py": F.col("own.y")}).drop("own")
     pairs = m.filter("mx is not null and my is not null and px is not null")
-    return pairs.groupBy("acq_id").agg(*moment_sums(), weighted_rms(F.col("distance"), F.col("w")).alias("rms"), F.count(F.lit(1)).alias("n"))
+    squared = (F.col("px") - F.col("mx")) * (F.col("px") - F.col("mx")) + (F.col("py") - F.col("my")) * (F.col("py") - F.col("my"))
+    return pairs.groupBy("acq_id").agg(*moment_sums(), weighted_rms(F.sqrt(squared), F.col("w")).alias("rms"), F.count(F.lit(1)).alias("n"))
 
 
 def fine_fits(rows: DataFrame, plan: DataFrame, shift: bool = True, rotate: bool = True, scale: bool = True) -> DataFrame:
-    """Table of fine fits, one for each acquisition that its fit brings closer to its plan.
+    """Table of fine fits, one for each acquisition that its fit brings closer to its plan. Rows are read in every round.
 
     A round fits all pairs of rows and their layers' nearest spots, moves the rows by that, and pairs them anew. An
     acquisition takes part until a round brings it no closer. Its map is those of its rounds one after another; the one
@@ -391,7 +414,7 @@ def fine_fits(rows: DataFrame, plan: DataFrame, shift: bool = True, rotate: bool
     """
     ship(rows.sparkSession)
     kind = dict(rows.dtypes)["acq_id"]
-    light = landed(rows.select("acq_id", "row_idx", "mx", "my", F.col("layer").cast("double").alias("layer"), R.align_weight(F.col("weight")).alias("w")))
+    light = rows.select("acq_id", "row_idx", "mx", "my", F.col("layer").cast("double").alias("layer"), R.align_weight(F.col("weight")).alias("w"))
     planned = landed(plan.select("acq_id", "spot_idx", "x", "y", "energy", "mu"))
     state_names = [c.split()[0] for c in _STATE.split(", ")]
 
@@ -436,9 +459,11 @@ def fine_fits(rows: DataFrame, plan: DataFrame, shift: bool = True, rotate: bool
 
 
 def fine_align(rows: DataFrame, plan: DataFrame, shift: bool = True, rotate: bool = True, scale: bool = True, a_is_x: bool = False) -> tuple[DataFrame, DataFrame | None]:
-    """Rows moved by their acquisition's fine fit, and the table of fits. Where no fit helps, rows are as they were."""
+    """Rows moved by their acquisition's fine fit, and the table of fits. Where no fit helps, rows are as they were. They are
+    written once, for the fits' rounds and for the rows that are moved."""
     if not (shift or rotate or scale):
         return rows, None
+    rows = landed(rows)
     fits = landed(fine_fits(rows, plan, shift, rotate, scale))
     return apply(rows, fits, a_is_x), fits
 

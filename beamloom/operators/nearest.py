@@ -218,6 +218,11 @@ def _either(spots: OwnLayer, q: np.ndarray, layer: np.ndarray, there: np.ndarray
     return np.where(there.all(axis=1), _whole(spots, q, layer, there), _completing(spots, q, layer, there))
 
 
+def own_spot(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Adds own, a struct with the nearest spot (x, y) of the row's layer (rounded, within the plan), NULL without."""
+    return _own_spot(rows, plan, layer_of_row, _whole)
+
+
 def impute_on_layer(rows: DataFrame, plan: DataFrame, keep_own: bool = False) -> DataFrame:
     """The same within each row's own layer. ``keep_own`` adds own with the nearest spot (x, y) of complete rows, and for others
     the one that completes them, which is their nearest one then. So ``flier_score`` has nothing to look up again."""
@@ -236,7 +241,7 @@ def distance_to_energy(rows: DataFrame, plan: DataFrame, energy: float) -> DataF
 def flier_score(rows: DataFrame, plan: DataFrame, a_is_x: bool = False, fallback: float = K.SIGMA_FALLBACK_MM) -> DataFrame:
     """Rows with score: the distance to the nearest spot of their layer, which may be known (``own``), in units of the row's
     widths (NULL without a spot)."""
-    known = rows if "own" in rows.columns else _own_spot(rows, plan, layer_of_row, _whole)
+    known = rows if "own" in rows.columns else own_spot(rows, plan)
     m = R.sigma_xy(known, a_is_x, fallback)
     dx, dy = (F.col("mx") - F.col("own.x")) / F.col("sx"), (F.col("my") - F.col("own.y")) / F.col("sy")
     return m.withColumn("score", F.sqrt(dx * dx + dy * dy)).drop("own")

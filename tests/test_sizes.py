@@ -5,7 +5,7 @@ import re
 import numpy as np
 
 from beamloom.config import Config
-from beamloom.operators import episodes, kernels, nearest, spots
+from beamloom.operators import alignment, episodes, kernels, nearest, spots
 from beamloom.operators.grid import Spots
 from beamloom.plans import assignments, pipeline
 from beamloom.sources import partitions, tables
@@ -102,3 +102,23 @@ def test_own_spots_of_layers(spark, monkeypatch):
         far = (p[at, 0] - x) ** 2 + (p[at, 1] - y) ** 2 if not np.isnan(x + y) else np.abs(p[at, 0] - x) if not np.isnan(x) else np.abs(p[at, 1] - y) if not np.isnan(y) else p[at, 0]
         own = tuple(p[at[far.argmin()]])
         assert (got[i]["own"]["x"], got[i]["own"]["y"]) == own and (got[i]["mx"], got[i]["my"]) == (own if np.isnan(x + y) else (x, y))
+
+
+def test_starts_side_by_side(monkeypatch):
+    """Starts that are fitted together end as each does alone, and look up their nearest points together."""
+    rng = np.random.default_rng(9)
+    plan, m = rng.uniform(-20, 20, (90, 2)), rng.uniform(-20, 20, (400, 2))
+    starts = [alignment._start(m, d) for d in (0, 45, 90, 200)]
+    alone = [alignment.icp(m, plan, *s) for s in starts]
+    counted, lookup = [], Spots.nearest
+    monkeypatch.setattr(Spots, "nearest", lambda self, q: counted.append(len(q)) or lookup(self, q))
+    together = alignment.icp_starts(m, plan, starts)
+    for a, b in zip(alone, together, strict=True):
+        assert (a[0] == b[0]).all() and (a[1] == b[1]).all() and a[2:] == b[2:]
+    assert len(counted) == max(a[4] for a in alone) < sum(a[4] for a in alone)
+
+
+def test_fine_alignment_reads_written_spots(spark, sf_dir):
+    """The spots are not measured again for the rows that a fit moves."""
+    rows, plan = tables.acquisition_view(spark, sf_dir), tables.plan_view(spark, sf_dir)
+    assert "l_partkey" not in _plan_of(pipeline.run(rows, plan, Config(fine_shift=True)).matched)
